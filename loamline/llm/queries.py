@@ -1,7 +1,9 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
+from .language import op3_language
 from .mixing import OP4_SQL, op4_mixing
+from .quality import op10_quality
 from .sharding import op7_sharding
 
-QUERIES = {"op4_mixing": op4_mixing, "op7_sharding": op7_sharding}
+QUERIES = {"op3_language": op3_language, "op4_mixing": op4_mixing, "op7_sharding": op7_sharding, "op10_quality": op10_quality}
 ORACLES = {"op4_mixing": OP4_SQL}
