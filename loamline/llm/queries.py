@@ -4,6 +4,15 @@ from .language import op3_language
 from .mixing import OP4_SQL, op4_mixing
 from .quality import op10_quality
 from .sharding import op7_sharding
+from .urlfilter import OP9_SQL, op9_urlfilter
+from .warc import OP1_SQL, op1_warc
 
-QUERIES = {"op3_language": op3_language, "op4_mixing": op4_mixing, "op7_sharding": op7_sharding, "op10_quality": op10_quality}
-ORACLES = {"op4_mixing": OP4_SQL}
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op3_language": op3_language,
+    "op4_mixing": op4_mixing,
+    "op7_sharding": op7_sharding,
+    "op9_urlfilter": op9_urlfilter,
+    "op10_quality": op10_quality,
+}
+ORACLES = {"op1_warc": OP1_SQL, "op4_mixing": OP4_SQL, "op9_urlfilter": OP9_SQL}
