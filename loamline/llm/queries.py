@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
+from .decontamination import OP6_SQL, op6_decontamination
 from .language import op3_language
 from .mixing import OP4_SQL, op4_mixing
 from .quality import op10_quality
@@ -11,8 +12,9 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op9_urlfilter": op9_urlfilter,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op4_mixing": OP4_SQL, "op9_urlfilter": OP9_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op4_mixing": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_urlfilter": OP9_SQL}
