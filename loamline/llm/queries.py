@@ -3,6 +3,7 @@
 from .decontamination import OP6_SQL, op6_decontamination
 from .language import op3_language
 from .mixing import OP4_SQL, op4_mixing
+from .pii import op8_pii
 from .quality import op10_quality
 from .sharding import op7_sharding
 from .urlfilter import OP9_SQL, op9_urlfilter
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_pii": op8_pii,
     "op9_urlfilter": op9_urlfilter,
     "op10_quality": op10_quality,
 }
