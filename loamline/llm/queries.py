@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
 from .decontamination import OP6_SQL, op6_decontamination
+from .embeddings import op2_embeddings
 from .language import op3_language
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op8_pii
@@ -11,6 +12,7 @@ from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_embeddings": op2_embeddings,
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
