@@ -8,6 +8,7 @@ from .pii import op8_pii
 from .quality import op10_quality
 from .sharding import op7_sharding
 from .urlfilter import OP9_SQL, op9_urlfilter
+from .signatures import OP5_SQL, op5_jaccard
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -15,10 +16,11 @@ QUERIES = {
     "op2_embeddings": op2_embeddings,
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
+    "op5_jaccard": op5_jaccard,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
     "op9_urlfilter": op9_urlfilter,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op4_mixing": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_urlfilter": OP9_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op4_mixing": OP4_SQL, "op5_jaccard": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_urlfilter": OP9_SQL}
