@@ -294,6 +294,24 @@ def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
     return done.union(empty)
 
 
+def one_of_each(docs: DataFrame, kept: DataFrame, k: int = 4) -> DataFrame:
+    """The rows of docs whose id and class are in kept (doc_id, class_id; both distinct together), one of each; rows without words, all of them."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+
+    def with_class(batches):
+        for batch in batches:
+            yield batch.append_column("_class", pa.array([fingerprint(s) if len(s) else None for s in text_sets(batch.column("text"), k)], pa.int64()))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
+    some = docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"]), "left_semi").mapInArrow(with_class, f"{kinds}, _class long")
+    kept = kept.where("class_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_of"))
+    full = some.where("_class IS NOT NULL")
+    full = full.join(kept, full.doc_id.eqNullSafe(kept["_id"]) & (full["_class"] == kept["_of"]), "left_semi").dropDuplicates(["doc_id", "_class"])
+    return full.select(names).union(some.where("_class IS NULL").select(names))
+
+
 def op5_jaccard(spark, sf_dir):
     from .shared import table
 
