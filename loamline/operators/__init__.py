@@ -1 +1 @@
-
+"""Relational operators: ledgers, samples, splits, graphs, aggregates, inference."""

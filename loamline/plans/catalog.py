@@ -1,4 +1,7 @@
 """All registered queries of the library proper, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import curation, samples
+
+PARTS = (samples, curation)
+QUERIES: dict = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict = {k: v for p in PARTS for k, v in p.ORACLES.items()}
