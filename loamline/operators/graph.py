@@ -53,7 +53,7 @@ def distances(edges: DataFrame, cap: int) -> DataFrame:
     return found
 
 
-def relations(edges: DataFrame, above: DataFrame) -> DataFrame:
+def relations(edges: DataFrame) -> DataFrame:
     """(pred, gold, relation) for nodes within two steps. At two steps ancestor comes before descendant, then sibling, then coparent."""
     nodes = edges.select(F.col("child").alias("n")).union(edges.select(F.col("parent").alias("n"))).distinct()
     up = edges.alias("x").join(edges.alias("y"), F.col("x.parent") == F.col("y.child")).select(F.col("x.child").alias("low"), F.col("y.parent").alias("high")).distinct()
