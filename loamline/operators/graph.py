@@ -83,12 +83,11 @@ def component_labels(links: DataFrame, rounds: int = 100) -> DataFrame:
     """links (a, b). Returns (id, component): the smallest id reached. Labels fall along links and skip ahead, so chains take few rounds."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = kept(both)
-    labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
+    labels = kept(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("low", "a").alias("component")))
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("low"))
-        lower = labels.join(near, labels.id == near.a).select("id", F.least("component", "low").alias("component"))
-        jump = lower.alias("x").join(labels.alias("y"), F.col("x.component") == F.col("y.id")).select("x.id", F.least("x.component", "y.component").alias("component"))
-        new = kept(jump)
+        near = both.join(labels.toDF("b", "c"), "b").groupBy("a").agg(F.min("c").alias("low")).withColumnRenamed("a", "id")
+        lower = labels.join(near, "id").select("id", F.least("component", "low").alias("component"))
+        new = kept(lower.join(labels.toDF("component", "further"), "component").select("id", F.least("component", "further").alias("component")))
         changed = not new.join(labels, ["id", "component"], "left_anti").isEmpty()
         labels = new
         if not changed:
@@ -98,7 +97,7 @@ def component_labels(links: DataFrame, rounds: int = 100) -> DataFrame:
 
 def clusters(rows: DataFrame, key: str, order: list[str], links: DataFrame) -> DataFrame:
     """Adds cluster_id, the member that is first by order and key, and cluster_size. Rows without links are clusters of their own."""
-    labels = component_labels(links)
-    out = rows.join(labels, rows[key] == labels.id, "left").withColumn("_c", F.coalesce("component", key)).drop("id", "component")
+    labels = component_labels(links).toDF("_id", "_component")
+    out = rows.join(labels, rows[key] == labels["_id"], "left").withColumn("_c", F.coalesce("_component", key)).drop("_id", "_component")
     heads = out.groupBy("_c").agg(F.min(F.struct(*order, key))[key].alias("cluster_id"), F.count("*").alias("cluster_size"))
     return out.join(heads, "_c").drop("_c")

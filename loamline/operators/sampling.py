@@ -58,7 +58,7 @@ def weighted_draw(ids: DataFrame, key: str, pool: DataFrame, item: str, weight:
     first = pool.agg(F.sum(weight).cast("long").alias("_sum"))
     out = out.crossJoin(F.broadcast(first))
     for s in range(slots):
-        left = F.col("_sum") - F.aggregate("_taken", F.lit(0).cast("long"), lambda a, t: a + t["w"])
+        left = F.greatest(F.lit(1), F.col("_sum") - F.aggregate("_taken", F.lit(0).cast("long"), lambda a, t: a + t["w"]))  # also where a join asks before its condition holds
         at = rank_mod(left.cast("decimal(20,0)"), F.col(key), salt, s)
         place = F.aggregate(F.array_sort("_taken"), at, lambda a, t: F.when(a >= t["start"], a + t["w"]).otherwise(a))
         out = out.withColumn("_place", place)

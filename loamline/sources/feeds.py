@@ -30,7 +30,7 @@ def read_feeds(spark: SparkSession, folder: str, record: T.StructType) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([hashlib.sha256(b).hexdigest() for b in raw]), pa.array([b.decode() for b in raw])], names=["path", "sha", "body"])
 
     bodies = feed_files(spark, folder).select("path", "content").mapInArrow(unpack, "path string, sha string, body string")
-    metas = spark.read.option("wholetext", "true").text(folder).where(F.col("_metadata.file_path").endswith(".meta"))
+    metas = spark.read.text(folder, wholetext=True).where(F.col("_metadata.file_path").endswith(".meta"))
     metas = metas.select(F.regexp_extract(F.element_at(F.split("_metadata.file_path", "/"), -1), r"^(.*)\.meta$", 1).alias("m"), F.lower(F.regexp_extract("value", r"sha256:([0-9A-Fa-f]{64})", 1)).alias("said"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json(\.gz)?$", "")
     both = bodies.join(F.broadcast(metas), stem == F.col("m"), "left")  # a row for each year

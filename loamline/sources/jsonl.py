@@ -19,13 +19,15 @@ def read_pairs(spark: SparkSession, path: str, schema: T.StructType, key: Column
     or a pair key (a column over first and second) that comes twice is an error.
     """
     names = set(schema.fieldNames())
-    text = spark.read.option("wholetext", "true").text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.filter(F.split("value", "\n"), lambda l: F.trim(l) != "").alias("lines"))
-    rows = text.select("file", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
-    found = rows.select("file", "n", "pos", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("row"), F.json_object_keys("line").alias("fields"))
-    wrong = found.where((F.col("n") % 2 != 0) | (F.size(F.array_except("fields", F.array(*[F.lit(x) for x in sorted(names)]))) > 0) | (F.size("fields") != len(names)))
+    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.filter(F.split("value", "\n"), lambda l: F.trim(l) != "").alias("lines"))
+    rows = text.select("file", F.posexplode("lines").alias("pos", "line"))
+    found = rows.select("file", "pos", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("row"), F.json_object_keys("line").alias("fields"))
+    wrong = found.where((F.size(F.array_except("fields", F.array(*[F.lit(x) for x in sorted(names)]))) > 0) | (F.size("fields") != len(names)))
     if not wrong.isEmpty():
-        raise ValueError("an odd number of rows, or fields that aren't the schema's")
+        raise ValueError("fields that aren't the schema's")
     pairs = found.groupBy("file", F.floor(F.col("pos") / 2).alias("pair")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("row"))).alias("first"), F.max(F.when(F.col("pos") % 2 == 1, F.col("row"))).alias("second"))
+    if not found.groupBy("file", F.floor(F.col("pos") / 2).alias("pair")).count().where("count <> 2").isEmpty():
+        raise ValueError("an odd number of rows")
     if not pairs.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError("a pair comes twice")
     return pairs

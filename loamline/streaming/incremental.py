@@ -49,5 +49,6 @@ def events(windows: DataFrame, live: str, n: str, rate: str) -> DataFrame:
 
 def tumbling(stream: DataFrame, time: str, width: str, late: str, by: list[str]) -> DataFrame:
     """Event-time windows with a watermark; the same over a batch table."""
-    rows = stream.withWatermark(time, late) if stream.isStreaming else stream
+    rows = stream.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if stream.isStreaming else rows
     return rows.groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"))
