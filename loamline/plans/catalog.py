@@ -1,7 +1,7 @@
 """All registered queries of the library proper, each with the SQL that gives the same rows."""
 
-from . import curation, hierarchies, samples, statistics, texts
+from . import curation, hierarchies, samples, statistics, texts, training
 
-PARTS = (samples, curation, texts, hierarchies, statistics)
+PARTS = (samples, curation, texts, hierarchies, statistics, training)
 QUERIES: dict = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in PARTS for k, v in p.ORACLES.items()}
