@@ -163,3 +163,42 @@ def rationale_reason(text: Column, truncated: Column, answer: Column, gold: Colu
         F.when(truncated, "truncated").when(F.coalesce(F.trim(text), F.lit("")) == "", "empty").when(answer.isNull(), "no_final_answer").when(answer != gold, "wrong_final_answer")
         .when(F.coalesce(F.trim(body), F.lit("")) == "", "no_reasoning").when(leaks, "hint_leak")
     )
+
+
+def verdict(kind: Column, reply: Column, gold: Column, credits: Column) -> Column:
+    """(parsed, parse_ok, strict_ok, metric, dense) of a reply to an item; scores are (n, d), 0 / 1 where nothing could be read.
+
+    gold: a struct with letter, options, cwe, vector (a map), vulnerable, lines, n_lines, null where the type doesn't use them. credits: a map
+    from predicted ids to eighths for the item's gold id; what isn't in it earns 0. An unknown type is an error.
+    """
+    r = F.coalesce(reply, F.lit(""))
+    score = lambda n, d: F.struct(n.cast("int").alias("n"), F.lit(d).cast("int").alias("d") if isinstance(d, int) else d.cast("int").alias("d"))
+
+    def made(parsed, strict, metric, dense):
+        ok, zero = parsed.isNotNull(), score(F.lit(0), 1)
+        return F.struct(parsed.alias("parsed"), ok.alias("parse_ok"), F.coalesce(ok & strict, F.lit(False)).alias("strict_ok"), F.when(ok, metric).otherwise(zero).alias("metric"), F.when(ok, dense).otherwise(zero).alias("dense"))
+
+    earned = lambda i: F.coalesce(F.try_element_at(credits, i), F.lit(0))
+    letter, found, label = parse_mcq(r, gold["options"]), parse_id(r), parse_label(r)
+    parts, numbers = parse_components(r), parse_lines(r, gold["n_lines"])
+    f1 = line_f1(numbers, gold["lines"])
+    right = (label == F.when(gold["vulnerable"], "yes").otherwise("no")).cast("int")
+    shown = F.when(label == "yes", F.concat_ws(", ", F.lit("VULNERABLE: yes"), found)).when(label == "no", "VULNERABLE: no")
+    shown_lines = F.when(numbers.isNotNull(), F.concat(F.lit("LINES: "), F.when(F.size(numbers) > 0, F.array_join(numbers, ", ")).otherwise("none")))
+    hit = (letter == gold["letter"]).cast("int")
+    eight = vector_eighths(parts, gold["vector"])
+    of_lines = score(f1["n"], f1["d"])
+    return (
+        F.when(kind == "mcq", made(letter, strict_mcq(r), score(hit, 1), score(hit, 1)))
+        .when(kind == "exact_id", made(found, strict_id(r), score((found == gold["cwe"]).cast("int"), 1), score(earned(found), 8)))
+        .when(kind == "cvss", made(vector_text(parts), strict_vector(r), score(eight, 8), score(eight, 8)))
+        .when(kind == "find_error", made(shown, strict_label(r), score(right, 1), score(label_sixteenths(label, gold["vulnerable"], earned(found)), 16)))
+        .when(kind == "line_loc", made(shown_lines, strict_lines(r, gold["n_lines"]), of_lines, of_lines))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown item type "), F.coalesce(kind, F.lit("null")))).cast("struct<parsed:string,parse_ok:boolean,strict_ok:boolean,metric:struct<n:int,d:int>,dense:struct<n:int,d:int>>"))
+    )
+
+
+def both_right(rows, by: list[str], kind: str, verdict_column: str):
+    """(by, n): of units of several items whether all metrics are 1, for the table of verdicts."""
+    one = F.col(f"{verdict_column}.metric.n") == F.col(f"{verdict_column}.metric.d")
+    return rows.where(F.col(kind) == "find_error").groupBy(*by).agg(F.bool_and(one).alias("both_right"))

@@ -119,3 +119,21 @@ def test_token_arrays(spark):
     df = spark.createDataFrame([([1, 2, 9, 3], [1, 2, 4])], "a array<int>, b array<int>")
     row = df.select(T.prefix_cut(F.col("a"), F.lit(4), 9).alias("c"), T.prefix_cut(F.col("a"), F.lit(2), 9).alias("d"), T.first_difference(F.col("a"), F.col("b")).alias("x"), T.stop_normalised(F.col("a"), 9).alias("s"), T.loss_labels(F.col("b"), F.array(F.lit(0), F.lit(1), F.lit(1))).alias("l")).first()
     assert row.c == ([1, 2, 9], False) and row.d == ([1, 2], True) and row.x == 2 and row.s == [1, 2, 3, -1] and row.l == [-100, 2, 4]
+
+
+def test_verdicts(spark):
+    gold = "struct<letter:string,cwe:string,vector:map<string,string>,vulnerable:boolean,lines:array<int>,n_lines:int,options:array<struct<letter:string,cwe:string,name:string>>>"
+    g = ("B", "CWE-787", dict(zip("AV AC PR UI S C I A".split(), "NLNNUHHH", strict=True)), True, [3, 5], 9, [("B", "CWE-787", "Write")])
+    c = {"CWE-787": 8, "CWE-119": 4}
+    cases = [
+        ("mcq", "ANSWER: B", ("B", True, True, (1, 1), (1, 1))), ("mcq", "x\nCWE-787: Write", ("B", True, False, (1, 1), (1, 1))), ("mcq", None, (None, False, False, (0, 1), (0, 1))),
+        ("exact_id", "CWE-119", ("CWE-119", True, True, (0, 1), (4, 8))), ("cvss", "AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", ("AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", True, True, (8, 8), (8, 8))), ("cvss", "AV:network C:LOW", ("AV:N/AC:?/PR:?/UI:?/S:?/C:L/I:?/A:?", True, False, (1, 8), (1, 8))),
+        ("find_error", "VULNERABLE: yes, CWE-119", ("VULNERABLE: yes, CWE-119", True, True, (1, 1), (12, 16))), ("find_error", "not vulnerable", ("VULNERABLE: no", True, False, (0, 1), (0, 16))),
+        ("line_loc", "LINES: 3, 6, 9", ("LINES: 3, 6, 9", True, True, (4, 5), (4, 5))), ("line_loc", "LINES: none", ("LINES: none", True, True, (0, 2), (0, 2))), ("line_loc", "?", (None, False, False, (0, 1), (0, 1))),
+    ]
+    df = spark.createDataFrame([(i, k, r, g, c) for i, (k, r, _) in enumerate(cases)], f"i int, kind string, reply string, gold {gold}, credits map<string,int>")
+    got = df.select("i", V.verdict(F.col("kind"), F.col("reply"), F.col("gold"), F.col("credits")).alias("v")).orderBy("i").collect()
+    for r, (_, _, want) in zip(got, cases, strict=True):
+        assert (r.v.parsed, r.v.parse_ok, r.v.strict_ok, tuple(r.v.metric), tuple(r.v.dense)) == want
+    with pytest.raises(Exception, match="unknown item type"):
+        df.select(V.verdict(F.lit("odd"), F.col("reply"), F.col("gold"), F.col("credits"))).collect()
