@@ -105,3 +105,23 @@ def first_k(rows: DataFrame, by: list[str], item: str, order: str, k: int) -> Da
     """The first k distinct items of each group in order."""
     first = rows.groupBy(*by, item).agg(F.min(order).alias(order))
     return first.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(order, item))).where(F.col("nth") <= k)
+
+
+def replacements(requests: DataFrame, kind: str, pos: str, queue: DataFrame, item: str, order: str) -> DataFrame:
+    """Each request's replacement: the k-th request of a type gets the k-th distinct item of its queue, which starts again at its end. Adds the item and used, how often it has been given so far."""
+    first = queue.groupBy(kind, item).agg(F.min(order).alias("_o"))
+    line = first.select(kind, item, (F.row_number().over(Window.partitionBy(kind).orderBy("_o", item)) - 1).alias("_i"), F.count("*").over(Window.partitionBy(kind)).alias("_n"))
+    asked = requests.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(pos)) - 1)
+    size = line.select(kind, "_n").distinct()
+    asked = asked.join(size, kind).withColumns({"_i": (F.col("_k") % F.col("_n")).cast("int"), "used": F.floor(F.col("_k") / F.col("_n")) + 1})
+    return asked.join(line.drop("_n"), [kind, "_i"]).drop("_k", "_n", "_i")
+
+
+def sync_verdict(gap_current: Column, gap_start: Column, drift: Column, least_drift: float, ratio: float) -> Column:
+    """early until the weights have moved by more than least_drift; then ok if replies are nearer the current weights by the ratio, else stale."""
+    return F.when(drift <= least_drift, "early").when(gap_current < ratio * gap_start, "ok").otherwise("stale")
+
+
+def mean_absolute_gap(a: Column, b: Column) -> Column:
+    """Of two arrays of one length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import VECTOR, canonical_vector, parse_vector
 from ..operators.ledger import latest_wins
 
 NAME = r"/nvdcve-2\.0-(\d{4})\.json(\.gz)?$"
@@ -65,3 +66,36 @@ def read_taxonomy(spark: SparkSession, path: str, view: str = "1000") -> tuple[D
     nodes = rows.select(F.col("_ID").alias("id"), F.col("_Name").alias("name"), F.col("_Abstraction").alias("abstraction"), F.col("_Status").alias("status"))
     edges = rows.select(F.col("_ID").alias("child"), F.explode("Related_Weaknesses.Related_Weakness").alias("r")).where((F.col("r._Nature") == "ChildOf") & (F.col("r._View_ID") == view))
     return nodes, edges.select("child", F.col("r._CWE_ID").alias("parent")).distinct()
+
+
+# The fields that repeat a vector's components in words.
+WORDS = {"AV": "attackVector", "AC": "attackComplexity", "PR": "privilegesRequired", "UI": "userInteraction", "S": "scope", "C": "confidentialityImpact", "I": "integrityImpact", "A": "availabilityImpact"}
+
+
+def select_vector(metrics, source: str):
+    """(reason, version, vector, both_versions) of a record's metrics: a source's own v3.1 vector, else its v3.0 one.
+
+    metrics: a struct of cvssMetricV31, cvssMetricV30, cvssMetricV2 and cvssMetricV40, arrays or null; an entry has source and cvssData with
+    version, vectorString and the words. reason is ok, or why there is no vector: cna_only_v3, v2_only, v4_only, no_cvss,
+    conflicting_nvd_vectors, invalid_vector, version_mismatch or decomposed_mismatch.
+    """
+    own = {v: F.filter(F.coalesce(metrics[k], F.array()), lambda m: m["source"] == source) for v, k in (("3.1", "cvssMetricV31"), ("3.0", "cvssMetricV30"))}
+    some = lambda k: F.size(F.coalesce(metrics[k], F.array())) > 0
+    has = {v: F.size(e) > 0 for v, e in own.items()}
+    version = F.when(has["3.1"], "3.1").when(has["3.0"], "3.0")
+    entries = F.when(has["3.1"], own["3.1"]).otherwise(own["3.0"])
+    data = F.try_element_at(entries, F.lit(1))["cvssData"]
+    parts = parse_vector(data["vectorString"], VECTOR)
+    declared = F.regexp_extract(F.upper(F.trim(data["vectorString"])), r"\ACVSS:(3\.[01])/", 1)
+    differs = F.lit(False)
+    for k, field in WORDS.items():
+        differs = differs | F.coalesce(F.upper(F.substring(data[field], 1, 1)) != F.try_element_at(parts, F.lit(k)), F.lit(False))
+    reason = (
+        F.when(version.isNull() & (some("cvssMetricV31") | some("cvssMetricV30")), "cna_only_v3").when(version.isNull() & some("cvssMetricV2"), "v2_only")
+        .when(version.isNull() & some("cvssMetricV40"), "v4_only").when(version.isNull(), "no_cvss")
+        .when(F.size(F.array_distinct(F.transform(entries, lambda m: m["cvssData"]["vectorString"]))) > 1, "conflicting_nvd_vectors")
+        .when(parts.isNull(), "invalid_vector").when((declared != version) | (F.coalesce(data["version"], version) != version), "version_mismatch")
+        .when(differs, "decomposed_mismatch").otherwise("ok")
+    )
+    keep = lambda c: F.when(reason == "ok", c)
+    return F.struct(reason.alias("reason"), keep(version).alias("version"), keep(canonical_vector(parts, tuple(VECTOR))).alias("vector"), keep(has["3.1"] & has["3.0"]).alias("both_versions"))

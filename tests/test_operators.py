@@ -210,3 +210,14 @@ def test_checks(spark):
     with pytest.raises(AssertionError):
         C.require(bad)
     C.require(bad.where("false"))
+
+
+def test_replacements_wrap(spark):
+    from loamline.operators import training as R2
+
+    queue = spark.createDataFrame([("t", "x", 1), ("t", "y", 2), ("t", "x", 3), ("u", "z", 1)], "kind string, item string, o int")
+    asked = spark.createDataFrame([("t", i) for i in range(5)] + [("u", 9)], "kind string, pos int")
+    assert rows(R2.replacements(asked, "kind", "pos", queue, "item", "o"), "kind", "pos", "item", "used") == [("t", 0, "x", 1), ("t", 1, "y", 1), ("t", 2, "x", 2), ("t", 3, "y", 2), ("t", 4, "x", 3), ("u", 9, "z", 1)]
+    df = spark.createDataFrame([([1.0, 2.0], [1.5, 2.0], 0.001), ([1.0, 2.0], [1.5, 2.0], 1.0)], "a array<double>, b array<double>, d double")
+    got = df.select(R2.sync_verdict(F.lit(0.1), R2.mean_absolute_gap(F.col("a"), F.col("b")), F.col("d"), 0.01, 0.5)).collect()
+    assert [r[0] for r in got] == ["early", "ok"]

@@ -93,3 +93,19 @@ def test_windows_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     R.tumbling(stream, "ts", "1 hour", "1 day", ["event_type"]).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, R.tumbling(rows, "ts", "1 hour", "1 day", ["event_type"]).collect()))
+
+
+def test_vector_selection(spark):
+    v = "AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"
+    words = ", ".join(f"{w}:string" for w in feeds.WORDS.values())
+    entry = f"array<struct<source:string,cvssData:struct<version:string,vectorString:string,{words}>>>"
+    e = lambda s="nvd", t=f"CVSS:3.1/{v}", ver="3.1", av=None: (s, (ver, t, av, *[None] * 7))
+    rows = [
+        (([e()], [e(t=f"CVSS:3.0/{v}", ver="3.0")], None, None), ("ok", "3.1", v, True)), (([e(s="cna")], [e(t=f"CVSS:3.0/{v}", ver="3.0")], None, None), ("ok", "3.0", v, False)),
+        (([e(s="cna")], None, None, None), ("cna_only_v3",)), ((None, [], [e()], [e()]), ("v2_only",)), ((None, None, None, [e()]), ("v4_only",)), ((None, None, None, None), ("no_cvss",)),
+        (([e(), e(t=f"CVSS:3.1/{v[:-1]}L")], None, None, None), ("conflicting_nvd_vectors",)), (([e(t="CVSS:3.1/AV:N")], None, None, None), ("invalid_vector",)),
+        (([e(t=f"CVSS:3.0/{v}")], None, None, None), ("version_mismatch",)), (([e(ver="3.0")], None, None, None), ("version_mismatch",)), (([e(av="LOCAL")], None, None, None), ("decomposed_mismatch",)),
+    ]
+    df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(rows)], f"i int, m struct<cvssMetricV31:{entry},cvssMetricV30:{entry},cvssMetricV2:{entry},cvssMetricV40:{entry}>")
+    got = [tuple(r.s) for r in df.select("i", feeds.select_vector(F.col("m"), "nvd").alias("s")).orderBy("i").collect()]
+    assert got == [w if len(w) > 1 else (w[0], None, None, None) for _, w in rows]
