@@ -8,7 +8,7 @@ lesser number hidden, so two nodes can hold no link if even that is too few for
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -19,10 +19,12 @@ from .words import SPACED, mixed, shingle_set, words
 #: 0.15 n + 1 smallest would always hold one that does, and of 24 none does with a chance of 0.15 ** 24, 2e-20: less than that two
 #: 64-bit hashes of shingles agree by chance. Sets of up to 153 shingles are certain to meet.
 KEYS = 24
-#: Documents of one block of a list; a longer list is joined block by block.
-BLOCK = 2048
+#: Documents of one block of a list, and bytes of its bitmaps; a longer list is joined block by block.
+BLOCK, BLOCK_BYTES = 8192, 1 << 25
 #: Documents of a leaf, children of a node, documents that the others of a block are first compared with.
 LEAF, FAN, PIVOTS = 16, 8, 32
+#: Lists in which a class's pairs are told before the last round; in the last, all are.
+FIRST = 2
 
 
 def size_class(n: int) -> int:
@@ -131,65 +133,122 @@ def dual(x: Tree, y: Tree, same: bool, share: int):
         stack.append((i, j, p, q))
 
 
-def candidates(mode: str, share: int):
-    """Of one list's blocks i and j, pairs to verify between components. `pivots`: each block's documents with the first that may link to
-    them; `best`: each document with its likeliest partner; `all`: every pair that may link."""
-
-    def run(group):
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        c, i, j = (group.column(k)[0].as_py() for k in ("c", "i", "j"))
-        width = 1 << (c + 3)
-        g, n, comp, block, guest = (group.column(k).to_numpy() for k in ("g", "n", "comp", "block", "guest"))
-        rows = np.zeros((len(g), width // 8), np.uint8)
-        for r, b in enumerate(group.column("bits").to_pylist()):
-            x = np.frombuffer(b, np.uint8)
-            rows[r] = x if len(x) == width // 8 else x[: width // 8] | x[width // 8 :]
-        order = np.lexsort((g, n, comp, block))
-        g, n, comp, block, guest = g[order], n[order], comp[order], block[order], guest[order]
-        bits = rows[order].view(np.uint64)
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        if not len(a) or not len(b):
-            return none
-        pairs = []
-        if mode == "pivots":
-            comp = comp.copy()
-            level = (bits, n, n, n - np.bitwise_count(bits).sum(1, dtype=np.int64), comp, comp)
-            first = 0
-            for _ in range(PIVOTS):
-                while first < len(a) and (comp == comp[a[first]]).sum() > 1:
-                    first += 1
-                if first == len(a):
-                    break
-                p = a[first]
+def groups(batches, keys: tuple[str, ...]):
+    """Tables of the rows of one group each, from batches in which a group's rows stand together."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        ids = [t.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows], strict=True):
+            part = t.slice(i, j - i)
+            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in keys):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held)
+
+
+def folded(raw: bytes, width: int) -> bytes | np.ndarray:
+    """A bitmap of the class's width; the next class's is folded to it."""
+    x = np.frombuffer(raw, np.uint8)
+    return x if len(x) == width // 8 else x[: width // 8] | x[width // 8 :]
+
+
+def few(t: dict, share: int):
+    """All pairs of a small group that may link, by Python's whole numbers: (p, q, most shared)."""
+    width = 1 << (t["c"] + 3)
+    bits = [int.from_bytes(folded(b, width).tobytes(), "little") for b in t["bits"]]
+    n, comp, block, guest = t["n"].tolist(), t["comp"].tolist(), t["block"].tolist(), t["guest"].tolist()
+    hidden = [m - b.bit_count() for m, b in zip(n, bits, strict=True)]
+    out = []
+    for p in range(len(n)):
+        for q in range(p + 1, len(n)):
+            if comp[p] == comp[q] or guest[p] and guest[q] or t["i"] != t["j"] and block[p] == block[q] or 100 * min(n[p], n[q]) < share * max(n[p], n[q]):
+                continue
+            most = min((bits[p] & bits[q]).bit_count() + min(hidden[p], hidden[q]), n[p], n[q])
+            if (100 + share) * most >= share * (n[p] + n[q]):
+                out.append((p, q, most))
+    x = np.array(out, np.int64).reshape(-1, 3)
+    return x[:, 0], x[:, 1], x[:, 2]
+
+
+def many(t: dict, share: int, pivots: bool):
+    """The same for any group by trees, in parts. With pivots, documents that may link to one are first joined to it for the time being,
+    those pairs are given, and then only pairs between what isn't joined."""
+    n, comp, block, guest = t["n"], t["comp"].copy(), t["block"], t["guest"]
+    width = 1 << (t["c"] + 3)
+    bits = np.stack([folded(b, width) for b in t["bits"]]).view(np.uint64)
+    a, b = np.flatnonzero(block == t["i"]), np.flatnonzero(block == t["j"])
+    if not len(a) or not len(b):
+        return
+    if pivots:
+        level = (bits, n, n, n - np.bitwise_count(bits).sum(1, dtype=np.int64), comp, comp)
+        order, first = a[np.lexsort((t["g"][a], n[a]))], 0
+        for _ in range(PIVOTS):
+            while first < len(order) and (comp == comp[order[first]]).sum() > 1:
                 first += 1
-                q = b[comp[b] != comp[p]]
-                ok, _ = possible(level, level, np.full(len(q), p), q, share)
-                q = q[ok & ~(guest[q] & guest[p])]
-                pairs.append(np.stack([np.full(len(q), p), q]))
-                comp[np.isin(comp, comp[q])] = comp[p]
-        parts = []
-        sort = lambda rows: rows[np.lexsort((n[rows], comp[rows]))]
-        x = sort(a)
-        y = x if i == j else sort(b)
-        tree = Tree(bits[x], n[x], comp[x])
-        other = tree if i == j else Tree(bits[y], n[y], comp[y])
-        for p, q, most in dual(tree, other, i == j, share):
-            p, q = x[p], y[q]
-            ok = (comp[p] != comp[q]) & ~(guest[p] & guest[q])
-            p, q, most = p[ok], q[ok], most[ok]
-            if mode == "all":
-                parts.append(np.stack([p, q]))
+            if first == len(order):
+                break
+            p = order[first]
+            first += 1
+            q = b[comp[b] != comp[p]]
+            ok, most = possible(level, level, np.full(len(q), p), q, share)
+            ok &= ~(guest[q] & guest[p])
+            yield np.full(int(ok.sum()), p), q[ok], most[ok]
+            comp[np.isin(comp, comp[q[ok]])] = comp[p]
+    sort = lambda rows: rows[np.lexsort((n[rows], comp[rows]))]
+    x = sort(a)
+    y = x if t["i"] == t["j"] else sort(b)
+    tree = Tree(bits[x], n[x], comp[x])
+    other = tree if t["i"] == t["j"] else Tree(bits[y], n[y], comp[y])
+    for p, q, most in dual(tree, other, t["i"] == t["j"], share):
+        p, q = x[p], y[q]
+        ok = (comp[p] != comp[q]) & ~(guest[p] & guest[q])
+        yield p[ok], q[ok], most[ok]
+
+
+def leaders(p, q, most, n, by, g) -> np.ndarray:
+    """Of each value of `by` on either side, its likeliest pair."""
+    near = most / np.maximum(1, n[p] + n[q] - most)
+    p, q, near = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([near, near])
+    o = np.lexsort((g[q], g[p], -near, by[p]))
+    lead = np.ones(len(o), bool)
+    lead[1:] = by[p][o][1:] != by[p][o][:-1]
+    return np.stack([p[o][lead], q[o][lead]])
+
+
+def candidates(mode: str, share: int):
+    """Rows (key, c, a, b): pairs to verify between components, and one row without a pair for each list that has any.
+
+    `pivots`: each document with a pivot or its likeliest partner; `best`: each component's likeliest pair; both only where the list is
+    one of the first of one of the two. `all`: every pair that may link.
+    """
+
+    def run(batches):
+        for group in groups(batches, ("key", "c", "i", "j")):
+            t = {k: group.column(k)[0].as_py() for k in ("key", "c", "i", "j")} | {k: group.column(k).to_numpy() for k in ("g", "n", "comp", "block", "guest", "nth")}
+            t["bits"] = group.column("bits").to_pylist()
+            small = len(t["g"]) <= 12
+            found, any_ = [], False
+            for p, q, most in [few(t, share)] if small else many(t, share, mode == "pivots"):
+                any_ |= len(p) > 0
+                if mode != "all":
+                    early = (t["nth"][p] <= FIRST) | (t["nth"][q] <= FIRST)
+                    p, q, most = p[early], q[early], most[early]
+                    found.append(leaders(p, q, most, t["n"], t["comp"] if mode == "best" else np.arange(len(t["g"])), t["g"]))
+                else:
+                    found.append(np.stack([p, q]))
+            if not any_:
                 continue
-            # each document's likeliest partner so far
-            near = most / np.maximum(1, n[p] + n[q] - most)
-            both, to, score = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([near, near])
-            o = np.lexsort((g[to], -score, both))
-            lead = np.ones(len(o), bool)
-            lead[1:] = both[o][1:] != both[o][:-1]
-            parts.append(np.stack([both[o][lead], to[o][lead]]))
-        found = np.concatenate([*pairs, *parts], 1) if pairs or parts else np.zeros((2, 0), np.int64)
-        lo, hi = np.minimum(g[found[0]], g[found[1]]), np.maximum(g[found[0]], g[found[1]])
-        return pa.table({"a": pa.array(lo), "b": pa.array(hi)})
+            p, q = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
+            g = t["g"]
+            a, b = np.append(np.minimum(g[p], g[q]), 0), np.append(np.maximum(g[p], g[q]), 0)
+            none = np.arange(len(a)) == len(a) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t["key"])), pa.array(np.full(len(a), t["c"], np.int32)), pa.array(a, mask=none), pa.array(b, mask=none)], names=["key", "c", "a", "b"])
 
     return run
 
@@ -210,7 +269,7 @@ def verify(share: int):
 
 
 def lists_of(classes: DataFrame, share: int) -> DataFrame:
-    """classes (g, n, keys, bits). A row for each class in each list of classes with a common key: (key, c, rows, g, n, bits, guest).
+    """classes (g, n, keys, bits). A row for each class in each list of classes with a common key: (key, c, rows, g, guest, nth).
 
     Keys of one class alone go; of keys with the same classes one stays. Within a key, classes are told by size: bitmaps of a class c have one
     width, and sets that may link to smaller ones of the class below also go there, as guests, who aren't compared with one another.
@@ -218,13 +277,13 @@ def lists_of(classes: DataFrame, share: int) -> DataFrame:
     keys = classes.select("g", "n", F.explode("keys").alias("key"))
     sums = keys.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")).where("rows > 1")
     one = sums.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key")
-    kept = keys.join(one, "key")
+    kept = keys.join(one, "key").withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy("key")))
     c = F.greatest(F.lit(3), F.ceil(F.log2("n") - 1e-12)).cast("int")
     low = F.ceil(F.col("n") * share / 100.0 - 1e-9) <= F.pow(F.lit(2), F.col("c") - 1)
     kept = kept.withColumn("c", c).withColumn("to", F.explode(F.when((F.col("c") > 3) & low, F.array(F.struct(F.col("c").alias("c"), F.lit(False).alias("guest")), F.struct((F.col("c") - 1).alias("c"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("c").alias("c"), F.lit(False).alias("guest"))))))
-    kept = written(kept.select("key", "g", "to.c", "to.guest"), "lists")
+    kept = written(kept.select("key", "g", "nth", "to.c", "to.guest"), "lists-of-keys")
     sizes = kept.groupBy("key", "c").agg(F.count("*").alias("rows")).where("rows > 1")
-    return kept.join(sizes, ["key", "c"]).select("key", "c", "rows", "g", "guest")
+    return kept.join(sizes, ["key", "c"]).select("key", "c", "rows", "g", "guest", "nth")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
@@ -236,7 +295,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
 
     Equal sets are one class. Classes meet in the lists of their smallest hashes. Of each list, pairs to verify are found by trees: first
     with pivots, so that a group of near copies is joined by about as many pairs as it has members; then, while that joins anything, each
-    class with its likeliest partner of another component; at last every pair between components that the bounds allow. Pairs are
+    component with its likeliest pair to another; at last every pair between components that the bounds allow. Pairs are
     verified on the full sets, once each. Lists within one component are dropped before their rows are moved.
     """
     spark = docs.sparkSession
@@ -257,20 +316,26 @@ def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
         if comp is not None:
             mixed_ = here.groupBy("key", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
             here = here.join(mixed_, ["key", "c"], "left_semi")
-        many = F.ceil(F.col("rows") / BLOCK).cast("int")
-        here = here.withColumn("block", F.pmod(F.xxhash64("g", F.lit(2)), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-        here = here.join(bits, "g").select("key", "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "g", "n", "comp", "guest", "bits")
-        pairs = here.groupBy("key", "c", "i", "j").applyInArrow(candidates(mode, share), "a long, b long").distinct()
+        blocks = F.ceil(F.col("rows") / F.least(F.lit(BLOCK), F.lit(BLOCK_BYTES) / F.pow(F.lit(2), "c"))).cast("int")
+        here = here.withColumn("block", F.pmod(F.xxhash64("g", F.lit(2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        here = here.join(bits, "g").select("key", "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "g", "n", "comp", "guest", "nth", "bits")
+        here = here.repartition("key", "c", "i", "j").sortWithinPartitions("key", "c", "i", "j")
+        told = written(here.mapInArrow(candidates(mode, share), "key long, c int, a long, b long"), "told")
+        if mode == "pivots":  # lists without a possible pair never have one
+            lists = written(lists.join(told.select("key", "c").distinct(), ["key", "c"], "left_semi"), "live-lists")
+        pairs = told.where("a IS NOT NULL").select("a", "b").distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         n_pairs = pairs.count()
         if n_pairs:
-            if sets is None:
-                # all that any later pair needs: a document that may link has a pair with a pivot or a partner now
-                need = written(pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct().join(ids.select("g", "rep"), "g"), "needed")
-                found = docs.select("doc_id", "text").join(need.select(F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
+            need = pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct()
+            need = need if sets is None else need.join(sets, "g", "left_anti")
+            need = written(need.join(ids.select("g", "rep"), "g"), "needed")
+            found = docs.select("doc_id", "text").join(need.select(F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
+            if not need.where("rep IS NULL").isEmpty():
                 found = found.union(docs.select("doc_id", "text").where("doc_id IS NULL"))
-                found = found.mapInArrow(sets_of(k, True), f"doc_id {kind}, n long, g long, shingles binary").join(need.select("g"), "g", "left_semi")
-                sets = written(found.groupBy("g").agg(F.any_value("shingles").alias("shingles")), "shingles")
+            found = found.mapInArrow(sets_of(k, True), f"doc_id {kind}, n long, g long, shingles binary").join(need.select("g"), "g", "left_semi")
+            more = written(found.groupBy("g").agg(F.any_value("shingles").alias("shingles")), "shingles")
+            sets = more if sets is None else sets.union(more)
             both = pairs.join(sets.select(F.col("g").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("g").alias("b"), F.col("shingles").alias("y")), "b")
             judged = written(both.select("a", "b", "x", "y").mapInArrow(verify(share), "a long, b long, linked boolean"), "judged")
             tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
