@@ -50,9 +50,8 @@ def parse_components(reply: Column) -> Column:
     known = {f"{k}:{v}": v for k, vs in VECTOR.items() for v in vs} | VECTOR_WORDS
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     read = F.filter(F.zip_with(names, values, lambda k, v: F.struct(k.alias("k"), F.try_element_at(table, F.concat(k, F.lit(":"), v)).alias("v"))), lambda p: p["v"].isNotNull())
-    each = F.transform(F.array(*[F.lit(k) for k in VECTOR]), lambda k: F.struct(k.alias("k"), last(F.filter(read, lambda p: p["k"] == k))["v"].alias("v")))
-    found = F.filter(each, lambda p: p["v"].isNotNull())
-    return F.when(F.size(found) > 0, F.map_from_entries(found))
+    put = lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"]))
+    return F.aggregate(read, F.create_map().cast("map<string,string>"), put, lambda m: F.when(F.size(m) > 0, m))
 
 
 def vector_text(parts: Column) -> Column:

@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import kept
 
 
 def shingle_rows(rows: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     """(key, shingle hash, size) for each distinct run of n line keys."""
-    s = T.shingles(T.line_keys(F.col(text)), n)
-    return rows.where(F.col(text).isNotNull()).select(key, F.posexplode(F.transform(s, lambda x: F.xxhash64(x)))).select(key, F.col("col").alias("shingle")).distinct()
+    keys = rows.where(F.col(text).isNotNull()).select(key, T.line_keys(F.col(text)).alias("_keys"))  # a column of its own: computed once
+    return keys.select(key, T.shingles(F.col("_keys"), n).alias("_s")).select(key, F.explode("_s").alias("_s")).select(key, F.xxhash64("_s").alias("shingle")).distinct()
 
 
 def near_duplicate_links(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3) -> DataFrame:
@@ -20,7 +21,7 @@ def near_duplicate_links(rows: DataFrame, key: str, text: str, num: int = 4, den
     """
     body = rows.where(F.col(text).isNotNull()).select(key, T.body_hash(F.col(text)).alias("h"), text)
     reps = body.groupBy("h").agg(F.min(F.struct(key, text)).alias("r")).select("h", F.col(f"r.{key}").alias("rep"), F.col(f"r.{text}").alias("t"))
-    sh = shingle_rows(reps, "rep", "t", n)
+    sh = kept(shingle_rows(reps, "rep", "t", n))
     sizes = sh.groupBy("rep").agg(F.count("*").alias("size"))
     rarity = sh.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     ranked = sh.join(sizes, "rep").join(rarity, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))

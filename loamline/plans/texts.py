@@ -142,9 +142,9 @@ def q_parse_vector(spark, d):
     """Components read from synthetic replies in letters and words, and those that agree with a fixed vector."""
     av, pr = F.substring(F.lit("NALP"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1)), F.substring(F.lit("NLH"), (F.col("doc_id") % 3 + 1).cast("int"), F.lit(1))
     reply = F.concat(F.lit("AV:P then av: "), av, F.lit(", AC:Low, PR : "), pr, F.lit("; UI:Required S:Single C:HIGH"))
-    parts = V.parse_components(reply)
-    gold = T.parse_vector(F.lit("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"), T.VECTOR)
-    return replies(spark, d).select("doc_id", V.vector_text(parts).alias("parsed"), V.vector_eighths(parts, gold).alias("eighths"))
+    gold = F.create_map(*[F.lit(x) for kv in zip(T.VECTOR, "NLNNUHHH", strict=True) for x in kv])
+    read = replies(spark, d).select("doc_id", V.parse_components(reply).alias("parts"))
+    return read.select("doc_id", V.vector_text(F.col("parts")).alias("parsed"), V.vector_eighths(F.col("parts"), gold).alias("eighths"))
 
 
 @query(None)
