@@ -1,6 +1,5 @@
 """Benchmark decontamination by a prefix-filtered set join on item-sized windows."""
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np

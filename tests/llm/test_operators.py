@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loamline.llm import decontamination, embeddings, language, mixing, pii, quality, sharding, signatures, urlfilter, warc
 from loamline.llm.components import components
-from loamline.llm.words import ALNUM, SPACED, shingle_set, words
+from loamline.llm.words import ALNUM, SPACED, words
 
 
 def text_of(rng, n, vocabulary=400):
