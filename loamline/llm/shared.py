@@ -2,8 +2,8 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +33,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loamline/{name}-{uuid.uuid4().hex}"
 
 
+#: Where written() notes its tables, for who will delete them; None: nobody does.
+_noted: list[DataFrame] | None = None
+
+
+@contextmanager
+def noting(tables: list[DataFrame]):
+    """Notes the tables that written() makes meanwhile."""
+    global _noted
+    before, _noted = _noted, tables
+    try:
+        yield
+    finally:
+        _noted = before
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors."""
     spark = df.sparkSession
@@ -40,6 +55,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.loamline_path = path
+    if _noted is not None:
+        _noted.append(out)
     return out
 
 
@@ -58,6 +75,3 @@ def fraction(*columns: str, seed: int) -> "F.Column":
     """A number in [0, 1) from the columns' values: the same in each run."""
     return (F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
 
-
-def column(values, kind) -> pa.Array:
-    return pa.array(values, type=kind)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_batches, written
+from .shared import dropped, small_batches, written
 from .words import SPACED, mixed, shingle_set, words
 
 #: A set's smallest hashes by which it meets others. Two sets of similarity s >= 0.85 meet if one of these agrees; all of the
@@ -300,13 +300,19 @@ def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
+    way: list[DataFrame] = []
+
+    def keep(df, name):
+        way.append(written(df, name))
+        return way[-1]
+
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}["doc_id"]
-    rows = written(docs.select("doc_id", "text").mapInArrow(sets_of(k, False), f"doc_id {kind}, n long, g long, keys array<long>, bits binary"), "sets")
+    rows = keep(docs.select("doc_id", "text").mapInArrow(sets_of(k, False), f"doc_id {kind}, n long, g long, keys array<long>, bits binary"), "sets")
     full = rows.where("g IS NOT NULL")
-    ids = written(full.groupBy("g", "n").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
-    lists = written(lists_of(ids, share), "lists")
+    ids = keep(full.groupBy("g", "n").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
+    lists = keep(lists_of(ids, share), "lists")
     met = lists.select("g").distinct()
-    bits = written(full.join(met, "g", "left_semi").groupBy("g", "n").agg(F.any_value("bits").alias("bits")), "bits")
+    bits = keep(full.join(met, "g", "left_semi").groupBy("g", "n").agg(F.any_value("bits").alias("bits")), "bits")
 
     links = tried = sets = comp = None
     mode, before = "pivots", None
@@ -320,33 +326,36 @@ def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
         here = here.withColumn("block", F.pmod(F.xxhash64("g", F.lit(2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         here = here.join(bits, "g").select("key", "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "g", "n", "comp", "guest", "nth", "bits")
         here = here.repartition("key", "c", "i", "j").sortWithinPartitions("key", "c", "i", "j")
-        told = written(here.mapInArrow(candidates(mode, share), "key long, c int, a long, b long"), "told")
+        told = keep(here.mapInArrow(candidates(mode, share), "key long, c int, a long, b long"), "told")
         if mode == "pivots":  # lists without a possible pair never have one
-            lists = written(lists.join(told.select("key", "c").distinct(), ["key", "c"], "left_semi"), "live-lists")
+            lists = keep(lists.join(told.select("key", "c").distinct(), ["key", "c"], "left_semi"), "live-lists")
         pairs = told.where("a IS NOT NULL").select("a", "b").distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         n_pairs = pairs.count()
         if n_pairs:
             need = pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct()
             need = need if sets is None else need.join(sets, "g", "left_anti")
-            need = written(need.join(ids.select("g", "rep"), "g"), "needed")
+            need = keep(need.join(ids.select("g", "rep"), "g"), "needed")
             found = docs.select("doc_id", "text").join(need.select(F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
             if not need.where("rep IS NULL").isEmpty():
                 found = found.union(docs.select("doc_id", "text").where("doc_id IS NULL"))
             found = found.mapInArrow(sets_of(k, True), f"doc_id {kind}, n long, g long, shingles binary").join(need.select("g"), "g", "left_semi")
-            more = written(found.groupBy("g").agg(F.any_value("shingles").alias("shingles")), "shingles")
+            more = keep(found.groupBy("g").agg(F.any_value("shingles").alias("shingles")), "shingles")
             sets = more if sets is None else sets.union(more)
             both = pairs.join(sets.select(F.col("g").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("g").alias("b"), F.col("shingles").alias("y")), "b")
-            judged = written(both.select("a", "b", "x", "y").mapInArrow(verify(share), "a long, b long, linked boolean"), "judged")
+            judged = keep(both.select("a", "b", "x", "y").mapInArrow(verify(share), "a long, b long, linked boolean"), "judged")
             tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
             new = judged.where("linked").select("a", "b")
             links = new if links is None else links.union(new)
         joined = n_pairs and new.count()
         if joined:
-            comp = written(components(links), "components")
+            comp = keep(components(links), "components")
         if mode == "all":
             break
         mode = "all" if (mode == "best" and not joined) or not n_pairs else "best"
+    for t in way:
+        if t is not comp and t is not ids and t is not rows:
+            dropped(t)
     out = ids.select("g", "rep")
     if comp is not None:
         out = out.join(comp, out.g == comp.id, "left").drop("id").withColumn("component", F.coalesce("component", "g"))
