@@ -30,7 +30,7 @@ def duck():
 
 def plain(v):
     """A value as both engines show it."""
-    if v is None or v != v or str(v) == "<NA>":
+    if v is None or str(v) == "<NA>" or v != v:
         return "~"
     if isinstance(v, float):
         return f"{v:.6g}"
