@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -61,31 +61,29 @@ def fit_splits(group):
 
 def descend(batches):
     """Rows with their node's splits go down to the leaves below, to both sides where they spill."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        trees, paths, splits = t.column("tree").to_pylist(), t.column("path").to_pylist(), t.column("splits").to_pylist()
-        groups: dict = {}
-        for i, key in enumerate(zip(trees, paths, t.column("label").to_pylist(), strict=True)):
-            groups.setdefault(key, []).append(i)
+        t = pa.Table.from_batches([batch]).combine_chunks()
+        keys = pa.table({"t": t.column("tree"), "p": t.column("path"), "l": t.column("label"), "w": pc.list_value_length(t.column("v"))})
+        node = pc.dictionary_encode(pc.binary_join_element_wise(*[c.cast(pa.string()) for c in keys.columns], "\0")).combine_chunks().indices.to_numpy()
+        order = np.argsort(node, kind="stable")
         rows, names = [], []
-        for (tree, path, _), mine in groups.items():
-            for i0 in [mine]:
-                take = np.array(i0)
-                sizes = np.array([len(v) for v in t.column("v").take(pa.array(take)).to_pylist()])
-                for size in np.unique(sizes):
-                    own = take[sizes == size]
-                    x = unit(t.column("v").take(pa.array(own)).combine_chunks())
-                    bounds = {s["below"]: s for s in splits[own[0]] or ()}
-                    level = [("", np.arange(len(own)))]
-                    while level:
-                        below, at = level.pop()
-                        if below not in bounds or not len(at):
-                            rows += own[at].tolist()
-                            names += [path + below] * len(at)
-                            continue
-                        p = x[at] @ directions(tree, path + below, x.shape[1])
-                        level += [(below + "0", at[p <= bounds[below]["high"]]), (below + "1", at[p >= bounds[below]["low"]])]
-        out = t.take(pa.array(rows, pa.int64())).drop_columns(["path", "splits"]).append_column("path", pa.array(names, pa.string()))
+        for own in np.split(order, np.flatnonzero(np.diff(node[order])) + 1) if len(order) else []:
+            tree, path, splits = (t.column(c)[int(own[0])].as_py() for c in ("tree", "path", "splits"))
+            x = unit(t.column("v").take(pa.array(own)).combine_chunks())
+            bounds = {s["below"]: s for s in splits or ()}
+            level = [("", np.arange(len(own)))]
+            while level:
+                below, at = level.pop()
+                if below not in bounds or not len(at):
+                    rows.append(own[at])
+                    names += [path + below] * len(at)
+                    continue
+                p = x[at] @ directions(tree, path + below, x.shape[1])
+                level += [(below + "0", at[p <= bounds[below]["high"]]), (below + "1", at[p >= bounds[below]["low"]])]
+        took = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+        out = t.take(took).drop_columns(["path", "splits"]).append_column("path", pa.array(names, pa.string()))
         yield from out.select(["rep", "label", "v", "n", "tree", "path"]).to_batches()
 
 
