@@ -5,6 +5,7 @@ most shingles that a bitmap of theirs hides (size less set bits). Two documents
 lesser number hidden, so two nodes can hold no link if even that is too few for their least sizes.
 """
 
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +16,24 @@ from .components import components
 from .shared import dropped, small_batches, written
 from .words import SPACED, mixed, shingle_set, words
 
-#: A set's smallest hashes by which it meets others. Two sets of similarity s >= 0.85 meet if one of these agrees; all of the
-#: 0.15 n + 1 smallest would always hold one that does, and of 24 none does with a chance of 0.15 ** 24, 2e-20: less than that two
-#: 64-bit hashes of shingles agree by chance. Sets of up to 153 shingles are certain to meet.
-KEYS = 24
 #: Documents of one block of a list, and bytes of its bitmaps; a longer list is joined block by block.
 BLOCK, BLOCK_BYTES = 8192, 1 << 25
 #: Documents of a leaf, children of a node, documents that the others of a block are first compared with.
 LEAF, FAN, PIVOTS = 16, 8, 32
 #: Lists in which a class's pairs are told before the last round; in the last, all are.
 FIRST = 2
+#: Pairs of nodes or documents that a dual traversal holds at once, and words of their bitmaps.
+PAIRS, PAIR_WORDS = 1 << 20, 1 << 20
+
+
+def n_keys(share: int) -> int:
+    """How many of a set's smallest hashes it meets others by: 24 for a share of 85, 28 for 80.
+
+    Two sets of similarity s >= share / 100 meet if one of these agrees. With miss = 1 - share / 100, all of the miss * n + 1 smallest would
+    always hold one that does, and of these none does with a chance of miss ** keys: less than that two 64-bit hashes of shingles agree by
+    chance. Sets of up to 153 shingles (85) or 135 (80) are certain to meet.
+    """
+    return math.ceil(64 * math.log(2) / -math.log(1 - share / 100))
 
 
 def size_class(n: int) -> int:
@@ -51,8 +60,8 @@ def text_sets(texts: pa.Array, k: int):
             yield shingle_set(w.hashes[w.at[d] : w.at[d + 1]], k)
 
 
-def sets_of(k: int, keep_sets: bool):
-    kind = pa.list_(pa.int64())
+def sets_of(k: int, share: int, keep_sets: bool):
+    kind, keys = pa.list_(pa.int64()), n_keys(share)
 
     def run(batches):
         for batch in batches:
@@ -64,7 +73,7 @@ def sets_of(k: int, keep_sets: bool):
                 out.append(pa.array([s.astype("<u8").tobytes() if f else None for s, f in zip(sets, full, strict=True)], pa.binary()))
                 names.append("shingles")
             else:
-                out += [pa.array([s[:KEYS].astype(np.int64) if f else None for s, f in zip(sets, full, strict=True)], kind), pa.array([bitmap(s) if f else None for s, f in zip(sets, full, strict=True)], pa.binary())]
+                out += [pa.array([s[:keys].astype(np.int64) if f else None for s, f in zip(sets, full, strict=True)], kind), pa.array([bitmap(s) if f else None for s, f in zip(sets, full, strict=True)], pa.binary())]
                 names += ["keys", "bits"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
@@ -94,7 +103,7 @@ def possible(a, b, p: np.ndarray, q: np.ndarray, share: int) -> tuple[np.ndarray
     ok &= (100 * a[2][p] >= share * b[1][q]) & (100 * b[2][q] >= share * a[1][p])
     most = np.zeros(len(p), np.int64)
     live = np.flatnonzero(ok)
-    step = max(1, (1 << 22) // max(1, a[0].shape[1]))
+    step = max(1, PAIR_WORDS // max(1, a[0].shape[1]))
     for i in range(0, len(live), step):
         s = live[i : i + step]
         most[s] = np.bitwise_count(a[0][p[s]] & b[0][q[s]]).sum(1, dtype=np.int64)
@@ -108,8 +117,9 @@ def dual(x: Tree, y: Tree, same: bool, share: int):
     stack = [(len(x.levels) - 1, len(y.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         i, j, p, q = stack.pop()
-        if len(p) > 200_000:
-            stack += [(i, j, p[s : s + 200_000], q[s : s + 200_000]) for s in range(0, len(p), 200_000)]
+        step = PAIRS // ((LEAF if i == 1 else FAN if i else 1) * (LEAF if j == 1 else FAN if j else 1))
+        if len(p) > step:
+            stack += [(i, j, p[s : s + step], q[s : s + step]) for s in range(0, len(p), step)]
             continue
         ok, most = possible(x.levels[i], y.levels[j], p, q, share)
         p, q, most = p[ok], q[ok], most[ok]
@@ -307,7 +317,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
         return way[-1]
 
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}["doc_id"]
-    rows = keep(docs.select("doc_id", "text").mapInArrow(sets_of(k, False), f"doc_id {kind}, n long, g long, keys array<long>, bits binary"), "sets")
+    rows = keep(docs.select("doc_id", "text").mapInArrow(sets_of(k, share, False), f"doc_id {kind}, n long, g long, keys array<long>, bits binary"), "sets")
     full = rows.where("g IS NOT NULL")
     ids = keep(full.groupBy("g", "n").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
     lists = keep(lists_of(ids, share), "lists")
@@ -339,7 +349,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
             found = docs.select("doc_id", "text").join(need.select(F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
             if not need.where("rep IS NULL").isEmpty():
                 found = found.union(docs.select("doc_id", "text").where("doc_id IS NULL"))
-            found = found.mapInArrow(sets_of(k, True), f"doc_id {kind}, n long, g long, shingles binary").join(need.select("g"), "g", "left_semi")
+            found = found.mapInArrow(sets_of(k, share, True), f"doc_id {kind}, n long, g long, shingles binary").join(need.select("g"), "g", "left_semi")
             more = keep(found.groupBy("g").agg(F.any_value("shingles").alias("shingles")), "shingles")
             sets = more if sets is None else sets.union(more)
             both = pairs.join(sets.select(F.col("g").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("g").alias("b"), F.col("shingles").alias("y")), "b")

@@ -262,6 +262,20 @@ def test_jaccard_edge_tables(spark):
     assert signatures.jaccard_classes(df.where("false")).count() == 0
 
 
+def test_pipeline_joins_five_words_at_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    w = [f"y{i}" for i in range(140)]
+    rows = copies(rng, 150) + [(1000, " ".join(w[:100])), (1001, " ".join(w[:122])), (1002, " ".join(f"z{i}" for i in range(100))), (1003, " ".join("new" if i in (30, 70) else f"z{i}" for i in range(100))), (1004, None), (1005, " ")]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    want = root_of([(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    assert want[1001] == 1000 and want[1003] == 1002 and [brute_jaccard(rows)[1][i] for i in (1001, 1003)] == [1001, 1003]
+    kept = corpus_pipeline.jaccard_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, root in want.items() if i == root)
+    assert (signatures.n_keys(85), signatures.n_keys(80)) == (24, 28)
+
+
 # 6
 
 
