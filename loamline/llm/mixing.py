@@ -67,8 +67,12 @@ def mix(rows: DataFrame, source: Column, size: Column, identity: Column, weights
 
 
 def mixed_rows(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """The mix itself: each row of mix() once for every whole epoch, and once more with the first words of its text for a part of one."""
-    epochs = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    """The mix itself: each row of mix() once for every whole epoch, and once more with the first words of its text for a part of one.
+
+    Rows without units come once for every whole epoch of their source; a source without units has none.
+    """
+    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(0)
+    epochs = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(whole).cast("int")
     rest = (F.col("taken") - epochs * F.col("size")).cast("int")
     lead = rf"({SPACE}*{WORD})"
     part = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(lead), F.lit(1)), F.lit(1), rest), "")

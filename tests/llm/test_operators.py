@@ -210,6 +210,15 @@ def test_mixing(spark):
     assert mixing.mix(sized.where("false"), F.col("source"), F.col("size"), F.lit("")).count() == 0
 
 
+def test_mixing_keeps_texts_without_words(spark):
+    rows = [(1, "a", "x " * 10), (2, "a", ""), (3, "a", None), (4, "b", "y " * 1000), (5, "b", " "), (6, "none", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", mixing.n_words(F.col("text")))
+    out = mixing.mix(df, F.col("source"), F.col("size"), F.col("doc_id").cast("string"))
+    epochs = {r.source: round(r.target) // r.source_size if r.source_size else 0 for r in out.collect()}
+    got = Counter(r.doc_id for r in mixing.mixed_rows(out, "text", ["doc_id", "source", "text"]).collect())
+    assert epochs["a"] == 2 and [got[i] for i in (2, 3)] == [2, 2] and got[5] == epochs["b"] and got[6] == 0
+
+
 # 5
 
 
