@@ -34,6 +34,15 @@ def permutation_p(hits: DataFrame, observed: DataFrame) -> DataFrame:
     return hits.crossJoin(F.broadcast(observed.select(F.col("hits").alias("seen")))).agg((F.sum((F.col("hits") >= F.col("seen")).cast("long")) + 1).alias("p_num"), (F.count("*") + 1).alias("p_den"))
 
 
+def swap_p(ahead: int, behind: int, replicates: int = 10_000, seed: int = 1) -> tuple[int, int]:
+    """p of a paired margin of 0/1 values, as permutation_p gives it: each replicate swaps the two values of every row by a coin.
+
+    Only rows whose values differ count, so the swapped rows' sum is that of `ahead + behind` coins, which are drawn at once.
+    """
+    drawn = np.random.default_rng(seed).binomial(ahead + behind, 0.5, replicates)
+    return int((drawn >= ahead).sum()) + 1, replicates + 1
+
+
 def bootstrap_sums(rows: DataFrame, key: str, value: str, resamples: int, salt: str = "boot") -> DataFrame:
     """(resample, total): sums over n draws with replacement; draw i of a resample is row rank(resample, i) mod n. value is whole."""
     numbered = rows.select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("i"), F.col(value).cast("long").alias("v"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))

@@ -221,3 +221,12 @@ def test_replacements_wrap(spark):
     df = spark.createDataFrame([([1.0, 2.0], [1.5, 2.0], 0.001), ([1.0, 2.0], [1.5, 2.0], 1.0)], "a array<double>, b array<double>, d double")
     got = df.select(R2.sync_verdict(F.lit(0.1), R2.mean_absolute_gap(F.col("a"), F.col("b")), F.col("d"), 0.01, 0.5)).collect()
     assert [r[0] for r in got] == ["early", "ok"]
+
+
+def test_outcome_needs_its_own_p(spark, tmp_path):
+    from loamline.plans.training import q_outcome
+
+    for name, good, bad, want in (("noise", 3, 1, "not detected"), ("sure", 30, 10, "large"), ("none", 0, 0, "not detected")):
+        labels = [(i, int(i < good), int(i >= good)) for i in range(good + bad)]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert [r.outcome for r in q_outcome(spark, str(tmp_path / name)).collect()] == [want]
