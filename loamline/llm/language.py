@@ -14,8 +14,6 @@ from .words import chunks, text_bytes
 WINDOW, WIDTHS, FILTERS, STEP, EMBED = 128, (2, 3, 4, 5), 16, 2, 8
 #: Documents of each language that are learned from, chosen by a hash of their id and text; windows of each of them.
 TRAIN_DOCS, TRAIN_WINDOWS = 500, 8
-#: Languages learned, at most: those with the most documents.
-LANGUAGES = 256
 PAD, WIDE = 256, max(WIDTHS)
 UNKNOWN = "und"
 
@@ -134,13 +132,13 @@ def has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.nda
 def fit_language(docs: DataFrame, learnable: Column, train_docs: int = TRAIN_DOCS) -> ByteNet | None:
     """A network from the text and lang of learnable rows with both; None where there are none.
 
-    Of each language about train_docs rows are learned, by a hash of id and text: first rows are counted by language, then that
+    Every value of lang is a class. Of each language about train_docs rows are learned, by a hash of id and text: first rows are counted by language, then that
     share of each language is taken. Rows of one id and text are taken or left together, so copies count more, as they do in the corpus.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    counts = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, train_docs / r["count"]))]), F.col("lang"))
@@ -151,8 +149,9 @@ def fit_language(docs: DataFrame, learnable: Column, train_docs: int = TRAIN_DOC
     order = sorted(range(got.num_rows), key=lambda i, l=got.column("lang").to_pylist(), w=got.column("w").to_pylist(): (l[i], w[i]))
     langs, w = got.column("lang").to_pylist(), got.column("w").to_pylist()
     names = sorted(set(langs))
+    nth = {name: i for i, name in enumerate(names)}
     windows = np.frombuffer(b"".join(w[i] for i in order), "<u2").reshape(-1, WINDOW)
-    return fit_net(windows, np.array([names.index(langs[i]) for i in order]), names)
+    return fit_net(windows, np.array([nth[langs[i]] for i in order]), names)
 
 
 def predicted(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFrame:

@@ -151,6 +151,12 @@ def test_language(spark):
     assert language.predicted(empty, language.fit_language(empty, F.lit(True)), ["doc_id"]).count() == 0
 
 
+def test_language_learns_every_value(spark):
+    rows = [(i, f"text {chr(97 + i % 26)}{chr(97 + i // 26)}", f"l{i:03}") for i in range(300)]
+    net = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert list(net.names) == [f"l{i:03}" for i in range(300)]
+
+
 def test_quality(spark):
     rng = random.Random(5)
     rows = [(i, text_of(rng, 80) if i % 2 else text_of(rng, 80).upper() + "!!! ###") for i in range(400)] + [(1000, None), (1001, ""), (1002, text_of(rng, 60_000)), (None, "x")]
