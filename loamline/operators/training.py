@@ -1,4 +1,4 @@
-"""Analytics around training runs: label resolution, near misses, preference pairs, usage, divergence, selection of runs."""
+"""Analytics around training runs: label resolution, near misses, usage, divergence, selection of runs."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
