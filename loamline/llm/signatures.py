@@ -3,46 +3,55 @@
 A document's set of shingle hashes has a bitmap. A tree's nodes hold the OR of their documents' bitmaps, the range of their sizes, and the
 most shingles that a bitmap of theirs hides (size less set bits). Two documents share at most the bits common to both bitmaps and the
 lesser number hidden, so two nodes can hold no link if even that is too few for their least sizes.
+
+Trees are built and traversed twice. First over lists of documents with a common key, on bitmaps alone: pairs that may link make families
+(connected groups). Then over each family, on bitmaps and whole sets: pairs are verified where they are found. Either time a task gives
+only which of its documents belong together, so what leaves it is no longer than what came in, however many pairs there are.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .pairs import forest_of
 from .shared import dropped, small_batches, written
 from .words import SPACED, mixed, shingle_set, words
 
-#: Documents of one block of a list, and bytes of its bitmaps; a longer list is joined block by block.
+#: Rows of one block of a list or family, and bytes of a block's bitmaps or sets; a longer one is joined block by block.
 BLOCK, BLOCK_BYTES = 8192, 1 << 25
-#: Documents of a leaf, children of a node, documents that the others of a block are first compared with.
-LEAF, FAN, PIVOTS = 16, 8, 32
-#: Lists in which a class's pairs are told before the last round; in the last, all are.
-FIRST = 2
-#: Pairs of nodes or documents that a dual traversal holds at once, and words of their bitmaps.
-PAIRS, PAIR_WORDS = 1 << 20, 1 << 20
-
+#: Documents of a leaf, children of a node; documents that the others of a block are first compared with, and rows from which on they are.
+LEAF, FAN, PIVOTS, PIVOTS_FROM = 8, 8, 32, 64
+#: Pairs of nodes or documents that a dual traversal expands at once, and words of their bitmaps or sets that it compares at once.
+PAIRS, PAIR_WORDS = 1 << 18, 1 << 20
+#: Documents on which the order of shingles is fitted, how many of them hold a common shingle, and common shingles at most. They fix an
+#: order only: any order gives the same result.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 10, 200_000
+#: Rows that name documents to fetch, of about 100 bytes each, that may be broadcast.
+FETCH = 300_000
 
-def n_keys(share: int) -> int:
-    """How many of a set's smallest hashes it meets others by: 24 for a share of 85, 28 for 80.
 
-    Two sets of similarity s >= share / 100 meet if one of these agrees. With miss = 1 - share / 100, all of the miss * n + 1 smallest would
-    always hold one that does, and of these none does with a chance of miss ** keys: less than that two 64-bit hashes of shingles agree by
-    chance. Sets of up to 153 shingles (85) or 135 (80) are certain to meet.
-    """
-    return math.ceil(64 * math.log(2) / -math.log(1 - share / 100))
+def prefix(n: int, share: int) -> int:
+    """How many of the first of n shingles in a common order a set meets others by: two sets that link differ in at most (1 - share / 100) n
+    of either's shingles, so of one more at least one is in the other set, and the first such is among the other's first as well."""
+    return (100 - share) * n // 100 + 1
 
 
 def size_class(n: int) -> int:
-    """Sets of 2 ** (c - 1) < n <= 2 ** c shingles have a bitmap of 2 ** (c + 3) bits."""
+    """Sets of 2 ** (c - 1) < n <= 2 ** c shingles are of class c, 3 at least."""
     return max(3, (n - 1).bit_length())
 
 
+def width(c: int) -> int:
+    """Bits of a bitmap of class c in lists."""
+    return 1 << max(6, c + 2)
+
+
 def bitmap(hashes: np.ndarray) -> bytes:
-    m = 1 << (size_class(len(hashes)) + 3)
+    m = width(size_class(len(hashes)))
     bits = np.zeros(m, np.uint8)
     bits[(hashes & np.uint64(m - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -60,73 +69,103 @@ def text_sets(texts: pa.Array, k: int):
             yield shingle_set(w.hashes[w.at[d] : w.at[d + 1]], k)
 
 
-def sets_of(k: int, share: int, keep_sets: bool):
-    kind, keys = pa.list_(pa.int64()), n_keys(share)
+def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that COMMON or more documents of a sample hold, ascending, and how common they are (log2 of the count / COMMON, from 1)."""
+    n = docs.count()
+
+    def run(batches):
+        for batch in batches:
+            sets = list(text_sets(batch.column("text"), k))
+            h, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    counts = docs.where(F.rand(7) < SAMPLE / max(n, 1)).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    h, n = rows.column("h").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], (1 + np.log2(n[order] / COMMON)).astype(np.uint8)
+
+
+def keys_of(s: np.ndarray, share: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, rare before common, each by hash."""
+    held, rank = common
+    at = np.minimum(np.searchsorted(held, s), len(held) - 1) if len(held) else np.zeros(0, np.int64)
+    is_common = held[at] == s if len(held) else np.zeros(len(s), bool)
+    k = prefix(len(s), share)
+    if not is_common.any():
+        return s[:k]
+    r = np.where(is_common, rank[at], 0)
+    return s[np.lexsort((s, r))[:k]]
+
+
+def sets_of(k: int, share: int, common):
+    """Of each row doc_id, h, the size of its set, its fingerprint, keys and bitmap; null ones without words."""
+    kind = pa.list_(pa.int64())
 
     def run(batches):
         for batch in batches:
             sets = list(text_sets(batch.column("text"), k))
             full = [len(s) > 0 for s in sets]
-            out = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if f else None for s, f in zip(sets, full, strict=True)], pa.int64())]
-            names = ["doc_id", "n", "g"]
-            if keep_sets:
-                out.append(pa.array([s.astype("<u8").tobytes() if f else None for s, f in zip(sets, full, strict=True)], pa.binary()))
-                names.append("shingles")
-            else:
-                out += [pa.array([s[:keys].astype(np.int64) if f else None for s, f in zip(sets, full, strict=True)], kind), pa.array([bitmap(s) if f else None for s, f in zip(sets, full, strict=True)], pa.binary())]
-                names += ["keys", "bits"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            out = [batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if f else None for s, f in zip(sets, full, strict=True)], pa.int64())]
+            out += [pa.array([keys_of(s, share, common.value).astype(np.int64) if f else None for s, f in zip(sets, full, strict=True)], kind), pa.array([bitmap(s) if f else None for s, f in zip(sets, full, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "h", "n", "g", "keys", "bits"])
 
     return run
 
 
-class Tree:
-    """Signature tree of documents in the order given: levels[0] are the documents, then nodes of LEAF, then of FAN children each."""
+class Trees:
+    """Signature trees of several groups of documents, which follow one another: levels[0] are the documents, then nodes of LEAF, then of FAN
+    children each; the last level has one node for each group. A level: bitmaps, least and largest size, most hidden, least and largest label."""
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, comp: np.ndarray):
-        hidden = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-        self.levels = [(bits, n, n, hidden, comp, comp)]
-        while len(self.levels[-1][0]) > 1:
+    def __init__(self, bits: np.ndarray, n: np.ndarray, label: np.ndarray, start: np.ndarray):
+        self.levels = [(bits, n, n, n - np.bitwise_count(bits).sum(1, dtype=np.int64), label, label)]
+        self.first: list[np.ndarray] = [np.zeros(0, np.int64)]
+        while len(self.levels) == 1 or np.diff(start).max(initial=1) > 1:
+            step = LEAF if len(self.levels) == 1 else FAN
+            nodes = -(-np.diff(start) // step)
+            ends = np.concatenate([[0], np.cumsum(nodes)])
+            at = np.repeat(start[:-1], nodes) + (np.arange(ends[-1]) - np.repeat(ends[:-1], nodes)) * step
             b, low, high, h, c0, c1 = self.levels[-1]
-            at = np.arange(0, len(b), LEAF if len(self.levels) == 1 else FAN)
+            self.first.append(np.append(at, len(b)))
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(h, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)))
+            start = ends
 
     def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First child and number of children of nodes at a level."""
-        step = LEAF if level == 1 else FAN
-        return nodes * step, np.minimum(step, len(self.levels[level - 1][0]) - nodes * step)
+        return self.first[level][nodes], self.first[level][nodes + 1] - self.first[level][nodes]
 
 
-def possible(a, b, p: np.ndarray, q: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether nodes p of level a and q of level b can hold a link between different components, and the most shingles shared."""
+def possible(a, b, p: np.ndarray, q: np.ndarray, share: int) -> np.ndarray:
+    """Whether nodes p of level a and q of level b can hold a link between different labels."""
     ok = ~((a[4][p] == a[5][p]) & (b[4][q] == b[5][q]) & (a[4][p] == b[4][q]))
     ok &= (100 * a[2][p] >= share * b[1][q]) & (100 * b[2][q] >= share * a[1][p])
-    most = np.zeros(len(p), np.int64)
     live = np.flatnonzero(ok)
     step = max(1, PAIR_WORDS // max(1, a[0].shape[1]))
     for i in range(0, len(live), step):
         s = live[i : i + step]
-        most[s] = np.bitwise_count(a[0][p[s]] & b[0][q[s]]).sum(1, dtype=np.int64)
-    most += np.minimum(a[3][p], b[3][q])
-    most = np.minimum(most, np.minimum(a[2][p], b[2][q]))
-    return ok & ((100 + share) * most >= share * (a[1][p] + b[1][q])), most
+        x, y = p[s], q[s]
+        most = np.bitwise_count(a[0][x] & b[0][y]).sum(1, dtype=np.int64) + np.minimum(a[3][x], b[3][y])
+        most = np.minimum(most, np.minimum(a[2][x], b[2][y]))
+        ok[s] = (100 + share) * most >= share * (a[1][x] + b[1][y])
+    return ok
 
 
-def dual(x: Tree, y: Tree, same: bool, share: int):
-    """Pairs of documents, one of each tree, that may link; of one tree with itself each pair once. Yields (p, q, most shared) in parts."""
-    stack = [(len(x.levels) - 1, len(y.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+def dual(x: Trees, y: Trees, same: bool, share: int):
+    """Pairs of documents, one of each of two trees of the same group, that may link; within a tree each pair once. Yields (p, q) in parts."""
+    roots = np.arange(len(x.levels[-1][1]))
+    stack = [(len(x.levels) - 1, len(y.levels) - 1, roots, roots)]
     while stack:
         i, j, p, q = stack.pop()
         step = PAIRS // ((LEAF if i == 1 else FAN if i else 1) * (LEAF if j == 1 else FAN if j else 1))
         if len(p) > step:
             stack += [(i, j, p[s : s + step], q[s : s + step]) for s in range(0, len(p), step)]
             continue
-        ok, most = possible(x.levels[i], y.levels[j], p, q, share)
-        p, q, most = p[ok], q[ok], most[ok]
+        ok = possible(x.levels[i], y.levels[j], p, q, share)
+        p, q = p[ok], q[ok]
         if not len(p):
             continue
         if i == 0 and j == 0:
-            yield p, q, most
+            yield p, q
             continue
         if i:
             first, n = x.children(i, p)
@@ -143,157 +182,274 @@ def dual(x: Tree, y: Tree, same: bool, share: int):
         stack.append((i, j, p, q))
 
 
-def groups(batches, keys: tuple[str, ...]):
-    """Tables of the rows of one group each, from batches in which a group's rows stand together."""
+def same_as(*keys: np.ndarray) -> np.ndarray:
+    """Of each row the first row with the same keys."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]
+    return out
+
+
+class Labels:
+    """Which documents belong together: a document's label leads to the least of its group. Groups only grow."""
+
+    def __init__(self, label: np.ndarray):
+        self.of = label.copy()
+
+    def find(self, p: np.ndarray) -> np.ndarray:
+        r = self.of[p]
+        while (self.of[r] != r).any():
+            r = self.of[r]
+        self.of[p] = r
+        return r
+
+    def star(self, p: np.ndarray, q: np.ndarray) -> None:
+        """All of q and p belong together."""
+        roots = np.append(self.find(q), self.find(p))
+        self.of[roots] = roots.min()
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
+        a, b = self.find(p), self.find(q)
+        least, some = forest_of(a, b, len(self.of))
+        self.of[some] = least
+
+
+class Sets:
+    """Sorted sets, one after another: of document d, values[at[d] : at[d] + n[d]]."""
+
+    def __init__(self, values: np.ndarray, at: np.ndarray, n: np.ndarray):
+        self.values, self.at, self.n = values, at, n
+
+    def linked(self, p: int, q: np.ndarray, share: int) -> np.ndarray:
+        """Which of q hold 100 * intersection >= share * union with p."""
+        x = self.values[self.at[p] : self.at[p] + self.n[p]]
+        out = np.zeros(len(q), bool)
+        for rows in np.split(np.arange(len(q)), np.flatnonzero(np.diff(np.cumsum(self.n[q]) // PAIR_WORDS)) + 1):
+            m = self.n[q[rows]]
+            ends = np.cumsum(m)
+            y = self.values[np.repeat(self.at[q[rows]] - (ends - m), m) + np.arange(ends[-1])]
+            both = np.add.reduceat(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y, ends - m, dtype=np.int64)
+            out[rows] = 100 * both >= share * (len(x) + m - both)
+        return out
+
+
+def link(labels: Labels, p: np.ndarray, q: np.ndarray, sets: Sets | None, share: int) -> None:
+    """Join what pairs hold together: all of them, or with sets those that they verify. Pairs that belong together already are passed over."""
+    apart = labels.find(p) != labels.find(q)
+    p, q = p[apart], q[apart]
+    if sets is None:
+        if len(p):
+            labels.join(p, q)
+        return
+    order = np.lexsort((q, p))
+    p, q = p[order], q[order]
+    for rows in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1) if len(p) else []:
+        own = p[rows[:1]]
+        some = q[rows]
+        some = some[labels.find(some) != labels.find(own)]
+        if len(some):
+            some = some[sets.linked(int(own[0]), some, share)]
+        if len(some):
+            labels.star(own, some)
+
+
+def by_pivots(labels: Labels, level, rows: np.ndarray, sets: Sets | None, share: int) -> None:
+    """Compare a large group's rows with some of them, one after another, each of a group of its own so far: most of a group of near copies joins."""
+    first = 0
+    for _ in range(PIVOTS):
+        of = labels.find(rows)
+        alone = np.bincount(of, minlength=len(labels.of))[of] == 1
+        left = np.flatnonzero(alone[first:])
+        if not len(left):
+            return
+        first += int(left[0])
+        p = rows[first]
+        q = rows[of != of[first]]
+        ok = possible(level, level, np.full(len(q), p), q, share)
+        link(labels, np.full(int(ok.sum()), p), q[ok], sets, share)
+        first += 1
+
+
+def folded(raw: bytes, bits: int) -> np.ndarray:
+    """A bitmap of the class's width; the next class's is folded to it."""
+    x = np.frombuffer(raw, np.uint8)
+    return x if len(x) == bits // 8 else x[: bits // 8] | x[bits // 8 :]
+
+
+def bitmaps(values: np.ndarray, at: np.ndarray, n: np.ndarray, c: int) -> np.ndarray:
+    """Bitmaps of whole sets: twice as many bits as in lists, by another part of the hashes."""
+    m = 1 << (c + 3)
+    out = np.zeros((len(n), m // 64), np.uint64)
+    step = max(1, (1 << 24) // m)
+    for i in range(0, len(n), step):
+        k = n[i : i + step]
+        ends = np.cumsum(k)
+        h = values[np.repeat(at[i : i + step] - (ends - k), k) + np.arange(ends[-1])] >> np.uint64(20)
+        marks = np.zeros((len(k), m), np.uint8)
+        marks[np.repeat(np.arange(len(k)), k), (h & np.uint64(m - 1)).astype(np.int64)] = 1
+        out[i : i + step] = np.packbits(marks, axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+GROUP = ("c", "a", "b", "i", "j")
+
+
+def whole_groups(batches):
+    """Tables of whole groups of one c, of about BLOCK_BYTES / 4 or a group each, from batches in which a group's rows stand together."""
     held: list[pa.Table] = []
+
+    def cuts(t: pa.Table, keys) -> np.ndarray:
+        ids = [t.column(k).to_numpy() for k in keys]
+        return np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+
+    def by_class(t: pa.Table):
+        at = [0, *cuts(t, ("c",)).tolist(), t.num_rows]
+        yield from (t.slice(i, j - i) for i, j in zip(at[:-1], at[1:], strict=True))
+
+    size = 0
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        if not t.num_rows:
+        if not batch.num_rows:
             continue
-        ids = [t.column(k).to_numpy() for k in keys]
-        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows], strict=True):
-            part = t.slice(i, j - i)
-            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in keys):
-                yield pa.concat_tables(held)
-                held = []
-            held.append(part)
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.nbytes
+        if size < BLOCK_BYTES // 4:
+            continue
+        t = pa.concat_tables(held)
+        at = cuts(t, GROUP)
+        if len(at):
+            yield from by_class(t.slice(0, at[-1]))
+            held = [t.slice(at[-1])]
+            size = held[0].nbytes
     if held:
-        yield pa.concat_tables(held)
+        yield from by_class(pa.concat_tables(held))
 
 
-def folded(raw: bytes, width: int) -> bytes | np.ndarray:
-    """A bitmap of the class's width; the next class's is folded to it."""
-    x = np.frombuffer(raw, np.uint8)
-    return x if len(x) == width // 8 else x[: width // 8] | x[width // 8 :]
-
-
-def few(t: dict, share: int):
-    """All pairs of a small group that may link, by Python's whole numbers: (p, q, most shared)."""
-    width = 1 << (t["c"] + 3)
-    bits = [int.from_bytes(folded(b, width).tobytes(), "little") for b in t["bits"]]
-    n, comp, block, guest = t["n"].tolist(), t["comp"].tolist(), t["block"].tolist(), t["guest"].tolist()
-    hidden = [m - b.bit_count() for m, b in zip(n, bits, strict=True)]
-    out = []
-    for p in range(len(n)):
-        for q in range(p + 1, len(n)):
-            if comp[p] == comp[q] or guest[p] and guest[q] or t["i"] != t["j"] and block[p] == block[q] or 100 * min(n[p], n[q]) < share * max(n[p], n[q]):
-                continue
-            most = min((bits[p] & bits[q]).bit_count() + min(hidden[p], hidden[q]), n[p], n[q])
-            if (100 + share) * most >= share * (n[p] + n[q]):
-                out.append((p, q, most))
-    x = np.array(out, np.int64).reshape(-1, 3)
-    return x[:, 0], x[:, 1], x[:, 2]
-
-
-def many(t: dict, share: int, pivots: bool):
-    """The same for any group by trees, in parts. With pivots, documents that may link to one are first joined to it for the time being,
-    those pairs are given, and then only pairs between what isn't joined."""
-    n, comp, block, guest = t["n"], t["comp"].copy(), t["block"], t["guest"]
-    width = 1 << (t["c"] + 3)
-    bits = np.stack([folded(b, width) for b in t["bits"]]).view(np.uint64)
-    a, b = np.flatnonzero(block == t["i"]), np.flatnonzero(block == t["j"])
-    if not len(a) or not len(b):
-        return
-    if pivots:
-        level = (bits, n, n, n - np.bitwise_count(bits).sum(1, dtype=np.int64), comp, comp)
-        order, first = a[np.lexsort((t["g"][a], n[a]))], 0
-        for _ in range(PIVOTS):
-            while first < len(order) and (comp == comp[order[first]]).sum() > 1:
-                first += 1
-            if first == len(order):
-                break
-            p = order[first]
-            first += 1
-            q = b[comp[b] != comp[p]]
-            ok, most = possible(level, level, np.full(len(q), p), q, share)
-            ok &= ~(guest[q] & guest[p])
-            yield np.full(int(ok.sum()), p), q[ok], most[ok]
-            comp[np.isin(comp, comp[q[ok]])] = comp[p]
-    sort = lambda rows: rows[np.lexsort((n[rows], comp[rows]))]
-    x = sort(a)
-    y = x if t["i"] == t["j"] else sort(b)
-    tree = Tree(bits[x], n[x], comp[x])
-    other = tree if t["i"] == t["j"] else Tree(bits[y], n[y], comp[y])
-    for p, q, most in dual(tree, other, t["i"] == t["j"], share):
-        p, q = x[p], y[q]
-        ok = (comp[p] != comp[q]) & ~(guest[p] & guest[q])
-        yield p[ok], q[ok], most[ok]
-
-
-def leaders(p, q, most, n, by, g) -> np.ndarray:
-    """Of each value of `by` on either side, its likeliest pair."""
-    near = most / np.maximum(1, n[p] + n[q] - most)
-    p, q, near = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([near, near])
-    o = np.lexsort((g[q], g[p], -near, by[p]))
-    lead = np.ones(len(o), bool)
-    lead[1:] = by[p][o][1:] != by[p][o][:-1]
-    return np.stack([p[o][lead], q[o][lead]])
-
-
-def candidates(mode: str, share: int):
-    """Rows (key, c, a, b): pairs to verify between components, and one row without a pair for each list that has any.
-
-    `pivots`: each document with a pivot or its likeliest partner; `best`: each component's likeliest pair; both only where the list is
-    one of the first of one of the two. `all`: every pair that may link.
+def together(share: int, whole: bool):
+    """Rows (x, y): classes of a group that belong together, each at most once as x. whole: data are sets, and pairs are verified; else bitmaps.
+
+    Rows of a group with side 0 are compared with one another, rows of side 1 with those of side 2. Rows of one comp belong together already.
     """
 
     def run(batches):
-        for group in groups(batches, ("key", "c", "i", "j")):
-            t = {k: group.column(k)[0].as_py() for k in ("key", "c", "i", "j")} | {k: group.column(k).to_numpy() for k in ("g", "n", "comp", "block", "guest", "nth")}
-            t["bits"] = group.column("bits").to_pylist()
-            small = len(t["g"]) <= 12
-            found, any_ = [], False
-            for p, q, most in [few(t, share)] if small else many(t, share, mode == "pivots"):
-                any_ |= len(p) > 0
-                if mode != "all":
-                    early = (t["nth"][p] <= FIRST) | (t["nth"][q] <= FIRST)
-                    p, q, most = p[early], q[early], most[early]
-                    found.append(leaders(p, q, most, t["n"], t["comp"] if mode == "best" else np.arange(len(t["g"])), t["g"]))
-                else:
-                    found.append(np.stack([p, q]))
-            if not any_:
-                continue
-            p, q = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
-            g = t["g"]
-            a, b = np.append(np.minimum(g[p], g[q]), 0), np.append(np.maximum(g[p], g[q]), 0)
-            none = np.arange(len(a)) == len(a) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t["key"])), pa.array(np.full(len(a), t["c"], np.int32)), pa.array(a, mask=none), pa.array(b, mask=none)], names=["key", "c", "a", "b"])
+        for t in whole_groups(batches):
+            c = t.column("c")[0].as_py()
+            ids = [t.column(k).to_numpy() for k in GROUP[1:]]
+            new = np.ones(t.num_rows, bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in ids], axis=0)
+            group = np.cumsum(new) - 1
+            side, n = t.column("side").to_numpy(), t.column("n").to_numpy()
+            order = np.lexsort((n, np.where(side > 0, t.column("comp").to_numpy(), 0), side, group))
+            group, side, n = group[order], side[order], n[order]
+            g, comp, guest = (t.column(k).to_numpy()[order] for k in ("g", "comp", "guest"))
+            labels = Labels(same_as(group, comp))
+            began = labels.of.copy()
+            data = t.column("data").combine_chunks()
+            if whole:
+                offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data)]
+                values = np.frombuffer(data.buffers()[2], np.uint8)
+                values = values[offsets[0] :][: (len(values) - offsets[0]) // 8 * 8].view("<u8")
+                sets = Sets(values, ((offsets - offsets[0]) // 8).astype(np.int64)[order], n)
+                bits = bitmaps(sets.values, sets.at, n, c)
+            else:
+                sets, m = None, width(c)
+                raw = data.to_pylist()
+                bits = np.stack([folded(raw[i], m) for i in order.tolist()]).view(np.uint64)
+            level = (bits, n, n, n - np.bitwise_count(bits).sum(1, dtype=np.int64), labels.of, labels.of)
+            start = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = np.append(start[1:], len(group))
+            for i, j in zip(start.tolist(), ends.tolist(), strict=True):
+                if j - i >= PIVOTS_FROM and side[i] == 0:
+                    by_pivots(labels, level, np.arange(i, j), sets, share)
+            label = labels.find(np.arange(len(group)))
+            alike = np.flatnonzero(side == 0)
+            if len(alike):
+                trees = Trees(bits[alike], n[alike], label[alike], np.append(np.flatnonzero(np.diff(group[alike], prepend=-1)), len(alike)))
+                for p, q in dual(trees, trees, True, share):
+                    p, q = alike[p], alike[q]
+                    ok = ~(guest[p] & guest[q])
+                    link(labels, p[ok], q[ok], sets, share)
+            for i, j in zip(start.tolist(), ends.tolist(), strict=True):
+                x, y = i + np.flatnonzero(side[i:j] == 1), i + np.flatnonzero(side[i:j] == 2)
+                if len(x) and len(y):
+                    one, two = (Trees(bits[r], n[r], label[r], np.array([0, len(r)])) for r in (x, y))
+                    for p, q in dual(one, two, False, share):
+                        p, q = x[p], y[q]
+                        ok = ~(guest[p] & guest[q])
+                        link(labels, p[ok], q[ok], sets, share)
+            now = labels.find(np.arange(len(group)))
+            moved = np.flatnonzero((began == np.arange(len(group))) & (now != began))
+            yield pa.RecordBatch.from_arrays([pa.array(g[moved]), pa.array(g[now[moved]])], names=["x", "y"])
 
     return run
 
 
-def verify(share: int):
-    """Pairs with both sets: whether 100 * intersection >= share * union."""
+def with_sets(k: int):
+    """Rows whose text has the set g, with the set instead of the text."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= share * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
+            sets = list(text_sets(batch.column("text"), k))
+            own = [i for i, (s, g) in enumerate(zip(sets, batch.column("g").to_pylist(), strict=True)) if len(s) and fingerprint(s) == g]
+            t = batch.drop_columns(["text"]).take(pa.array(own, pa.int64()))
+            yield t.append_column("data", pa.array([sets[i].astype("<u8").tobytes() for i in own], pa.binary()))
 
     return run
 
 
 def lists_of(classes: DataFrame, share: int) -> DataFrame:
-    """classes (g, n, keys, bits). A row for each class in each list of classes with a common key: (key, c, rows, g, guest, nth).
+    """classes (g, n, keys). A row for each class in each list of classes with a common key: (c, a, b, g, n, guest), a the key, b 0.
 
     Keys of one class alone go; of keys with the same classes one stays. Within a key, classes are told by size: bitmaps of a class c have one
     width, and sets that may link to smaller ones of the class below also go there, as guests, who aren't compared with one another.
     """
-    keys = classes.select("g", "n", F.explode("keys").alias("key"))
-    sums = keys.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")).where("rows > 1")
-    one = sums.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key")
-    kept = keys.join(one, "key").withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy("key")))
-    c = F.greatest(F.lit(3), F.ceil(F.log2("n") - 1e-12)).cast("int")
+    keys = classes.select("g", "n", F.explode("keys").alias("a"))
+    sums = keys.groupBy("a").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")).where("rows > 1")
+    one = sums.groupBy("rows", "x", "y").agg(F.min("a").alias("a")).select("a")
+    c = class_of(F.col("n"))
     low = F.ceil(F.col("n") * share / 100.0 - 1e-9) <= F.pow(F.lit(2), F.col("c") - 1)
-    kept = kept.withColumn("c", c).withColumn("to", F.explode(F.when((F.col("c") > 3) & low, F.array(F.struct(F.col("c").alias("c"), F.lit(False).alias("guest")), F.struct((F.col("c") - 1).alias("c"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("c").alias("c"), F.lit(False).alias("guest"))))))
-    kept = written(kept.select("key", "g", "nth", "to.c", "to.guest"), "lists-of-keys")
-    sizes = kept.groupBy("key", "c").agg(F.count("*").alias("rows")).where("rows > 1")
-    return kept.join(sizes, ["key", "c"]).select("key", "c", "rows", "g", "guest", "nth")
+    own, below = F.struct(F.col("c").alias("c"), F.lit(False).alias("guest")), F.struct((F.col("c") - 1).alias("c"), F.lit(True).alias("guest"))
+    kept = keys.join(one, "a").withColumn("c", c).withColumn("to", F.explode(F.when((F.col("c") > 3) & low, F.array(own, below)).otherwise(F.array(own))))
+    return kept.select("to.c", "a", F.lit(0).cast("long").alias("b"), "g", "n", "to.guest")
+
+
+def class_of(n):
+    return F.greatest(F.lit(3), F.ceil(F.log2(n) - 1e-12)).cast("int")
+
+
+def belonging(rows: DataFrame, row_bytes, fetch, share: int, whole: bool, keep) -> DataFrame:
+    """Links (x, y) that connect what belongs together within the groups of rows (c, a, b, g, n, guest); fetch adds data to rows.
+
+    A group of more rows than a block holds is joined in two rounds. In the first, each block is joined within itself and with some rows of the
+    others, the same for all blocks. In the second, rows that still don't belong to the group's largest part, and only they, are
+    compared with all its rows, block by block. Either round moves rows once for each block of the other side.
+    """
+    group = ["c", "a", "b"]
+    most = F.least(F.lit(BLOCK), F.lit(BLOCK_BYTES) / row_bytes)
+    sizes = keep(rows.groupBy(*group).agg(F.count("*").alias("rows")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / most).cast("int")), "sizes")
+    sized = keep(rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("g", F.lit(2)), F.col("blocks")).cast("int")), "groups")
+
+    def joined(x: DataFrame, name: str) -> DataFrame:
+        x = x.select(*GROUP, "side", "g", "n", "comp", "guest")
+        return keep(fetch(x).repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(together(share, whole), "x long, y long"), name)
+
+    everywhere = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("g", F.lit(3)), F.col("rows")) < PIVOTS)
+    first = sized.withColumn("i", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    links = joined(first.withColumns({"j": F.col("i"), "side": F.lit(0), "comp": F.col("g")}), "links")
+    large = sized.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    comp = keep(components(links.toDF("a", "b")), "components")
+    large = large.join(comp.withColumnRenamed("component", "comp"), large.g == comp.id, "left").drop("id").withColumn("comp", F.coalesce("comp", "g"))
+    main = large.groupBy(*group, "comp").agg(F.count("*").alias("m")).groupBy(*group).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    large = large.join(main, group).withColumn("apart", F.col("comp") != F.col("main"))
+    parts = large.where("apart").groupBy(*group).agg(F.ceil(F.count("*") / F.first(most)).cast("int").alias("parts"))
+    large = keep(large.join(parts, group), "large-groups")
+    x = large.where("apart").withColumns({"i": F.pmod(F.xxhash64("g", F.lit(4)), F.col("parts")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)})
+    y = large.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "j": F.col("block"), "side": F.lit(2)})
+    both = [r.select(*GROUP, "side", "g", "n", "comp", "guest") for r in (x, y)]
+    return links.union(joined(both[0].union(both[1]), "more-links"))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
@@ -303,10 +459,10 @@ def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
     sequence as one; a null or empty text has none, links with nothing, and its component is its own id. Classes link when
     100 * intersection >= share * union; component_id is the smallest doc_id that links reach (null ids don't count; null where all are).
 
-    Equal sets are one class. Classes meet in the lists of their smallest hashes. Of each list, pairs to verify are found by trees: first
-    with pivots, so that a group of near copies is joined by about as many pairs as it has members; then, while that joins anything, each
-    component with its likeliest pair to another; at last every pair between components that the bounds allow. Pairs are
-    verified on the full sets, once each. Lists within one component are dropped before their rows are moved.
+    Equal sets are one class. Classes meet in lists by the first of their shingles in a common order, rare ones first, so many that each pair
+    that links meets. Trees over each list say which classes may link; what those pairs connect is a family. Trees over each family find
+    the pairs again and verify them on the full sets. Links within a group that is connected already are not looked for, so links
+    aren't counted. Shingles are 64-bit hashes.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -317,86 +473,70 @@ def jaccard_classes(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
         return way[-1]
 
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}["doc_id"]
-    rows = keep(docs.select("doc_id", "text").mapInArrow(sets_of(k, share, False), f"doc_id {kind}, n long, g long, keys array<long>, bits binary"), "sets")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    common = spark.sparkContext.broadcast(common_shingles(docs, k))
+    rows = keep(texts.mapInArrow(sets_of(k, share, common), f"doc_id {kind}, h long, n long, g long, keys array<long>, bits binary"), "sets")
     full = rows.where("g IS NOT NULL")
-    ids = keep(full.groupBy("g", "n").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
+    ids = keep(full.groupBy("g", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "h")).alias("at"), F.any_value("keys").alias("keys")), "classes")
     lists = keep(lists_of(ids, share), "lists")
-    met = lists.select("g").distinct()
-    bits = keep(full.join(met, "g", "left_semi").groupBy("g", "n").agg(F.any_value("bits").alias("bits")), "bits")
-
-    links = tried = sets = comp = None
-    mode, before = "pivots", None
-    while True:
-        here = lists if comp is None else lists.join(comp, lists.g == comp.id, "left").drop("id")
-        here = here.withColumn("comp", F.col("g") if comp is None else F.coalesce("component", "g")).drop("component")
-        if comp is not None:
-            mixed_ = here.groupBy("key", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
-            here = here.join(mixed_, ["key", "c"], "left_semi")
-        blocks = F.ceil(F.col("rows") / F.least(F.lit(BLOCK), F.lit(BLOCK_BYTES) / F.pow(F.lit(2), "c"))).cast("int")
-        here = here.withColumn("block", F.pmod(F.xxhash64("g", F.lit(2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        here = here.join(bits, "g").select("key", "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "g", "n", "comp", "guest", "nth", "bits")
-        here = here.repartition("key", "c", "i", "j").sortWithinPartitions("key", "c", "i", "j")
-        told = keep(here.mapInArrow(candidates(mode, share), "key long, c int, a long, b long"), "told")
-        if mode == "pivots":  # lists without a possible pair never have one
-            lists = keep(lists.join(told.select("key", "c").distinct(), ["key", "c"], "left_semi"), "live-lists")
-        pairs = told.where("a IS NOT NULL").select("a", "b").distinct()
-        pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        n_pairs = pairs.count()
-        if n_pairs:
-            need = pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct()
-            need = need if sets is None else need.join(sets, "g", "left_anti")
-            need = keep(need.join(ids.select("g", "rep"), "g"), "needed")
-            found = docs.select("doc_id", "text").join(need.select(F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-            if not need.where("rep IS NULL").isEmpty():
-                found = found.union(docs.select("doc_id", "text").where("doc_id IS NULL"))
-            found = found.mapInArrow(sets_of(k, share, True), f"doc_id {kind}, n long, g long, shingles binary").join(need.select("g"), "g", "left_semi")
-            more = keep(found.groupBy("g").agg(F.any_value("shingles").alias("shingles")), "shingles")
-            sets = more if sets is None else sets.union(more)
-            both = pairs.join(sets.select(F.col("g").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("g").alias("b"), F.col("shingles").alias("y")), "b")
-            judged = keep(both.select("a", "b", "x", "y").mapInArrow(verify(share), "a long, b long, linked boolean"), "judged")
-            tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
-            new = judged.where("linked").select("a", "b")
-            links = new if links is None else links.union(new)
-        joined = n_pairs and new.count()
-        if joined:
-            comp = keep(components(links), "components")
-        if mode == "all":
-            break
-        mode = "all" if (mode == "best" and not joined) or not n_pairs else "best"
+    bits = keep(full.select("g", "bits").join(lists.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.any_value("bits").alias("data")), "bits")
+    families = keep(components(belonging(lists, F.pow(F.lit(2), F.col("c") - 1), lambda x: x.join(bits, "g"), share, False, keep).toDF("a", "b")), "families")
+
+    members = families.join(ids.select("g", "n"), families.id == F.col("g")).select(F.col("component").alias("a"), "g", "n")
+    classes = members.groupBy("a").agg(class_of(F.max("n")).alias("c"))
+    members = members.join(classes, "a").select("c", "a", F.lit(0).cast("long").alias("b"), "g", "n", F.lit(False).alias("guest"))
+
+    def with_texts(x: DataFrame) -> DataFrame:
+        x = keep(x.join(ids.select("g", F.col("at.doc_id").alias("rep"), F.col("at.h").alias("hash")), "g"), "needed")
+        few = F.broadcast(x) if x.count() <= FETCH else x
+        found = texts.join(few, (F.col("h") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "h", "rep", "hash")
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields if f.name != "text")
+        return found.mapInArrow(with_sets(k), f"{kinds}, data binary")
+
+    comp = components(belonging(members, F.pow(F.lit(2), "c") * 9, with_texts, share, True, keep).toDF("a", "b"))
+    out = ids.select("g", "rep").join(comp, F.col("g") == comp.id, "left").drop("id").withColumn("component", F.coalesce("component", "g"))
+    least = out.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = keep(out.join(least, "component").select(F.col("g").alias("class_id"), "component_id"), "named")
     for t in way:
-        if t is not comp and t is not ids and t is not rows:
+        if t is not named and t is not rows:
             dropped(t)
-    out = ids.select("g", "rep")
-    if comp is not None:
-        out = out.join(comp, out.g == comp.id, "left").drop("id").withColumn("component", F.coalesce("component", "g"))
-    else:
-        out = out.withColumn("component", F.col("g"))
-    least = out.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = out.join(least, "component").select(F.col("g").alias("class_id"), "component_id")
     done = full.select("doc_id", F.col("n").alias("n_shingles"), F.col("g").alias("class_id")).join(named, "class_id").select("doc_id", "n_shingles", "class_id", "component_id")
     empty = rows.where("g IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id"))
     return done.union(empty)
 
 
-def one_of_each(docs: DataFrame, kept: DataFrame, k: int = 4) -> DataFrame:
-    """The rows of docs whose id and class are in kept (doc_id, class_id; both distinct together), one of each; rows without words, all of them."""
-    small_batches(docs.sparkSession)
-    names = docs.columns
+def one_of_each(docs: DataFrame, found: DataFrame, k: int = 4) -> DataFrame:
+    """The rows of docs whose id is that of their component; found is jaccard_classes(docs, k).
+
+    Of rows without an id, one of each set of equal shingles stays unless its component has an id. Of rows with an id that others have too, those
+    of a class of the component stay, one of each. Rows without words all stay.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
+    found = written(found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "found")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("stays").alias("stays"))
+    several = F.col("doc_id").isNull() | (F.col("rows") > 1)
+    ids = written(ids.where(several | ~F.col("stays")).select(F.col("doc_id").alias("_id"), several.alias("several")), "told-ids")
+    some = ids.count()
+    gone = F.broadcast(ids) if some <= FETCH else ids
+    out = docs.where("doc_id IS NOT NULL").join(gone, docs.doc_id == F.col("_id"), "left_anti")
+    several = ids.where("several")
+    if several.isEmpty():
+        return out
 
     def with_class(batches):
         for batch in batches:
             yield batch.append_column("_class", pa.array([fingerprint(s) if len(s) else None for s in text_sets(batch.column("text"), k)], pa.int64()))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    some = docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"]), "left_semi").mapInArrow(with_class, f"{kinds}, _class long")
-    kept = kept.where("class_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_of"))
-    full = some.where("_class IS NOT NULL")
-    full = full.join(kept, full.doc_id.eqNullSafe(kept["_id"]) & (full["_class"] == kept["_of"]), "left_semi").dropDuplicates(["doc_id", "_class"])
-    return full.select(names).union(some.where("_class IS NULL").select(names))
+    rest = docs.join(several, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi").mapInArrow(with_class, f"{kinds}, _class long")
+    kept = found.where("stays AND class_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_of")).distinct()
+    full = rest.join(kept, rest.doc_id.eqNullSafe(kept["_id"]) & (rest["_class"] == kept["_of"]), "left_semi").dropDuplicates(["doc_id", "_class"])
+    return out.union(full.select(names)).union(rest.where("_class IS NULL").select(names))
 
 
 def op5_jaccard(spark, sf_dir):
+    """Four words and 0.85 over all documents. Null, empty and repeated rows as in jaccard_classes."""
     from .shared import table
 
     return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -288,7 +288,86 @@ def test_pipeline_joins_five_words_at_four_fifths(spark):
     assert want[1001] == 1000 and want[1003] == 1002 and [brute_jaccard(rows)[1][i] for i in (1001, 1003)] == [1001, 1003]
     kept = corpus_pipeline.jaccard_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(i for i, root in want.items() if i == root)
-    assert (signatures.n_keys(85), signatures.n_keys(80)) == (24, 28)
+
+
+def test_jaccard_prefix_always_meets():
+    rng = np.random.default_rng(12)
+    common = np.sort(rng.integers(1, 2**63, 60, dtype=np.uint64))
+    order = (common, rng.integers(1, 5, 60).astype(np.uint8))
+    for share in (80, 85):
+        for _ in range(300):
+            n = int(rng.integers(1, 400))
+            a = rng.integers(1, 2**63, n, dtype=np.uint64)
+            a[: n // 3] = rng.choice(common, n // 3)
+            a = np.unique(a)
+            lost = int(rng.integers(0, len(a) * (100 - share) // 100 + 1))
+            b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(1, 2**63, int(rng.integers(0, 9)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= share * (len(a) + len(b) - both):
+                assert len(np.intersect1d(signatures.keys_of(a, share, order), signatures.keys_of(b, share, order)))
+    assert (signatures.prefix(100, 85), signatures.prefix(100, 80), signatures.prefix(1, 85)) == (16, 21, 1)
+
+
+def test_jaccard_of_long_texts_at_the_threshold(spark):
+    w = [f"x{i}" for i in range(30_003)]
+    rows = [(i, " ".join([*w[:n], *(f"tail{i}-{j}" for j in range(extra))])) for i, (n, extra) in enumerate([(30_003, 0), (25_503, 0), (25_502, 0), (27_753, 0)])]
+    rows += [(10 + i, " ".join(f"{'new' if j < 2250 else 'y'}{i if j < 2250 else ''}-{j}" for j in range(30_003))) for i in range(2)]
+    _, want = brute_jaccard(rows)
+    got = {r.doc_id: r.component_id for r in signatures.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and want[1] == 0
+
+
+def group_table(sets, whole):
+    """A list (bitmaps) or a family (sets) as the tree tasks see it."""
+    n = len(sets)
+    c = max(signatures.size_class(len(s)) for s in sets)
+    g = pa.array(np.arange(n))
+    data = [s.astype("<u8").tobytes() if whole else signatures.bitmap(s) for s in sets]
+    zero = pa.array(np.zeros(n, np.int64))
+    t = pa.table({"c": pa.array(np.full(n, c, np.int32)), "a": zero, "b": zero, "i": zero.cast(pa.int32()), "j": zero.cast(pa.int32()), "side": zero.cast(pa.int32()), "g": g, "n": pa.array([len(s) for s in sets], pa.int64()), "comp": g, "guest": pa.array(np.zeros(n, bool)), "data": pa.array(data, pa.binary())})
+    return t.to_batches(max_chunksize=1000)
+
+
+def test_jaccard_memory_of_a_block_of_templates():
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np
+sys.path[:0] = {paths!r}
+import test_llm_operators as T
+from loamline.llm import signatures
+rng = np.random.default_rng(1)
+base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+sets = [np.unique(np.concatenate([base[:75], rng.integers(0, 2**63, 25, dtype=np.uint64)])) for _ in range(8192)]
+tables = T.group_table(sets, {whole})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = sum(b.num_rows for b in signatures.together(85, {whole})(tables))
+print(out, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    import os
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    for whole in (False, True):
+        out = subprocess.run([sys.executable, "-c", code.format(paths=[here, os.path.dirname(os.path.dirname(here))], whole=whole)], capture_output=True, text=True, timeout=600)
+        linked, mb = map(int, out.stdout.split())
+        assert linked == 0 and mb < 250
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_trees_join_small_and_large_groups(whole):
+    rng = np.random.default_rng(2)
+    for size in (2, 9, 300):
+        base = rng.integers(0, 2**63, 56, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(48, 56)], rng.integers(0, 2**63, int(rng.integers(0, 8)), dtype=np.uint64)])) for _ in range(size)]
+        links = [(a, b) for a in range(size) for b in range(a) if 100 * (x := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - x)]
+        found = [(r["x"], r["y"]) for b in signatures.together(85, whole)(group_table(sets, whole)) for r in b.to_pylist()]
+        want, got = root_of(links, range(size)), root_of(found, range(size))
+        if whole:
+            assert got == want
+        else:  # bitmaps may join more, never less
+            assert all(got[a] == got[b] for a, b in links)
 
 
 # 6
