@@ -3,13 +3,14 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import free, written
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
-#: Parts that a source's documents are dealt to by their random key; a part is the unit of sorting.
-BUCKETS = 1024
+#: Hex digits of the key by which a source's sizes are summed: PARTS parts, of which only one is sorted.
+DIGITS = 4
+PARTS = 16**DIGITS
 
 
 def n_words(text: Column) -> Column:
@@ -36,50 +37,102 @@ def mix_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most:
     return s.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("unit") * F.col("w")), F.col("cap")).cast("double")).drop("w", "cap", "stopped", "left", "budget", "unit")
 
 
+def mix_key(identity: Column, seed: str = "mix") -> Column:
+    """A row's hash-random key."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(identity, F.lit(""))))
+
+
+def mix_cuts(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """rows (source, size, key). One row for each source: where its mix ends.
+
+    (source, source_size, target, epochs, cut_key, cut_size, whole, part, ties): every row is taken `epochs` times; rows before (cut_key,
+    cut_size) in the order of key and size once more; of the `ties` rows at the cut, `whole` once more and the next one for `part` units.
+
+    Sizes are summed by source and by the first digits of the key, PARTS parts of a source; prefix sums of these say in which part a source's units
+    reach its target. Only that part's rows are sorted, by key and size, and summed up; equal ones as one. rows are scanned three times.
+    """
+    rows = rows.withColumn("at", F.substring("key", 1, DIGITS))
+    parts = rows.groupBy("source", "at").agg(F.sum("size").alias("units"))
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = sources.withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)  # one row for each source
+    goals = mix_targets(sources, weights, share, most).drop("nth")
+    goal = F.round("target").cast("long")
+    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
+    goals = written(goals.withColumn("rest", goal - F.col("epochs") * F.col("source_size")), "mix-goals")
+    by = goals.select(F.col("source").alias("of"), "rest").where("rest > 0")
+    up_to = Window.partitionBy("source").orderBy("at")  # at most PARTS rows each
+    parts = parts.withColumn("before", F.sum("units").over(up_to) - F.col("units")).join(by, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    parts = parts.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("units") >= F.col("rest")))
+    parts = parts.select(F.col("source").alias("of"), F.col("at").alias("in_part"), "before", "rest")
+    near = rows.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("at") == F.col("in_part"))).groupBy("source", "key", "size", "before", "rest").agg(F.count("*").alias("ties"))
+    units = F.col("size") * F.col("ties")
+    near = near.withColumn("start", F.col("before") + F.sum(units).over(Window.partitionBy("source").orderBy("key", "size")) - units)
+    cut = near.where((F.col("start") < F.col("rest")) & (F.col("start") + units >= F.col("rest")))
+    left = F.col("rest") - F.col("start")
+    cut = cut.select(F.col("source").alias("of"), F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), F.floor(left / F.col("size")).cast("long").alias("whole"), (left % F.col("size")).alias("part"), "ties")
+    out = goals.drop("rest").join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    return written(out.withColumns({"cut_key": F.coalesce("cut_key", F.lit("")), "cut_size": F.coalesce("cut_size", F.lit(-1)), "whole": F.coalesce("whole", F.lit(0)), "part": F.coalesce("part", F.lit(0)), "ties": F.coalesce("ties", F.lit(0))}), "mix-cuts")
+
+
+def taken(rows: DataFrame, cuts: DataFrame, source: Column, size: Column, key: Column, name: str = "taken") -> DataFrame:
+    """Adds to rows how many units of each row the mix takes, repeats counted, and returns the columns of cuts as well, their names before `name` and a dot
+    made free of the rows' own: see names_of(). Rows stay where they are, but for those that are equal at a cut."""
+    c, (own_size, own_key, place) = names_of(rows, name), free(rows.columns, "mix_size", "mix_key", "mix_place")
+    told = cuts.select(*[F.col(k).alias(v) for k, v in c.items() if k in cuts.columns])
+    out = rows.withColumns({own_size: size, own_key: key, c["of"]: source})
+    out = out.join(told, F.col(c["of"]).eqNullSafe(F.col(c["source"]))).drop(c["of"], c["source"])
+    at = (F.col(own_key) == F.col(c["cut_key"])) & (F.col(own_size) == F.col(c["cut_size"]))
+    if not cuts.where("ties > 1").isEmpty():  # equal rows at a cut are told apart by a number
+        tie = F.row_number().over(Window.partitionBy(c["cut_key"], own_size).orderBy(F.lit(1)))
+        out = out.where(~at).withColumn(place, F.lit(1)).unionByName(out.where(at).withColumn(place, tie))
+    else:
+        out = out.withColumn(place, F.lit(1))
+    before = (F.col(own_key) < F.col(c["cut_key"])) | ((F.col(own_key) == F.col(c["cut_key"])) & (F.col(own_size) < F.col(c["cut_size"])))
+    more = F.when(before, F.col(own_size)).when(~at, 0).when(F.col(place) <= F.col(c["whole"]), F.col(own_size)).when(F.col(place) == F.col(c["whole"]) + 1, F.col(c["part"])).otherwise(0)
+    return out.withColumn(c["taken"], (F.col(c["epochs"]) * F.col(own_size) + more).cast("long")).withColumnRenamed(own_size, c["size"]).drop(own_key, place, *[c[k] for k in ("cut_key", "cut_size", "whole", "part", "ties")])
+
+
+def names_of(rows: DataFrame, name: str) -> dict[str, str]:
+    """The names that taken() gives to what it adds, none of them a column of rows."""
+    kinds = ("of", "source", "source_size", "target", "epochs", "cut_key", "cut_size", "whole", "part", "ties", "size", "taken")
+    return dict(zip(kinds, free(rows.columns, *[f"{name}_{k}" for k in kinds]), strict=True))
+
+
 def mix(rows: DataFrame, source: Column, size: Column, identity: Column, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """Adds size, source_size, target and taken to rows: how many units of each row the mix takes, repeats counted.
+    """Adds size, source_size, target and taken to rows: how many units of each row the mix takes, repeats counted. Columns of these names are an error.
 
     source: string; null is a source of its own, the last. size: long, not null, at least 0. identity: string whose hash orders rows.
-    Rows of a source get hash-random keys; they are sorted by key within equal ranges of the key (parts), prefix sums are taken within
-    parts and offset by the sums of the parts before, and the source is cut where its units reach the target, rounded to whole units:
+    Rows of a source get hash-random keys and are taken in their order until the source's units reach the target, rounded to whole units:
     whole epochs first, then the rows before the cut in one more; the row that the cut falls in gives what is still missing. So a
     source's taken units equal its rounded target, and no row gives more than `most` times its size, rounded up to whole epochs.
     Rows that are equal in identity and size may stand for one another. No rows: no rows. A source without units takes none.
     """
-    base = rows.withColumns({"_source": source, "size": size, "_key": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(identity, F.lit(""))))})
-    base = base.withColumn("_part", F.conv(F.substring("_key", 1, 4), 16, 10).cast("long") * BUCKETS / 65536)
-    base = written(base.withColumn("_part", F.floor("_part").cast("int")), "mix")
-    parts = base.groupBy("_source", "_part").agg(F.sum("size").alias("part_size"))
-    before = Window.partitionBy("_source").orderBy("_part")  # at most BUCKETS rows each
-    parts = parts.withColumn("before", F.coalesce(F.sum("part_size").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sources = base.groupBy("_source").agg(F.sum("size").alias("source_size"))
-    sources = sources.withColumn("nth", F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1)  # one row for each source
-    parts = parts.join(mix_targets(sources, weights, share, most).withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_of", "nth", "part_size")
-    parts = parts.withColumnsRenamed({"_source": "_of", "_part": "_at"})
-    inside = Window.partitionBy("_source", "_part").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = base.withColumn("_up_to", F.sum("size").over(inside))
-    out = out.join(parts, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_at")))
-    goal = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
-    rest = goal - epochs * F.col("source_size") - (F.col("before") + F.col("_up_to") - F.col("size"))
-    taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest))
-    return out.withColumn("taken", taken.cast("long")).drop("_source", "_key", "_part", "_up_to", "_of", "_at", "before")
+    clash = {"size", "source_size", "target", "taken"} & {c.lower() for c in rows.columns} - ({"size"} if "size" in rows.columns else set())
+    if clash:
+        raise ValueError(f"rows already have {sorted(clash)}; see mix_cuts() and taken()")
+    key = mix_key(identity, seed)
+    slim = written(rows.select(source.alias("source"), size.alias("size"), key.alias("key")), "mix")
+    out = taken(rows, mix_cuts(slim, weights, share, most), source, size, key)
+    c = names_of(rows, "taken")
+    return out.select(*[k for k in rows.columns if k != "size"], *[F.col(c[k]).alias(k) for k in ("size", "source_size", "target", "taken")])
 
 
-def mixed_rows(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
+def mixed_rows(rows: DataFrame, text: str, columns: list[str], names: dict[str, str] | None = None) -> DataFrame:
     """The mix itself: each row of mix() once for every whole epoch, and once more with the first words of its text for a part of one.
 
-    Rows without units come once for every whole epoch of their source; a source without units has none.
+    Rows without units come once for every whole epoch of their source; a source without units has none. names: of size, source_size, target
+    and taken, where they have others.
     """
-    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(0)
-    epochs = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(whole).cast("int")
-    rest = (F.col("taken") - epochs * F.col("size")).cast("int")
+    n = {k: F.col((names or {}).get(k, k)) for k in ("size", "source_size", "target", "taken")}
+    whole = F.when(n["source_size"] > 0, F.floor(F.round(n["target"]).cast("long") / n["source_size"])).otherwise(0)
+    epochs = F.when(n["size"] > 0, F.floor(n["taken"] / n["size"])).otherwise(whole).cast("int")
+    rest = (n["taken"] - epochs * n["size"]).cast("int")
     lead = rf"({SPACE}*{WORD})"
     part = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(lead), F.lit(1)), F.lit(1), rest), "")
     copies = F.concat(F.array_repeat(F.lit(0), epochs), F.when(rest > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    out = rows.withColumn("_copy", F.explode(copies))
-    out = out.withColumn(text, F.when(F.col("_copy") == 0, F.col(text)).otherwise(part))
-    return out.select(*columns)
+    (copy,) = free(rows.columns, "copy")
+    out = rows.withColumn(copy, F.explode(copies))
+    return out.select(*[F.when(F.col(copy) == 0, F.col(text)).otherwise(part).alias(text) if c == text else F.col(c) for c in columns])
 
 
 def op4_mixing(spark, sf_dir):
@@ -87,6 +140,7 @@ def op4_mixing(spark, sf_dir):
     from .shared import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    docs = written(docs, "sizes")
     return mix(docs, F.col("source"), F.col("size"), F.col("doc_id").cast("string")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,13 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset and Spark runs in one process."""
+    """The folder in spark.checkpoint.dir, with the scheme and host that Spark understands by it; a temporary one where that is unset and Spark runs in one
+    process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return base.rstrip("/")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base.rstrip("/"))
+        full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+        return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = f"file://{tempfile.gettempdir()}/loamline-{spark.sparkContext.applicationId}"
@@ -33,19 +37,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loamline/{name}-{uuid.uuid4().hex}"
 
 
-#: Where written() notes its tables, for who will delete them; None: nobody does.
-_noted: list[DataFrame] | None = None
+#: Where written() notes its tables, for who will delete them; None: nobody does. Each thread of work has its own.
+_noted: ContextVar[list[DataFrame] | None] = ContextVar("noted", default=None)
 
 
 @contextmanager
 def noting(tables: list[DataFrame]):
     """Notes the tables that written() makes meanwhile."""
-    global _noted
-    before, _noted = _noted, tables
+    before = _noted.set(tables)
     try:
         yield
     finally:
-        _noted = before
+        _noted.reset(before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,8 +58,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.loamline_path = path
-    if _noted is not None:
-        _noted.append(out)
+    tables = _noted.get()
+    if tables is not None:
+        tables.append(out)
     return out
 
 
@@ -67,6 +71,17 @@ def dropped(df: DataFrame) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it (in whatever case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
