@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import small_batches, written
 
-#: Trees; rows of a leaf at which splitting ends; rows that a node's split is fitted on, by hash; share of a node's rows, on each side of
-#: the median, that go to both sides; levels that one round adds; rounds at most, beyond which a leaf is compared in blocks, whatever its size.
-TREES, LEAF, SAMPLE, SPILL, LEVELS, ROUNDS = 10, 2560, 512, 0.1, 3, 8
-#: Rows of a block: a leaf of more rows is compared block by block, all pairs of blocks.
-BLOCK = 2048
+#: Trees; rows of a leaf at which splitting ends; share of a node's rows, on each side of the median, that go to both sides.
+TREES, LEAF, SPILL = 8, 128, 0.1
+#: Rows, by hash, on which a node's trees are fitted, and rows of such a sample under which it is not split; rows of one task that takes rows down.
+SAMPLE, LEAST, CHUNK = 16_384, 16, 20_000
+#: Share of a node's pairs that link, in a sample of PROBE rows, from which on it isn't split: such a node is a cluster, whose pairs must be counted anyway.
+DENSE, PROBE = 0.1, 256
+#: Rows of a block: a leaf of more rows is split in a further round, of which there are ROUNDS at most, or else compared block by block, all pairs of blocks.
+BLOCK, ROUNDS = 2048, 6
 COSINE = 0.93
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Distinct vectors that can have links, with label, the least id, their number, and themselves as doubles of length 1."""
+    """Vectors that can have links, with id and label, in their own precision."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists("embedding", lambda x: x != 0)
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & ~zero)
-    e = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # -0.0 and 0.0 are one
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+    e = F.transform("embedding", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # -0.0 and 0.0 are one
     return good.select("vec_id", "label", e.alias("v"))
 
 
@@ -34,90 +39,104 @@ def directions(tree: int, path: str, width: int) -> np.ndarray:
 
 def unit(column, width: int | None = None) -> np.ndarray:
     """The rows of a list column as doubles of length 1."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, width or 1)
     big = np.abs(x).max(1, keepdims=True)
     x = x / big
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def fit_splits(group):
-    """Of a node's sample, the splits of its next LEVELS levels: relative path, and the bounds between which rows go to both sides."""
-    tree, path = group.column("tree")[0].as_py(), group.column("path")[0].as_py()
-    x, out = unit(group.column("v").combine_chunks()), []
-
-    def split(rows: np.ndarray, below: str) -> None:
-        if len(below) == LEVELS or len(rows) < 8:
-            return
-        p = x[rows] @ directions(tree, path + below, x.shape[1])
-        low, high = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL])
-        out.append((below, float(low), float(high)))
-        split(rows[p <= high], below + "0")
-        split(rows[p >= low], below + "1")
-
-    split(np.arange(len(x)), "")
-    return pa.table({"label": pa.array([group.column("label")[0].as_py()], group.schema.field("label").type), "width": pa.array([x.shape[1]], pa.int32()), "tree": pa.array([tree], pa.int32()), "path": [path], "splits": pa.array([[{"below": b, "low": lo, "high": hi} for b, lo, hi in out]], pa.list_(pa.struct([("below", pa.string()), ("low", pa.float64()), ("high", pa.float64())])))})
-
-
-def descend(batches):
-    """Rows with their node's splits go down to the leaves below, to both sides where they spill."""
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch]).combine_chunks()
-        keys = pa.table({"t": t.column("tree"), "p": t.column("path"), "l": t.column("label"), "w": pc.list_value_length(t.column("v"))})
-        node = pc.dictionary_encode(pc.binary_join_element_wise(*[c.cast(pa.string()) for c in keys.columns], "\0")).combine_chunks().indices.to_numpy()
-        order = np.argsort(node, kind="stable")
-        rows, names = [], []
-        for own in np.split(order, np.flatnonzero(np.diff(node[order])) + 1) if len(order) else []:
-            tree, path, splits = (t.column(c)[int(own[0])].as_py() for c in ("tree", "path", "splits"))
-            x = unit(t.column("v").take(pa.array(own)).combine_chunks())
-            bounds = {s["below"]: s for s in splits or ()}
-            level = [("", np.arange(len(own)))]
-            while level:
-                below, at = level.pop()
-                if below not in bounds or not len(at):
-                    rows.append(own[at])
-                    names += [path + below] * len(at)
-                    continue
-                p = x[at] @ directions(tree, path + below, x.shape[1])
-                level += [(below + "0", at[p <= bounds[below]["high"]]), (below + "1", at[p >= bounds[below]["low"]])]
-        took = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-        out = t.take(took).drop_columns(["path", "splits"]).append_column("path", pa.array(names, pa.string()))
-        yield from out.select(["rep", "label", "v", "n", "tree", "path"]).to_batches()
-
-
-def forest(reps: DataFrame, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
-    """reps (rep, label, v, n). Returns each row's leaves: (rep, label, v, n, tree, path), a row for each leaf that it is in.
-
-    Every round splits the nodes that are still too large by LEVELS levels: their sizes are counted, a bounded sample of each is drawn by
-    hash, one task for each node fits thresholds to its sample, and all rows of the node go down. A node that splits no further, as its
-    rows are nearly equal, stays as large as it is.
+SPLITS = pa.list_(pa.struct([("path", pa.string()), ("low", pa.float64()), ("high", pa.float64())]))
+
+
+def fit_splits(leaf: int, cosine: float):
+    """Of a node's sample, the splits of a tree until its leaves hold `leaf` of all the node's rows, or are clusters: the bounds between which rows go to both sides."""
+
+    def run(group):
+        node, tree, rows = (group.column(c)[0].as_py() for c in ("node", "tree", "rows"))
+        x, out = unit(group.column("v").combine_chunks()), []
+        stack = [("", np.arange(len(x)))]
+        while stack:
+            path, at = stack.pop()
+            if len(at) * rows <= leaf * len(x) or len(at) < LEAST or len(path) > 60:
+                continue
+            some = x[at[:: -(-len(at) // PROBE)]]
+            if ((some @ some.T >= cosine).sum() - len(some)) > DENSE * len(some) * (len(some) - 1):
+                continue
+            p = x[at] @ directions(tree, f"{node}/{path}", x.shape[1])
+            low, high = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL])
+            sides = at[p <= high], at[p >= low]
+            if max(map(len, sides)) > 0.9 * len(at):  # rows are nearly equal
+                continue
+            out.append({"path": path, "low": float(low), "high": float(high)})
+            stack += [(path + "0", sides[0]), (path + "1", sides[1])]
+        return pa.table({"node": pa.array([node], pa.int64()), "tree": pa.array([tree], pa.int32()), "splits": pa.array([out], SPLITS)})
+
+    return run
+
+
+def descend(rows, splits):
+    """The leaves of every tree that each row of a chunk of a node comes to, both sides where it spills: (rep, leaf)."""
+    import xxhash
+
+    reps, leaves = [], []
+    if rows.num_rows:
+        rep, x = rows.column("rep").to_numpy(), unit(rows.column("v").combine_chunks())
+        for node, tree, found in zip(*(splits.column(c).to_pylist() for c in ("node", "tree", "splits")), strict=True):
+            bounds = {s["path"]: s for s in found}
+            stack = [("", np.arange(len(rep)))]
+            while stack:
+                path, at = stack.pop()
+                if path in bounds and len(at):
+                    p = x[at] @ directions(tree, f"{node}/{path}", x.shape[1])
+                    stack += [(path + "0", at[p <= bounds[path]["high"]]), (path + "1", at[p >= bounds[path]["low"]])]
+                elif len(at):
+                    reps.append(rep[at])
+                    leaves.append(np.full(len(at), np.uint64(xxhash.xxh64_intdigest(f"{node}/{tree}/{path}"))).astype(np.int64))
+    none = np.zeros(0, np.int64)
+    return pa.table({"rep": pa.array(np.concatenate([none, *reps])), "leaf": pa.array(np.concatenate([none, *leaves]))})
+
+
+def split_nodes(rows: DataFrame, trees: int, leaf: int, cosine: float) -> DataFrame:
+    """rows (node, rows, rep, v): every row of a node with the number of them all. Returns (rep, leaf) for each leaf of each tree that a row is in.
+
+    The trees of a node are fitted on a sample of bounded size, each by one task; then the node's rows are dealt to chunks, which go down all
+    its trees at once. So a vector is moved once for all trees, and once more for each tree if it is in the sample.
+    """
+    share = (F.xxhash64(F.lit(5), "rep").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))) < F.lit(SAMPLE) / F.col("rows")
+    sample = rows.where(share).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    fitted = written(sample.select("node", "tree", "rows", "v").groupBy("node", "tree").applyInArrow(fit_splits(leaf, cosine), "node long, tree int, splits array<struct<path:string,low:double,high:double>>"), "splits")
+    chunks = F.ceil(F.col("rows") / CHUNK).cast("int")
+    nodes = rows.groupBy("node").agg(F.max("rows").alias("rows")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("node", "chunk")
+    every = fitted.join(nodes, "node").groupBy("node", "chunk")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(6), "rep"), chunks).cast("int")).select("node", "chunk", "rep", "v")
+    return dealt.groupBy("node", "chunk").cogroup(every).applyInArrow(descend, "rep long, leaf long")
+
+
+def forest(reps: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: float = COSINE, rounds: int = ROUNDS) -> DataFrame:
+    """reps (rep, label, v). Returns each row's leaves: (rep, leaf), a row for each leaf that it is in.
+
+    A first round splits every label's rows, vectors of one length together. A leaf that is still larger than a block, since its sample could not tell
+    more, is a node of the next round, for its own tree. A leaf that splits no further, as it is a cluster, stays as large as it is.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in reps.schema.fields}
-    schema = f"rep long, label {kinds['label']}, v array<double>, n long, tree int, path string"
-    done, going = [], written(reps.withColumns({"tree": F.explode(F.sequence(F.lit(0), F.lit(trees - 1))), "path": F.lit("")}), "forest")
-    node = ["label", "width", "tree", "path"]
-    was = None
+    kinds = reps.withColumn("node", F.xxhash64("label", F.size("v")))
+    sizes = written(kinds.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1"), "nodes")
+    now = written(split_nodes(kinds.join(sizes, "node").select("node", "rows", "rep", "v"), trees, leaf, cosine), "forest")
+    out = None
     for _ in range(rounds):
-        going = going.withColumn("width", F.size("v"))
-        sizes = written(going.groupBy(*node).count().withColumnRenamed("count", "rows"), "nodes")
-        large = sizes.where(F.col("rows") > leaf)
-        state = large.agg(F.count("*"), F.sum("rows"), F.max("rows")).first()
-        if not state[0] or (was and was[2] == state[2] and was[1] <= state[1]):
-            break
-        was = state
-        marked = going.join(large, node, "left")
-        done.append(marked.where("rows IS NULL").drop("rows", "width"))
-        rest = marked.where("rows IS NOT NULL")
-        share = (F.xxhash64(F.lit(5), "rep").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))) < SAMPLE / F.col("rows")
-        fitted = written(rest.where(share).select("label", "width", "tree", "path", "v").groupBy(*node).applyInArrow(fit_splits, f"label {kinds['label']}, width int, tree int, path string, splits array<struct<below:string,low:double,high:double>>"), "splits")
-        going = written(rest.join(fitted, node, "left").select("rep", "label", "v", "n", "tree", "path", "splits").mapInArrow(descend, schema), "forest")
-    done.append(going.select("rep", "label", "v", "n", "tree", "path"))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        sizes = now.groupBy("leaf").agg(F.count("*").alias("rows"))
+        large = written(sizes.where(F.col("rows") > max(BLOCK, leaf)), "large")
+        most = large.agg(F.max("rows")).first()[0]
+        done = now if most is None else now.join(large, "leaf", "left_anti").select("rep", "leaf")
+        out = done if out is None else out.union(done)
+        if most is None:
+            return out
+        rows = now.join(large, "leaf").withColumnRenamed("leaf", "node").join(reps.select("rep", "v"), "rep").select("node", "rows", "rep", "v")
+        after = written(split_nodes(rows, 1, leaf, cosine), "forest")
+        if after.groupBy("leaf").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] >= most:
+            return out.union(after)
+        now = after
+    return out.union(now)
 
 
 def compare(cosine: float):
@@ -178,10 +197,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     ok = written(usable(vectors).withColumn("g", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string")), F.lit("of"), F.to_json(F.struct("label"))).cast("binary"), 256)), "vectors")
     reps = ok.groupBy("g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     reps = written(reps.select("g", "rep", "n", "label", "v").withColumn("id", F.xxhash64("g")), "reps")
-    rows = forest(reps.select(F.col("id").alias("rep"), "label", "v", "n"), trees, leaf)
-    rows = written(rows.withColumn("leaf", F.xxhash64("label", F.size("v"), "tree", "path")).drop("tree", "path"), "leaves")
-    # repeated leaves of a row (two ways down to one leaf) are one; the leaf's number orders leaves
-    own = rows.groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+    rows = written(forest(reps.select(F.col("id").alias("rep"), "label", "v"), trees, leaf, cosine), "leaves")
+    # the leaf's number orders leaves; a pair counts in the first that both its rows are in
+    own = rows.groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")).join(reps.select(F.col("id").alias("rep"), "n", "v"), "rep")
     sizes = rows.groupBy("leaf").agg(F.count("*").alias("rows")).where("rows > 1")
     many = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = rows.join(sizes, "leaf").join(own, "rep").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "rep"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
@@ -200,6 +218,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
 
 
 def op2_embeddings(spark, sf_dir):
+    """All vectors. Null, zero and non-finite ones, and rows without a label, link with nothing."""
     from .shared import table
 
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
