@@ -1,6 +1,7 @@
 """Personal data: fixed patterns as seeds, and contexts learned from them that find further identifiers."""
 
 import re
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
@@ -19,13 +20,14 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Texts that look like an identifier of a kind without being one by the fixed patterns; which kind, their digits say.
-LIKE_EMAIL = re.compile(r"(?: ?\(at\) ?| ?\[at\] ?| at |@)[A-Za-z0-9-]{1,63}+(?:(?:\.| dot | ?\[dot\] ?)[A-Za-z0-9-]{1,63}+)+")
+LIKE_EMAIL = re.compile(r"(?: ?\(at\) ?| ?\[at\] ?| at |@)[A-Za-z0-9-]++(?:(?:\.| dot | ?\[dot\] ?)[A-Za-z0-9-]++)+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LIKE_NUMBER = re.compile(r"(?<![A-Za-z0-9])[(]?[0-9](?:[\x20().-]{0,2}[0-9])*+(?![A-Za-z0-9])")
 LIKE_IP = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])")
 #: Rounds of scoring; the least score of a pattern and of an instance; distinct seeds that a pattern needs; share of a pattern's
 #: occurrences in the corpus that an identifier of its kind must follow.
 ROUNDS, SURE, SEEDS, FOLLOWED = 3, 0.8, 5, 0.6
-#: Patterns whose occurrences one pass over the corpus counts.
+#: Patterns, of 8 bytes each, whose occurrences one pass over the corpus counts.
 PASS_PATTERNS = 500_000
 
 _NINES = byte_table(lambda c: c != 32 and not 9 <= c <= 13)
@@ -66,13 +68,14 @@ def base_spans(t: str) -> list[tuple[int, int, str]]:
 
 def lookalikes(t: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans that look like identifiers, apart from those taken and from one another."""
-    found = []
+    found, end = [], 0
     for m in LIKE_EMAIL.finditer(t) if "@" in t or "at" in t else ():
         a = m.start()
-        while a > max(0, m.start() - 64) and t[a - 1] in LOCAL:
+        while a > end and t[a - 1] in LOCAL:
             a -= 1
         if a < m.start():
             found.append((a, m.end(), "email"))
+        end = m.end()
     if ":" in t:
         found += [(m.start(), m.end(), "ip") for m in LIKE_IP.finditer(t)]
     for m in LIKE_NUMBER.finditer(t):
@@ -85,43 +88,51 @@ def lookalikes(t: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int
     return out
 
 
-def context(t: str, at: int) -> str | None:
-    """The last two words before a place, A-Z lower-cased and digits made 9; None with fewer than two."""
-    w = t[max(0, at - 80) : at].encode()
-    w = bytes(_NINES[np.frombuffer(w, np.uint8)]).replace(b"\0", b" ").decode(errors="ignore").split(" ")
-    w = [x for x in w if x][-2:]
-    return " ".join(w) if len(w) == 2 else None
-
+def pairs(w: Words) -> np.ndarray:
+    """A hash for each two neighbouring words, A-Z lower-cased and digits made 9."""
+    return mixed(w.hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.hashes[1:])
 
-def pattern_hashes(patterns: list[str]) -> np.ndarray:
-    out = np.zeros(len(patterns), np.uint64)
-    for w in words(pa.array(patterns, pa.string()), _NINES):
-        out[w.first : w.first + w.n] = pairs(w)[w.at[:-1]]
-    return out
 
+def contexts(t: str, places: list[int], hashes: np.ndarray) -> list[int | None]:
+    """Of each place the pattern before it: the hash of the last two whole words that end before it, or before the word in which it stands; None with fewer.
 
-def pairs(w: Words) -> np.ndarray:
-    """A hash for each two neighbouring words."""
-    return mixed(w.hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.hashes[1:])
+    hashes: pairs() of the text's own words.
+    """
+    if not places:
+        return []
+    begins, ends = [], []
+    for m in WORD.finditer(t):
+        begins.append(m.start())
+        ends.append(m.end())
+    out = []
+    for at in places:
+        whole = bisect_left(begins, at)  # words that begin before it
+        whole -= bool(whole and ends[whole - 1] > at)
+        out.append(int(hashes[whole - 2].astype(np.int64)) if whole >= 2 else None)
+    return out
 
 
-SPAN = "array<struct<kind:string,start:int,end:int,pattern:string,instance:string>>"
+SPAN = "array<struct<kind:string,start:int,end:int,pattern:long,instance:string>>"
 
 
 def found_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     """One pass over whole texts: base and look-alike spans of each row, with their contexts. A written table; _row tells rows apart."""
     small_batches(docs.sparkSession)
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string()), ("instance", pa.string())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int64()), ("instance", pa.string())]))
 
     def find(batches):
         for batch in batches:
-            base, like = [], []
-            for t in batch.column("text").to_pylist():
-                t = t or ""
-                b = base_spans(t)
-                full = lambda s, t=t: {"kind": s[2], "start": s[0], "end": s[1], "pattern": context(t, s[0]), "instance": t[s[0] : s[1]].lower()}
-                base.append([full(s) for s in b])
-                like.append([full(s) for s in lookalikes(t, b)])
+            base, like, texts = [], [], batch.column("text").to_pylist()
+            for w in words(batch.column("text"), _NINES):
+                hashes = pairs(w) if len(w.hashes) > 1 else np.zeros(0, np.uint64)
+                for d in range(w.n):
+                    t = texts[w.first + d] or ""
+                    b = base_spans(t)
+                    both = [b, lookalikes(t, b)]
+                    at = contexts(t, [s[0] for x in both for s in x], hashes[w.at[d] : max(w.at[d], w.at[d + 1] - 1)])
+                    for x, out in zip(both, (base, like), strict=True):
+                        out.append([{"kind": s[2], "start": s[0], "end": s[1], "pattern": p, "instance": t[s[0] : s[1]].lower()} for s, p in zip(x, at, strict=False)])
+                        at = at[len(x) :]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(base, kind), pa.array(like, kind)], names=[*keep, "base", "like"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -132,35 +143,35 @@ def found_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
 def pattern_scores(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Scores of (pattern, kind) from the graph of patterns and instances.
 
-    Seeds, the base spans, have score 1 for their kind; look-alikes begin at 0. A pattern's score for a kind is the weight of its
-    instances of that kind by their scores, over that weight, plus all seeds of other kinds, plus a tenth of what is unknown. A look-alike's
-    score is the noisy-or of its patterns. Edges are counts, so a hot pattern or instance is combined before it is moved.
+    Base spans have score 1 for their kind; look-alikes begin at 0, and those with a score of SURE or more are seeds of the next round like base spans,
+    so that what a sure pattern has found induces patterns of its own. A pattern's score for a kind is the weight of its instances of that kind by
+    their scores, over that weight, plus all base spans of other kinds, plus a tenth of what is unknown; times seeds / (seeds + 1), seeds being
+    its distinct instances that are sure. A look-alike's score is the noisy-or of its patterns. Edges are counts, so a hot pattern or
+    instance is combined before it is moved.
     """
     edge = lambda c, seed: spans.select(F.explode(c).alias("s")).where("s.pattern is not null").select("s.pattern", "s.kind", "s.instance", F.lit(seed).alias("seed"))
     edges = written(edge("base", 1).union(edge("like", 0)).groupBy("pattern", "kind", "instance", "seed").agg(F.count("*").alias("n")), "pii-edges")
-    rooted = edges.where("seed = 1").groupBy("pattern").agg(F.count("*").alias("_")).drop("_")
-    live = edges.join(rooted, "pattern", "left_semi")
-    others = live.where("seed = 1").groupBy("pattern").agg(F.sum("n").alias("all_seeds"))
-    instance = live.where("seed = 0").select("kind", "instance").distinct().withColumn("r", F.lit(0.0))
+    others = edges.where("seed = 1").groupBy("pattern").agg(F.sum("n").alias("all_seeds"))
+    instance = edges.where("seed = 0").select("kind", "instance").distinct().withColumn("r", F.lit(0.0))
     scores = None
     for _ in range(rounds):
-        known = live.join(instance, ["kind", "instance"], "left").withColumn("r", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("r", F.lit(0.0))))
-        scores = known.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("r")).alias("pos"), F.sum(F.col("n") * (1 - F.col("r"))).alias("unknown"), F.sum(F.when(F.col("seed") == 1, F.col("n")).otherwise(0)).alias("own"), F.sum("seed").alias("seeds"), F.sum("n").alias("n"))
-        scores = scores.join(others, "pattern").withColumn("score", F.col("pos") / (F.col("pos") + F.col("all_seeds") - F.col("own") + 0.1 * F.col("unknown")) * F.col("seeds") / (F.col("seeds") + 1))
+        known = edges.join(instance, ["kind", "instance"], "left").withColumn("r", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("r", F.lit(0.0))))
+        sure = (F.col("r") >= SURE).cast("long")
+        scores = known.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("r")).alias("pos"), F.sum(F.col("n") * (1 - F.col("r"))).alias("unknown"), F.sum(F.when(F.col("seed") == 1, F.col("n")).otherwise(0)).alias("own"), F.sum(sure).alias("seeds"), F.sum("n").alias("n"))
+        foreign = F.coalesce("all_seeds", F.lit(0)) - F.col("own")
+        scores = scores.where("seeds > 0").join(others, "pattern", "left").withColumn("score", F.col("pos") / (F.col("pos") + foreign + 0.1 * F.col("unknown")) * F.col("seeds") / (F.col("seeds") + 1))
         scores = written(scores.select("pattern", "kind", "score", "seeds", "n"), "pii-patterns")
-        instance = live.where("seed = 0").join(scores, ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("r"))
+        instance = edges.where("seed = 0").join(scores, ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("r"))
     return scores
 
 
-def occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """How often each pattern's two words follow each other in all texts."""
-    hashes = pattern_hashes(patterns)
-    order = np.argsort(hashes)
-    sent = docs.sparkSession.sparkContext.broadcast((hashes[order], [patterns[i] for i in order]))
+def occurrences(docs: DataFrame, patterns: np.ndarray) -> DataFrame:
+    """How often each pattern's two words follow each other in all texts. patterns: hashes, signed."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(patterns.astype(np.uint64)))
 
     def count(batches):
         for batch in batches:
-            keys, names = sent.value
+            keys = sent.value
             total = np.zeros(len(keys), np.int64)
             for w in words(batch.column("text"), _NINES):
                 if len(w.hashes) < 2:
@@ -172,9 +183,9 @@ def occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 total += np.bincount(at[(keys[at] == h) & inside], minlength=len(keys))
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(total[some])], names=["pattern", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].astype(np.int64)), pa.array(total[some])], names=["pattern", "times"])
 
-    return docs.select("text").mapInArrow(count, "pattern string, times long").groupBy("pattern").agg(F.sum("times").alias("times"))
+    return docs.select("text").mapInArrow(count, "pattern long, times long").groupBy("pattern").agg(F.sum("times").alias("times"))
 
 
 def sure_patterns(docs: DataFrame, spans: DataFrame) -> DataFrame | None:
@@ -191,9 +202,8 @@ def sure_patterns(docs: DataFrame, spans: DataFrame) -> DataFrame | None:
     parts = -(-n // PASS_PATTERNS)
     counted = []
     for i in range(parts):
-        some = good.select("pattern").distinct().where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == i)
-        names = [r["pattern"] for r in some.collect()]
-        counted += [occurrences(docs, sorted(names))] if names else []
+        some = good.select("pattern").distinct().where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == i).toArrow().column("pattern").to_numpy()
+        counted += [occurrences(docs, some)] if len(some) else []
     times = reduce(DataFrame.union, counted)
     return written(good.join(times, "pattern", "left").where(F.col("n") >= FOLLOWED * F.coalesce("times", F.lit(0))).select("pattern", "kind"), "pii-sure")
 
