@@ -7,26 +7,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, written
 from .words import ALNUM, Words, sequence_hash, words
 
 #: Words of a window, and of the shingles by whose rarity windows are looked up.
 WINDOW, SHINGLE = 10, 3
-#: Bytes of benchmark text that one pass over the documents may carry to all executors; a larger benchmark takes more passes.
-PASS_BYTES = 32 << 20
+#: Bytes of benchmark text that one pass over the documents may carry to all executors: an index takes about 6 times as much (51 MB for 8.1 MB, as
+#: measured), its making on the driver about 60 times (482 MB and 2.4 s). A larger benchmark takes more passes; an item alone is never cut.
+PASS_BYTES = 4 << 20
 
 
 @dataclass
 class Index:
-    """Distinct windows by their rarest shingle. Of window k: size words, its key at offset at[k]; its bytes, words joined by spaces."""
+    """Windows of all items by their rarest shingle. Of window k: size words from word first[k] of the items' words on, its key at offset at[k], and its item.
+    data, starts and ends: the items' bytes, and where their words are."""
 
     keys: np.ndarray
     at: np.ndarray
     size: np.ndarray
     hashes: np.ndarray
-    text: list[bytes]
-    items: list[np.ndarray]
+    first: np.ndarray
+    item: np.ndarray
     names: list[str]
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def text(self, k: int) -> bytes:
+        a, n = int(self.first[k]), int(self.size[k])
+        return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[a : a + n], self.ends[a : a + n], strict=True))
 
 
 def window_bytes(w: Words, first: int, size: int) -> bytes:
@@ -39,32 +48,54 @@ def build_index(names: list[str], texts: list[str | None], window: int = WINDOW)
     Shingles (SHINGLE words, or all of a shorter window) are ordered by how many items hold them, then by hash: containment of a whole
     window asks for all of its shingles, so the prefix to look up is one, its rarest.
     """
-    found: dict[bytes, list] = {}
-    held: dict[int, set[int]] = {}
-    for w in words(pa.array(texts, pa.string()), ALNUM):
-        for d in range(w.n):
-            a, b = int(w.at[d]), int(w.at[d + 1])
-            n = min(window, b - a)
-            for i in range(a, b - n + 1) if n else ():
-                k = min(SHINGLE, n)
-                shingles = sequence_hash(w.hashes[i : i + n], k)
-                for h in shingles.tolist():
-                    held.setdefault(h, set()).add(w.first + d)
-                entry = found.setdefault(window_bytes(w, i, n), [n, shingles, int(sequence_hash(w.hashes[i : i + n], n)[0]), set()])
-                entry[3].add(w.first + d)
-    rows = []
-    for text, (n, shingles, full, items) in found.items():
-        at = min(range(len(shingles)), key=lambda j: (len(held[int(shingles[j])]), int(shingles[j])))
-        rows.append((int(shingles[at]), at, n, full, text, np.array(sorted(items))))
-    rows.sort(key=lambda r: (r[0], r[4]))
-    number = lambda j, kind: np.array([r[j] for r in rows], kind)
-    return Index(number(0, np.uint64), number(1, np.int64), number(2, np.int64), number(3, np.uint64), [r[4] for r in rows], [r[5] for r in rows], names)
+    parts = list(words(pa.array(texts, pa.string()), ALNUM))
+    bytes_before = np.cumsum([0, *[len(w.data) for w in parts]])
+    joined = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
+    hashes, data = joined([w.hashes for w in parts], np.uint64), joined([w.data for w in parts], np.uint8)
+    starts = joined([w.starts + b for w, b in zip(parts, bytes_before, strict=False)], np.int64)
+    ends = joined([w.ends + b for w, b in zip(parts, bytes_before, strict=False)], np.int64)
+    n_words = joined([np.diff(w.at) for w in parts], np.int64).astype(np.int64)
+    begin = np.cumsum(n_words) - n_words
+    found = []
+    # how rare a shingle is, by sizes of shingles: full ones, and those of items with fewer words
+    for k in range(1, SHINGLE + 1):
+        sizes = [k] if k < SHINGLE else range(SHINGLE, window + 1)
+        mine = np.flatnonzero(np.isin(np.minimum(n_words, window), list(sizes)))
+        if not len(mine):
+            continue
+        runs = sequence_hash(hashes, k)
+        count = n_words[mine] - k + 1
+        item = np.repeat(mine, count)
+        place = np.repeat(begin[mine] - (np.cumsum(count) - count), count) + np.arange(len(item))
+        names_, code = np.unique(runs[place], return_inverse=True)
+        pairs = np.unique(np.stack([code, item]), axis=1)
+        held = np.bincount(pairs[0], minlength=len(names_))
+        rank = np.empty(len(names_), np.int64)
+        rank[np.lexsort((names_, held))] = np.arange(len(names_))
+        rank = rank[code]  # of the shingle at each place of these items
+        first_of = np.cumsum(count) - count
+        for size in sizes:
+            own = np.flatnonzero(np.minimum(n_words[mine], window) == size)
+            n = n_words[mine[own]] - size + 1
+            of = np.repeat(own, n)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            at = first_of[of] + nth
+            best, where = rank[at], np.zeros(len(at), np.int64)
+            for j in range(1, size - k + 1):
+                other = rank[at + j]
+                where[other < best] = j
+                best = np.minimum(best, other)
+            start = begin[mine[of]] + nth
+            found.append((runs[start + where], where, np.full(len(at), size), sequence_hash(hashes, size)[start], start, mine[of]))
+    keys, at, size, full, first, item = (joined([f[i] for f in found], kind) for i, kind in enumerate((np.uint64, np.int64, np.int64, np.uint64, np.int64, np.int64)))
+    order = np.lexsort((full, keys))
+    return Index(keys[order], at[order].astype(np.int16), size[order].astype(np.int16), full[order], first[order].astype(np.int32), item[order].astype(np.int32), names, data, starts.astype(np.int32), ends.astype(np.int32))
 
 
 def matches(w: Words, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences of windows in texts: the first word of each, and the window. Bounds of position and length go first, then the exact words."""
     starts, which = [], []
-    for k in np.unique(np.minimum(index.size, SHINGLE)):
+    for k in np.unique(np.minimum(index.size, SHINGLE)).tolist():
         mine = np.flatnonzero(np.minimum(index.size, SHINGLE) == k)
         keys = index.keys[mine]
         own = sequence_hash(w.hashes, int(k))
@@ -82,7 +113,7 @@ def matches(w: Words, index: Index) -> tuple[np.ndarray, np.ndarray]:
             part = np.flatnonzero(index.size[win] == size)
             full = sequence_hash(w.hashes, int(size))[first[part]]
             part = part[full == index.hashes[win[part]]]
-            same = [j for j in part if window_bytes(w, int(first[j]), int(size)) == index.text[win[j]]]
+            same = [j for j in part if window_bytes(w, int(first[j]), int(size)) == index.text(int(win[j]))]
             starts.append(first[same])
             which.append(win[same])
     return (np.concatenate(starts), np.concatenate(which)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -103,8 +134,7 @@ def scan(texts: pa.Array, index: Index) -> tuple[np.ndarray, np.ndarray, list[li
         n_hit[w.first : w.first + w.n] = hit[w.at[1:]] - hit[w.at[:-1]]
         text = np.searchsorted(w.at, first, "right") - 1
         for d in np.unique(text):
-            found = np.unique(np.concatenate([index.items[k] for k in np.unique(win[text == d])]))
-            items[w.first + int(d)] = sorted({index.names[i] for i in found})
+            items[w.first + int(d)] = sorted({index.names[i] for i in np.unique(index.item[win[text == d]])})
     return n_words, n_hit, items
 
 
@@ -142,8 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n), pa.array(hit), pa.array(items, pa.list_(pa.string()))], names=[*keep, "n_words", "n_hit", "items"])
 
         return narrow.mapInArrow(find, head + "n_words long, n_hit long, items array<string>")
-    # a file's rows have the same numbers in every pass
-    numbered = narrow.withColumn("_row", F.monotonically_increasing_id())
+    numbered = written(narrow.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # a row has one number in all passes
     found = None
     for part in parts:
         sent = spark.sparkContext.broadcast(read_items(part, window))
@@ -154,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window
                 for w in words(batch.column("text"), ALNUM):
                     first, win = matches(w, index)
                     text = np.searchsorted(w.at, first, "right") - 1
-                    rows = [(w.first + int(d), int(f - w.at[d]), int(index.size[k]), [index.names[i] for i in index.items[k]]) for d, f, k in zip(text, first, win, strict=True)]
+                    rows = [(w.first + int(d), int(f - w.at[d]), int(index.size[k]), [index.names[index.item[k]]]) for d, f, k in zip(text, first, win, strict=True)]
                     ids = batch.column("_row").to_pylist()
                     yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["_row", "first", "size", "names"])
 
