@@ -14,6 +14,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: False keys that the first level may let through, at most so many times the listed keys, on average.
 FALSE_SHARE = 0.5
+#: Keys that are put into a level at once.
+KEYS_AT_ONCE = 100_000
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -51,23 +53,28 @@ def hashes(keys: list[str], level: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Bloom:
     bits: np.ndarray
+    size: int
     n_hashes: int
     level: int
 
     @classmethod
     def of(cls, keys: list[str], rate: float, level: int) -> "Bloom":
         size = max(64, math.ceil(-len(keys) * math.log(rate) / math.log(2) ** 2))
-        out = cls(np.zeros(size, bool), max(1, round(-math.log2(rate))), level)
-        if keys:
-            out.bits[out.places(keys).ravel()] = True
+        out = cls(np.zeros(-(-size // 8), np.uint8), size, max(1, round(-math.log2(rate))), level)
+        for i in range(0, len(keys), KEYS_AT_ONCE):
+            at = out.places(keys[i : i + KEYS_AT_ONCE]).ravel()
+            np.bitwise_or.at(out.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         return out
 
     def places(self, keys: list[str]) -> np.ndarray:
         low, high = hashes(keys, self.level)
-        return (low[:, None] + high[:, None] * np.arange(self.n_hashes, dtype=np.uint64)) % np.uint64(len(self.bits))
+        return (low[:, None] + high[:, None] * np.arange(self.n_hashes, dtype=np.uint64)) % np.uint64(self.size)
 
     def holds(self, keys: list[str]) -> np.ndarray:
-        return self.bits[self.places(keys)].all(1) if keys else np.zeros(0, bool)
+        if not keys:
+            return np.zeros(0, bool)
+        at = self.places(keys)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool).all(1)
 
 
 def holds(levels: list[Bloom], keys: list[str]) -> np.ndarray:
@@ -79,15 +86,14 @@ def holds(levels: list[Bloom], keys: list[str]) -> np.ndarray:
     return depth % 2 == 1
 
 
-def fit_cascade(universe: DataFrame, listed: list[str], lengths: tuple[int, ...], url: str = "url") -> list[Bloom]:
-    """Levels that tell listed keys from every other key of the corpus.
+def fit_cascades(universe: DataFrame, lists: dict[str, list[str]], lengths: tuple[int, ...], url: str = "url") -> dict[str, list[Bloom]]:
+    """For each list the levels that tell its keys from every other key of the corpus.
 
-    listed is a rule list that the driver holds. One pass over the corpus counts its keys (repeats counted, an upper bound) and sets the
-    first level's rate so that the false keys that it lets through are about as many as the listed ones; a second pass finds these,
-    each once. Further levels need no pass: each encodes what of one side the levels before let through, until nothing is left.
+    Lists are rule lists that the driver holds. One pass over the corpus counts its keys (repeats counted, an upper bound) and sets the
+    first levels' rates so that the false keys that each lets through are about as many as the listed ones; a second pass finds these,
+    each once, for all lists. Further levels need no pass: each encodes what of one side the levels before let through, until nothing is left.
     """
     small_batches(universe.sparkSession)
-    known = frozenset(listed)
 
     def count(batches):
         for batch in batches:
@@ -95,23 +101,36 @@ def fit_cascade(universe: DataFrame, listed: list[str], lengths: tuple[int, ...]
 
     urls = universe.select(url)
     n = urls.mapInArrow(count, "n long").groupBy().sum("n").first()[0] or 0
-    rate = min(0.5, max(1e-9, FALSE_SHARE * max(1, len(listed)) / max(1, n)))
-    first = Bloom.of(listed, rate, 0)
+    first = {name: Bloom.of(listed, min(0.5, max(1e-9, FALSE_SHARE * max(1, len(listed)) / max(1, n))), 0) for name, listed in lists.items()}
+    sent = universe.sparkSession.sparkContext.broadcast((first, {name: frozenset(listed) for name, listed in lists.items()}))
 
     def false_keys(batches):
+        levels, known = sent.value
         for batch in batches:
-            keys = sorted({k for u in batch.column(url).to_pylist() for k in keys_of(*split_url(u), lengths)} - known)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, x in zip(keys, first.holds(keys), strict=True) if x], pa.string())], names=["k"])
+            keys = sorted({k for u in batch.column(url).to_pylist() for k in keys_of(*split_url(u), lengths)})
+            for name, level in levels.items():
+                own = [k for k, x in zip(keys, level.holds(keys), strict=True) if x and k not in known[name]]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own, pa.string())], names=["name", "k"])
+
+    passed: dict[str, list[str]] = {name: [] for name in lists}
+    for r in urls.mapInArrow(false_keys, "name string, k string").distinct().collect():  # about as many as are listed
+        passed[r["name"]].append(r["k"])
+    out = {}
+    for name, listed in lists.items():
+        levels, sides = [first[name]], (sorted(passed[name]), list(listed))
+        while sides[0]:
+            level = Bloom.of(sides[0], 0.3, len(levels))
+            levels.append(level)
+            sides = ([k for k, x in zip(sides[1], level.holds(sides[1]), strict=True) if x], sides[0])
+            if len(levels) > 200:
+                raise ValueError("the cascade doesn't end")
+        out[name] = levels
+    return out
 
-    passed = sorted(r["k"] for r in urls.mapInArrow(false_keys, "k string").distinct().collect())  # about as many as are listed
-    levels, sides = [first], (passed, list(listed))
-    while sides[0]:
-        level = Bloom.of(sides[0], 0.3, len(levels))
-        levels.append(level)
-        sides = ([k for k, x in zip(sides[1], level.holds(sides[1]), strict=True) if x], sides[0])
-        if len(levels) > 200:
-            raise ValueError("the cascade doesn't end")
-    return levels
+
+def fit_cascade(universe: DataFrame, listed: list[str], lengths: tuple[int, ...], url: str = "url") -> list[Bloom]:
+    """The levels of one list."""
+    return fit_cascades(universe, {"": listed}, lengths, url)[""]
 
 
 def judged(pages: DataFrame, rules=RULES, default: str = "allow", keep: tuple[str, ...] = ("page_id",), url: str = "url") -> DataFrame:
@@ -123,7 +142,7 @@ def judged(pages: DataFrame, rules=RULES, default: str = "allow", keep: tuple[st
     spark = pages.sparkSession
     verdicts = {h + p: v for v, h, p in rules}
     lengths = tuple(sorted({len(p) for _, _, p in rules}))
-    cascades = {v: fit_cascade(pages, sorted(k for k, x in verdicts.items() if x == v), lengths, url) for v in ("allow", "block")}
+    cascades = fit_cascades(pages, {v: sorted(k for k, x in verdicts.items() if x == v) for v in ("allow", "block")}, lengths, url)
     sent = spark.sparkContext.broadcast(cascades)
 
     def judge(batches):
@@ -143,6 +162,7 @@ def judged(pages: DataFrame, rules=RULES, default: str = "allow", keep: tuple[st
 
 
 def op9_urlfilter(spark, sf_dir):
+    """Every page; a null url has neither host nor path and the verdict allow. Repeated rows are judged each; columns of other names aren't read."""
     from .shared import table
 
     return judged(table(spark, sf_dir, "pages"))
