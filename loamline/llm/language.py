@@ -185,7 +185,7 @@ def predicted(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFram
                 p /= p.sum(1, keepdims=True)
                 ok = known[i:j]
                 lang[i:j][ok] = np.array(net.names, object)[p.argmax(1)][ok]
-                score[i:j][ok] = p.max(1)[ok]
+                score[i:j][ok] = p.max(1)[ok].round(6)  # single precision tells no more, and depends on how rows are batched
             out = [batch.column(c) for c in keep] + [pa.array(lang.tolist(), pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score"])
 

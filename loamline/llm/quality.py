@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fraction, small_batches
+from .shared import fraction, free, small_batches
 from .words import SPACED, chunks, text_bytes, words
 
 #: Most labelled rows that a classifier is fitted on, chosen by a hash of their id.
@@ -149,12 +149,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, train_row
 
 
 def scored(docs: DataFrame, trees: Trees, text: str = "text", least: float | None = None) -> DataFrame:
-    """Adds score to every row; with `least`, keeps the rows that score so much and leaves the columns as they are.
+    """Adds score to every row, a column that is named so already stays with underscores before its name; with `least`, keeps the rows that score so much and
+    leaves the columns as they are.
 
     Nulls and empty texts have the score of their statistics, all zero.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(trees)
+    mine = [c for c in docs.columns if c.lower() == "score"] if least is None else []
+    docs = docs.withColumnRenamed(mine[0], free(docs.columns, "score")[0]) if mine else docs
 
     def score(batches):
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .pairs import forest_of
-from .shared import dropped, small_batches, written
+from .shared import dropped, free, small_batches, written
 from .words import SPACED, mixed, shingle_set, words
 
 #: Rows of one block of a list or family, and bytes of a block's bitmaps or sets; a longer one is joined block by block.
@@ -513,26 +513,28 @@ def one_of_each(docs: DataFrame, found: DataFrame, k: int = 4) -> DataFrame:
     """
     spark, names = docs.sparkSession, docs.columns
     small_batches(spark)
+    id_, class_ = free(names, "id", "class")
     found = written(found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "found")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("stays").alias("stays"))
-    several = F.col("doc_id").isNull() | (F.col("rows") > 1)
-    ids = written(ids.where(several | ~F.col("stays")).select(F.col("doc_id").alias("_id"), several.alias("several")), "told-ids")
-    some = ids.count()
-    gone = F.broadcast(ids) if some <= FETCH else ids
-    out = docs.where("doc_id IS NOT NULL").join(gone, docs.doc_id == F.col("_id"), "left_anti")
-    several = ids.where("several")
-    if several.isEmpty():
+    ids = found.groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("rows"), F.bool_and("stays").alias("stays"))
+    several = F.col(id_).isNull() | (F.col("rows") > 1)
+    ids = written(ids.where(several | ~F.col("stays")).select(id_, several.alias("several")), "told-ids")
+    gone = ids.select(id_)
+    gone = F.broadcast(gone) if ids.count() <= FETCH else gone
+    out = docs.where(docs.doc_id.isNotNull()).join(gone, docs.doc_id == F.col(id_), "left_anti")
+    more = ids.where("several").select(id_)
+    if more.isEmpty():
         return out
 
     def with_class(batches):
         for batch in batches:
-            yield batch.append_column("_class", pa.array([fingerprint(s) if len(s) else None for s in text_sets(batch.column("text"), k)], pa.int64()))
+            yield batch.append_column(class_, pa.array([fingerprint(s) if len(s) else None for s in text_sets(batch.column("text"), k)], pa.int64()))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rest = docs.join(several, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi").mapInArrow(with_class, f"{kinds}, _class long")
-    kept = found.where("stays AND class_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_of")).distinct()
-    full = rest.join(kept, rest.doc_id.eqNullSafe(kept["_id"]) & (rest["_class"] == kept["_of"]), "left_semi").dropDuplicates(["doc_id", "_class"])
-    return out.union(full.select(names)).union(rest.where("_class IS NULL").select(names))
+    rest = docs.join(more, docs.doc_id.eqNullSafe(F.col(id_)), "left_semi").mapInArrow(with_class, f"{kinds}, `{class_}` long")
+    of = free([*names, class_], "of")[0]
+    kept = found.where("stays AND class_id IS NOT NULL").select(F.col("doc_id").alias(id_), F.col("class_id").alias(of)).distinct()
+    full = rest.join(kept, rest.doc_id.eqNullSafe(F.col(id_)) & (F.col(class_) == F.col(of)), "left_semi").dropDuplicates(["doc_id", class_])
+    return out.union(full.select(names)).union(rest.where(F.col(class_).isNull()).select(names))
 
 
 def op5_jaccard(spark, sf_dir):

@@ -135,6 +135,7 @@ def record_types(pages: DataFrame) -> DataFrame:
     response = kept.select("top.page_id", "top.url", F.lit(0).alias("copy"), "sha1", "bytes", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"), "payload")
     each = rows.groupBy("sha1", "bytes", "page_id", "url").count()
     tops = rows.groupBy("sha1", "bytes").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
+    tops = written(tops, "warc-tops")  # a table of its own, so that the rows of one payload can be dealt to several tasks in the join
     more = each.join(tops, ["sha1", "bytes"]).withColumn("first", (F.col("page_id").eqNullSafe(F.col("top.page_id")) & F.col("url").eqNullSafe(F.col("top.url"))).cast("int"))
     more = more.where("count > first").withColumn("copy", F.explode(F.sequence(F.col("first").cast("int"), F.col("count").cast("int") - 1)))
     revisit = more.select("page_id", "url", "copy", "sha1", "bytes", F.lit("revisit").alias("kind"), F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url"), F.lit(None).cast("binary").alias("payload"))
