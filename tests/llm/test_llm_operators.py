@@ -160,7 +160,7 @@ def test_language_learns_every_value(spark):
 def test_quality(spark):
     rng = random.Random(5)
     rows = [(i, text_of(rng, 80) if i % 2 else text_of(rng, 80).upper() + "!!! ###") for i in range(400)] + [(1000, None), (1001, ""), (1002, text_of(rng, 60_000)), (None, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).drop("score")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(7, 1), (None, 1), (8, None)], "doc_id long, quality int")
     trees = quality.fit_quality(docs, labels, F.expr("doc_id % 3 <> 1"))
     out = {r.doc_id: r.score for r in quality.scored(docs, trees).collect()}
@@ -500,3 +500,241 @@ def test_cascade_is_exact_on_its_universe(spark):
     listed = [k.replace("/p", "/p") for k in listed]
     held = urlfilter.holds(levels, universe)
     assert [k for k, x in zip(universe, held, strict=True) if x] == sorted(set(listed) & set(universe)) and len(levels) > 1
+
+
+# columns with clashing names, repeated rows, ties
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    rows = [(i, "ab"[i % 2], "word " * (i % 7 + 1)) for i in range(60)]
+    names = ("size", "source_size", "target", "taken", "taken_taken", "mix_key", "copy", "before")
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plain = corpus_pipeline.mixing_stage(spark, docs, "").collect()
+    wide = corpus_pipeline.mixing_stage(spark, docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}), "").collect()
+    assert sorted((r.doc_id, r.text) for r in plain) == sorted((r.doc_id, r.text) for r in wide) and plain
+    assert all(r[n] == f"{n}{r.doc_id}" for r in wide for n in names)
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("target", F.lit(1)).withColumn("size", F.lit(1)), F.col("source"), F.col("size"), F.lit(""))
+
+
+def test_mixing_of_equal_rows_at_the_cut(spark):
+    docs = spark.createDataFrame([(7, "a", 3)] * 50 + [(8, "b", 1000)], "doc_id long, source string, size long")
+    out = mixing.mix(docs, F.col("source"), F.col("size"), F.col("doc_id").cast("string")).collect()
+    for s in "ab":
+        mine = [r for r in out if r.source == s]
+        assert sum(r.taken for r in mine) == round(mine[0].target)
+    assert Counter(r.taken for r in out if r.source == "a").keys() <= {0, 1, 2, 3, 4, 5, 6}
+
+
+def test_mixing_takes_one_very_long_text(spark):
+    df = spark.createDataFrame([(1, "a", "w " * 400_000), (2, "b", "x " * 10)], "doc_id long, source string, text string").withColumn("size", mixing.n_words(F.col("text")))
+    out = {r.doc_id: (r.size, r.taken, r.target) for r in mixing.mix(df, F.col("source"), F.col("size"), F.col("doc_id").cast("string")).collect()}
+    assert out[1][:2] == (400_000, round(out[1][2])) and out[2][:2] == (10, 20)
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = ("shard", "slot", "part", "one", "two", "place", "cell", "first", "_shard")
+    df = spark.range(100).withColumn("text", F.lit("z" * 300_000)).withColumns({n: F.concat(F.lit(n), F.col("id").cast("string")) for n in names})
+    got = sharding.hypergeometric_shards(df, 4, F.struct("id")).drop("text").collect()
+    assert len(got) == 100 and {r["shard"] for r in got} == {0, 1, 2, 3}
+    assert all(r["__shard"] == f"shard{r.id}" and r["_slot"] == f"slot{r.id}" and r["_shard"] == f"_shard{r.id}" and r["cell"] == f"cell{r.id}" for r in got)
+
+
+def test_quality_keeps_a_score(spark):
+    docs = spark.createDataFrame([(1, "some text"), (1, "some text"), (None, None)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    trees = quality.fit_quality(docs, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
+    got = quality.scored(docs, trees)
+    assert got.columns == ["doc_id", "text", "_score", "score"] and {(r["_score"], r["score"]) for r in got.collect()} == {("clash", 0.5)}
+    assert quality.scored(docs, trees, least=0.5).columns == docs.columns
+    assert quality.scored(docs.where("false"), quality.fit_quality(docs.where("false"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"), F.lit(True))).count() == 0
+
+
+def test_operators_with_clashing_columns(spark):
+    """Extra columns with the operators' own names change nothing."""
+    own = ("g", "n", "keys", "bits", "h", "a", "b", "c", "i", "j", "component", "class_id", "rep", "hash", "lang_pred", "score", "items", "n_hit", "n_words", "base", "like", "spans", "_row", "sha1", "bytes", "top", "leaf", "v", "tree", "label_", "_id", "several", "stays")
+    add = lambda df: df.withColumns({c: F.lit("clash") for c in own})
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 3} a{i % 3}@b.co", "en") for i in range(30)], "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    found = signatures.jaccard_classes(docs)
+    pairs = [
+        (found, signatures.jaccard_classes(add(docs))),
+        (signatures.one_of_each(docs, found), signatures.one_of_each(add(docs), found).select(docs.columns)),
+        (decontamination.contamination(docs, items, ["doc_id"]), decontamination.contamination(add(docs), add(items), ["doc_id"])),
+        (decontamination.clean(docs, items), decontamination.clean(add(docs), add(items)).select(docs.columns)),
+        (pii.personal_data(docs, ["doc_id"]), pii.personal_data(add(docs), ["doc_id"])),
+        (language.predicted(docs, language.fit_language(docs, F.lit(True)), ["doc_id"]), language.predicted(add(docs), language.fit_language(add(docs), F.lit(True)), ["doc_id"])),
+    ]
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").cast("binary").alias("payload"))
+    pairs.append((warc.read_warc(warc.write_warc(pages)).drop("payload"), warc.read_warc(warc.write_warc(add(pages).select("page_id", "url", "payload"))).drop("payload")))
+    vectors = docs.select(F.col("doc_id").alias("vec_id"), F.array(F.col("doc_id") % 3 + 1.0, F.lit(1.0)).alias("embedding"), F.lit(1).alias("label"))
+    pairs.append((embeddings.near_duplicates(vectors), embeddings.near_duplicates(add(vectors))))
+    for plain, wide in pairs:
+        assert sorted(map(str, plain.collect())) == sorted(map(str, wide.collect()))
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    """Equal rows get equal results, as often as they come; equal scores are ties that nothing breaks."""
+    docs = spark.createDataFrame([(1, "one two three mail a@b.co now", "en"), (2, "eins zwei drei vier", "de")] * 20, "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(1, "one two three mail"), (1, "one two three mail")], "item_id long, text string")
+    net = language.fit_language(docs, F.lit(True))
+    for out, n in ((language.predicted(docs, net, ["doc_id"]), 2), (decontamination.contamination(docs, items, ["doc_id"]), 2), (pii.personal_data(docs, ["doc_id"]), 2), (urlfilter.judged(docs.select(F.col("doc_id").alias("page_id"), F.lit("x://org/").alias("url"))), 2)):
+        got = Counter(map(str, out.collect()))
+        assert len(got) == n and set(got.values()) == {20}
+
+
+# brute force
+
+
+def test_language_forward_pass_and_gradient():
+    rng = np.random.default_rng(0)
+    windows, labels = rng.integers(0, 256, (6, language.WINDOW)).astype(np.uint16), np.array([0, 1, 0, 1, 0, 1])
+    net = language.fit_net(windows, labels, ["a", "b"], epochs=1, batch=6)
+    got = net.log_probabilities(windows)
+
+    def plain(net, w):
+        padded = list(w) + [language.PAD] * language.WIDE
+        z = np.full(net.filters.shape[1], -np.inf)
+        for at in range(0, language.WINDOW, language.STEP):
+            x = np.concatenate([net.embed[b].astype(float) for b in padded[at : at + language.WIDE]])
+            z = np.maximum(z, x @ net.filters.astype(float))
+        logits = np.maximum(z + net.bias, 0) @ net.dense.astype(float) + net.prior
+        return logits - np.log(np.exp(logits).sum())
+
+    assert np.allclose(got, [plain(net, w) for w in windows], atol=1e-4)
+    for k, width in enumerate(language.WIDTHS):
+        assert not net.filters[width * language.EMBED :, k * language.FILTERS : (k + 1) * language.FILTERS].any()
+    # one step of Adam from the start moves each number against the sign of its gradient, which differences of the loss show
+    before = language.fit_net(windows, labels, ["a", "b"], epochs=0)
+    loss = lambda net: -np.mean([plain(net, w)[y] for w, y in zip(windows, labels, strict=True)])
+    for name in ("dense", "bias", "filters", "embed"):
+        a, b = getattr(before, name), getattr(net, name)
+        moved = np.argwhere(np.abs(b - a) > 1e-3)
+        for at in map(tuple, moved[rng.permutation(len(moved))[:6]]):
+            keep = a[at]
+            a[at] = keep + 1e-2
+            up = loss(before)
+            a[at] = keep - 1e-2
+            down = loss(before)
+            a[at] = keep
+            if abs(up - down) > 1e-5:
+                assert np.sign(up - down) == -np.sign(b[at] - a[at])
+
+
+def test_quality_trees_one_by_one():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(500, quality.N_FEATURES)).astype(np.float32), None
+    y = (x[:, 3] + 0.5 * x[:, 7] ** 2 > 0.4).astype(float)
+    trees = quality.fit_trees(x, y, trees=12, depth=3)
+    for row, score in zip(x[:60], trees.score(x[:60]), strict=True):
+        total = trees.base
+        for f, t, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            at = 0
+            while at < len(f):
+                at = 2 * at + (2 if row[f[at]] > t[at] else 1)
+            total += leaf[at - len(f)]
+        assert abs(1 / (1 + np.exp(-total)) - score) < 1e-9
+    # the first split is the best of all by brute force over the bins' edges
+    g, h = y - 1 / (1 + np.exp(-trees.base)), np.full(500, 1 / (1 + np.exp(-trees.base)) * (1 - 1 / (1 + np.exp(-trees.base))))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality.RIDGE) + g[~m].sum() ** 2 / (h[~m].sum() + quality.RIDGE)
+    best = max(gain(x[:, f] <= e) for f in range(quality.N_FEATURES) for e in np.unique(np.quantile(x[:, f], np.arange(1, quality.BINS) / quality.BINS)).astype(np.float32))
+    assert np.isclose(gain(x[:, trees.feature[0][0]] <= trees.threshold[0][0]), best)
+    assert np.mean((trees.score(x) > 0.5) == y) > 0.9
+
+
+def test_matrix_follows_the_law():
+    """Cells against the hypergeometric chances, with numpy's draws and with those for large populations."""
+    from math import comb
+
+    for small in (10**9, 1):
+        rng = np.random.default_rng(5)
+        draws = np.array([sharding.dealt(rng, np.array([7, 5, 8]), 6, small) for _ in range(6000)])
+        assert (draws.sum(1) == 6).all()
+        for k in range(7):
+            want = comb(7, k) * comb(13, 6 - k) / comb(20, 6)
+            assert abs((draws[:, 0] == k).mean() - want) < 5 * np.sqrt(want * (1 - want) / 6000) + 1e-3
+    rng = np.random.default_rng(6)
+    good, bad, n = 3 * 10**12, 7 * 10**12, 2 * 10**11
+    x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(4000)], float)
+    sd = np.sqrt(n * 0.3 * 0.7 * (1 - n / (good + bad)))
+    assert abs(x.mean() - 0.3 * n) < 5 * sd / np.sqrt(4000) and abs(x.std() / sd - 1) < 0.06
+    m = sharding.communication_matrix(np.array([4 * 10**9, 6 * 10**9]), np.array([25 * 10**8] * 4), 3)
+    assert m.sum(1).tolist() == [4 * 10**9, 6 * 10**9] and m.sum(0).tolist() == [25 * 10**8] * 4 and (abs(m[0] - 10**9) < 10**6).all()
+    for x, n, p in ((3, 10, 0.2), (0, 5, 0.3), (5, 5, 0.3), (40, 100, 0.5)):
+        assert np.isclose(sharding.log_binomial(x, n, p), np.log(float(comb(n, x))) + x * np.log(p) + (n - x) * np.log1p(-p))
+
+
+def plain_scores(edges, rounds=pii.ROUNDS):
+    """edges: (pattern, kind, instance, seed) with counts."""
+    r = {}
+    for _ in range(rounds):
+        stat = {}
+        for (p, k, i, seed), n in edges.items():
+            x = 1.0 if seed else r.get((k, i), 0.0)
+            s = stat.setdefault((p, k), [0.0, 0.0, 0, 0, 0])
+            s[0] += n * x
+            s[1] += n * (1 - x)
+            s[2] += n * seed
+            s[3] += x >= pii.SURE
+            s[4] += n
+        base = Counter()
+        for (p, _, _, seed), n in edges.items():
+            base[p] += n * seed
+        scores = {pk: (s[0] / (s[0] + base[pk[0]] - s[2] + 0.1 * s[1]) * s[3] / (s[3] + 1), s[3], s[4]) for pk, s in stat.items() if s[3]}
+        miss = {}
+        for (p, k, i, seed), _ in edges.items():
+            if not seed and (p, k) in scores:
+                miss[k, i] = miss.get((k, i), 1.0) * (1 - min(scores[p, k][0], 0.999))
+        r = {ki: 1 - m for ki, m in miss.items()}
+    return scores
+
+
+def test_pattern_scores_against_plain_python(spark):
+    rng = random.Random(13)
+    edges = Counter((rng.randrange(9), rng.choice(["phone", "email"]), f"x{rng.randrange(14)}", int(rng.random() < 0.55)) for _ in range(400))
+    rows = [([{"kind": k, "start": 0, "end": 1, "pattern": p, "instance": i}] * n if s else [], [] if s else [{"kind": k, "start": 0, "end": 1, "pattern": p, "instance": i}] * n) for (p, k, i, s), n in edges.items()]
+    spans = spark.createDataFrame(rows, f"base {pii.SPAN}, like {pii.SPAN}")
+    got = {(r.pattern, r.kind): (r.score, r.seeds, r.n) for r in pii.pattern_scores(spans).collect()}
+    want = plain_scores(edges)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_contexts_are_whole_words(spark):
+    long = "x" * 5000
+    t = f"{long} phone: +1 (743) 555-1000, {long} tel:+1 (743) 555-2000"
+    w = next(iter(words(pa.array([t]), pii._NINES)))
+    hashes = pii.pairs(w)
+    at = [m.start() for m in re.finditer(r"\+", t)]
+    assert pii.contexts(t, [*at, 0, 3], hashes) == [int(hashes[0].astype(np.int64)), int(hashes[4].astype(np.int64)), None, None]
+    rows = [(i, f"{long} phone: +1 (743) 555-{1000 + i}") for i in range(30)] + [(100 + i, f"{long} phone: 743 555 {2000 + i}") for i in range(8)]
+    out = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).where("doc_id >= 100").collect()
+    assert all(len(r.spans) == 1 for r in out)
+
+
+def test_found_identifiers_induce_patterns(spark):
+    """Numbers found in a sure context are seeds of the next round: where else they stand, others of their form are found."""
+    rows = [(i, f"say contact phone: +1 (743) 555-{1000 + i} bye") for i in range(30)]
+    rows += [(100 + i, f"say contact phone: 743 555 {2000 + i} there") for i in range(12)]
+    rows += [(200 + i, f"or just ring up 743 555 {2000 + i} today") for i in range(12)] + [(300 + i, f"or just ring up 743 555 {7000 + i} today") for i in range(5)]
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert all(len(out[i].spans) == 1 for i in [*range(100, 112), *range(200, 212), *range(300, 305)])
+
+
+def test_pipeline_stages_with_nulls_empty_tables_and_extra_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    rows = [(i, text_of(rng, 60), ["en", None][i % 2], ["a", "b", None][i % 3], 1) for i in range(60)] + [(None, None, None, None, None), (60, None, "en", "a", 0), (61, "", "en", "a", 0), (5, text_of(rng, 60), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit("s"), "shard": F.lit("t"), "taken": F.lit("u"), "_class": F.lit("v")})
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, 0, 1), (41, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, text_of(rng, 12)), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for start in (docs, docs.where("false")):
+        now = start
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, str(tmp_path))
+            now = spark.createDataFrame(now.collect(), now.schema)
+            if i < 4:
+                assert now.columns == docs.columns
+        assert now.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "_shard", "taken", "_class", "shard", "slot"]
+        assert (now.count() > 0) == (start is docs)
