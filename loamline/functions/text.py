@@ -36,6 +36,7 @@ def line_keys(text: Column) -> Column:
 
 
 def body_hash(text: Column) -> Column:
+    """The hash of a text's line keys. For source code, give code.code_text() of it, so that comments don't count."""
     return text_hash(F.array_join(line_keys(text), "\n"))
 
 
@@ -77,10 +78,17 @@ def holds_word(text: Column, words: Column) -> Column:
 
 
 # What gives a hint away.
-HINTS = (r"(?i)\bhint\b", r"(?i)\bas (?:given|told|provided)\b", r"(?i)\bthe (?:given|provided|correct|reference) answer\b", r"(?i)\bground[- ]truth\b", r"(?i)\banswer key\b")
+HINTS = (
+    r"(?i)\b(?:we|i)\s+(?:were|was|are|am|have\s+been|'ve\s+been)\s+(?:told|given|informed)\b",
+    r"(?i)\b(?:given|provided|supplied|stated)\s+(?:correct\s+)?(?:answer|solution)\b",
+    r"(?i)\b(?:answer|solution)\s+(?:was|is|has\s+been)\s+(?:given|provided|supplied|stated)\b",
+    r"(?i)\bthe\s+hint\b",
+    r"(?i)\b(?:you|the\s+(?:prompt|question|user))\s+(?:said|says|stated|states|told|tells)\b[^.\n]{0,40}\banswer\b",
+)
 
 
 def leaks_hint(text: Column, patterns: tuple[str, ...] = HINTS) -> Column:
+    """Whether any of the patterns is found; null leaks nothing."""
     out = F.lit(False)
     for p in patterns:
         out = out | text.rlike(p)

@@ -6,7 +6,7 @@ A parsed value is null where nothing could be read; that scores 0. Digits are AS
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import VECTOR
+from .text import VECTOR, body_above, final_line, leaks_hint
 
 # The patterns that replies are read with.
 ID_LENIENT = r"(?i)(?<![A-Za-z0-9])CWE[-_ :]*0*(\d{1,5})(?!\d)"
@@ -152,16 +152,33 @@ def line_f1(predicted: Column, gold: Column) -> Column:
     return F.when(F.size(gold) > 0, F.struct((2 * matched_lines(predicted, gold)).alias("n"), (F.size(predicted) + F.size(gold)).alias("d")))
 
 
-def review_category(parsed: Column, strict: Column, has_field: Column) -> Column:
-    return F.when(parsed.isNull(), "parse_failure").when(~has_field, "no_field").when(~strict, "lenient_not_strict").otherwise("none")
-
-
-def rationale_reason(text: Column, truncated: Column, answer: Column, gold: Column, leaks: Column, body: Column) -> Column:
-    """The first of the reasons against a rationale, or null."""
-    return (
-        F.when(truncated, "truncated").when(F.coalesce(F.trim(text), F.lit("")) == "", "empty").when(answer.isNull(), "no_final_answer").when(answer != gold, "wrong_final_answer")
-        .when(F.coalesce(F.trim(body), F.lit("")) == "", "no_reasoning").when(leaks, "hint_leak")
+def review_category(kind: Column, reply: Column, finish: Column, judged: Column) -> Column:
+    """Why a reply wants a look, by its verdict: parse_failure (unread though it stopped by itself), no_field (read, but not from the type's own field),
+    lenient_not_strict, or null. A reply that was cut off and couldn't be read has no category."""
+    r = F.coalesce(reply, F.lit(""))
+    field = {"mcq": MCQ_ANSWER, "find_error": LABEL_FIELD, "line_loc": r"(?i)LINES\s*:"}
+    without = F.lit(False)
+    for name, pattern in field.items():
+        without = without | ((kind == name) & ~r.rlike(pattern))
+    without = without | ((kind == "cvss") & F.contains(judged["parsed"], F.lit("?")))
+    last_line = F.element_at(F.split(F.regexp_replace(r, r"(?U)\s+\z", ""), "\n"), -1)
+    without = without | ((kind == "exact_id") & ~parse_id(last_line).eqNullSafe(judged["parsed"]))
+    unread = F.when(finish == "stop", "parse_failure")
+    return F.when(~judged["parse_ok"], unread).when(without, "no_field").when(~judged["strict_ok"], "lenient_not_strict")
+
+
+def rationale(text: Column, finish: Column, target: Column, last_judged: Column, target_judged: Column) -> Column:
+    """(target, reason): the body above the last line with the item's target below it, or the first reason against it.
+
+    last_judged and target_judged: verdicts of the last line and of the item's own target. In order: truncated, empty, no_final_answer,
+    wrong_final_answer, no_reasoning, hint_leak.
+    """
+    body = body_above(text)
+    reason = (
+        F.when(~finish.eqNullSafe(F.lit("stop")), "truncated").when(F.coalesce(final_line(text), F.lit("")) == "", "empty").when(~last_judged["parse_ok"], "no_final_answer")
+        .when(~last_judged["parsed"].eqNullSafe(target_judged["parsed"]), "wrong_final_answer").when(F.coalesce(F.regexp_replace(body, r"(?U)\s", ""), F.lit("")) == "", "no_reasoning").when(leaks_hint(body), "hint_leak")
     )
+    return F.struct(F.when(reason.isNull(), F.concat(F.regexp_replace(body, r"(?U)\A\s+", ""), F.lit("\n\n"), target)).alias("target"), reason.alias("reason"))
 
 
 def verdict(kind: Column, reply: Column, gold: Column, credits: Column) -> Column:
@@ -187,17 +204,23 @@ def verdict(kind: Column, reply: Column, gold: Column, credits: Column) -> Colum
     hit = (letter == gold["letter"]).cast("int")
     eight = vector_eighths(parts, gold["vector"])
     of_lines = score(f1["n"], f1["d"])
+    kind_of_verdict = "struct<parsed:string,parse_ok:boolean,strict_ok:boolean,metric:struct<n:int,d:int>,dense:struct<n:int,d:int>>"
+    whole = F.forall(F.array(*[F.lit(k) for k in VECTOR]), lambda k: F.try_element_at(gold["vector"], k).isNotNull())
+    bad = ((kind == "cvss") & ~F.coalesce(whole, F.lit(False))) | ((kind == "line_loc") & (F.coalesce(F.size(gold["lines"]), F.lit(0)) <= 0))
     return (
-        F.when(kind == "mcq", made(letter, strict_mcq(r), score(hit, 1), score(hit, 1)))
+        F.when(bad, F.raise_error(F.concat(F.lit("the gold isn't valid: "), kind)).cast(kind_of_verdict))
+        .when(kind == "mcq", made(letter, strict_mcq(r), score(hit, 1), score(hit, 1)))
         .when(kind == "exact_id", made(found, strict_id(r), score((found == gold["cwe"]).cast("int"), 1), score(earned(found), 8)))
         .when(kind == "cvss", made(vector_text(parts), strict_vector(r), score(eight, 8), score(eight, 8)))
         .when(kind == "find_error", made(shown, strict_label(r), score(right, 1), score(label_sixteenths(label, gold["vulnerable"], earned(found)), 16)))
         .when(kind == "line_loc", made(shown_lines, strict_lines(r, gold["n_lines"]), of_lines, of_lines))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown item type "), F.coalesce(kind, F.lit("null")))).cast("struct<parsed:string,parse_ok:boolean,strict_ok:boolean,metric:struct<n:int,d:int>,dense:struct<n:int,d:int>>"))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown item type "), F.coalesce(kind, F.lit("null")))).cast(kind_of_verdict))
     )
 
 
 def both_right(rows, by: list[str], kind: str, verdict_column: str):
-    """(by, n): of units of several items whether all metrics are 1, for the table of verdicts."""
-    one = F.col(f"{verdict_column}.metric.n") == F.col(f"{verdict_column}.metric.d")
-    return rows.where(F.col(kind) == "find_error").groupBy(*by).agg(F.bool_and(one).alias("both_right"))
+    """(by, both_right, both_strict): of units of two items whether both labels are right, and whether the vulnerable one's id is exact as well
+    (its dense score is 1)."""
+    v = lambda f: F.col(f"{verdict_column}.{f}")
+    one, full = v("metric.n") == v("metric.d"), v("dense.n") == v("dense.d")
+    return rows.where(F.col(kind) == "find_error").groupBy(*by).agg(F.bool_and(one).alias("both_right"), F.bool_and(one & full).alias("both_strict"))

@@ -31,9 +31,14 @@ def ordered_mode(rows: DataFrame, by: list[str], value: str, domain: str) -> Dat
     return best.select(*by, F.col("b")[value].alias("mode"), "votes")
 
 
+def number_of(label: Column) -> Column:
+    """The number in a label such as CWE-79, for ties; null without one."""
+    return F.try_element_at(F.regexp_extract_all(label, F.lit(r"\d+"), F.lit(0)), F.lit(1)).try_cast("bigint")
+
+
 def most_frequent(rows: DataFrame, label: str, k: int) -> DataFrame:
-    """The k most frequent labels by (-count, label)."""
-    return rows.groupBy(label).agg(F.count("*").alias("count")).orderBy(F.desc("count"), label).limit(k)
+    """The k most frequent labels by (-count, the label's number if it has one, label)."""
+    return rows.groupBy(label).agg(F.count("*").alias("count")).orderBy(F.desc("count"), number_of(F.col(label).cast("string")).asc_nulls_last(), label).limit(k)
 
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -57,8 +62,8 @@ def live_groups(rows: DataFrame, group: list[str], score: str) -> DataFrame:
 
 
 def band(live: Column, n: Column) -> Column:
-    """as_specified from a half on, dynamic from a tenth on, else floored, in whole numbers."""
-    return F.when(live * 2 >= n, "as_specified").when(live * 10 >= n, "dynamic").otherwise("floored")
+    """as_specified from a half on, dynamic_sampling from a tenth on, else floored, in whole numbers."""
+    return F.when(live * 2 >= n, "as_specified").when(live * 10 >= n, "dynamic_sampling").otherwise("floored")
 
 
 def cap_choice(cut: DataFrame, by: list[str], num: int = 1, den: int = 10) -> DataFrame:
@@ -84,7 +89,34 @@ def shortcut_share(rows: DataFrame, item: str, options: str, gold: str) -> DataF
 
 
 def best_constant(labels: DataFrame, relation: DataFrame, credit: Column, k: int = 10) -> DataFrame:
-    """labels (gold, n), relation (pred, gold, relation). The k answers with the highest mean credit over all labels: (pred, eighths, total)."""
+    """labels (gold, n), relation (pred, gold, relation). The k answers with the highest mean credit over all labels: (pred, eighths, total).
+    Ties go to the lower number of the answer, if it has one."""
     total = labels.agg(F.sum("n").alias("total"))
     sums = relation.join(labels, "gold").groupBy("pred").agg(F.sum(F.col("n") * credit).alias("eighths"))
-    return sums.crossJoin(F.broadcast(total)).orderBy(F.desc("eighths"), "pred").limit(k)
+    return sums.crossJoin(F.broadcast(total)).orderBy(F.desc("eighths"), number_of(F.col("pred").cast("string")).asc_nulls_last(), "pred").limit(k)
+
+
+def decided_schedule(eighths: Column, total: Column, num: int = 1, den: int = 5) -> Column:
+    """direction_aware if the best constant's mean symmetric credit is above num / den, else symmetric; in whole numbers."""
+    return F.when(eighths * den > total * 8 * num, "direction_aware").otherwise("symmetric")
+
+
+def agreement(rows: DataFrame, parts: str, reference: Column, names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Of rows' maps against a reference map: (n, mean, var, low, high) of the share of agreeing components, and (component, hits, n, low, high) with
+    Wilson's interval. The variance of one row is 0."""
+    z = 1.959963984540054
+    same = {k: F.coalesce((F.try_element_at(parts, F.lit(k)) == F.try_element_at(reference, F.lit(k))).cast("int"), F.lit(0)) for k in names}
+    flat = rows.select(*[c.alias(k) for k, c in same.items()])
+    share = sum(F.col(k) for k in names) / len(names)
+    one = flat.select(share.alias("x")).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("var"))
+    one = one.select("n", "mean", "var", (F.col("mean") - z * F.sqrt(F.col("var") / F.col("n"))).alias("low"), (F.col("mean") + z * F.sqrt(F.col("var") / F.col("n"))).alias("high"))
+    hits = flat.agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in names]).select("n", F.inline(F.array(*[F.struct(F.lit(k).alias("component"), F.col(k).alias("hits")) for k in names])))
+    low, high = wilson(F.col("hits").cast("double"), F.col("n").cast("double"))
+    return one, hits.select("component", "hits", "n", low.alias("low"), high.alias("high"))
+
+
+def snapshots(fated: DataFrame, entity: str, year: Column, stages: list[int]) -> DataFrame:
+    """(stage, year, entities): entities that are left after each of some stages, by year. A row has died at stage `stage`, or null."""
+    each = fated.select(F.col(entity).alias("_e"), year.alias("year"), F.col("stage").alias("_died"), F.explode(F.array(*[F.lit(s) for s in stages])).alias("stage"))
+    alive = each.where(F.col("_died").isNull() | (F.col("_died") > F.col("stage")))
+    return alive.groupBy("stage", "year").agg(F.count_distinct("_e").alias("entities"))

@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node, ancestor, depth): every proper ancestor with its least depth. Steps go on until no new pair is found; a cycle is refused."""
-    step = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    found, frontier = step, step
-    for depth in range(2, max_depth + 1):
-        frontier = frontier.join(edges.withColumnRenamed("child", "ancestor"), "ancestor").select("node", F.col("parent").alias("ancestor")).distinct()
-        frontier = kept(frontier.join(found, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        found = found.union(frontier)
-    if not found.where("node = ancestor").isEmpty():
-        raise ValueError("the hierarchy has a cycle")
-    return found
+def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(node, ancestor, depth): every proper ancestor with its least depth. Paths double in each round, so 64 rounds hold any depth; a cycle is refused."""
+    step = kept(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    found, size = step, None
+    for _ in range(rounds):
+        longer = found.alias("x").join(found.alias("y"), F.col("x.ancestor") == F.col("y.node")).select("x.node", "y.ancestor", (F.col("x.depth") + F.col("y.depth")).alias("depth"))
+        found = kept(found.union(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        if not found.where("node = ancestor").isEmpty():
+            raise ValueError("the hierarchy has a cycle")
+        now = found.agg(F.count("*"), F.sum("depth")).first()
+        if (now[0], now[1]) == size:
+            return found
+        size = (now[0], now[1])
+    raise RuntimeError(f"the closure isn't complete after {rounds} rounds")
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -53,25 +54,50 @@ def distances(edges: DataFrame, cap: int) -> DataFrame:
     return found
 
 
-def relations(edges: DataFrame) -> DataFrame:
-    """(pred, gold, relation) for nodes within two steps. At two steps ancestor comes before descendant, then sibling, then coparent."""
+def relations(edges: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """(pred, gold, relation) for nodes within two undirected steps. At two steps any ancestor, by whatever path, comes before any descendant, then
+    a sibling, then a coparent. above: closure(edges), if it is there already."""
+    above = closure(edges) if above is None else above
     nodes = edges.select(F.col("child").alias("n")).union(edges.select(F.col("parent").alias("n"))).distinct()
-    up = edges.alias("x").join(edges.alias("y"), F.col("x.parent") == F.col("y.child")).select(F.col("x.child").alias("low"), F.col("y.parent").alias("high")).distinct()
+    near = neighbours(edges)
+    two = near.alias("x").join(near.alias("y"), F.col("x.other") == F.col("y.node")).select(F.col("x.node").alias("pred"), F.col("y.other").alias("gold")).where("pred <> gold").distinct()
+    share = edges.alias("a").join(edges.alias("b"), F.col("a.parent") == F.col("b.parent")).where("a.child <> b.child").select(F.col("a.child").alias("pred"), F.col("b.child").alias("gold")).distinct()
+    up = above.select(F.col("ancestor").alias("pred"), F.col("node").alias("gold"), F.lit(True).alias("is_above"))
+    down = above.select(F.col("node").alias("pred"), F.col("ancestor").alias("gold"), F.lit(True).alias("is_below"))
+    at = ["pred", "gold"]
+    two = two.join(up, at, "left").join(down, at, "left").join(share.withColumn("is_sibling", F.lit(True)), at, "left")
+    kind = F.when(F.col("is_above"), "ancestor_2").when(F.col("is_below"), "descendant_2").when(F.col("is_sibling"), "sibling").otherwise("coparent")
     kinds = [
         nodes.select(F.col("n").alias("pred"), F.col("n").alias("gold"), F.lit(0).alias("o"), F.lit("exact").alias("relation")),
         edges.select(F.col("child").alias("pred"), F.col("parent").alias("gold"), F.lit(1).alias("o"), F.lit("child").alias("relation")),
         edges.select(F.col("parent").alias("pred"), F.col("child").alias("gold"), F.lit(2).alias("o"), F.lit("parent").alias("relation")),
-        up.select(F.col("high").alias("pred"), F.col("low").alias("gold"), F.lit(3).alias("o"), F.lit("ancestor_2").alias("relation")),
-        up.select(F.col("low").alias("pred"), F.col("high").alias("gold"), F.lit(4).alias("o"), F.lit("descendant_2").alias("relation")),
-        edges.alias("a").join(edges.alias("b"), F.col("a.parent") == F.col("b.parent")).where("a.child <> b.child").select(F.col("a.child").alias("pred"), F.col("b.child").alias("gold"), F.lit(5).alias("o"), F.lit("sibling").alias("relation")),
-        edges.alias("a").join(edges.alias("b"), F.col("a.child") == F.col("b.child")).where("a.parent <> b.parent").select(F.col("a.parent").alias("pred"), F.col("b.parent").alias("gold"), F.lit(6).alias("o"), F.lit("coparent").alias("relation")),
+        two.select(*at, F.lit(3).alias("o"), kind.alias("relation")),
     ]
     return reduce(DataFrame.union, kinds).groupBy("pred", "gold").agg(F.min_by("relation", "o").alias("relation"))
 
 
+def node_flags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (id, kind, abstraction, status); adds is_category, is_view, is_deprecated (a weakness that is) and in_view: a weakness that isn't deprecated and has a
+    parent or is a pillar."""
+    parented = edges.select(F.col("child").alias("id"), F.lit(True).alias("_has")).distinct()
+    weak = F.col("kind") == "weakness"
+    old = weak & F.coalesce(F.col("status") == "Deprecated", F.lit(False))
+    live = weak & ~old & (F.coalesce("_has", F.lit(False)) | F.coalesce(F.col("abstraction") == "Pillar", F.lit(False)))
+    return nodes.join(parented, "id", "left").withColumns({"is_category": F.col("kind") == "category", "is_view": F.col("kind") == "view", "is_deprecated": old, "in_view": live}).drop("_has")
+
+
+def relation_of(pairs: DataFrame, pred: str, gold: str, relation: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds relation to rows: far where the prediction isn't one of nodes (id) or is farther than two steps. A gold that isn't one of nodes is an error."""
+    known = nodes.select("id").distinct()
+    out = pairs.join(known.select(F.col("id").alias(gold), F.lit(True).alias("_gold")), gold, "left")
+    out = out.withColumn(gold, F.when(F.col("_gold"), F.col(gold)).otherwise(F.raise_error(F.concat(F.lit("gold is not a live node: "), F.coalesce(F.col(gold).cast("string"), F.lit("null")))).cast(dict(pairs.dtypes)[gold])))
+    out = out.join(known.select(F.col("id").alias(pred), F.lit(True).alias("_pred")), pred, "left").join(relation.toDF(pred, gold, "relation"), [pred, gold], "left")
+    return out.withColumn("relation", F.when(F.col("_pred"), F.coalesce("relation", F.lit("far"))).otherwise("far")).drop("_gold", "_pred").select(*pairs.columns, "relation")
+
+
 # Credit in eighths.
 SYMMETRIC = {"exact": 8, "child": 4, "parent": 4, "ancestor_2": 2, "descendant_2": 2, "sibling": 2, "coparent": 2}
-DIRECTED = {"exact": 8, "child": 4, "parent": 2, "ancestor_2": 2, "descendant_2": 2, "sibling": 2, "coparent": 1}
+DIRECTED = {"exact": 8, "child": 4, "parent": 2, "descendant_2": 2, "sibling": 2, "coparent": 2, "ancestor_2": 1, "far": 0}
 
 
 def credit(relation: Column, table: dict[str, int] = SYMMETRIC) -> Column:
@@ -79,10 +105,10 @@ def credit(relation: Column, table: dict[str, int] = SYMMETRIC) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), relation), F.lit(0))
 
 
-def component_labels(links: DataFrame, rounds: int = 100) -> DataFrame:
-    """links (a, b). Returns (id, component): the smallest id reached. Labels fall along links and skip ahead, so chains take few rounds."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = kept(both)
+def component_labels(links: DataFrame, rounds: int = 1000) -> DataFrame:
+    """links (a, b). Returns (id, component): the smallest id reached. Labels fall along links and skip ahead, so chains take few rounds; it stops with
+    an error, never with unfinished components."""
+    both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = kept(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("low", "a").alias("component")))
     for _ in range(rounds):
         near = both.join(labels.toDF("b", "c"), "b").groupBy("a").agg(F.min("c").alias("low")).withColumnRenamed("a", "id")
@@ -91,8 +117,8 @@ def component_labels(links: DataFrame, rounds: int = 100) -> DataFrame:
         changed = not new.join(labels, ["id", "component"], "left_anti").isEmpty()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components aren't complete after {rounds} rounds")
 
 
 def clusters(rows: DataFrame, key: str, order: list[str], links: DataFrame) -> DataFrame:

@@ -1,61 +1,100 @@
-"""Near-duplicates by shingles of lines: an exact theta self-join as an equi-join on what sets must share."""
+"""Near-duplicates by shingles of lines: an exact theta self-join as an equi-join on what sets must share.
+
+Texts are taken as source code, whose comments don't count, unless code=False says that they are prose."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import code as C
 from ..functions import text as T
 from .graph import kept
 
 
-def shingle_rows(rows: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """(key, shingle hash, size) for each distinct run of n line keys."""
-    keys = rows.where(F.col(text).isNotNull()).select(key, T.line_keys(F.col(text)).alias("_keys"))  # a column of its own: computed once
+def as_code(rows: DataFrame, text: str, code: bool) -> DataFrame:
+    """Rows with a text, comments blanked if it is code."""
+    rows = rows.where(F.col(text).isNotNull())
+    return rows.withColumn(text, C.masked_text(F.col(text))) if code else rows
+
+
+def shingle_rows(rows: DataFrame, key: str, text: str, n: int = 3, code: bool = True) -> DataFrame:
+    """(key, shingle hash) for each distinct run of n line keys."""
+    keys = as_code(rows.select(key, text), text, code).select(key, T.line_keys(F.col(text)).alias("_keys"))  # a column of its own: computed once
     return keys.select(key, T.shingles(F.col("_keys"), n).alias("_s")).select(key, F.explode("_s").alias("_s")).select(key, F.xxhash64("_s").alias("shingle")).distinct()
 
 
-def near_duplicate_links(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3) -> DataFrame:
-    """(a, b, kind, shared, total): pairs a < b with shared / total >= num / den; kind is exact where bodies are equal, else fuzzy.
+def near_duplicate_classes(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(members (key, rep, size), links (a, b, shared, total)): of each row the least key with an equal body and its number of shingles; of bodies, the
+    pairs a < b with shared / total >= num / den.
 
-    Rows with equal bodies are one class until the end. Classes meet on the prefix of their shingles, rarest first, that a similar
-    set can't miss: all but ceil(size * num / den) - 1 of them; pairs outside the size bound are dropped before sets are compared.
+    Classes meet on the prefix of their shingles, rarest first, that a similar set can't miss: all but ceil(size * num / den) - 1 of
+    them; pairs outside the size bound are dropped before sets are compared. What is moved is hashes, never texts.
     """
-    body = rows.where(F.col(text).isNotNull()).select(key, T.body_hash(F.col(text)).alias("h"), text)
-    reps = body.groupBy("h").agg(F.min(F.struct(key, text)).alias("r")).select("h", F.col(f"r.{key}").alias("rep"), F.col(f"r.{text}").alias("t"))
-    sh = kept(shingle_rows(reps, "rep", "t", n))
-    sizes = sh.groupBy("rep").agg(F.count("*").alias("size"))
+    body = as_code(rows.select(key, text), text, code).select(key, T.line_keys(F.col(text)).alias("_keys"))
+    body = body.select(key, F.xxhash64(F.array_join("_keys", "\n")).alias("h1"), F.hash(F.array_join("_keys", "\n")).alias("h2"), F.transform(T.shingles(F.col("_keys"), n), lambda s: F.xxhash64(s)).alias("s"))
+    body = kept(body.withColumn("s", F.array_sort(F.array_distinct("s"))))
+    reps = body.groupBy("h1", "h2").agg(F.min(key).alias("rep"), F.any_value("s").alias("s"))
+    members = body.select(key, "h1", "h2").join(reps.select("h1", "h2", "rep", F.size("s").alias("size")), ["h1", "h2"]).select(key, "rep", "size")
+    sets = kept(reps.select("rep", "s"))
+    sh = sets.select("rep", F.size("s").alias("size"), F.explode("s").alias("shingle"))
     rarity = sh.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = sh.join(sizes, "rep").join(rarity, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = sh.join(rarity, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     at = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
     prefix = ranked.withColumn("at", at).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1).where("df > 1").select("rep", "shingle", "size")
     x, y = prefix.toDF("a", "shingle", "na"), prefix.toDF("b", "shingle", "nb")
     pairs = x.join(y, "shingle").where("a < b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).select("a", "b", "na", "nb").distinct()
-    sets = sh.groupBy("rep").agg(F.collect_list("shingle").alias("s"))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    both = both.where(T.jaccard_at_least(F.col("shared"), F.col("na"), F.col("nb"), num, den)).withColumn("total", F.col("na") + F.col("nb") - F.col("shared")).select("a", "b", "shared", "total")
-    member = body.join(reps.select("h", "rep"), "h").select(key, "rep")
+    both = both.where(T.jaccard_at_least(F.col("shared"), F.col("na"), F.col("nb"), num, den)).withColumn("total", (F.col("na") + F.col("nb") - F.col("shared")).cast("long")).select("a", "b", "shared", "total")
+    return members, both
+
+
+def near_duplicate_links(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:
+    """(a, b, kind, shared, total): all pairs a < b of rows with shared / total >= num / den; kind is exact where bodies are equal, else fuzzy.
+
+    The full listing grows with the square of a class; near_duplicate_classes() and spanning_links() say the same in as many rows as there are members.
+    """
+    members, both = near_duplicate_classes(rows, key, text, num, den, n, code)
+    member = members.select(key, "rep")
     fuzzy = both.join(member.toDF("ka", "a"), "a").join(member.toDF("kb", "b"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.lit("fuzzy").alias("kind"), "shared", "total")
-    one = member.join(sizes, "rep")
-    exact = one.toDF("rep", "a", "shared").join(one.select("rep", F.col(key).alias("b")), "rep").where("a < b").select("a", "b", F.lit("exact").alias("kind"), "shared", F.col("shared").alias("total"))
+    one = members.select("rep", F.col(key).alias("a"), F.col("size").cast("long").alias("shared"))
+    exact = one.join(member.toDF("b", "rep"), "rep").where("a < b").select("a", "b", F.lit("exact").alias("kind"), "shared", F.col("shared").alias("total"))
     return exact.union(fuzzy)
 
 
-def spanning_links(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3) -> DataFrame:
+def entity_links(rows: DataFrame, entity: str, side: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:
+    """(a, b, kind, jaccard, side_a, side_b): one link for each two entities a < b any of whose texts (of several sides) are near-duplicates: the strongest by
+    (exact first, higher similarity, sides); jaccard is rounded to 4 places."""
+    keyed = rows.select(F.struct(F.col(entity).alias("e"), F.col(side).alias("s")).alias("_key"), F.col(text).alias("_text"))
+    found = near_duplicate_links(keyed, "_key", "_text", num, den, n, code).where("a.e <> b.e")
+    x, y = F.least(F.col("a"), F.col("b")), F.greatest(F.col("a"), F.col("b"))
+    found = found.select(x["e"].alias("a"), y["e"].alias("b"), F.struct((F.col("kind") != "exact").alias("o"), (-F.col("shared") / F.col("total")).alias("j"), x["s"].alias("sa"), y["s"].alias("sb")).alias("k"))
+    return found.groupBy("a", "b").agg(F.min("k").alias("k")).select("a", "b", F.when(F.col("k.o"), "fuzzy").otherwise("exact").alias("kind"), F.round(-F.col("k.j"), 4).alias("jaccard"), F.col("k.sa").alias("side_a"), F.col("k.sb").alias("side_b"))
+
+
+def spanning_links(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:
     """(a, b) that connect what near_duplicate_links does, with one link for each copy instead of all pairs of copies."""
-    body = rows.where(F.col(text).isNotNull()).select(key, T.body_hash(F.col(text)).alias("h"), text)
-    reps = body.groupBy("h").agg(F.min(key).alias("rep"))
-    copies = body.join(reps, "h").where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"))
-    some = rows.join(reps.select(F.col("rep").alias(key)), key, "left_semi")
-    return copies.union(near_duplicate_links(some, key, text, num, den, n).select("a", "b"))
+    members, both = near_duplicate_classes(rows, key, text, num, den, n, code)
+    return members.where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b")).union(both.select("a", "b"))
+
+
+#: Bytes of the items' hashes that may be broadcast.
+SMALL = 8 << 20
 
 
 def containment(rows: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, n: int) -> DataFrame:
-    """(key, item, shared, size): how many of an item's distinct n-word shingles a row's text holds, where any."""
+    """(key, item, shared, size): how many of an item's distinct n-word shingles a row's text holds, where any.
+
+    Rows' shingles are hashed where they are made, and only those with the hash of an item's go on, with their words, which are then compared. The
+    items' hashes are broadcast if they are few; else they are joined.
+    """
     def of(df, k, t):
         w = F.filter(F.split(F.lower(F.col(t)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
         runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
         return df.where(F.col(t).isNotNull()).select(k, w.alias("w")).where("size(w) > 0").select(k, F.explode(F.array_distinct(runs)).alias("s"))
 
-    own = of(items, item, item_text)
+    own = kept(of(items, item, item_text))
     sizes = own.groupBy(item).agg(F.count("*").alias("size"))
-    hit = of(rows, key, text).join(own, "s").groupBy(key, item).agg(F.count("*").alias("shared"))
+    hashes = own.select(F.xxhash64("s").alias("h")).distinct()
+    few = F.broadcast(hashes) if hashes.count() * 16 <= SMALL else hashes
+    near = of(rows, key, text).withColumn("h", F.xxhash64("s")).join(few, "h", "left_semi").drop("h")
+    hit = near.join(own, "s").groupBy(key, item).agg(F.count("*").alias("shared"))
     return hit.join(sizes, item).select(key, item, "shared", "size")

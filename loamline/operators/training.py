@@ -6,22 +6,32 @@ from pyspark.sql import functions as F
 from ..functions.rank import rank_hex
 
 
-def resolve_labels(rows: DataFrame, key: str, values: str, mapping: DataFrame, categories: list[str], live: DataFrame) -> DataFrame:
-    """(key, label, reason): the one label that an array of values resolves to, or the first reason against it.
+# Labels that stand for none.
+PLACEHOLDERS = ("NVD-CWE-noinfo", "NVD-CWE-Other")
 
-    In order: no_block (null), placeholder values dropped, malformed, unmapped (a mapping (old, new) to null; the least value counts), then
-    distinct: no_label, multi, category, not_live. mapping and live (id) are lookup tables and may be of any size.
+
+def resolve_labels(rows: DataFrame, key: str, values: str, mapping: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, label, reason, mapped_from): the one label that an array of values resolves to, reason ok, or the first reason against it.
+
+    In order: no_nvd_cwe (a null array), placeholder_only, then of the values in order the first that is malformed_cwe or, mapped to null,
+    deprecated_no_replacement; after mapping multi_cwe, category, view, not_in_view_1000. mapped_from: the old labels that were mapped, by number, or the
+    one without a replacement. mapping (old, new) and nodes (id, is_category, is_view, in_view) may be of any size.
     """
-    each = rows.select(key, F.col(values).isNull().alias("none"), F.explode_outer(F.array_sort(F.array_distinct(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: ~v.rlike(r"^NVD-CWE-"))))).alias("v"))
-    wrong = F.when(~F.col("v").rlike(r"^CWE-[1-9][0-9]*$"), "malformed")
+    each = rows.select(key, F.col(values).isNull().alias("none"), F.explode_outer(F.array_sort(F.array_distinct(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: ~v.isin(*PLACEHOLDERS))))).alias("v"))
     mapped = each.join(mapping.select(F.col("old").alias("v"), F.lit(True).alias("_old"), "new"), "v", "left")
-    wrong = F.coalesce(wrong, F.when(F.col("_old") & F.col("new").isNull(), F.lit("unmapped")))
-    mapped = mapped.select(key, "none", "v", wrong.alias("wrong"), F.when(F.col("_old"), F.col("new")).otherwise(F.col("v")).alias("to"))
-    one = mapped.groupBy(key).agg(F.max("none").alias("none"), F.min(F.when(F.col("wrong").isNotNull(), F.struct("v", "wrong")))["wrong"].alias("wrong"), F.array_sort(F.collect_set("to")).alias("to"))
+    wrong = F.when(~F.col("v").rlike(r"\ACWE-[0-9]+\z"), "malformed_cwe").when(F.col("_old") & F.col("new").isNull(), "deprecated_no_replacement")
+    number = lambda c: F.regexp_extract(c, r"(\d+)", 1).try_cast("int")
+    mapped = mapped.select(key, "none", "v", wrong.alias("wrong"), F.when(F.col("_old"), F.col("new")).otherwise(F.col("v")).alias("to"), F.when(F.col("_old"), F.struct(number(F.col("v")).alias("k"), F.col("v").alias("v"))).alias("from"))
+    one = mapped.groupBy(key).agg(F.max("none").alias("none"), F.count("v").alias("n"), F.min(F.when(F.col("wrong").isNotNull(), F.struct("v", "wrong"))).alias("wrong"), F.array_sort(F.collect_set("to")).alias("to"), F.transform(F.array_sort(F.collect_set("from")), lambda x: x["v"]).alias("from"))
     one = one.withColumn("id", F.when((F.size("to") == 1) & F.col("wrong").isNull(), F.try_element_at("to", F.lit(1))))
-    one = one.join(live.select(F.col("id"), F.lit(True).alias("_live")), "id", "left")
-    reason = F.when(F.col("none"), "no_block").when(F.col("wrong").isNotNull(), F.col("wrong")).when(F.size("to") == 0, "no_label").when(F.size("to") > 1, "multi").when(F.col("id").isin(categories), "category").when(F.col("_live").isNull(), "not_live")
-    return one.select(key, F.when(reason.isNull(), F.col("id")).alias("label"), reason.alias("reason"))
+    one = one.join(nodes.select("id", "is_category", "is_view", "in_view"), "id", "left")
+    why = F.col("wrong.wrong")
+    reason = (
+        F.when(F.col("none"), "no_nvd_cwe").when(F.col("n") == 0, "placeholder_only").when(why.isNotNull(), why).when(F.size("to") > 1, "multi_cwe")
+        .when(F.coalesce("is_category", F.lit(False)), "category").when(F.coalesce("is_view", F.lit(False)), "view").when(~F.coalesce("in_view", F.lit(False)), "not_in_view_1000").otherwise("ok")
+    )
+    old = F.when(why == "malformed_cwe", F.array().cast("array<string>")).when(why.isNotNull(), F.array("wrong.v")).otherwise(F.col("from"))
+    return one.select(key, F.when(reason == "ok", F.col("id")).alias("label"), reason.alias("reason"), old.alias("mapped_from"))
 
 
 def near_misses(golds: DataFrame, key: str, gold: str, neighbours: DataFrame, salt: str) -> DataFrame:

@@ -85,10 +85,10 @@ def q_pair_self(spark, d):
 
 
 def results(spark, d):
-    """Synthetic results: labels of ids not divisible by 5, some twice, and some of ids that weren't asked for."""
+    """Synthetic results: labels that aren't toxic, those of low quality twice or with another hash, and some of ids that weren't asked for."""
     labels = load(spark, d, "labels")
-    got = labels.where("doc_id % 5 <> 0").select("doc_id", (F.col("quality") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)).alias("h"))
-    return labels.select("doc_id", F.col("quality").alias("h")), got.union(labels.where("doc_id % 7 = 0 AND doc_id % 5 <> 0").select("doc_id", F.col("quality").alias("h"))).union(labels.where("doc_id % 13 = 0").select((F.col("doc_id") + 10_000_000_000).alias("doc_id"), F.col("quality").alias("h")))
+    got = labels.where("toxic = 0").select("doc_id", (F.col("quality") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)).alias("h"))
+    return labels.select("doc_id", F.col("quality").alias("h")), got.union(labels.where("toxic = 0 AND quality = 0").select("doc_id", F.col("quality").alias("h"))).union(labels.where("toxic = 1").select((F.col("doc_id") + 10_000_000_000).alias("doc_id"), F.col("quality").alias("h")))
 
 
 def q_reconcile(spark, d):
@@ -97,8 +97,8 @@ def q_reconcile(spark, d):
 
 
 RESULTS = """asked AS (SELECT doc_id, quality AS h FROM labels),
-got AS (SELECT doc_id, quality + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS h FROM labels WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id % 7 = 0 AND doc_id % 5 <> 0
-        UNION ALL SELECT doc_id + 10000000000, quality FROM labels WHERE doc_id % 13 = 0)"""
+got AS (SELECT doc_id, quality + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS h FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, quality FROM labels WHERE toxic = 0 AND quality = 0
+        UNION ALL SELECT doc_id + 10000000000, quality FROM labels WHERE toxic = 1)"""
 
 
 def q_retry_decide(spark, d):

@@ -42,7 +42,7 @@ def q_majority_components(spark, d):
     return A.ordered_mode(load(spark, d, "lineitem"), ["l_suppkey"], "l_returnflag", "RNA")
 
 
-@query("SELECT source, count(*) AS count FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+@query("SELECT source, count(*) AS count FROM documents GROUP BY 1 ORDER BY 2 DESC, try_cast(regexp_extract(source, '[0-9]+') AS BIGINT) NULLS LAST, 1 LIMIT 15")
 def q_top_labels(spark, d):
     return A.most_frequent(load(spark, d, "documents"), "source", 15)
 
@@ -86,7 +86,7 @@ def q_shortcut_guard(spark, d):
     return A.shortcut_share(rows, "p_partkey", "options", "gold")
 
 
-@query("WITH g AS (SELECT user_id, event_type, min(floor(value / 20)) <> max(floor(value / 20)) AS live FROM events GROUP BY 1, 2) SELECT event_type, sum(live::INT)::BIGINT AS live, count(*) AS n, CASE WHEN sum(live::INT) * 2 >= count(*) THEN 'as_specified' WHEN sum(live::INT) * 10 >= count(*) THEN 'dynamic' ELSE 'floored' END AS band FROM g GROUP BY 1")
+@query("WITH g AS (SELECT user_id, event_type, min(floor(value / 20)) <> max(floor(value / 20)) AS live FROM events GROUP BY 1, 2) SELECT event_type, sum(live::INT)::BIGINT AS live, count(*) AS n, CASE WHEN sum(live::INT) * 2 >= count(*) THEN 'as_specified' WHEN sum(live::INT) * 10 >= count(*) THEN 'dynamic_sampling' ELSE 'floored' END AS band FROM g GROUP BY 1")
 def q_live_groups(spark, d):
     """Users' groups of events of a type that don't all score the same."""
     rows = load(spark, d, "events").select("user_id", "event_type", F.floor(F.col("value") / 20).alias("score"))

@@ -38,14 +38,14 @@ links AS MATERIALIZED (SELECT a, b, shared, x.n + y.n - shared AS total FROM p J
 @query(f"WITH {SHINGLES} SELECT a, b, CASE WHEN array_to_string(x.ks, chr(10)) = array_to_string(y.ks, chr(10)) THEN 'exact' ELSE 'fuzzy' END AS kind, shared, total FROM links JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b")
 def q_near_dup_links(spark, d):
     """All pairs of documents with a Jaccard similarity of 4/5 or more on runs of three lines."""
-    return N.near_duplicate_links(documents(spark, d), "doc_id", "text")
+    return N.near_duplicate_links(documents(spark, d), "doc_id", "text", code=False)
 
 
 @query(f"WITH RECURSIVE {SHINGLES}, e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), c(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.id, e.b FROM c JOIN e ON c.r = e.a), m AS (SELECT id, min(r) AS cluster_id FROM c GROUP BY 1) SELECT id AS doc_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM m")
 def q_near_dup_clusters(spark, d):
     """Clusters of those links; copies are joined by one link each."""
     rows = documents(spark, d)
-    return G.clusters(rows.select("doc_id"), "doc_id", [], N.spanning_links(rows, "doc_id", "text")).select("doc_id", "cluster_id", "cluster_size")
+    return G.clusters(rows.select("doc_id"), "doc_id", [], N.spanning_links(rows, "doc_id", "text", code=False)).select("doc_id", "cluster_id", "cluster_size")
 
 
 WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -102,13 +102,13 @@ def replies(spark, d):
     return load(spark, d, "documents").select("doc_id", "lang", "n_chars")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'CWE-' || (doc_id % 1000) END AS parsed, doc_id % 5 = 1 AS strict_ok FROM documents WHERE doc_id % 1000 > 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'CWE-' || (doc_id % 999 + 1) END AS parsed, doc_id % 5 = 1 AS strict_ok FROM documents")
 def q_parse_ids(spark, d):
     """Ids read from synthetic replies: none, exact, in other case and spelling, with others before."""
-    n = (F.col("doc_id") % 1000).cast("string")
+    n = (F.col("doc_id") % 999 + 1).cast("string")
     kind = F.col("doc_id") % 5
     reply = F.when(kind == 0, "nothing, xCWE-5").when(kind == 1, F.concat(F.lit(" CWE-"), n)).when(kind == 2, F.concat(F.lit("I'd say cwe 00"), n, F.lit("."))).when(kind == 3, F.concat(F.lit("CWE-1, no: CWE_"), n, F.lit(" it is"))).otherwise(F.concat(F.lit("(CWE:"), n, F.lit(")")))
-    return replies(spark, d).where("doc_id % 1000 > 0").select("doc_id", V.parse_id(reply).alias("parsed"), V.strict_id(reply).alias("strict_ok"))
+    return replies(spark, d).select("doc_id", V.parse_id(reply).alias("parsed"), V.strict_id(reply).alias("strict_ok"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 4 THEN '' ELSE array_to_string(list_sort(list_distinct(list_filter([(doc_id % 7)::INT, (doc_id % 11)::INT, 3], lambda x: x >= 1 AND x <= 9))), ',') END AS parsed FROM documents")

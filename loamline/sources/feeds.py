@@ -19,7 +19,8 @@ def feed_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_feeds(spark: SparkSession, folder: str, record: T.StructType) -> DataFrame:
-    """(feed, record): every record of the yearly feeds. A body whose SHA-256 isn't the one in its .meta, if it has one, is an error."""
+    """(feed, timestamp, n_records, record): every record of the yearly feeds, with their feed's time and number of records. A body whose SHA-256 isn't the one
+    in its .meta, if it has one, is an error."""
     def unpack(batches):
         import gzip
         import hashlib
@@ -36,8 +37,9 @@ def read_feeds(spark: SparkSession, folder: str, record: T.StructType) -> DataFr
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json(\.gz)?$", "")
     both = bodies.join(F.broadcast(metas), stem == F.col("m"), "left")  # a row for each year
     checked = F.when(F.col("said").isNull() | (F.col("said") == F.col("sha")), F.col("body")).otherwise(F.raise_error(F.lit("a feed doesn't have the checksum in its .meta")))
-    schema = T.StructType([T.StructField("vulnerabilities", T.ArrayType(T.StructType([T.StructField("cve", record)])))])
-    return both.select(F.element_at(F.split("path", "/"), -1).alias("feed"), F.explode(F.from_json(checked, schema)["vulnerabilities"]["cve"]).alias("record"))
+    schema = T.StructType([T.StructField("timestamp", T.StringType()), T.StructField("vulnerabilities", T.ArrayType(T.StructType([T.StructField("cve", record)])))])
+    read = both.select(F.element_at(F.split("path", "/"), -1).alias("feed"), F.from_json(checked, schema).alias("f"))
+    return read.select("feed", "f.timestamp", F.size("f.vulnerabilities").alias("n_records"), F.explode("f.vulnerabilities.cve").alias("record"))
 
 
 def extract(feeds: DataFrame, needed: DataFrame, key: str = "id") -> DataFrame:
@@ -46,6 +48,13 @@ def extract(feeds: DataFrame, needed: DataFrame, key: str = "id") -> DataFrame:
     return latest_wins(rows, key, "lastModified", "feed")
 
 
+def extract_statistics(feeds: DataFrame, needed: DataFrame, key: str = "id") -> DataFrame:
+    """(needed, found, missing, duplicates): distinct ids asked for, those that feeds have and lack, and records beyond the first of an id."""
+    asked = needed.select(key).distinct()
+    n = feeds.select(F.col(f"record.{key}").alias(key)).groupBy(key).agg(F.count("*").alias("n"))
+    return asked.join(n, key, "left").agg(F.count("*").alias("needed"), F.count("n").alias("found"), (F.count("*") - F.count("n")).alias("missing"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+
+
 def english(descriptions):
     """The first English description that isn't blank, trimmed."""
     found = F.filter(descriptions, lambda d: (d["lang"] == "en") & (F.regexp_replace(d["value"], r"(?U)\s", "") != ""))
@@ -53,17 +62,33 @@ def english(descriptions):
 
 
 def label_values(weaknesses, source: str):
-    """Distinct values of a source's blocks, trimmed and sorted."""
-    mine = F.filter(weaknesses, lambda w: w["source"] == source)
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(mine, lambda w: F.transform(w["description"], lambda d: F.trim(d["value"]))))))
+    """Distinct English values of a source's blocks that aren't blank, trimmed and sorted; null if the source has no block."""
+    mine = F.filter(F.coalesce(weaknesses, F.array()), lambda w: w["source"] == source)
+    strip = lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    values = F.flatten(F.transform(mine, lambda w: F.transform(F.filter(F.coalesce(w["description"], F.array()), lambda d: (d["lang"] == "en") & d["value"].isNotNull()), lambda d: strip(d["value"]))))
+    return F.when(F.size(mine) > 0, F.array_sort(F.array_distinct(F.filter(values, lambda v: v != ""))))
 
 
-def read_taxonomy(spark: SparkSession, path: str, view: str = "1000") -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, name, abstraction, status) and ChildOf edges (child, parent) of a view."""
-    related = T.StructType([T.StructField("_Nature", T.StringType()), T.StructField("_CWE_ID", T.StringType()), T.StructField("_View_ID", T.StringType())])
-    schema = T.StructType([*[T.StructField(f"_{k}", T.StringType()) for k in ("ID", "Name", "Abstraction", "Status")], T.StructField("Related_Weaknesses", T.StructType([T.StructField("Related_Weakness", T.ArrayType(related))]))])
-    rows = spark.read.format("xml").option("rowTag", "Weakness").schema(schema).load(path)
-    nodes = rows.select(F.col("_ID").alias("id"), F.col("_Name").alias("name"), F.col("_Abstraction").alias("abstraction"), F.col("_Status").alias("status"))
+def read_taxonomy(spark: SparkSession, path: str, view: str = "1000", release: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name, abstraction, status, kind, description) and ChildOf edges (child, parent) of a view.
+
+    kind is weakness, category or view; description is that of deprecated weaknesses, white space made single. A catalog of another release than the one asked
+    for is an error.
+    """
+    text = lambda *names: [T.StructField(n, T.StringType()) for n in names]
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    if release is not None:
+        head = spark.read.text(path).where(F.col("value").contains("<Weakness_Catalog")).select(F.regexp_extract("value", r'<Weakness_Catalog[^>]*\bVersion="([^"]*)"', 1).alias("v"))
+        if [r.v for r in head.collect()] != [release]:
+            raise ValueError(f"the taxonomy isn't release {release}")
+    related = T.StructType(text("_Nature", "_CWE_ID", "_View_ID"))
+    schema = T.StructType([*text("_ID", "_Name", "_Abstraction", "_Status", "Description"), T.StructField("Related_Weaknesses", T.StructType([T.StructField("Related_Weakness", T.ArrayType(related))]))])
+    rows = read("Weakness", schema)
+    note = F.trim(F.regexp_replace("Description", r"(?U)\s+", " "))
+    nodes = rows.select(F.col("_ID").alias("id"), F.col("_Name").alias("name"), F.col("_Abstraction").alias("abstraction"), F.col("_Status").alias("status"), F.lit("weakness").alias("kind"), F.when(F.col("_Status") == "Deprecated", note).alias("description"))
+    for tag in ("Category", "View"):
+        more = read(tag, T.StructType(text("_ID", "_Name", "_Status")))
+        nodes = nodes.union(more.select(F.col("_ID").alias("id"), F.col("_Name").alias("name"), F.lit(None).cast("string").alias("abstraction"), F.col("_Status").alias("status"), F.lit(tag.lower()).alias("kind"), F.lit(None).cast("string").alias("description")))
     edges = rows.select(F.col("_ID").alias("child"), F.explode("Related_Weaknesses.Related_Weakness").alias("r")).where((F.col("r._Nature") == "ChildOf") & (F.col("r._View_ID") == view))
     return nodes, edges.select("child", F.col("r._CWE_ID").alias("parent")).distinct()
 

@@ -2,10 +2,12 @@
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import kept
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One object a line, gzip or not; a line that isn't one is an error, and so is a field of another type."""
@@ -13,20 +15,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def read_pairs(spark: SparkSession, path: str, schema: T.StructType, key: Column) -> DataFrame:
-    """Files in which rows 2k and 2k + 1 form a pair: (file, pair, first, second), structs of the schema.
+    """Files in which the rows that aren't blank form pairs, the first with the second and so on: (file, pair, first_line, second_line, first, second), structs of
+    the schema and the lines' numbers from 1.
 
-    Line numbers matter, so a file is read whole as text and numbered; blank lines are skipped. An odd count, an unknown or missing field,
-    or a pair key (a column over first and second) that comes twice is an error.
+    Lines are read in splits like any text; a split's rows are numbered in order of where they stand in the file, by counts of the splits before. An odd count, an
+    unknown or missing field, or a pair key (a column over first and second) that comes twice is an error.
     """
     names = set(schema.fieldNames())
-    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.filter(F.split("value", "\n"), lambda l: F.trim(l) != "").alias("lines"))
-    rows = text.select("file", F.posexplode("lines").alias("pos", "line"))
-    found = rows.select("file", "pos", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("row"), F.json_object_keys("line").alias("fields"))
+    text = spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    text = kept(text)  # a row's place within its split is frozen before rows are counted
+    blank = F.trim("value") == ""
+    counts = text.groupBy("file", "_block").agg(F.count("*").alias("_lines"), F.sum((~blank).cast("long")).alias("_rows"))
+    upto = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    before = counts.select("file", "_block", F.coalesce(F.sum("_lines").over(upto), F.lit(0)).alias("_l"), F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_r"))
+    inside = Window.partitionBy("file", "_block").orderBy("_at")
+    rows = text.withColumns({"_n": F.row_number().over(inside), "_k": F.sum((~blank).cast("long")).over(inside)}).where(~blank).join(before, ["file", "_block"])
+    found = kept(rows.select("file", (F.col("_l") + F.col("_n")).alias("line"), (F.col("_r") + F.col("_k") - 1).alias("pos"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"), F.json_object_keys("value").alias("fields")))
     wrong = found.where((F.size(F.array_except("fields", F.array(*[F.lit(x) for x in sorted(names)]))) > 0) | (F.size("fields") != len(names)))
     if not wrong.isEmpty():
         raise ValueError("fields that aren't the schema's")
-    pairs = found.groupBy("file", F.floor(F.col("pos") / 2).alias("pair")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("row"))).alias("first"), F.max(F.when(F.col("pos") % 2 == 1, F.col("row"))).alias("second"))
-    if not found.groupBy("file", F.floor(F.col("pos") / 2).alias("pair")).count().where("count <> 2").isEmpty():
+    side = lambda i, c: F.max(F.when(F.col("pos") % 2 == i, F.col(c)))
+    pairs = found.groupBy("file", F.floor(F.col("pos") / 2).alias("pair")).agg(side(0, "line").alias("first_line"), side(1, "line").alias("second_line"), side(0, "row").alias("first"), side(1, "row").alias("second"))
+    if not pairs.where("second_line IS NULL").isEmpty():
         raise ValueError("an odd number of rows")
     if not pairs.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError("a pair comes twice")
@@ -61,6 +71,25 @@ def frozen(df: DataFrame, manifest: dict[str, str], name: str) -> dict[str, str]
     return manifest | {name: h}
 
 
+def checked_table(df: DataFrame, manifest: dict[str, str], name: str, upstream: dict[str, DataFrame]) -> DataFrame:
+    """A table that may be used: its own and its upstream tables' hashes are those of the manifest; a hash that differs or is missing is refused."""
+    for n, table in {name: df, **upstream}.items():
+        if manifest.get(n) != content_hash(table):
+            raise ValueError(f"{n} isn't what the manifest says")
+    return df
+
+
+def manifest_of(tables: dict[str, DataFrame], versions: dict[str, str], now: str | None = None) -> dict:
+    """Hashes and sizes of tables and versions of what made them; only `now`, a time, differs between equal runs."""
+    return {"tables": {n: {"sha256": content_hash(t), "rows": t.count()} for n, t in sorted(tables.items())}, "versions": dict(sorted(versions.items()))} | ({"time": now} if now else {})
+
+
+def layout(base: str, dry: bool = False, names: tuple[str, ...] = ("facts", "drops", "census", "split", "partition", "bank", "manifest")) -> dict[str, str]:
+    """One folder gives all paths; a dry run's stand beside the real ones, never in their place."""
+    top = f"{base.rstrip('/')}/{'dry/' if dry else ''}"
+    return {n: f"{top}{n}" for n in names}
+
+
 def json_document(rows: dict) -> str:
     return json.dumps(rows, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 

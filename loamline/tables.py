@@ -11,3 +11,16 @@ def session(app: str = "loamline", master: str | None = None) -> SparkSession:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the one that spark.checkpoint.dir names; where that is unset and Spark runs in one process, a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/loamline-{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"

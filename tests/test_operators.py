@@ -143,7 +143,7 @@ def test_mode_ties_follow_the_domain(spark):
 
 def test_bands_and_caps(spark):
     df = spark.createDataFrame([(5, 10), (4, 10), (1, 10), (0, 10)], "l int, n int")
-    assert [r[0] for r in df.select(A.band(F.col("l"), F.col("n"))).collect()] == ["as_specified", "dynamic", "dynamic", "floored"]
+    assert [r[0] for r in df.select(A.band(F.col("l"), F.col("n"))).collect()] == ["as_specified", "dynamic_sampling", "dynamic_sampling", "floored"]
     cut = spark.createDataFrame([("a", 16, 2, 10), ("a", 24, 1, 10), ("b", 16, 5, 10), ("b", 24, 5, 10)], "k string, cap int, n_cut int, n int")
     assert rows(A.cap_choice(cut, ["k"]), "k", "cap") == [("a", 24), ("b", 24)]
 
