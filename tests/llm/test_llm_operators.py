@@ -440,6 +440,15 @@ def test_shuffle_mixes_partitions(spark):
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.12
 
 
+def test_partitions_of_a_group_are_mixed(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS", 2)
+    df = spark.range(7000).repartitionByRange(7, "id")
+    got = sharding.hypergeometric_shards(df, 4, F.struct("id"), block_rows=300).collect()
+    counts = Counter((r.shard, r.id // 1000) for r in got)
+    assert len(counts) == 28 and all(190 < c < 310 for c in counts.values()) and sorted(r.id for r in got) == list(range(7000))
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(1750)) for s in range(4))
+
+
 # 8
 
 
