@@ -57,6 +57,25 @@ def drawn_distractors(rows: DataFrame, key: str, gold: str, counts: DataFrame, a
     return weighted_draw(rows.select(key), key, counts, "item", "w", k, salt, banned)
 
 
+def decided_distractors(rows: DataFrame, key: str, gold: str, attempts: list[tuple[str, DataFrame]], counts: DataFrame, above: DataFrame, k: int, salt: str) -> DataFrame:
+    """(key, distractors, sources): the first k admitted proposals (key, pos, value) of the attempts in order, each with its attempt's name, and what is
+    still missing drawn by weight, slots numbered from how many there are."""
+    parts = [a.select(key, F.lit(i).alias("o"), "pos", "value", F.lit(name).alias("source")) for i, (name, a) in enumerate(attempts)]
+    each = parts[0]
+    for p in parts[1:]:
+        each = each.union(p)
+    once = each.groupBy(key, "value").agg(F.min(F.struct("o", "pos", "source")).alias("x"))
+    at = F.row_number().over(Window.partitionBy(key).orderBy("x.o", "x.pos"))
+    chosen = once.withColumn("at", at).where(F.col("at") <= k)
+    line = F.array_sort(F.collect_list(F.struct("at", "value", F.col("x.source").alias("source"))))
+    have = rows.select(key, gold).join(chosen.groupBy(key).agg(line.alias("line")), key, "left")
+    have = have.withColumn("line", F.coalesce("line", F.array().cast(f"array<struct<at:int,value:{dict(once.dtypes)['value']},source:string>>"))).withColumn("n", F.size("line"))
+    banned = rows.select(key, gold).join(relatives(rows, gold, above), gold).select(key, "item").union(chosen.select(key, F.col("value").alias("item")))
+    out = weighted_draw(have, key, counts, "item", "w", k, salt, banned, F.col("n"))
+    more = F.slice("drawn", F.lit(1), k - F.col("n"))
+    return out.select(key, F.concat(F.transform("line", lambda x: x["value"]), more).alias("distractors"), F.concat(F.transform("line", lambda x: x["source"]), F.transform(more, lambda _: F.lit("draw"))).alias("sources"))
+
+
 def six_items(facts: DataFrame, key: str, prompts: dict[str, str], system: str) -> DataFrame:
     """Six rows for each fact (mcq, exact_id, cvss, find_error 0 and 1, line_loc 0): item_id, type, index, user, prompt, target, gold.
 

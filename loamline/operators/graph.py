@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import scratch
+
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, ancestor, depth): every proper ancestor with its least depth. Paths double in each round, so 64 rounds hold any depth; a cycle is refused."""
@@ -23,11 +25,11 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that spark.checkpoint.dir names; where none is named, as in tests, rows that are only cached."""
-    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None and folder:
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+    """A checkpoint in the shared folder that spark.checkpoint.dir names; where none is named and Spark runs in one process, in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
 
 
 def siblings(edges: DataFrame, above: DataFrame) -> DataFrame:

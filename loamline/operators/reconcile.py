@@ -4,13 +4,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reconcile(requests: DataFrame, results: DataFrame, key: str, hash_column: str | None = None) -> DataFrame:
-    """(key, status): ok, missing (no result), unexpected (no request), duplicate (several results) or hash_differs, by a full outer join."""
+def reconcile(requests: DataFrame, results: DataFrame, key: str, hash_column: str | None = None, outputs: str | None = None, wanted: int = 1) -> DataFrame:
+    """(key, status): ok, missing (no result), unexpected (no request), duplicate (several results), hash_differs, or, with an array of outputs, outputs_differ where
+    there aren't as many as wanted; by a full outer join."""
     asked = requests.groupBy(key).agg(F.count("*").alias("asked"), *([F.min(hash_column).alias("h")] if hash_column else []))
-    got = results.groupBy(key).agg(F.count("*").alias("got"), *([F.min(hash_column).alias("h2")] if hash_column else []))
+    got = results.groupBy(key).agg(F.count("*").alias("got"), *([F.min(hash_column).alias("h2")] if hash_column else []), *([F.min(F.size(outputs)).alias("o")] if outputs else []))
     both = asked.join(got, key, "full_outer")
     status = F.when(F.col("got").isNull(), "missing").when(F.col("asked").isNull(), "unexpected").when(F.col("got") > 1, "duplicate")
     status = status.when(~F.col("h").eqNullSafe(F.col("h2")), "hash_differs") if hash_column else status
+    status = status.when(~F.col("o").eqNullSafe(F.lit(wanted)), "outputs_differ") if outputs else status
     return both.select(key, status.otherwise("ok").alias("status"))
 
 

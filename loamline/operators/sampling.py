@@ -59,9 +59,9 @@ def stride_shards(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("shard", (F.col("pos") % n).cast("int"))
 
 
-def weighted_draw(ids: DataFrame, key: str, pool: DataFrame, item: str, weight: str, slots: int, salt: str, banned: DataFrame | None = None, first: int = 0) -> DataFrame:
+def weighted_draw(ids: DataFrame, key: str, pool: DataFrame, item: str, weight: str, slots: int, salt: str, banned: DataFrame | None = None, first: int | Column = 0) -> DataFrame:
     """`slots` items for each id, drawn by weight without replacement. pool is a small table with positive whole weights; banned (key, item): what an id may
-    not get. Slots are numbered from `first`. An id with fewer items left has fewer drawn.
+    not get. Slots are numbered from `first`, which may be a column of ids. An id with fewer items left has fewer drawn.
 
     Slot s takes rank(id, salt, s) modulo the weight that is left, and walks the pool in the order of items; a slot's draw is moved past the
     items already taken, in ascending order of where they stand. An item's stretch of weights is cut at multiples of the mean weight, so that
@@ -82,7 +82,8 @@ def weighted_draw(ids: DataFrame, key: str, pool: DataFrame, item: str, weight:
         at = walk.select(F.col("_item").alias(item), F.struct((F.col("_end") - F.col("_w")).alias("start"), F.col("_w").alias("w"), F.col("_item").alias("item")).alias("_t"))
         not_ = banned.select(key, item).distinct().join(at.distinct(), item).groupBy(key).agg(F.collect_list("_t").alias("_taken"))
         out = ids.join(not_, key, "left").withColumn("_taken", F.coalesce("_taken", none)).withColumn("_banned", F.size("_taken"))
-    for s in range(first, first + slots):
+    for i in range(slots):
+        s = first + i
         left = F.greatest(F.lit(1), F.lit(total) - F.aggregate("_taken", F.lit(0).cast("long"), lambda a, t: a + t["w"]))
         at = rank_mod(left.cast("decimal(20,0)"), F.col(key), salt, s)
         place = F.aggregate(F.array_sort("_taken"), at, lambda a, t: F.when(a >= t["start"], a + t["w"]).otherwise(a))

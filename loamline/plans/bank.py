@@ -77,6 +77,26 @@ def q_draw_only(spark, d):
     return B.drawn_distractors(c, "c_custkey", "gold", counts, G.closure(edges(spark, d)), 3, "prior").select("c_custkey", F.array_join("drawn", ",").alias("drawn"))
 
 
+def decision_sql() -> str:
+    out = ["pool AS (SELECT 'N' || c_nationkey AS n, count(*)::BIGINT AS w FROM customer GROUP BY 1)", "t0 AS (SELECT c_custkey AS k, (CASE WHEN c_acctbal > 5000 THEN 2 WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS have, ['N' || c_nationkey] || CASE WHEN c_acctbal > 5000 THEN ['N' || ((c_nationkey + 1) % 25), 'N' || ((c_nationkey + 7) % 25)] WHEN c_acctbal > 0 THEN ['N' || ((c_nationkey + 1) % 25)] ELSE [] END AS taken FROM customer)"]
+    for s in range(3):
+        out.append(f"c{s} AS (SELECT k, have, taken, n, w, sum(w) OVER (PARTITION BY k ORDER BY n) AS e, sum(w) OVER (PARTITION BY k) AS total FROM t{s}, pool WHERE have + {s} < 3 AND NOT list_contains(taken, n))")
+        slot = f"(have + {s})::VARCHAR"
+        out.append(f"t{s + 1} AS (SELECT k, have, list_append(taken, n) AS taken FROM c{s} WHERE {mod_sql('total', 'k::VARCHAR', chr(39) + 'prior' + chr(39), slot)} BETWEEN e - w AND e - 1 UNION ALL SELECT k, have, taken FROM t{s} WHERE have + {s} >= 3)")
+    return f"WITH {', '.join(out)} SELECT k AS c_custkey, array_to_string(taken[2:], ',') AS distractors, array_to_string((CASE have WHEN 1 THEN ['model'] WHEN 2 THEN ['model', 'model_retry'] ELSE [] END) || list_transform(range(3 - have), lambda i: 'draw'), ',') AS sources FROM t3"
+
+
+@query(decision_sql())
+def q_mcq_decisions(spark, d):
+    """Distractors from a first attempt, a second, and the draw."""
+    c = load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", nation().alias("gold"))
+    counts = c.groupBy(F.col("gold").alias("item")).agg(F.count("*").alias("w"))
+    first = c.where("c_acctbal > 0").select("c_custkey", F.lit(0).alias("pos"), nation(1).alias("value"))
+    second = c.where("c_acctbal > 5000").select("c_custkey", F.explode(F.array(F.struct(F.lit(0).alias("pos"), nation(1).alias("value")), F.struct(F.lit(1).alias("pos"), nation(7).alias("value")))).alias("x")).select("c_custkey", "x.*")
+    out = B.decided_distractors(c, "c_custkey", "gold", [("model", first), ("model_retry", second)], counts, G.closure(edges(spark, d)), 3, "prior")
+    return out.select("c_custkey", F.array_join("distractors", ",").alias("distractors"), F.array_join("sources", ",").alias("sources"))
+
+
 PROMPTS = {"mcq": "Read: {description}\n{options}\nWhich?", "exact_id": "Name it: {description}", "cvss": "Rate it: {description}", "find_error": "Is it vulnerable?\n{function}", "line_loc": "{description}\nWhere?\n{numbered}"}
 SYSTEM = "Be brief."
 VECTOR = "AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import verify as V
 from ..operators import checks as K
 from ..operators import graph as G
+from ..operators import jobs as W
 from ..operators import ledger as L
 from ..operators import reconcile as R
 from ..operators import similarity as N
@@ -15,6 +16,8 @@ from ..operators import training as M
 from ..sources import feeds as X
 from ..sources import jsonl as J
 from ..tables import load, scratch
+from .hierarchies import edges
+from .samples import mod_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -347,3 +350,102 @@ def q_covered_join(spark, d):
     """Requests with exactly one result each."""
     docs = documents(spark, d)
     return R.full_coverage(docs.select("doc_id"), docs.select("doc_id", "lang"), "doc_id").select("doc_id", "lang")
+
+
+# Jobs.
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'not_in_source' WHEN toxic = 1 THEN 'rejected' ELSE 'ok' END AS \"join\", CASE WHEN quality IS NULL THEN NULL WHEN quality = 0 THEN 'no_description' WHEN doc_id % 2 = 0 THEN 'bad_published' ELSE 'ok' END AS complete FROM documents LEFT JOIN labels USING (doc_id)")
+def q_entity_status(spark, d):
+    """Documents by what their label says of them as records of a source."""
+    source = load(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "Rejected").otherwise("Analyzed").alias("s"), F.when(F.col("quality") == 1, "text").otherwise(" ").alias("d"), F.when(F.col("doc_id") % 2 == 0, "soon").otherwise("2020-01-01T00:00:00").alias("p"))
+    return W.entity_status(documents(spark, d).select("doc_id"), "doc_id", source, "s", "Rejected", "d", "p").select("doc_id", "join", "complete")
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'self_a1' WHEN toxic = 0 THEN 'self_a2' ELSE 'gold_only' END AS source, CASE WHEN quality = 1 THEN 'one' WHEN toxic = 0 THEN 'two' ELSE 'gold' END AS result FROM labels")
+def q_two_attempts(spark, d):
+    """Each label's first valid attempt, or its gold."""
+    labels = load(spark, d, "labels")
+    first = labels.select("doc_id", F.lit(1).alias("attempt"), F.lit("one").alias("result"), F.when(F.col("quality") == 0, "empty").alias("reason"))
+    second = labels.where("quality = 0").select("doc_id", F.lit(2).alias("attempt"), F.lit("two").alias("result"), F.when(F.col("toxic") == 1, "truncated").alias("reason"))
+    return W.two_attempts(labels.select("doc_id", F.lit("gold").alias("gold")), "doc_id", first.union(second), "gold", ("self_a1", "self_a2", "gold_only")).select("doc_id", "source", "result")
+
+
+@query("SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 0")
+def q_wanted_retries(spark, d):
+    labels = load(spark, d, "labels")
+    first = labels.select("doc_id", F.lit(1).alias("attempt"), F.when(F.col("quality") == 0, "empty").alias("reason"))
+    return W.wanted_retries(first.union(labels.where("toxic = 1").select("doc_id", F.lit(2), F.lit(None).cast("string"))), "doc_id")
+
+
+@query("SELECT c_custkey, '- R' || n_regionkey || ': region ' || n_regionkey || ' (more general)' || coalesce((SELECT string_agg(chr(10) || '- S' || s_suppkey || ': ' || s_name || ' (more specific)', '' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey), '') AS neighbours FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def q_neighbour_lists(spark, d):
+    """The neighbours of each customer's nation as lines of a prompt."""
+    golds = load(spark, d, "customer").select("c_custkey", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("gold"))
+    names = load(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name")).union(load(spark, d, "nation").select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))).distinct())
+    number = F.when(F.col("id").startswith("R"), -1).otherwise(F.substring("id", 2, 20).cast("int"))
+    return W.neighbour_lists(golds, "c_custkey", "gold", edges(spark, d), names, number)
+
+
+@query(f"SELECT 'audit:' || doc_id || ':a1' AS request_id, {mod_sql('2147483648', 'doc_id::VARCHAR', chr(39) + 'audit' + chr(39))} AS seed, 'm1' AS model, n_chars + 128 AS room FROM documents")
+def q_session_requests(spark, d):
+    """A request for each document, with its seed and the room that it needs."""
+    docs = documents(spark, d).select(F.col("doc_id").cast("string").alias("item"), "n_chars")
+    r = W.requests(docs, "item", "audit", 1, F.concat(F.lit("Read "), F.col("item")), "Be brief.", F.col("n_chars"), {"model": F.lit("m1")}, {"n": 8, "max_tokens": 128}, "audit")
+    return r.select("request_id", F.get_json_object("sampling", "$.seed").cast("long").alias("seed"), "model", (F.col("prompt_tokens") + F.get_json_object("sampling", "$.max_tokens").cast("long")).alias("room"))
+
+
+@query("SELECT max(n_chars) + 128 AS needed FROM documents")
+def q_session_capacity(spark, d):
+    docs = documents(spark, d).select(F.col("doc_id").cast("string").alias("item"), "n_chars")
+    return W.capacity(W.requests(docs, "item", "audit", 1, F.col("item"), "", F.col("n_chars"), {}, {"max_tokens": 128}))
+
+
+def rollouts(spark, d):
+    """Events as rollouts: views answer labels, clicks name lines."""
+    k = F.col("event_id")
+    kind = F.when(F.col("event_type") == "view", "find_error").when(F.col("event_type") == "click", "line_loc").otherwise("mcq")
+    parsed = F.when(kind == "find_error", F.when(k % 20 == 0, "VULNERABLE: no").otherwise("VULNERABLE: yes, CWE-1")).when(kind == "line_loc", F.when(k % 3 == 0, "LINES: none").otherwise("LINES: 3, 4")).otherwise("B")
+    score = F.struct((k % 5).cast("int").alias("n"), F.lit(4).alias("d"))
+    v = F.struct(parsed.alias("parsed"), (k % 7 != 0).alias("parse_ok"), score.alias("metric"), score.alias("dense"))
+    rows = load(spark, d, "events").select((F.floor(k / 50) + 1).alias("step"), kind.alias("kind"), F.col("user_id").alias("g"), (k % 2).cast("int").alias("index"), v.alias("v"), (k % 11 == 0).alias("cut"), (k % 13).alias("tokens"))
+    return W.monitor(rows, F.col("step"), 10, "kind", "g", "index", "v", "cut", "tokens")
+
+
+ROLLOUTS = "r AS (SELECT (event_id // 500)::INT AS \"window\", CASE event_type WHEN 'view' THEN 'find_error' WHEN 'click' THEN 'line_loc' ELSE 'mcq' END AS kind, user_id AS g, event_id % 2 AS i, (event_id % 5) / 4 AS x, event_id % 7 <> 0 AS ok, event_id % 11 = 0 AS cut, event_id % 13 AS tokens, event_id % 20 <> 0 AS yes, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 END AS size FROM events), l AS (SELECT \"window\", kind, count(*) AS groups, avg(d::INT) AS live_dense, avg(b::INT) AS live_binary FROM (SELECT \"window\", kind, g, min(x) <> max(x) AS d, min((x = 1)::INT) <> max((x = 1)::INT) AS b FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2), p AS (SELECT \"window\", kind, avg(x) AS mean, var_pop(x) AS var, avg(ok::INT) AS parse, avg(cut::INT) AS cut, avg(tokens) AS tokens, CASE kind WHEN 'find_error' THEN avg(yes::INT) FILTER (ok) END AS predicted, CASE kind WHEN 'find_error' THEN avg(yes::INT) FILTER (ok AND i = 0) END AS p0, CASE kind WHEN 'find_error' THEN avg(yes::INT) FILTER (ok AND i = 1) END AS p1 FROM r GROUP BY 1, 2)"
+
+
+@query(f"WITH {ROLLOUTS} SELECT \"window\", kind, groups, round(live_dense, 6) AS live_dense, round(live_binary, 6) AS live_binary, round(mean, 6) AS reward_mean, round(var, 6) AS reward_var, round(parse, 6) AS parse_rate, round(cut, 6) AS cut_off_rate, round(tokens, 6) AS mean_tokens, round(predicted, 6) AS predicted, round(p0, 6) AS predicted_0, round(p1, 6) AS predicted_1 FROM l JOIN p USING (\"window\", kind)")
+def q_monitor(spark, d):
+    """The running audit of rollouts over windows of ten steps."""
+    m = rollouts(spark, d)[0]
+    return m.select("window", "kind", "groups", *[F.round(c, 6).alias(c) for c in m.columns[3:]])
+
+
+@query(f"WITH {ROLLOUTS} SELECT \"window\", size::INT AS size, count(*) AS n FROM r WHERE kind = 'line_loc' AND ok GROUP BY 1, 2")
+def q_monitor_sizes(spark, d):
+    return rollouts(spark, d)[1]
+
+
+@query(f"WITH {ROLLOUTS}, e AS (SELECT \"window\", kind, unnest(['below_floor', 'collapse']) AS event, [live_dense < 0.1, greatest(predicted, 1 - predicted) > 0.9] AS f FROM l JOIN p USING (\"window\", kind)) SELECT \"window\", kind, event FROM e WHERE f[CASE event WHEN 'below_floor' THEN 1 ELSE 2 END]")
+def q_monitor_events(spark, d):
+    return rollouts(spark, d)[2]
+
+
+@query(f"WITH s AS (SELECT s AS seed, CASE WHEN (c_custkey + s) % 5 = 0 THEN 'dev' ELSE 'train' END AS \"set\", c_custkey, 'N' || c_nationkey AS label, c_name AS day, substr('ABCD', ({mod_sql('4', 'c_custkey::VARCHAR', chr(39) + 'letter' + chr(39))} + 1)::INT, 1) AS letter FROM customer, range(2) AS g(s)), t AS (SELECT DISTINCT seed, label FROM s WHERE \"set\" = 'train') SELECT s.seed::INT AS seed, \"set\", count(*) AS members, min(day) AS first, max(day) AS last, count(DISTINCT s.label) AS labels, count(*) FILTER (t.label IS NULL) AS unseen, " + ", ".join(f"count(*) FILTER (letter = '{x}') AS letter_{x}" for x in "ABCD") + " FROM s LEFT JOIN t ON t.seed = s.seed AND t.label = s.label GROUP BY 1, 2")
+def q_partition_statistics(spark, d):
+    """Members, labels and letters of each seed's sets of customers."""
+    from ..functions.rank import rank_mod
+
+    c = load(spark, d, "customer")
+    sets = c.select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed")).withColumn("set", F.when((F.col("c_custkey") + F.col("seed")) % 5 == 0, "dev").otherwise("train"))
+    facts = c.select("c_custkey", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("label"), F.col("c_name").alias("day"))
+    letter = F.substring(F.lit("ABCD"), (rank_mod(4, F.col("c_custkey"), "letter") + 1).cast("int"), F.lit(1))
+    return W.partition_statistics(sets, facts, "c_custkey", "label", "day", letter)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id = 0 THEN '' ELSE '@@ replace vulnerable lines 3-3 @@' || chr(10) || '-    3:   return ' || doc_id || ';' || chr(10) || '+    3:   return 0;' END AS view FROM documents")
+def q_diff_view(spark, d):
+    """A change of one line for a reader."""
+    old = F.concat(F.lit("int f()\n{\n  return "), F.concat(F.col("doc_id").cast("string"), F.lit(";\n}")))
+    return documents(spark, d).select("doc_id", C.diff_views(old, F.lit("int f()\n{\n  return 0;\n}")).alias("view"))

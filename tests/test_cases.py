@@ -1,5 +1,6 @@
 """Hand-made cases of rules that have to give exact results."""
 
+import os
 import random
 from collections import Counter
 
@@ -15,6 +16,7 @@ from loamline.operators import checks as C
 from loamline.operators import evaluation as E
 from loamline.operators import graph as G
 from loamline.operators import inference as I
+from loamline.operators import jobs as W
 from loamline.operators import runs as R
 from loamline.operators import sampling as S
 from loamline.operators import similarity as N
@@ -251,3 +253,58 @@ def test_summaries(spark):
     assert got == {"a": (5, 3, 2, 3, "as_specified", False, True), "b": (10, 1, 9, 0, "report_quality", True, True), "c": (20, 0, 0, 0, "floored", True, True)}
     with pytest.raises(Exception, match="different units"):
         E.engine_gap(spark.createDataFrame([("k", 1, "x", 0.5)], "k string, u int, e string, v double"), "k", "u", "e", "v", "x", "y").collect()
+
+
+def test_attempts_are_decided_or_refused(spark):
+    items = spark.createDataFrame([("a", "ga"), ("b", "gb"), ("c", "gc")], "item string, gold string")
+    good = [("a", 1, "x", None), ("b", 1, None, "empty"), ("b", 2, "y", None), ("c", 1, None, "empty"), ("c", 2, None, "truncated")]
+    df = lambda data: spark.createDataFrame(data, "item string, attempt int, result string, reason string")
+    names = ("self_a1", "self_a2", "gold_only")
+    assert rows(W.two_attempts(items, "item", df(good), "gold", names), "item", "source", "result") == [("a", "self_a1", "x"), ("b", "self_a2", "y"), ("c", "gold_only", "gc")]
+    for bad in (good[1:], [*good[:1], *good[2:]], good[:-1], [*good, ("a", 2, "z", None)], [*good, ("d", 1, "z", None)]):
+        with pytest.raises(Exception, match="attempt"):
+            W.two_attempts(items, "item", df(bad), "gold", names).collect()
+    assert rows(W.wanted_retries(df(good[:2]), "item"), "item") == [("b",)]
+
+
+@pytest.mark.parametrize(("before", "after", "want"), [
+    ("a\nb\nc", "a\nx\nc", "@@ replace vulnerable lines 2-2 @@\n-    2: b\n+    2: x"), ("a\n\nb", "a\n\nx\nb", "@@ insert after vulnerable line 1 (gold 1) @@\n+    3: x"),
+    ("a\nb", "x\na\nb", "@@ insert before vulnerable line 1 (gold 1) @@\n+    1: x"), ("a\nb\nc", "c", "@@ delete vulnerable lines 1-2 @@\n-    1: a\n-    2: b"), ("a // b", "a", ""),
+])
+def test_diff_views(before, after, want):
+    assert code.diff_view(before, after) == want
+
+
+def test_tokens_round_trip(spark):
+    from loamline.functions import tokens
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary file")
+    texts = ["Hello, world", "", "é\n\t x", "<|endoftext|> is text", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = df.withColumn("ids", tokens.token_ids(F.col("t"), path)).withColumns({"n": tokens.token_count(F.col("t"), path), "back": tokens.decoded(F.col("ids"), path)}).orderBy("i").collect()
+    assert [r.back for r in out] == texts and all(r.n == (None if r.ids is None else len(r.ids)) for r in out) and out[3].n > 1
+
+
+def test_outputs_are_counted(spark):
+    from loamline.operators import reconcile
+
+    asked = spark.createDataFrame([(1,), (2,)], "k int")
+    got = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "k int, o array<string>")
+    assert rows(reconcile.reconcile(asked, got, "k", outputs="o", wanted=2), "k", "status") == [(1, "ok"), (2, "outputs_differ")]
+
+
+def test_requests_carry_their_pins(spark):
+    df = spark.createDataFrame([("a:mcq:0", 5), ("b:mcq:0", 9)], "item string, n int")
+    r = W.requests(df, "item", "rationale", 2, F.col("item"), "S", F.col("n"), {"model": F.lit("m")}, {"n": 1, "max_tokens": 100}, "salt")
+    assert rows(r, "request_id", "model") == [("rationale:a:mcq:0:a2", "m"), ("rationale:b:mcq:0:a2", "m")] and W.capacity(r).first()[0] == 109
+    assert R.pin_violations(r, "item", {"model": F.lit("m")}).count() == 0
+    frozen = df.withColumnRenamed("n", "copy")
+    from loamline.sources.jsonl import content_hash
+
+    assert W.frozen_file(frozen, [["item", "copy"], ["item"]], content_hash(frozen), content_hash).count() == 2
+    for layouts, h in (([["item"]], None), ([["item", "copy"]], "0")):
+        with pytest.raises(ValueError):
+            W.frozen_file(frozen, layouts, h, content_hash)
+    assert W.passes(50, 24, 600) == 2

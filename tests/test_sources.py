@@ -109,3 +109,38 @@ def test_vector_selection(spark):
     df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(rows)], f"i int, m struct<cvssMetricV31:{entry},cvssMetricV30:{entry},cvssMetricV2:{entry},cvssMetricV40:{entry}>")
     got = [tuple(r.s) for r in df.select("i", feeds.select_vector(F.col("m"), "nvd").alias("s")).orderBy("i").collect()]
     assert got == [w if len(w) > 1 else (w[0], None, None, None) for _, w in rows]
+
+
+def test_resumed_results_come_once(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("ts", T.TimestampType())])
+    (tmp_path / "in").mkdir()
+    for i, ids in enumerate((["a", "b", "a"], ["b", "c"])):
+        (tmp_path / "in" / f"{i}.json").write_text("".join(json.dumps({"id": x, "ts": "2024-01-01T00:00:00"}) + "\n" for x in ids))
+    R.resumed(R.arriving(spark, str(tmp_path / "in"), schema, 1), "id", "ts", "1 hour").writeStream.format("memory").queryName("resumed").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.id for r in spark.table("resumed").collect()) == ["a", "b", "c"]
+
+
+def test_manifests_and_layouts(spark):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    m = jsonl.manifest_of({"t": df}, {"x": "1"})
+    assert m == jsonl.manifest_of({"t": df.repartition(2)}, {"x": "1"}) and m["tables"]["t"]["rows"] == 1
+    hashes = {n: t["sha256"] for n, t in m["tables"].items()}
+    assert jsonl.checked_table(df, hashes, "t", {}).count() == 1
+    for bad in ({}, hashes | {"up": "0"}):
+        with pytest.raises(ValueError):
+            jsonl.checked_table(df, bad, "t", {"up": df})
+    assert jsonl.layout("/x/")["facts"] == "/x/facts" and jsonl.layout("/x", dry=True)["facts"] == "/x/dry/facts"
+
+
+def test_pairs_over_many_splits(spark, tmp_path):
+    """Lines are numbered over the whole file, however it is split; blank lines are skipped."""
+    rows = [{"commit": f"c{i // 2}", "target": 1 - i % 2} for i in range(400)]
+    (tmp_path / "a.jsonl").write_text("".join(("\n" if i % 7 == 0 else "") + json.dumps(r) + "\n" for i, r in enumerate(rows)))
+    lines = [k + 1 for k, x in enumerate((tmp_path / "a.jsonl").read_text().split("\n")) if x]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = jsonl.read_pairs(spark, str(tmp_path / "a.jsonl"), PAIR, F.col("first.commit")).orderBy("pair").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.first_line, r.second_line, r.first.commit, r.first.target, r.second.target) for r in got] == [(lines[2 * i], lines[2 * i + 1], f"c{i}", 1, 0) for i in range(200)]
