@@ -10,17 +10,17 @@ from ..tables import scratch
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, ancestor, depth): every proper ancestor with its least depth. Paths double in each round, so 64 rounds hold any depth; a cycle is refused."""
-    step = kept(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
-    found, size = step, None
+    found = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    size = None
     for _ in range(rounds):
         longer = found.alias("x").join(found.alias("y"), F.col("x.ancestor") == F.col("y.node")).select("x.node", "y.ancestor", (F.col("x.depth") + F.col("y.depth")).alias("depth"))
         found = kept(found.union(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
-        if not found.where("node = ancestor").isEmpty():
+        *now, cycle = found.agg(F.count("*"), F.sum("depth"), F.bool_or(F.col("node") == F.col("ancestor"))).first()
+        if cycle:
             raise ValueError("the hierarchy has a cycle")
-        now = found.agg(F.count("*"), F.sum("depth")).first()
-        if (now[0], now[1]) == size:
+        if now == size:
             return found
-        size = (now[0], now[1])
+        size = now
     raise RuntimeError(f"the closure isn't complete after {rounds} rounds")
 
 

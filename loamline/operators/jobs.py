@@ -113,3 +113,69 @@ def frozen_file(rows: DataFrame, layouts: list[list[str]], expected: str | None,
     if expected is not None and content_hash(rows) != expected:
         raise ValueError("the file isn't the frozen one")
     return rows
+
+
+def fact_checks(change: Column, cap: int) -> dict[str, Column]:
+    """Invariants of a fact for checks.row_checks(): columns lines, n_lines, n_code_lines, n_inserted, vuln, tokens_vuln, tokens_patched, cwe, cwe_siblings, in_view,
+    vector, version. change: what code.line_change() gives for the stored functions."""
+    shown = T.lines(F.col("vuln"))
+    whole = lambda n: n * 5 <= F.col("n_code_lines")
+    parts = T.parse_vector(F.col("vector"), T.VECTOR)
+    return {
+        "has lines": F.size("lines") > 0,
+        "lines in order and range": (F.col("lines") == F.array_sort(F.array_distinct("lines"))) & F.forall("lines", lambda x: (x >= 1) & (x <= F.col("n_lines"))),
+        "no blank gold line": ~F.exists("lines", lambda x: T.line_key(F.coalesce(F.try_element_at(shown, x), F.lit("x"))) == ""),
+        "as many lines": F.size(shown) == F.col("n_lines"),
+        "a fifth at most": whole(F.size("lines")) & whole(F.col("n_inserted")),
+        "under the token cap": F.greatest("tokens_vuln", "tokens_patched") <= cap,
+        "live label": F.col("in_view"),
+        "no own sibling": ~F.array_contains("cwe_siblings", F.col("cwe")),
+        "canonical vector": F.when(parts.isNotNull(), T.canonical_vector(parts, tuple(T.VECTOR)) == F.col("vector")).otherwise(False),
+        "known version": F.col("version").isin("3.0", "3.1"),
+        "lines come again": change["lines"] == F.col("lines"),
+    }
+
+
+def probe(measures: dict[str, tuple[DataFrame, DataFrame | None, int]], primary: list[str], replicates: int = 10_000) -> DataFrame:
+    """(measure, observed, control, margin, p, parse_rate, outcome, overall): of each measure (rows (answer, gold), score matrix or None, units of a whole score) the
+    mean score of own golds, the mean over all others', the one-sided p of a permutation test, and the class of the margin; overall is the worst class of
+    the primary measures."""
+    from . import inference as I
+
+    out = None
+    for name, (rows, matrix, unit) in measures.items():
+        seen = I.observed_and_control(rows, "answer", "gold", matrix)
+        p = I.permutation_p(I.permuted_units(rows, "answer", "gold", replicates, matrix), seen, "units")
+        rate = rows.agg(F.avg(F.col("answer").isNotNull().cast("double")).alias("parse_rate"))
+        one = seen.crossJoin(F.broadcast(p)).crossJoin(F.broadcast(rate))
+        observed, control = F.col("hits") / (unit * F.col("n")), F.col("pairs") / (unit * F.col("n") * (F.col("n") - 1))
+        one = one.select(F.lit(name).alias("measure"), observed.alias("observed"), control.alias("control"), (observed - control).alias("margin"), (F.col("p_num") / F.col("p_den")).alias("p"), "parse_rate", I.outcome(observed - control, F.col("p_num"), F.col("p_den")).alias("outcome"))
+        out = one if out is None else out.union(one)
+    order = F.when(F.col("outcome") == "large", 2).when(F.col("outcome") == "material", 1).otherwise(0)
+    worst = out.where(F.col("measure").isin(primary)).agg(F.max_by("outcome", order).alias("overall"))
+    return out.crossJoin(F.broadcast(worst))
+
+
+def engine_report(scores: DataFrame, kind: str, unit: str, engine: str, value: str, first, second, kinds: list, resamples: int = 10_000) -> DataFrame:
+    """evaluation.engine_gap() with the 99% interval of each kind's paired mean difference, and whether the gap is material."""
+    from . import evaluation as E
+    from . import inference as I
+    from .training import paired_differences
+
+    ends = None
+    for k in kinds:
+        d = paired_differences(scores.where(F.col(kind) == F.lit(k)), unit, engine, second, first, value)
+        one = I.percentile_interval(I.paired_resamples(d, "difference", resamples), "mean", resamples, (5, 1000), (995, 1000)).select(F.lit(k).alias(kind), "low", "high")
+        ends = one if ends is None else ends.union(one)
+    out = E.engine_gap(scores, kind, unit, engine, value, first, second).join(ends, kind)
+    return out.withColumn("material", I.material(F.col("gap"), F.col("low"), F.col("high")))
+
+
+def availability(grid: DataFrame, results: DataFrame, by: list[str]) -> DataFrame:
+    """The grid with available, and the results' columns where there are some."""
+    return grid.join(results.withColumn("_got", F.lit(True)), by, "left").withColumn("available", F.coalesce("_got", F.lit(False))).drop("_got")
+
+
+def flat_outputs(generations: DataFrame, request: str, outputs: str) -> DataFrame:
+    """(request, nth, and the fields of an output) for each of a request's outputs, an array of structs."""
+    return generations.select(request, F.posexplode(outputs).alias("nth", "_o")).select(request, "nth", "_o.*")

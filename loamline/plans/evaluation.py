@@ -8,6 +8,7 @@ from ..operators import aggregate as A
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import inference as I
+from ..operators import jobs as W
 from ..operators import ledger as L
 from ..operators import runs as R
 from ..operators import sampling as S
@@ -150,6 +151,37 @@ def q_credit_permutation(spark, d):
     return I.permutation_p(I.permuted_units(rows, "answer", "gold", 10_000, m), I.observed_and_control(rows, "answer", "gold", m), "units")
 
 
+@query()
+def q_probe(spark, d):
+    """Exact and credited measures of customers' answers, each with its test over 10,000 permutations, and the worst class of both."""
+    rows = answers(spark, d)
+    return W.probe({"exact": (rows, None, 1), "credit": (rows, matrix(spark, d), 8)}, ["exact", "credit"])
+
+
+@query()
+def q_engine_report(spark, d):
+    """Even against odd events of users by type, with intervals over 10,000 resamples."""
+    s = events(spark, d).groupBy("event_type", "user_id", (F.col("event_id") % 2).alias("engine")).agg(F.avg(F.floor("value").cast("double")).alias("v"))
+    both = s.groupBy("event_type", "user_id").count().where("count = 2").drop("count")
+    kinds = [r.event_type for r in events(spark, d).select("event_type").distinct().orderBy("event_type").collect()]
+    return W.engine_report(s.join(both, ["event_type", "user_id"], "left_semi"), "event_type", "user_id", "engine", "v", 0, 1, kinds)
+
+
+@query("SELECT t.event_type, s::BIGINT AS seed, e.top IS NOT NULL AS available, e.top FROM (VALUES ('view'), ('click'), ('purchase'), ('refund')) AS t(event_type) CROSS JOIN range(8) AS g(s) LEFT JOIN (SELECT event_type, user_id % 8 AS seed, max(floor(value))::BIGINT AS top FROM events GROUP BY 1, 2) e ON e.event_type = t.event_type AND e.seed = s")
+def q_availability(spark, d):
+    """A grid of types and seeds with their highest value, where there is one."""
+    grid = spark.createDataFrame([(t, s) for t in ("view", "click", "purchase", "refund") for s in range(8)], "event_type string, seed long")
+    got = events(spark, d).groupBy("event_type", (F.col("user_id") % 8).alias("seed")).agg(F.max(F.floor("value")).alias("top"))
+    return W.availability(grid, got, ["event_type", "seed"]).select("event_type", "seed", "available", "top")
+
+
+@query("SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS nth, event_type AS finish FROM events")
+def q_flat_outputs(spark, d):
+    """Users' events as outputs of one request, flattened again."""
+    g = events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("finish")))).alias("o"))
+    return W.flat_outputs(g, "user_id", "o").select("user_id", "nth", "finish")
+
+
 @query()
 def q_margin_interval(spark, d):
     """The 95% interval of that margin over 2,000 resamples."""

@@ -239,6 +239,16 @@ def q_line_change(spark, d):
     return L.with_fate(rows, K.patch_checks(F.col("c"), F.lit(10), 10_000)).select("doc_id", F.array_join("c.lines", ",").alias("lines"), "c.n_inserted", "c.n_deleted", "reason")
 
 
+@query("WITH d AS (SELECT doc_id, doc_id % 8 AS k FROM documents), v AS (SELECT doc_id, CASE k WHEN 1 THEN 'as many lines' WHEN 2 THEN 'under the token cap' WHEN 3 THEN 'no own sibling' WHEN 4 THEN 'canonical vector' WHEN 5 THEN 'known version' WHEN 6 THEN 'lines come again' WHEN 7 THEN 'live label' END AS c FROM d) SELECT c AS \"check\", doc_id::VARCHAR AS key FROM v WHERE c IS NOT NULL")
+def q_fact_violations(spark, d):
+    """Invariants of synthetic facts, each of seven sorts breaking one."""
+    k = F.col("doc_id") % 8
+    old = "\n".join(f"line {i};" for i in range(1, 11))
+    rows = documents(spark, d).select("doc_id", F.lit(old).alias("vuln"), F.when(k == 6, old).otherwise(old.replace("line 3;", "new 3;")).alias("patched"), F.array(F.lit(3)).alias("lines"), F.when(k == 1, 11).otherwise(10).alias("n_lines"), F.lit(10).alias("n_code_lines"), F.lit(1).alias("n_inserted"), F.when(k == 2, 200).otherwise(50).alias("tokens_vuln"), F.lit(50).alias("tokens_patched"), F.lit("CWE-79").alias("cwe"), F.when(k == 3, F.array(F.lit("CWE-79"))).otherwise(F.array(F.lit("CWE-80"))).alias("cwe_siblings"), (k != 7).alias("in_view"), F.when(k == 4, "av:n/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H").otherwise("AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H").alias("vector"), F.when(k == 5, "4.0").otherwise("3.1").alias("version"))
+    rows = rows.withColumn("c", C.line_change("vuln", "patched"))
+    return K.row_checks(rows, "doc_id", W.fact_checks(F.col("c"), 100)).select("check", "key")
+
+
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'f' || doc_id WHEN 1 THEN 'A::~B,B' WHEN 2 THEN 'PHP_FUNCTION,g' || doc_id ELSE '' END AS names, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS named FROM documents")
 def q_function_names(spark, d):
     """Names in synthetic headers, and whether a description holds one as a whole word."""

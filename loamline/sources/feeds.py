@@ -110,17 +110,27 @@ def select_vector(metrics, source: str):
     version = F.when(has["3.1"], "3.1").when(has["3.0"], "3.0")
     entries = F.when(has["3.1"], own["3.1"]).otherwise(own["3.0"])
     data = F.try_element_at(entries, F.lit(1))["cvssData"]
-    parts = parse_vector(data["vectorString"], VECTOR)
-    declared = F.regexp_extract(F.upper(F.trim(data["vectorString"])), r"\ACVSS:(3\.[01])/", 1)
-    differs = F.lit(False)
-    for k, field in WORDS.items():
-        differs = differs | F.coalesce(F.upper(F.substring(data[field], 1, 1)) != F.try_element_at(parts, F.lit(k)), F.lit(False))
-    reason = (
-        F.when(version.isNull() & (some("cvssMetricV31") | some("cvssMetricV30")), "cna_only_v3").when(version.isNull() & some("cvssMetricV2"), "v2_only")
-        .when(version.isNull() & some("cvssMetricV40"), "v4_only").when(version.isNull(), "no_cvss")
-        .when(F.size(F.array_distinct(F.transform(entries, lambda m: m["cvssData"]["vectorString"]))) > 1, "conflicting_nvd_vectors")
-        .when(parts.isNull(), "invalid_vector").when((declared != version) | (F.coalesce(data["version"], version) != version), "version_mismatch")
-        .when(differs, "decomposed_mismatch").otherwise("ok")
+    once = F.struct(
+        version.alias("version"), F.transform(entries, lambda m: m["cvssData"]["vectorString"]).alias("vectors"), data.alias("data"), parse_vector(data["vectorString"], VECTOR).alias("parts"),
+        F.regexp_extract(F.upper(F.trim(data["vectorString"])), r"\ACVSS:(3\.[01])/", 1).alias("declared"), (some("cvssMetricV31") | some("cvssMetricV30")).alias("v3"), some("cvssMetricV2").alias("v2"), some("cvssMetricV40").alias("v4"),
+        (has["3.1"] & has["3.0"]).alias("both"),
     )
-    keep = lambda c: F.when(reason == "ok", c)
-    return F.struct(reason.alias("reason"), keep(version).alias("version"), keep(canonical_vector(parts, tuple(VECTOR))).alias("vector"), keep(has["3.1"] & has["3.0"]).alias("both_versions"))
+
+    def chosen(t):
+        differs = F.lit(False)
+        for k, field in WORDS.items():
+            differs = differs | F.coalesce(F.upper(F.substring(t["data"][field], 1, 1)) != F.try_element_at(t["parts"], F.lit(k)), F.lit(False))
+        none, said = t["version"].isNull(), F.coalesce(t["data"]["version"], t["version"])
+        reason = (
+            F.when(none & t["v3"], "cna_only_v3").when(none & t["v2"], "v2_only").when(none & t["v4"], "v4_only").when(none, "no_cvss")
+            .when(F.size(F.array_distinct(t["vectors"])) > 1, "conflicting_nvd_vectors").when(t["parts"].isNull(), "invalid_vector")
+            .when((t["declared"] != t["version"]) | (said != t["version"]), "version_mismatch").when(differs, "decomposed_mismatch").otherwise("ok")
+        )
+        return F.struct(reason.alias("reason"), t.alias("t"))
+
+    def shown(x):
+        keep = lambda c: F.when(x["reason"] == "ok", c)
+        return F.struct(x["reason"].alias("reason"), keep(x["t"]["version"]).alias("version"), keep(canonical_vector(x["t"]["parts"], tuple(VECTOR))).alias("vector"), keep(x["t"]["both"]).alias("both_versions"))
+
+    # each step is a function of one value, so that what it is made of is computed once
+    return F.element_at(F.transform(F.transform(F.array(once), chosen), shown), 1)
