@@ -83,18 +83,26 @@ SMALL = 8 << 20
 def containment(rows: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, n: int) -> DataFrame:
     """(key, item, shared, size): how many of an item's distinct n-word shingles a row's text holds, where any.
 
-    Rows' shingles are hashed where they are made, and only those with the hash of an item's go on, with their words, which are then compared. The
+    Rows first tell hashes of their shingles only; texts are cut into shingles again where a hash is an item's, and then the words are compared. The
     items' hashes are broadcast if they are few; else they are joined.
     """
-    def of(df, k, t):
+    def words(df, k, t):
         w = F.filter(F.split(F.lower(F.col(t)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-        return df.where(F.col(t).isNotNull()).select(k, w.alias("w")).where("size(w) > 0").select(k, F.explode(F.array_distinct(runs)).alias("s"))
+        return df.where(F.col(t).isNotNull()).select(k, w.alias("w")).where("size(w) > 0")
+
+    places = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+
+    def of(df, k, t):
+        return words(df, k, t).select(k, F.explode(F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("s"))
+
+    def hashed(df, k, t):
+        each = words(df, k, t).select(k, F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+        return each.select(k, F.explode(F.transform(places, lambda i: F.xxhash64(F.slice("w", i, n)))).alias("h"))
 
     own = kept(of(items, item, item_text))
     sizes = own.groupBy(item).agg(F.count("*").alias("size"))
-    hashes = own.select(F.xxhash64("s").alias("h")).distinct()
+    hashes = kept(hashed(items, item, item_text).select("h").distinct())
     few = F.broadcast(hashes) if hashes.count() * 16 <= SMALL else hashes
-    near = of(rows, key, text).withColumn("h", F.xxhash64("s")).join(few, "h", "left_semi").drop("h")
-    hit = near.join(own, "s").groupBy(key, item).agg(F.count("*").alias("shared"))
+    some = hashed(rows, key, text).join(few, "h", "left_semi").select(key).distinct()
+    hit = of(rows.join(some, key, "left_semi"), key, text).join(own, "s").groupBy(key, item).agg(F.count("*").alias("shared"))
     return hit.join(sizes, item).select(key, item, "shared", "size")
