@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import small_batches, written
 
-#: Trees; rows of a leaf at which splitting ends; share of a node's rows, on each side of the median, that go to both sides.
-TREES, LEAF, SPILL = 8, 128, 0.1
+#: Rows of a leaf at which splitting ends; share of a node's rows, on each side of the median, that go to both sides.
+LEAF, SPILL = 128, 0.05
+#: The chance that one split parts a pair at the threshold, and the chance that all trees part it that decides how many trees a node has.
+PARTS, MISSES = 0.045, 0.005
 #: Rows, by hash, on which a node's trees are fitted, and rows of such a sample under which it is not split; rows of one task that takes rows down.
 SAMPLE, LEAST, CHUNK = 16_384, 16, 20_000
 #: Share of a node's pairs that link, in a sample of PROBE rows, from which on it isn't split: such a node is a cluster, whose pairs must be counted anyway.
@@ -19,6 +21,17 @@ BLOCK, ROUNDS = 2048, 6
 COSINE = 0.93
 
 
+def trees_for(rows, leaf: int):
+    """How many trees a node of so many rows has (a column): one where nothing is split, more the deeper they are.
+
+    A split's spill leaves a pair of cosine 0.93, whose projections differ by 0.37 of a vector's own spread, apart in PARTS of all cases (a difference
+    beyond twice SPILL's quantile, about the median); a tree of some depth parts it with 1 - (1 - PARTS) ** depth, and trees are independent.
+    """
+    depth = F.greatest(F.ceil(F.log(rows / F.lit(float(leaf))) / F.lit(float(np.log(1 / (0.5 + SPILL))))), F.lit(0))
+    miss = 1 - F.pow(F.lit(1 - PARTS), depth)
+    return F.when(depth == 0, 1).otherwise(F.ceil(F.log(F.lit(MISSES)) / F.log(miss))).cast("int")
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Vectors that can have links, with id and label, in their own precision."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -79,7 +92,7 @@ def descend(rows, splits):
     """The leaves of every tree that each row of a chunk of a node comes to, both sides where it spills: (rep, leaf)."""
     import xxhash
 
-    reps, leaves = [], []
+    reps, leaves, whole = [], [], set()
     if rows.num_rows:
         rep, x = rows.column("rep").to_numpy(), unit(rows.column("v").combine_chunks())
         for node, tree, found in zip(*(splits.column(c).to_pylist() for c in ("node", "tree", "splits")), strict=True):
@@ -91,20 +104,25 @@ def descend(rows, splits):
                     p = x[at] @ directions(tree, f"{node}/{path}", x.shape[1])
                     stack += [(path + "0", at[p <= bounds[path]["high"]]), (path + "1", at[p >= bounds[path]["low"]])]
                 elif len(at):
-                    reps.append(rep[at])
-                    leaves.append(np.full(len(at), np.uint64(xxhash.xxh64_intdigest(f"{node}/{tree}/{path}"))).astype(np.int64))
+                    name = f"{node}/{tree}/{path}" if path else f"{node}/"  # a tree without splits is the node itself
+                    if path or name not in whole:
+                        leaves.append(np.full(len(at), np.uint64(xxhash.xxh64_intdigest(name))).astype(np.int64))
+                        reps.append(rep[at])
+                    whole.add(name)
     none = np.zeros(0, np.int64)
     return pa.table({"rep": pa.array(np.concatenate([none, *reps])), "leaf": pa.array(np.concatenate([none, *leaves]))})
 
 
-def split_nodes(rows: DataFrame, trees: int, leaf: int, cosine: float) -> DataFrame:
+def split_nodes(rows: DataFrame, trees: int | None, leaf: int, cosine: float) -> DataFrame:
     """rows (node, rows, rep, v): every row of a node with the number of them all. Returns (rep, leaf) for each leaf of each tree that a row is in.
 
+    trees: of each node; None: as many as its rows ask for. Trees without a split have one leaf together.
+
     The trees of a node are fitted on a sample of bounded size, each by one task; then the node's rows are dealt to chunks, which go down all
     its trees at once. So a vector is moved once for all trees, and once more for each tree if it is in the sample.
     """
     share = (F.xxhash64(F.lit(5), "rep").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))) < F.lit(SAMPLE) / F.col("rows")
-    sample = rows.where(share).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    sample = rows.where(share).withColumn("tree", F.explode(F.sequence(F.lit(0), (trees_for(F.col("rows"), leaf) if trees is None else F.lit(trees)) - 1)))
     fitted = written(sample.select("node", "tree", "rows", "v").groupBy("node", "tree").applyInArrow(fit_splits(leaf, cosine), "node long, tree int, splits array<struct<path:string,low:double,high:double>>"), "splits")
     chunks = F.ceil(F.col("rows") / CHUNK).cast("int")
     nodes = rows.groupBy("node").agg(F.max("rows").alias("rows")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("node", "chunk")
@@ -113,7 +131,7 @@ def split_nodes(rows: DataFrame, trees: int, leaf: int, cosine: float) -> DataFr
     return dealt.groupBy("node", "chunk").cogroup(every).applyInArrow(descend, "rep long, leaf long")
 
 
-def forest(reps: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: float = COSINE, rounds: int = ROUNDS) -> DataFrame:
+def forest(reps: DataFrame, trees: int | None = None, leaf: int = LEAF, cosine: float = COSINE, rounds: int = ROUNDS) -> DataFrame:
     """reps (rep, label, v). Returns each row's leaves: (rep, leaf), a row for each leaf that it is in.
 
     A first round splits every label's rows, vectors of one length together. A leaf that is still larger than a block, since its sample could not tell
@@ -184,7 +202,7 @@ def compare(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int | None = None, leaf: int = LEAF) -> DataFrame:
     """vectors (vec_id long, embedding array, label). Returns vec_id, n_links, component_id, kept for every row.
 
     Rows are compared only where labels are equal and not null. Vectors that are null, zero or hold null or non-finite components, and

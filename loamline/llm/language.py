@@ -142,7 +142,7 @@ def fit_language(docs: DataFrame, learnable: Column, train_docs: int = TRAIN_DOC
     if not counts:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, train_docs / r["count"]))]), F.col("lang"))
-    hashed = F.xxhash64(F.lit(3), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    hashed = F.xxhash64(F.lit(3), "doc_id", "text").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     got = rows.where(hashed < share).mapInArrow(some_windows, "lang string, w binary").toArrow()
     if not got.num_rows:
         return None

@@ -7,7 +7,6 @@ from .shared import free, written
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]"
 #: Hex digits of the key by which a source's sizes are summed: PARTS parts, of which only one is sorted.
 DIGITS = 4
 PARTS = 16**DIGITS
@@ -117,22 +116,17 @@ def mix(rows: DataFrame, source: Column, size: Column, identity: Column, weights
     return out.select(*[k for k in rows.columns if k != "size"], *[F.col(c[k]).alias(k) for k in ("size", "source_size", "target", "taken")])
 
 
-def mixed_rows(rows: DataFrame, text: str, columns: list[str], names: dict[str, str] | None = None) -> DataFrame:
-    """The mix itself: each row of mix() once for every whole epoch, and once more with the first words of its text for a part of one.
+def mixed_rows(rows: DataFrame, columns: list[str], names: dict[str, str] | None = None) -> DataFrame:
+    """The mix itself: each row of mix() once for every whole epoch that takes it, and once more for a part of one that is at least half of it.
 
-    Rows without units come once for every whole epoch of their source; a source without units has none. names: of size, source_size, target
-    and taken, where they have others.
+    Rows stay whole, so a source's units differ from its target by half of the one row at its cut at most. Rows without units come once for every
+    whole epoch of their source; a source without units has none. names: of size, source_size, target and taken, where they have others.
     """
     n = {k: F.col((names or {}).get(k, k)) for k in ("size", "source_size", "target", "taken")}
     whole = F.when(n["source_size"] > 0, F.floor(F.round(n["target"]).cast("long") / n["source_size"])).otherwise(0)
-    epochs = F.when(n["size"] > 0, F.floor(n["taken"] / n["size"])).otherwise(whole).cast("int")
-    rest = (n["taken"] - epochs * n["size"]).cast("int")
-    lead = rf"({SPACE}*{WORD})"
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(lead), F.lit(1)), F.lit(1), rest), "")
-    copies = F.concat(F.array_repeat(F.lit(0), epochs), F.when(rest > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    epochs = F.when(n["size"] > 0, F.floor(n["taken"] / n["size"] + 0.5)).otherwise(whole).cast("int")
     (copy,) = free(rows.columns, "copy")
-    out = rows.withColumn(copy, F.explode(copies))
-    return out.select(*[F.when(F.col(copy) == 0, F.col(text)).otherwise(part).alias(text) if c == text else F.col(c) for c in columns])
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), epochs))).select(*columns)
 
 
 def op4_mixing(spark, sf_dir):

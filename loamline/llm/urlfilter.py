@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import small_batches
+from .shared import free, small_batches
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the URL's path starts with its path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -134,12 +134,12 @@ def fit_cascade(universe: DataFrame, listed: list[str], lengths: tuple[int, ...]
 
 
 def judged(pages: DataFrame, rules=RULES, default: str = "allow", keep: tuple[str, ...] = ("page_id",), url: str = "url") -> DataFrame:
-    """Adds host, path, rule and verdict to the columns `keep` of every row.
+    """Adds host, path, rule and verdict to the columns `keep` of every row; a kept column of such a name stays, and what is added gets underscores before its name.
 
     Two cascades, of the allowed and the blocked keys, decide which of a URL's keys are listed; of these the longest is its rule. A URL
     without a listed key, also a null one or one without ://, has no rule and the default verdict. A key listed twice has its last verdict.
     """
-    spark = pages.sparkSession
+    spark, added = pages.sparkSession, free(list(keep), "host", "path", "rule", "verdict")
     verdicts = {h + p: v for v, h, p in rules}
     lengths = tuple(sorted({len(p) for _, _, p in rules}))
     cascades = fit_cascades(pages, {v: sorted(k for k, x in verdicts.items() if x == v) for v in ("allow", "block")}, lengths, url)
@@ -155,10 +155,10 @@ def judged(pages: DataFrame, rules=RULES, default: str = "allow", keep: tuple[st
                 found |= {k: verdict for k, x in zip(flat, holds(levels, flat), strict=True) if x}
             best = [max((k for k in ks if k in found), key=len, default=None) for ks in keys]
             columns = [pa.array(x, pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], best, [found.get(k, default) for k in best])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, *added])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    return pages.select(*dict.fromkeys([*keep, url])).mapInArrow(judge, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "host string, path string, rule string, verdict string")
+    return pages.select(*dict.fromkeys([*keep, url])).mapInArrow(judge, "".join(f"`{c}` {kinds[c]}, " for c in keep) + ", ".join(f"`{c}` string" for c in added))
 
 
 def op9_urlfilter(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Words of many texts at once, as 64-bit hashes, in numpy.
 
-Texts are handled as UTF-8 bytes. A table of 256 entries maps a byte to the byte that is hashed, or to 0 for a separator;
-bytes from 0x80 on are always word bytes, so that classes of ASCII characters mean the same on bytes and code points.
+Texts are handled as UTF-8 bytes. A table says of each byte which byte is hashed for it, and whether it belongs to words;
+bytes from 0x80 on always do, so that classes of ASCII characters mean the same on bytes and code points.
 """
 
 from collections.abc import Iterator
@@ -23,20 +23,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
-def byte_table(is_word) -> np.ndarray:
-    """is_word: says of an ASCII code, A-Z lower-cased already, whether it belongs to words."""
-    low = [c + 32 if 65 <= c <= 90 else c for c in range(256)]
-    return np.array([c if c >= 128 or is_word(c) else 0 for c in low], dtype=np.uint8)
+@dataclass(frozen=True)
+class ByteTable:
+    """low: the byte that stands for each byte; inside: whether it belongs to words."""
+
+    low: np.ndarray
+    inside: np.ndarray
+
+
+def byte_table(is_word, **same: str) -> ByteTable:
+    """is_word: says of an ASCII code, A-Z lower-cased already, whether it belongs to words. same: by a character's name c0 to c9, characters told as it."""
+    low = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+    inside = np.array([c >= 128 or bool(is_word(int(c))) for c in low])
+    for name, others in same.items():
+        low[[ord(c) for c in others]] = ord(name[1:])
+    return ByteTable(low, inside)
 
 
 #: Words are runs of anything but ASCII white space.
 SPACED = byte_table(lambda c: c != 32 and not 9 <= c <= 13)
 #: Words are runs of ASCII letters, digits and anything beyond ASCII.
 ALNUM = byte_table(lambda c: 48 <= c <= 57 or 97 <= c <= 122)
-# A NUL byte is a word byte in SPACED; it gets a code of its own, as 0 means separator.
-SPACED[0] = 1
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,25 +94,59 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def words(texts: pa.Array, table: np.ndarray) -> Iterator[Words]:
+def words(texts: pa.Array, table: ByteTable) -> Iterator[Words]:
     data, offsets = text_bytes(texts)
     for i, j in chunks(offsets):
         raw, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        low = table[raw]
-        inside = low != 0
-        begins = np.zeros(len(raw) + 1, bool)
-        begins[off] = True
-        before = np.zeros(len(raw), bool)
+        found = [*_pieces(table.low[raw], table, raw, off)]
+        starts, ends, hashes = (np.concatenate(x) if len(found) != 1 else x[0] for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        yield Words(i, j - i, hashes, np.searchsorted(starts, off), table.low[raw], starts, ends)
+
+
+def _pieces(low: np.ndarray, table: ByteTable, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, ends and hashes of the words, for each CHUNK_BYTES of a long text, so that what a byte needs meanwhile is needed for one piece only.
+
+    A word's hash is of the sum of its bytes' codes times powers; a word that a piece's end cuts is carried on as its start and sum.
+    """
+    open_at, open_sum = -1, 0
+    for lo in range(0, len(raw), CHUNK_BYTES):
+        hi = min(len(raw), lo + CHUNK_BYTES)
+        n = hi - lo
+        inside = table.inside[raw[lo:hi]]
+        first = np.zeros(n, bool)  # where a text begins
+        begins = off[np.searchsorted(off, lo) : np.searchsorted(off, hi)]
+        first[begins - lo] = True
+        before = np.zeros(n, bool)
         before[1:] = inside[:-1]
-        starts = np.flatnonzero(inside & (~before | begins[:-1]))
-        after = np.zeros(len(raw), bool)
-        after[:-1] = inside[1:]
-        ends = np.flatnonzero(inside & (~after | begins[1:])) + 1
-        up, down = powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTES[low] * up[: len(raw)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        yield Words(i, j - i, hashes, np.searchsorted(starts, off), low, starts, ends)
+        starts = np.flatnonzero(inside & (~before | first))
+        if open_at >= 0:  # the open word goes on
+            starts = starts[starts > 0]
+        last = np.zeros(n, bool)  # where a word's last byte is, as far as the piece tells
+        last[:-1] = ~inside[1:] | first[1:]
+        last[-1] = np.searchsorted(off, hi, "right") > np.searchsorted(off, hi) or not table.inside[raw[hi]]
+        ends = np.flatnonzero(inside & last) + 1
+        up, down = powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[low[lo:hi]] * up[:n], out=sums[1:])
+        at = (starts if open_at < 0 else np.concatenate([[0], starts]))[: len(ends)]
+        total = (sums[ends] - sums[at]) * down[at]
+        begin = at + lo
+        if open_at >= 0:
+            so_far = pow(_BASE, lo - open_at, 1 << 64)
+            if len(ends):
+                total[0] = (open_sum + so_far * int(total[0])) & _MASK
+                begin[0] = open_at
+            else:
+                open_sum = (open_sum + so_far * int(sums[n])) & _MASK
+        size = (ends + lo - begin).astype(np.uint64)
+        if len(ends):
+            yield begin, ends + lo, mixed(total + size * _LENGTH)
+        if inside[-1] and not last[-1]:  # the last word goes on
+            if open_at < 0 or len(ends):
+                open_at = int(starts[-1]) + lo
+                open_sum = (int(sums[n]) - int(sums[starts[-1]])) * int(down[starts[-1]]) & _MASK
+        else:
+            open_at = -1
 
 
 _STEPS = mixed(np.arange(11, 75, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)

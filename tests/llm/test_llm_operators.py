@@ -208,11 +208,13 @@ def test_mixing(spark):
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in sizes) and len(got) == len(rows)
     again = mixing.mix(sized.repartition(7), F.col("source"), F.col("size"), F.col("doc_id").cast("string"))
     assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted((str(r.doc_id), r.size, r.taken) for r in again.collect())
-    texts = mixing.mixed_rows(out, "text", df.columns).collect()
+    texts = mixing.mixed_rows(out, df.columns).collect()
+    mixed = Counter((r.doc_id, r.source, r.text) for r in texts)
+    assert mixed == Counter(k for r in got for k in [(r.doc_id, r.source, r.text)] * (int(r.taken / r.size + 0.5) if r.size else int(round(r.target) // r.source_size) if r.source_size else 0))
     words_ = Counter()
     for r in texts:
         words_[r.source] += len((r.text or "").split())
-    assert words_ == Counter({s: n for s, n in taken.items() if n})
+    assert all(abs(words_[s] - taken[s]) <= max((len((t or "").split()) for _, q, t in rows if q == s), default=0) / 2 for s in sizes)
     assert mixing.mix(sized.where("false"), F.col("source"), F.col("size"), F.lit("")).count() == 0
 
 
@@ -221,7 +223,7 @@ def test_mixing_keeps_texts_without_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", mixing.n_words(F.col("text")))
     out = mixing.mix(df, F.col("source"), F.col("size"), F.col("doc_id").cast("string"))
     epochs = {r.source: round(r.target) // r.source_size if r.source_size else 0 for r in out.collect()}
-    got = Counter(r.doc_id for r in mixing.mixed_rows(out, "text", ["doc_id", "source", "text"]).collect())
+    got = Counter(r.doc_id for r in mixing.mixed_rows(out, ["doc_id", "source", "text"]).collect())
     assert epochs["a"] == 2 and [got[i] for i in (2, 3)] == [2, 2] and got[5] == epochs["b"] and got[6] == 0
 
 
