@@ -31,11 +31,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares; a document comes once for each epoch that takes it, where a source is cut with its first words."""
-    key, size = mixing.mix_key(F.col("doc_id").cast("string")), mixing.n_words(F.col("text"))
+    """Sources in their target shares, in whole documents; a document comes once for each epoch that takes it.
+
+    Documents are ordered by a hash of id and text, so rows that share an id, or have none, are told apart the same way in each run.
+    """
+    identity = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    key, size = mixing.mix_key(identity), mixing.n_words(F.col("text"))
     sizes = written(docs.select("source", size.alias("size"), key.alias("key")), "mix")
     out = mixing.taken(docs, mixing.mix_cuts(sizes), F.col("source"), size, key)
-    return mixing.mixed_rows(out, "text", docs.columns, mixing.names_of(docs, "taken"))
+    return mixing.mixed_rows(out, docs.columns, mixing.names_of(docs, "taken"))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
