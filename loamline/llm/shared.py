@@ -51,11 +51,11 @@ def noting(tables: list[DataFrame]):
         _noted.reset(before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors."""
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors. compression: Spark's own where None."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.loamline_path = path
     tables = _noted.get()

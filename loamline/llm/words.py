@@ -98,9 +98,14 @@ def words(texts: pa.Array, table: ByteTable) -> Iterator[Words]:
     data, offsets = text_bytes(texts)
     for i, j in chunks(offsets):
         raw, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        found = [*_pieces(table.low[raw], table, raw, off)]
-        starts, ends, hashes = (np.concatenate(x) if len(found) != 1 else x[0] for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        yield Words(i, j - i, hashes, np.searchsorted(starts, off), table.low[raw], starts, ends)
+        low = table.low[raw]
+        lists = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+        for found in _pieces(low, table, raw, off):
+            for x, y in zip(lists, found, strict=True):
+                x.append(y)
+        starts, ends, hashes = (np.concatenate(x) if len(x) != 2 else x[1] for x in lists)
+        del lists
+        yield Words(i, j - i, hashes, np.searchsorted(starts, off), low, starts, ends)
 
 
 def _pieces(low: np.ndarray, table: ByteTable, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -140,7 +145,7 @@ def _pieces(low: np.ndarray, table: ByteTable, raw: np.ndarray, off: np.ndarray)
                 open_sum = (open_sum + so_far * int(sums[n])) & _MASK
         size = (ends + lo - begin).astype(np.uint64)
         if len(ends):
-            yield begin, ends + lo, mixed(total + size * _LENGTH)
+            yield begin.astype(np.int32), (ends + lo).astype(np.int32), mixed(total + size * _LENGTH)
         if inside[-1] and not last[-1]:  # the last word goes on
             if open_at < 0 or len(ends):
                 open_at = int(starts[-1]) + lo
