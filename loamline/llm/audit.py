@@ -23,10 +23,10 @@ SIGNS[list(b"#$%&*|")] = True
 
 def text_failures(texts: pa.Array) -> dict[str, np.ndarray]:
     """Which whole texts fail the filters on words, capitals and signs; null is empty."""
-    _, rows = numbered(texts, words_of(CASED))
-    n, distinct = np.array([len(r) for r in rows]), np.array([len(np.unique(r)) for r in rows])
+    _, numbers, at = numbered(texts, words_of(CASED))
+    n, distinct = np.diff(at), np.array([len(np.unique(r)) for r in np.split(numbers, at[1:-1])])
     data, offsets = text_bytes(texts)
-    capitals, points, signs = (np.zeros(len(rows), np.int64) for _ in range(3))
+    capitals, points, signs = (np.zeros(len(texts), np.int64) for _ in range(3))
     for i, j in chunks(offsets):
         for out, what in ((capitals, lambda x: (x >= 65) & (x <= 90)), (points, lambda x: (x & 0xC0) != 0x80), (signs, lambda x: SIGNS[x])):
             sums = np.concatenate([[0], np.cumsum(what(data[offsets[i] : offsets[j]]), dtype=np.int64)])

@@ -65,17 +65,16 @@ def words_of(table: ByteTable, most: int | None = None) -> Callable[[pa.Array],
     return cut
 
 
-def numbered(texts: pa.Array, cut: Callable[[pa.Array], Iterator[Runs]]) -> tuple[list[str], list[np.ndarray]]:
-    """The distinct strings of all texts, in the order in which they come, and each text's strings as numbers in that list."""
-    names: dict[str, int] = {}
-    rows: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
-    for first, at, runs in cut(texts):
-        coded = runs.dictionary_encode()
-        own = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()], np.int32)
-        ids = own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int32)
-        for k in range(len(at) - 1):
-            rows[first + k].append(ids[at[k] : at[k + 1]])
-    return list(names), [r[0] if len(r) == 1 else np.concatenate([np.zeros(0, np.int32), *r]) for r in rows]
+def numbered(texts: pa.Array, cut: Callable[[pa.Array], Iterator[Runs]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct strings of all texts, in the order in which they come; all texts' strings, as numbers in that list; and where each text's begin and end in these."""
+    runs, counts = [], np.zeros(len(texts), np.int64)
+    for first, at, found in cut(texts):
+        counts[first : first + len(at) - 1] += np.diff(at)
+        runs.append(found)
+    coded = pa.chunked_array(runs, pa.large_string()).dictionary_encode()
+    numbers = [c.indices.to_numpy() for c in coded.chunks]  # all chunks share the last one's list
+    names = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.large_string())
+    return names, np.concatenate([np.zeros(0, np.int32), *numbers]), np.concatenate([[0], np.cumsum(counts)])
 
 
 def packed(x: np.ndarray, most: int) -> bytes:

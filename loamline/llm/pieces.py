@@ -1,19 +1,22 @@
 """Encoding and decoding with a SentencePiece model by a table of the distinct marked words of a corpus."""
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .distinct import Runs, blocks, joined_back, numbered, packed, parts, strings_of, unpacked
-from .shared import small_batches
+from .distinct import Runs, numbered, parts, strings_of
+from .shared import free, small_batches
 from .words import CHUNK_BYTES, text_bytes
 
 #: The character that stands for a space in pieces.
 MARK = "▁"
+#: Buckets of distinct words; the table of a bucket's words is what a task holds.
+BUCKETS = 4096
 
 
 @lru_cache(maxsize=2)
@@ -58,53 +61,141 @@ def marked_words(texts: pa.Array) -> list[Runs]:
         yield i, np.searchsorted(starts, off), strings_of(raw, np.append(starts, len(raw)))
 
 
-def segmented(strings: DataFrame, model: bytes) -> DataFrame:
-    """strings (string): distinct marked words. Adds ids, those of their pieces. The library puts the first space before a word itself."""
+def dealt(names: pa.Array, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct strings as bytes, the buckets that have some, and for each string its number when they are ordered by bucket, then as they come."""
+    import xxhash
+
+    found = names.cast(pa.large_binary()).to_pylist()
+    own = np.array([xxhash.xxh32_intdigest(x) for x in found], np.int64) % buckets
+    order = np.argsort(own, kind="stable")
+    number = np.empty(len(found), np.int64)
+    number[order] = np.arange(len(found))
+    return [found[i] for i in order], own[order], number
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as bytes: their number, then bytes of equal weight together, compressed."""
+    import zstandard
+
+    raw = b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays)
+    return np.array([len(x) for x in arrays], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unsqueezed(data: bytes, n: int = 1) -> list[np.ndarray]:
+    import zstandard
+
+    sizes = np.frombuffer(data[: 8 * n], "<i8")
+    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8 * n :], max_output_size=int(sizes.sum()) * 4), np.uint8), [], 0
+    for k in sizes.tolist():
+        out.append(np.ascontiguousarray(raw[at : at + 4 * k].reshape(4, -1).T).view("<u4").ravel())
+        at += 4 * k
+    return out
+
+
+def segment(model: bytes):
+    """Words of blocks, in order of buckets, to ids. In a bucket each distinct word is segmented once; the table of its words is let go with the bucket."""
 
     def run(batches):
+        import zstandard
+
         encode = processor(model).encode
         space = encode("x ")[len(encode("x")) :]  # a space alone, for which the library would see an empty text
+        bucket, table = None, {}
         for batch in batches:
-            found = batch.column("string").to_pylist()
-            ids = [x if s != " " else space for s, x in zip(found, encode([s[1:] for s in found], num_threads=1), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("string"), pa.array(ids, pa.list_(pa.int32()))], names=["string", "ids"])
-
-    return strings.mapInArrow(run, "string string, ids array<int>")
-
-
-def encoded(docs: DataFrame, model: bytes, keep: list[str], bos: bool = False, eos: bool = True) -> DataFrame:
+            out = []
+            for b, data in zip(batch.column("_bucket").to_pylist(), batch.column("_words").to_pylist(), strict=True):
+                if b != bucket:
+                    bucket, table = b, {}
+                words = zstandard.ZstdDecompressor().decompressobj().decompress(data).split(b"\xff")
+                new = [w for w in words if w not in table]
+                # the library puts the first space before a word itself
+                table.update(zip(new, map(partial(np.array, dtype=np.uint32), encode([w[1:].decode() for w in new], num_threads=1)), strict=True))
+                if b" " in table:
+                    table[b" "] = np.array(space, np.uint32)
+                ids = [table[w] for w in words]
+                out.append(squeezed(np.array([len(x) for x in ids]), np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column("_block"), batch.column("_bucket"), pa.array(out, pa.binary())], names=["_block", "_bucket", "_ids"])
+
+    return run
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, places: np.ndarray, at: np.ndarray, head: list[int], tail: list[int]) -> pa.Array:
+    """Lists of ids: of each row head, the ids of its words, flat[begin[p]] up to flat[begin[p + 1]] for each place p in places[at[i]] .. places[at[i + 1]], and tail."""
+    size = np.diff(begin).astype(np.int64)
+    ends = np.cumsum(size[places], dtype=np.int64)
+    own = np.concatenate([[0], ends])[at]  # ids before each row
+    extra = len(head) + len(tail)
+    bounds = own + extra * np.arange(len(at))
+    out = np.empty(int(bounds[-1]), np.int32)
+    for i, x in enumerate(head):
+        out[bounds[:-1] + i] = x
+    for i, x in enumerate(reversed(tail)):
+        out[bounds[1:] - 1 - i] = x
+    for a in range(0, len(places), 1 << 20):  # a long text's words a part at a time
+        p = places[a : a + (1 << 20)]
+        n = size[p]
+        first = ends[a : a + len(p)] - n  # of each word's ids, which comes first among all
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        shift = len(head) + extra * (np.searchsorted(at, np.arange(a, a + len(p)), "right") - 1)
+        out[np.repeat(first + shift, n) + nth] = flat[np.repeat(begin[p], n) + nth]
+    return pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(out))
+
+
+def encoded(docs: DataFrame, model: bytes, keep: list[str], bos: bool = False, eos: bool = True, buckets: int = BUCKETS) -> DataFrame:
     """docs (text, and the columns `keep`). Returns the columns kept and ids: the library's ids of each whole text, with begin and end ids as asked for.
 
-    Each distinct marked word of the corpus is segmented once; a text's ids are those of its words in order, joined back by the words' places. Null is an
-    empty text, whose ids are only begin and end. Every row has one result, repeated rows too. A kept column named ids is an error.
+    Each distinct marked word of the corpus is segmented once: a block (an Arrow batch of texts) lists its distinct words once, by hash buckets; a bucket's words of all
+    blocks meet in one task, whose table of distinct words gives their ids; and these are joined back to the places of the block's words. So a word
+    moves once for each block that has it, and a text moves as numbers. Both scans of docs must give rows in the same order, as scans of tables do:
+    blocks are named by what they hold, and one that doesn't find its words is an error, never a wrong text. Write a table first where docs come from a
+    shuffle without an order. Null is an empty text, whose ids are only begin and end. Every row has one result, repeated rows too. A kept column named
+    ids is an error.
     """
     if "ids" in {c.lower() for c in keep}:
         raise ValueError("a column is named ids")
-    model, kinds = checked(model), {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-
-    def describe(texts):
-        names, rows = numbered(texts, marked_words)
-        return names, [1] * len(names), [{"_places": packed(r, len(names))} for r in rows]
+    small_batches(docs.sparkSession)
+    model, kinds, names = checked(model), {f.name: f.dataType.simpleString() for f in docs.schema.fields}, free(keep, "_block", "_places", "_at")
+
+    def blocks(batches):
+        import xxhash
+
+        part = TaskContext.get().partitionId()
+        for nth, batch in enumerate(batches):
+            if batch.num_rows:
+                listed, numbers, at = numbered(batch.column("text"), marked_words)
+                words, own, number = dealt(listed, buckets)
+                name = xxhash.xxh64_intdigest(b"\xff".join([b"%d %d %d" % (part, nth, batch.num_rows), *words])) - (1 << 63)
+                yield batch, name, words, own, number[numbers], at
+
+    def list_words(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for _, name, words, own, _, _ in blocks(batches):
+            at = np.flatnonzero(np.diff(own, prepend=-1))
+            lists = [squeeze(b"\xff".join(words[a:b])) for a, b in zip(at, [*at[1:], len(words)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int64()), pa.array(own[at].astype(np.int32)), pa.array(lists, pa.binary())], names=["_block", "_bucket", "_words"])
+
+    def list_places(batches):
+        for batch, name, words, _, places, at in blocks(batches):
+            whole = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([squeezed(places, at, np.array([len(words)]))], pa.binary()), *whole], names=[names[0], names[1], *keep])
 
     def finish(rows, words):
-        ids = words.column("ids").combine_chunks()
-        flat = ids.flatten().to_numpy()
-        begin = ids.offsets.to_numpy().astype(np.int64) - (ids.offsets[0].as_py() if len(ids) else 0)
-        ends = processor(model)
-        head, tail = np.array([ends.bos_id()] * bos, np.int32), np.array([ends.eos_id()] * eos, np.int32)
-        out, sizes = [], []
-        for x in rows.column("_places").to_pylist():
-            at = unpacked(x)
-            n = begin[at + 1] - begin[at]
-            where = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))  # each word's ids, one after the other
-            out += [head, flat[where].astype(np.int32), tail]
-            sizes.append(len(head) + len(where) + len(tail))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
-        return pa.table([*(rows.column(c) for c in keep), lists], names=[*keep, "ids"])
-
-    rows, words = blocks(docs, keep, describe, "_places binary")
-    table = segmented(words.select("string").distinct(), model)
-    return joined_back(rows, words.select("_block", "k", "string").join(table, "string").select("_block", "k", "ids"), finish, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "ids array<int>")
+        p = processor(model)
+        places, at, n = unsqueezed(rows.column(names[1])[0].as_py(), 3)
+        lists = [unsqueezed(x, 2) for x in words.take(pa.array(np.argsort(words.column("_bucket").to_numpy()))).column("_ids").to_pylist()]
+        size = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in lists)]).astype(np.int64)
+        if len(size) != n[0]:
+            raise RuntimeError("a block's words aren't those of its first scan: its rows came in another order; write docs as a table first")
+        flat = np.concatenate([np.zeros(0, np.uint32), *(y for _, y in lists)])
+        ids = gathered(flat, np.concatenate([[0], np.cumsum(size)]), places, at.astype(np.int64), [p.bos_id()] * bos, [p.eos_id()] * eos)
+        return pa.table([*(rows.column(c).combine_chunks().flatten() for c in keep), ids.cast(pa.list_(pa.int32()))], names=[*keep, "ids"])
+
+    texts = docs.select(*dict.fromkeys([*keep, "text"]))
+    words = texts.mapInArrow(list_words, "_block long, _bucket int, _words binary").repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(segment(model), "_block long, _bucket int, _ids binary")
+    places = texts.mapInArrow(list_places, f"`{names[0]}` long, `{names[1]}` binary" + "".join(f", `{c}` array<{kinds[c]}>" for c in keep))
+    return places.groupBy(names[0]).cogroup(words.groupBy("_block")).applyInArrow(finish, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "ids array<int>")
 
 
 @lru_cache(maxsize=2)

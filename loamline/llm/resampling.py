@@ -33,7 +33,8 @@ def features(docs: DataFrame, keep: list[str], longest: int) -> tuple[DataFrame,
     """Rows with their words' number and their features, as numbers in a block's list and counts, and the lists: (_block, k, string, n)."""
 
     def describe(texts):
-        names, rows = numbered(texts, words_of(ALNUM))
+        listed, numbers, at = numbered(texts, words_of(ALNUM))
+        names, rows = listed.to_pylist(), np.split(numbers, at[1:-1])
         every, own = grams(names, rows, longest)
         total, out = np.zeros(len(every), np.int64), []
         for r, x in zip(rows, own, strict=True):
