@@ -173,7 +173,8 @@ def encoded(docs: DataFrame, model: bytes, keep: list[str], bos: bool = False, e
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for _, name, words, own, _, _ in blocks(batches):
             at = np.flatnonzero(np.diff(own, prepend=-1))
-            lists = [squeeze(b"\xff".join(words[a:b])) for a, b in zip(at, [*at[1:], len(words)], strict=True)]
+            ends = np.append(at, len(words))[1:]
+            lists = [squeeze(b"\xff".join(words[a:b])) for a, b in zip(at, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int64()), pa.array(own[at].astype(np.int32)), pa.array(lists, pa.binary())], names=["_block", "_bucket", "_words"])
 
     def list_places(batches):
