@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import code as S
+from ..functions import diff as D
 from ..functions import text as T
 from ..functions import verify as V
 from ..functions.rank import rank_hex, rank_mod
@@ -226,3 +228,15 @@ def agreement_class(ours: Column, theirs: Column, code: Column, replaced: Column
     same = lambda a, b: (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
     anchors = F.array_except(ours, replaced)
     return F.when(same(theirs, ours), "agree").when(same(on_code, ours), "comment_lines_only").when(F.size(F.array_except(F.array_except(ours, on_code), anchors)) == 0, "insertion_anchor_only").otherwise("other_alignment")
+
+
+def line_agreement(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, ours, theirs, class, f1): of each pair of texts the lines that the first diff and an independent one say were changed, how they differ, and the F1 of the second's code
+    lines against the first's (0 where the second has none). Nulls are empty texts."""
+    ours = S.line_change(before, after)
+    found = pairs.select(key, ours.alias("o"), D.second_change(before, after).alias("t"), D.code_line_numbers(before).alias("code"), S.line_edits(before, after).alias("e"))
+    replaced = F.flatten(F.transform("e", lambda c: c["old"]))
+    on_code = F.array_intersect("t.lines", "code")
+    hits = F.size(F.array_intersect(on_code, F.col("o.lines")))
+    f1 = F.when(hits == 0, 0.0).otherwise(2.0 * hits / (F.size(on_code) + F.size("o.lines")))
+    return found.select(key, F.col("o.lines").alias("ours"), F.col("t.lines").alias("theirs"), agreement_class(F.col("o.lines"), F.col("t.lines"), F.col("code"), replaced).alias("class"), f1.alias("f1"))

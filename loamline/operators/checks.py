@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import kept
+from .graph import strong_components
 
 
 def row_checks(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
@@ -44,14 +44,8 @@ def hierarchy(flagged: DataFrame, edges: DataFrame, mapped: DataFrame | None = N
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    """(id): nodes on a cycle, or between two: those that stay when nodes without a parent, and then those without a child, are taken away again and again."""
-    left = kept(edges.select("child", "parent").distinct())
-    while True:
-        n = left.count()
-        left = kept(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"))
-        left = kept(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
-        if left.count() == n:
-            return left.select(F.explode(F.array("child", "parent")).alias("id")).distinct()
+    """(id): nodes that are their own ancestors, none between two cycles."""
+    return strong_components(edges).select("id")
 
 
 def together(parts: list[DataFrame]) -> DataFrame:

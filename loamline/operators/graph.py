@@ -32,6 +32,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, lineage cut."""
+    path = scratch(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def siblings(edges: DataFrame, above: DataFrame) -> DataFrame:
     """(node, sibling): other children of any parent, without ancestors and descendants."""
     pairs = edges.alias("a").join(edges.alias("b"), F.col("a.parent") == F.col("b.parent")).where("a.child <> b.child").select(F.col("a.child").alias("node"), F.col("b.child").alias("sibling")).distinct()
@@ -107,22 +114,122 @@ def credit(relation: Column, table: dict[str, int] = SYMMETRIC) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), relation), F.lit(0))
 
 
-def component_labels(links: DataFrame, rounds: int = 1000) -> DataFrame:
-    """links (a, b). Returns (id, component): the smallest id reached. Labels fall along links and skip ahead, so chains take few rounds; it stops with
-    an error, never with unfinished components."""
-    both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("low", "a").alias("component")))
+def component_labels(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """links (a, b). Returns (id, component): the smallest id reached. Nulls link nothing; a link of an id with itself makes it a component.
+
+    Stars are contracted: in turn all larger neighbours of an id, then all smaller ones, are linked to the smallest of them. A step moves each link
+    once, whatever a component's or a neighbourhood's size, and the number of steps grows with the logarithm of the number of ids. It stops with an
+    error, never with unfinished components.
+    """
+    alone = links.where("a = b").select(F.col("a").alias("id")).distinct()
+    step = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    last = None
     for _ in range(rounds):
-        near = both.join(labels.toDF("b", "c"), "b").groupBy("a").agg(F.min("c").alias("low")).withColumnRenamed("a", "id")
-        lower = labels.join(near, "id").select("id", F.least("component", "low").alias("component"))
-        new = kept(lower.join(labels.toDF("component", "further"), "component").select("id", F.least("component", "further").alias("component")))
-        changed = not new.join(labels, ["id", "component"], "left_anti").isEmpty()
-        labels = new
-        if not changed:
-            return labels
+        both = step.union(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.where("b > a").join(least.withColumn("m", F.least("a", "m")), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        step = stored(small)
+        now = step.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == last:
+            found = step.select(F.col("a").alias("id"), F.col("b").alias("component")).union(step.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            return found.union(alone.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("component")))
+        last = now
     raise RuntimeError(f"components aren't complete after {rounds} rounds")
 
 
+def furthest(edges: DataFrame, rounds: int) -> DataFrame:
+    """edges (a, b). Returns (id, top): of each node the largest node from which it is reached, itself included.
+
+    What reaches a node's top so far reaches the node, so a step takes the best of a node's parents and then its top's own top: paths are crossed in jumps that grow.
+    """
+    top = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("top", F.col("id")))
+    for _ in range(rounds):
+        near = edges.join(top.toDF("a", "t"), "a").groupBy("b").agg(F.max("t").alias("t")).withColumnRenamed("b", "id")
+        up = top.join(near, "id", "left").select("id", F.greatest("top", "t").alias("top"))
+        new = stored(up.join(up.toDF("top", "t"), "top").select("id", F.greatest("top", "t").alias("top")))
+        if new.join(top, ["id", "top"], "left_anti").isEmpty():
+            return top
+        top = new
+    raise RuntimeError(f"reachability isn't complete after {rounds} rounds")
+
+
+def raked(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of rake and compress on edges (a, b) without loops: nodes without a parent or a child go, and each chain of nodes with one of each becomes one edge.
+
+    Both ends of a chain are found by jumps that double, so in as many steps as its length's logarithm. Returns what is left, loops among it; (id, up, down) of the chains' nodes,
+    with the ends of their chains; and (id, component) of those whose chain has no end, as it is a cycle.
+    """
+    out = edges.groupBy("a").agg(F.count("*").alias("n_out"), F.min("b").alias("down")).withColumnRenamed("a", "id")
+    into = edges.groupBy("b").agg(F.count("*").alias("n_in"), F.min("a").alias("up")).withColumnRenamed("b", "id")
+    inner = stored(out.join(into, "id"))
+    thin = "n_in = 1 AND n_out = 1"
+    stay = inner.where(f"NOT ({thin})").select("id")
+    jumps, n, length = inner.where(thin).select("id", "up", "down", F.col("id").alias("least")), inner.where(thin).count(), 1
+    while n and length < 2 * n:
+        on, before = jumps.select(F.col("id").alias("down"), F.col("down").alias("d"), F.col("least").alias("l")), jumps.select(F.col("id").alias("up"), F.col("up").alias("u"))
+        far = jumps.join(on, "down", "left").join(before, "up", "left")
+        jumps = stored(far.select("id", F.coalesce("u", "up").alias("up"), F.coalesce("d", "down").alias("down"), F.least("least", "l").alias("least"), (F.col("d").isNotNull() | F.col("u").isNotNull()).alias("on")))
+        length *= 2
+        if jumps.where("on").isEmpty():
+            break
+    round_ = jumps.join(inner.where(thin).select(F.col("id").alias("down")), "down", "left_semi").select("id", F.col("least").alias("component"))
+    gone = jumps.join(round_.select("id"), "id", "left_anti").select("id", "up", "down")
+    rest = edges.select("a", "b").union(gone.select(F.col("up").alias("a"), F.col("down").alias("b")))
+    left = rest.join(stay.toDF("a"), "a", "left_semi").join(stay.toDF("b"), "b", "left_semi").select("a", "b").distinct()
+    return stored(left), gone, round_
+
+
+def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """edges (child, parent). Returns (id, component) of every node that is on a cycle: nodes that reach each other have one component, named by the smallest of them.
+
+    Trees and chains are raked and compressed away, in a number of rounds that grows with the logarithm of their length; a chain's nodes are on a cycle if its two ends are on
+    one. What is left is cut by reachability both ways: of each node the largest node that reaches it and the largest that it reaches; where both
+    are one node, they are its component; edges between nodes that differ in either are on no cycle, and the rest is cut again. Nulls are no nodes.
+    """
+    e = stored(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    loops, found, given_way = [e.where("a = b").select(F.col("a").alias("id"))], [], []
+    n = e.where("a <> b").count()
+    for _ in range(rounds):
+        if not n:
+            break
+        before = n
+        e, gone, round_ = raked(e.where("a <> b"))
+        n = e.where("a <> b").count()
+        given_way.append(gone)
+        found.append(round_)
+        loops.append(e.where("a = b").select(F.col("a").alias("id")))
+        if not n or n <= 0.9 * before:
+            continue
+        e = e.where("a <> b")
+        there = furthest(e, rounds)
+        back = furthest(e.select(F.col("b").alias("a"), F.col("a").alias("b")), rounds)
+        named = stored(there.join(back.toDF("id", "low"), "id"))
+        whole = named.where("top = low").select("id", F.col("top").alias("component"))
+        many = whole.groupBy("component").count().where("count > 1").select("component")
+        found.append(whole.join(many, "component").select("id", "component"))
+        open_ = named.where("top <> low")
+        ends = lambda c: open_.select(F.col("id").alias(c), F.col("top").alias(f"top_{c}"), F.col("low").alias(f"low_{c}"))
+        e = stored(e.join(ends("a"), "a").join(ends("b"), "b").where("top_a = top_b AND low_a = low_b").select("a", "b"))
+        n = e.count()
+    else:
+        if n:
+            raise RuntimeError(f"cycles aren't complete after {rounds} rounds")
+    looped = stored(reduce(DataFrame.union, loops).distinct())
+    known = stored(reduce(DataFrame.union, found, looped.select("id", F.col("id").alias("component")).where("false")))
+    chained = reduce(DataFrame.union, [g.select("id") for g in given_way], looped.where("false"))
+    alone = looped.join(known, "id", "left_anti").join(chained, "id", "left_anti")
+    known = known.union(alone.select("id", F.col("id").alias("component")))
+    for gone in reversed(given_way):
+        if gone.isEmpty():
+            continue
+        each = gone.join(known.toDF("up", "c_up"), "up", "left").join(known.toDF("down", "c_down"), "down", "left").join(looped.withColumn("loop", F.lit(True)), "id", "left")
+        each = each.select("id", F.when(F.col("c_up") == F.col("c_down"), F.col("c_up")).when(F.col("loop"), F.col("id")).alias("component")).where("component IS NOT NULL")
+        known = stored(known.union(each))
+    return known.join(known.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))
+
+
 def clusters(rows: DataFrame, key: str, order: list[str], links: DataFrame) -> DataFrame:
     """Adds cluster_id, the member that is first by order and key, and cluster_size. Rows without links are clusters of their own."""
     labels = component_labels(links).toDF("_id", "_component")

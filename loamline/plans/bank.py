@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import diff as D
 from ..functions import text as T
 from ..functions import verify as V
 from ..operators import bank as B
@@ -226,13 +227,38 @@ def q_keyword_lines(spark, d):
     return load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", B.keyword_lines(F.col("text"), ("the", "de")).alias("reply"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'agree' WHEN 1 THEN 'comment_lines_only' WHEN 2 THEN 'insertion_anchor_only' ELSE 'other_alignment' END AS class FROM documents")
+# A document's lines as code: each line's number and its text's hash, so that all differ.
+CODED = "SELECT doc_id, len(string_split(text, chr(10))) AS n, len(string_split(text, chr(10))) // 2 + 1 AS t FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"""WITH d AS ({CODED}) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN t::VARCHAR WHEN 1 THEN t::VARCHAR ELSE (t + 1)::VARCHAR END AS theirs, CASE doc_id % 3 WHEN 0 THEN t::VARCHAR WHEN 1 THEN '' ELSE t::VARCHAR END AS ours,
+CASE doc_id % 3 WHEN 0 THEN 'agree' WHEN 1 THEN 'comment_lines_only' ELSE 'insertion_anchor_only' END AS class, CASE WHEN doc_id % 3 = 0 THEN 1.0 WHEN doc_id % 3 = 1 THEN 0.0 ELSE 0.0 END::DOUBLE AS f1 FROM d""")
 def q_line_agreement(spark, d):
-    """How two diffs' lines differ, synthetic ones of each sort."""
-    k = F.col("doc_id") % 4
-    arr = lambda *x: F.array(*[F.lit(v) for v in x])
-    theirs = F.when(k == 0, arr(2, 5)).when(k == 1, arr(2, 5, 7)).when(k == 2, arr(2, 6)).otherwise(arr(5, 6))
-    return load(spark, d, "documents").select("doc_id", B.agreement_class(arr(2, 5), theirs, arr(1, 2, 3, 5, 6), arr(2)).alias("class"))
+    """How the lines of two independent diffs differ for changes of documents as code: the middle line replaced; a comment that stood there gone; a line put in behind a comment
+    that follows it. f1: of the second diff's code lines against the first's."""
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.lit("L"), i.cast("string"), F.lit(" = x"), F.md5(line.cast("binary")), F.lit(";")))
+    k, at = F.col("doc_id") % 3, F.floor(F.size(lines) / 2).cast("int")
+    put = lambda *new: F.concat(F.slice(lines, F.lit(1), at), F.array(*new), F.slice(lines, at + F.lit(1), F.size(lines) - at))
+    note, come = F.lit("// a note"), F.lit("come();")
+    own = F.element_at(lines, at + 1)
+    after_own = lambda *new: F.concat(F.slice(lines, F.lit(1), at + 1), F.array(*new), F.slice(lines, at + F.lit(2), F.greatest(F.size(lines) - at - 1, F.lit(0))))
+    before = F.when(k == 0, lines).when(k == 1, put(note)).otherwise(after_own(note))
+    after = F.when(k == 0, F.transform(lines, lambda x: F.when(x == own, come).otherwise(x))).when(k == 1, lines).otherwise(after_own(note, come))
+    rows = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(before, "\n").alias("b"), F.array_join(after, "\n").alias("a"))
+    out = B.line_agreement(rows, "doc_id", "b", "a")
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return out.select("doc_id", text("theirs").alias("theirs"), text("ours").alias("ours"), "class", "f1")
+
+
+@query(r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d)
+SELECT doc_id, sum((i % 5 = 3 AND doc_id % 2 = 0 AND NOT regexp_full_match(line, '[\s]*'))::INT)::INT AS n_deleted, sum((i % 4 = 2 AND doc_id % 2 = 1)::INT)::INT AS n_inserted FROM e GROUP BY doc_id""")
+def q_second_diff(spark, d):
+    """The shortest script between each document and itself with every fifth line taken out, or a line of its own put in before every fourth."""
+    lines = F.split("text", "\n")
+    out = F.filter(lines, lambda _, i: i % 5 != 3)
+    more = F.flatten(F.transform(lines, lambda x, i: F.when(i % 4 == 2, F.array(F.concat(F.lit("\u00a7"), i.cast("string")), x)).otherwise(F.array(x))))
+    rows = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", F.array_join(F.when(F.col("doc_id") % 2 == 0, out).otherwise(more), "\n").alias("a"))
+    return rows.select("doc_id", D.second_change(F.col("text"), F.col("a")).alias("c")).select("doc_id", "c.n_deleted", "c.n_inserted")
 
 
 # Summaries.

@@ -171,14 +171,25 @@ def q_taxonomy(spark, d):
     return G.node_flags(nodes, e).select("id", "name", "kind", "is_deprecated", "in_view", "description")
 
 
-@query("VALUES ('in the view', '801'), ('live ends', '999'), ('mapped', '800'), ('no cycle', '1'), ('no cycle', '901')")
+@query("SELECT 'in the view' AS \"check\", '801' AS key UNION ALL SELECT 'mapped', '800' UNION ALL SELECT DISTINCT 'live ends', '999' FROM nation WHERE n_nationkey = 1 UNION ALL SELECT 'no cycle', unnest([(n_nationkey + 1)::VARCHAR, (900 + n_regionkey)::VARCHAR]) FROM nation WHERE n_nationkey = 0")
 def q_hierarchy_violations(spark, d):
-    """Invariants of that taxonomy, with an edge to an unknown node and a cycle added."""
+    """Invariants of that taxonomy, with an edge from a nation to an unknown node, and one from another nation's region back to it."""
     nodes, e = taxonomy(spark, d)
-    region = load(spark, d, "nation").where("n_nationkey = 0").select(F.concat(F.lit(""), (F.col("n_regionkey") + 900).cast("string")).alias("child"), F.lit("1").alias("parent"))
-    more = e.union(spark.createDataFrame([("2", "999")], "child string, parent string")).union(region)
-    out = K.hierarchy(G.node_flags(nodes, e), more, spark.createDataFrame([("7",)], "id string")).select(F.col("check").alias("col0"), F.col("key").alias("col1"))
-    return out.withColumn("col1", F.when((F.col("col0") == "no cycle") & (F.col("col1") != "1"), "901").otherwise(F.col("col1")))
+    nation = load(spark, d, "nation")
+    text = lambda c: c.cast("string")
+    back = nation.where("n_nationkey = 0").select(text(F.col("n_regionkey") + 900).alias("child"), text(F.col("n_nationkey") + 1).alias("parent"))
+    lost = nation.where("n_nationkey = 1").select(text(F.col("n_nationkey") + 1).alias("child"), F.lit("999").alias("parent"))
+    mapped = nation.select(text(F.col("n_nationkey")).alias("id"))
+    return K.hierarchy(G.node_flags(nodes, e), e.union(lost).union(back), mapped).select("check", "key")
+
+
+@query("WITH RECURSIVE m AS (SELECT max(o_custkey) + 1 AS m FROM orders), e AS (SELECT DISTINCT o_custkey AS a, o_orderkey * 7919 % m AS b FROM orders, m WHERE o_orderkey % 7 = 0 AND o_custkey <> o_orderkey * 7919 % m), r(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), s AS (SELECT p.x AS id, p.y AS other FROM r p JOIN r q ON p.x = q.y AND p.y = q.x) SELECT id, least(id, min(other)) AS component FROM s GROUP BY id")
+def q_strong_components(spark, d):
+    """Customers as a directed graph, each order an edge: which are on a cycle, and with which."""
+    o = load(spark, d, "orders")
+    m = F.broadcast(o.agg((F.max("o_custkey") + 1).alias("m")))  # one row
+    e = o.where("o_orderkey % 7 = 0").crossJoin(m).select(F.col("o_custkey").alias("child"), (F.col("o_orderkey") * 7919 % F.col("m")).alias("parent"))
+    return G.strong_components(e.where("child <> parent"))
 
 
 METRIC = "array<struct<source:string,cvssData:struct<version:string,vectorString:string,attackVector:string,attackComplexity:string,privilegesRequired:string,userInteraction:string,scope:string,confidentialityImpact:string,integrityImpact:string,availabilityImpact:string>>>"

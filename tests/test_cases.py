@@ -271,8 +271,8 @@ def test_attempts_are_decided_or_refused(spark):
     ("a\nb\nc", "a\nx\nc", "@@ replace vulnerable lines 2-2 @@\n-    2: b\n+    2: x"), ("a\n\nb", "a\n\nx\nb", "@@ insert after vulnerable line 1 (gold 1) @@\n+    3: x"),
     ("a\nb", "x\na\nb", "@@ insert before vulnerable line 1 (gold 1) @@\n+    1: x"), ("a\nb\nc", "c", "@@ delete vulnerable lines 1-2 @@\n-    1: a\n-    2: b"), ("a // b", "a", ""),
 ])
-def test_diff_views(before, after, want):
-    assert code.diff_view(before, after) == want
+def test_diff_views(spark, before, after, want):
+    assert spark.createDataFrame([(before, after)], "b string, a string").select(code.diff_views(F.col("b"), F.col("a"))).first()[0] == want
 
 
 def test_tokens_round_trip(spark):
