@@ -3,17 +3,32 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import scratch
+
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, qs: list[tuple[int, int]]) -> DataFrame:
-    """(by, q_num, q_den, value): the value at position max(1, ceil(q * n)), in whole numbers. By counts of distinct values, not by a sort of rows."""
+    """(by, q_num, q_den, value): the value at position max(1, ceil(q * n)), in whole numbers. By counts of distinct values, not by a sort of rows; without groups, in ranges of values."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counts = counts.withColumns({"_to": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)}).withColumn("_from", F.col("_to") - F.col("_n"))
+    counts = counts.withColumns({"_to": F.sum("_n").over(Window.partitionBy(*by).orderBy(value)), "_all": F.sum("_n").over(Window.partitionBy(*by))}) if by else summed_up(counts, value, "_n")
+    counts = counts.withColumn("_from", F.col("_to") - F.col("_n"))
     asked = F.explode(F.array(*[F.struct(F.lit(a).alias("q_num"), F.lit(b).alias("q_den")) for a, b in qs]))
     at = F.greatest(F.lit(1), F.floor((F.col("q_num") * F.col("_all") + F.col("q_den") - 1) / F.col("q_den")))
     return counts.withColumn("_q", asked).select(*by, "_q.*", value, "_from", "_to", "_all").where((at > F.col("_from")) & (at <= F.col("_to"))).select(*by, "q_num", "q_den", value)
 
 
+def summed_up(counts: DataFrame, value: str, n: str) -> DataFrame:
+    """counts (value, n). Adds _to, the sum of n up to and with each value, and _all, of all. A range sort is written; each range is summed by its own task, and the sums
+    before it come from one row for each range."""
+    spark, path = counts.sparkSession, scratch(counts.sparkSession, "ranges")
+    counts.select(value, n).orderBy(value).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    ranges = spark.read.parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    sums = ranges.groupBy("_part").agg(F.sum(n).alias("_own"))
+    every = Window.orderBy("_part")
+    before = sums.select("_part", (F.sum("_own").over(every) - F.col("_own")).alias("_before"), F.sum("_own").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    up_to = F.sum(n).over(Window.partitionBy("_part").orderBy("_id"))
+    return ranges.join(F.broadcast(before), "_part").withColumn("_to", F.col("_before") + up_to).drop("_part", "_id", "_before")
+
+
 def edge_histogram(rows: DataFrame, value: Column, edges: list[float], labels: list[str]) -> DataFrame:
     """(label, pos, count) with upper-inclusive edges; above the last edge counts with the last label; zero counts are kept."""
     place = F.lit(len(labels) - 1)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregate as A
+from ..operators import bootstrap as P
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import inference as I
@@ -12,6 +13,7 @@ from ..operators import jobs as W
 from ..operators import ledger as L
 from ..operators import runs as R
 from ..operators import sampling as S
+from ..operators import schedule as Q
 from ..tables import load
 from .bank import nation
 from .curation import CHECKS, FATE, checks
@@ -264,11 +266,59 @@ def q_minimal_effect(spark, d):
     return spark.createDataFrame([(j, x) for j, x in enumerate(found)], "col int, effect double")
 
 
-@query()
+# Jobs in order, each put on the machine that is free first; m: the machine, counted from 1.
+DEALT = """o AS (SELECT *, row_number() OVER (ORDER BY hours DESC, job) AS i FROM j), g AS (SELECT list(hours ORDER BY i) AS hs FROM o),
+r(i, free, m) AS (SELECT 0, [0.0, 0.0, 0.0]::DOUBLE[], NULL::INT UNION ALL
+  SELECT r.i + 1, list_transform(free, lambda f, k: CASE WHEN k = list_position(free, list_min(free)) THEN f + hs[r.i + 1] ELSE f END), list_position(free, list_min(free))::INT FROM r, g WHERE r.i < len(hs)),
+p AS (SELECT job, hours, r.m - 1 AS machine, r.free[r.m] - hours AS start FROM o JOIN r ON r.i = o.i)"""
+
+
+@query(f"WITH RECURSIVE j AS (SELECT c_custkey AS job, (c_nationkey % 7 + 1) * 0.25::DOUBLE AS hours FROM customer WHERE c_custkey % 5 = 0), {DEALT} SELECT job, machine, start FROM p")
 def q_list_schedule(spark, d):
-    """Event types as jobs, longest first, on two machines."""
-    n = {r.event_type: float(r["count"]) for r in events(spark, d).groupBy("event_type").count().orderBy("event_type").collect()}
-    return spark.createDataFrame(I.list_schedule(n, 2), "job string, machine int, start double")
+    """Customers as jobs of seven durations, longest first, on three machines."""
+    jobs = load(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("job"), ((F.col("c_nationkey") % 7 + 1) * 0.25).alias("hours"))
+    return Q.list_schedule(jobs, "job", "hours", [], 3).select("job", "machine", "start")
+
+
+@query(f"WITH RECURSIVE j AS (SELECT lpad(n_nationkey::VARCHAR, 2, '0') || '/' || s AS job, n_nationkey, s AS seed, (n_regionkey + 1) * 1.5::DOUBLE AS hours FROM nation, range(4) AS r(s) WHERE (n_nationkey + s) % 3 <> 0), {DEALT}, f AS (SELECT max(start + hours) AS finish FROM p) SELECT n_nationkey, seed::INT AS seed, j.hours, machine, start, finish, finish > 80 AS over_budget FROM p JOIN j USING (job), f")
+def q_remaining_work(spark, d):
+    """What is left of a grid of nations and seeds on three machines, and whether it would be over within 80 hours."""
+    n = load(spark, d, "nation")
+    grid = n.select("n_nationkey", "n_regionkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seed"))
+    hours = n.select("n_regionkey").distinct().withColumn("hours", (F.col("n_regionkey") + 1) * 1.5)
+    out = Q.remaining_work(grid, grid.where("(n_nationkey + seed) % 3 = 0"), ["n_nationkey", "seed"], hours, "n_regionkey", ["n_nationkey", "seed"], 3, 80.0)
+    return out.select("n_nationkey", "seed", "hours", "machine", "start", "finish", "over_budget")
+
+
+THREE = "s AS (SELECT event_type, user_id, event_id % 3 AS engine, avg(floor(value)) AS v FROM events GROUP BY ALL), f AS (SELECT event_type, user_id FROM s GROUP BY ALL HAVING count(*) = 3), w AS (SELECT event_type, user_id, max(v) FILTER (engine = 0) AS a, max(v) FILTER (engine = 1) AS b, max(v) FILTER (engine = 2) AS c FROM s JOIN f USING (event_type, user_id) GROUP BY ALL), x AS (SELECT event_type, 0 AS first, 2 AS second, a AS x, c AS y FROM w UNION ALL SELECT event_type, 0, 1, a, b FROM w)"
+
+
+@query(f"WITH {THREE} SELECT first, second, event_type, count(*) AS n, round(avg(x), 6) AS mean_first, round(avg(y), 6) AS mean_second, round(avg(y - x), 6) AS gap, count(*) FILTER (y > x) AS second_better, count(*) FILTER (x > y) AS first_better, true AS inside, second = 2 AS decides FROM x GROUP BY ALL")
+def q_three_engines(spark, d):
+    """Events by type taken as replies of three engines: the pair that decides and the pair that shows noise; whether each gap is inside its interval of 1,000 resamples."""
+    s = events(spark, d).groupBy("event_type", "user_id", (F.col("event_id") % 3).cast("int").alias("engine")).agg(F.avg(F.floor("value").cast("double")).alias("v"))
+    full = s.groupBy("event_type", "user_id").count().where("count = 3").drop("count")
+    out = P.engine_comparisons(s.join(full, ["event_type", "user_id"], "left_semi"), "event_type", "user_id", "engine", "v", [(0, 2), (0, 1)], 1000)
+    rounded = [F.round(c, 6).alias(c) for c in ("mean_first", "mean_second", "gap")]
+    return out.select("first", "second", "event_type", "n", *rounded, "second_better", "first_better", ((F.col("low") <= F.col("gap")) & (F.col("gap") <= F.col("high"))).alias("inside"), "decides")
+
+
+@query("WITH u AS (SELECT user_id, event_id % 2 AS run, count(*) / 2.5 AS a, max(floor(value)) / 40 AS b FROM events GROUP BY 1, 2), f AS (SELECT user_id FROM u GROUP BY 1 HAVING count(*) = 2), x AS (SELECT user_id, (max((a + b) / 2) FILTER (run = 1)) - (max((a + b) / 2) FILTER (run = 0)) AS d FROM u JOIN f USING (user_id) GROUP BY 1) SELECT round(avg(d), 6) AS difference, count(*) AS units, true AS inside FROM x")
+def q_standardised_gap(spark, d):
+    """Odd against even events of users as two runs: the standardised difference, and whether it is inside its interval over users."""
+    u = events(spark, d).groupBy("user_id", (F.col("event_id") % 2).alias("run")).agg(F.count("*").cast("double").alias("n"), F.max(F.floor("value")).cast("double").alias("top"))
+    full = u.groupBy("user_id").count().where("count = 2").select("user_id")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in ("n", "top")])
+    rows = u.join(full, "user_id", "left_semi").select("user_id", "run", F.explode(kinds).alias("x")).select("user_id", "run", "x.*")
+    scale = spark.createDataFrame([("n", 2.5), ("top", 40.0)], "kind string, scale double")
+    out = P.standardised_gap(rows, "user_id", "kind", "run", "v", scale, 0, 1)
+    return out.select(F.round("difference", 6).alias("difference"), "units", ((F.col("low") <= F.col("difference")) & (F.col("difference") <= F.col("high"))).alias("inside"))
+
+
+@query("WITH o AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders WHERE o_totalprice IS NOT NULL) SELECT a::INT AS q_num, b::INT AS q_den, v AS o_totalprice FROM o, (VALUES (1, 2), (1, 100), (99, 100), (1, 1), (0, 1)) AS q(a, b) WHERE i = greatest(1, (a * n + b - 1) // b)")
+def q_exact_quantiles(spark, d):
+    """Nearest ranks of all orders' prices, a column of almost as many values as rows, by ranges."""
+    return A.nearest_rank(load(spark, d, "orders").select("o_totalprice"), [], "o_totalprice", [(1, 2), (1, 100), (99, 100), (1, 1), (0, 1)])
 
 
 @query(f"WITH {FATE} SELECT s::INT AS stage, year(l_shipdate)::INT AS year, count(DISTINCT l_orderkey) AS entities FROM f, (VALUES (0), (2), (4)) AS v(s) WHERE coalesce(stage, 5) > s GROUP BY 1, 2")
@@ -294,9 +344,9 @@ def q_selection_order(spark, d):
     return S.selection(rows, "doc_id", "lang", "cfg", 3, {"mask": "mask", "upsample": "up", "order": "order"}, dropped="fr")
 
 
-@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id")
 def q_longest_first(spark, d):
-    return S.longest_first(documents(spark, d).select("doc_id", "n_chars"), "n_chars", "doc_id").limit(20)
+    return S.longest_first(documents(spark, d).select("doc_id", "n_chars"), "n_chars", "doc_id")
 
 
 @query("SELECT doc_id, j::INT AS j, ((2 * j * (doc_id % 90 + 4) + 4) // 8)::BIGINT AS step FROM documents, range(1, 5) AS r(j)")
