@@ -13,6 +13,7 @@ from ..operators import ledger as L
 from ..operators import reconcile as R
 from ..operators import similarity as N
 from ..operators import training as M
+from ..sources import arrays as Y
 from ..sources import feeds as X
 from ..sources import jsonl as J
 from ..tables import load, scratch
@@ -107,31 +108,35 @@ def feeds(spark, d):
     key = F.col("c_custkey").cast("string")
     text = lambda *p: F.array(*[F.struct(F.lit(a).alias("lang"), b.alias("value")) for a, b in p])
 
-    def feed(rows, year, when):
-        own = F.array(F.struct(F.lit("nvd").alias("source"), text(("en", F.concat(F.lit(" CWE-"), (F.col("c_custkey") % 7 + 1).cast("string"))), ("en", F.lit("CWE-1")), ("fr", F.lit("CWE-9")), ("en", F.lit(" "))).alias("description")), F.struct(F.lit("cna").alias("source"), text(("en", F.lit("CWE-99"))).alias("description")))
-        record = F.struct(F.concat(F.lit("CVE-"), key).alias("id"), when.alias("lastModified"), text(("fr", F.lit("non")), ("en", F.lit(" ")), ("en", F.concat(F.lit(" from "), F.lit(str(year)), F.lit(" ")))).alias("descriptions"), own.alias("weaknesses"))
-        body = rows.agg(F.collect_list(F.struct(record.alias("cve"))).alias("v")).select(F.to_json(F.struct(F.lit(f"{year}-12-31").alias("timestamp"), F.col("v").alias("vulnerabilities"))).alias("value"))
-        return body.first()["value"]
-
-    c = load(spark, d, "customer")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def feed(rows, year, when, name, compression="none"):
+        """A feed's file, a line for each record, written by one task as they come."""
+        own = F.array(F.struct(F.lit("nvd").alias("source"), text(("en", F.concat(F.lit(" CWE-"), (F.col("c_custkey") % 7 + 1).cast("string"))), ("en", F.lit("CWE-1")), ("fr", F.lit("CWE-9")), ("en", F.lit(" "))).alias("description")), F.struct(F.lit("cna").alias("source"), text(("en", F.lit("CWE-99"))).alias("description")))
+        record = F.struct(F.concat(F.lit("CVE-"), key).alias("id"), when.alias("lastModified"), text(("fr", F.lit("non")), ("en", F.lit(" ")), ("en", F.concat(F.lit(" from "), F.lit(str(year)), F.lit(" ")))).alias("descriptions"), own.alias("weaknesses"))
+        first = F.broadcast(rows.agg(F.min("c_custkey").alias("_first")))  # one row
+        comma = F.when(F.col("c_custkey") == F.col("_first"), "").otherwise(",")
+        lines = rows.crossJoin(first).select(F.lit(1).alias("o"), "c_custkey", F.concat(comma, F.to_json(F.struct(record.alias("cve")))).alias("value"))
+        ends = spark.createDataFrame([(0, 0, f'{{"timestamp": "{year}-12-31", "vulnerabilities": ['), (2, 0, "]}")], "o int, c_custkey long, value string")
+        out = f"{path}-{year}"
+        lines.union(ends).coalesce(1).sortWithinPartitions("o", "c_custkey").select("value").write.option("compression", compression).text(out)
+        (made,) = [f.getPath() for f in fs.listStatus(hadoop.Path(out)) if f.getPath().getName().startswith("part-")]
+        fs.mkdirs(hadoop.Path(path))
+        fs.rename(made, hadoop.Path(f"{path}/{name}"))
+
     def put(name, data):
         out = fs.create(hadoop.Path(f"{path}/{name}"))
-        out.write(bytearray(data))
+        out.write(bytearray(data.encode()))
         out.close()
 
-    import gzip
-    import hashlib
-
-    one = feed(c, 2020, F.lit("2020-05-05")).encode()
-    two = feed(c.where("c_mktsegment = 'BUILDING'"), 2021, F.when(F.col("c_acctbal") < 0, "2020-05-05").otherwise("2021-01-01")).encode()
-    put("nvdcve-2.0-2020.json.gz", gzip.compress(one, mtime=0))
-    put("nvdcve-2.0-2020.meta", f"lastModifiedDate:x\nsha256:{hashlib.sha256(one).hexdigest().upper()}\n".encode())
-    put("nvdcve-2.0-2021.json", two)
-    put("nvdcve-2.0-recent.json", b"{}")
-    return X.read_feeds(spark, path, RECORD)
+    c = load(spark, d, "customer")
+    feed(c, 2020, F.lit("2020-05-05"), "nvdcve-2.0-2020.json.gz", "gzip")
+    feed(c.where("c_mktsegment = 'BUILDING'"), 2021, F.when(F.col("c_acctbal") < 0, "2020-05-05").otherwise("2021-01-01"), "nvdcve-2.0-2021.json")
+    sha = spark.read.format("binaryFile").load(f"{path}/nvdcve-2.0-2021.json").select(F.sha2("content", 256)).first()[0]
+    put("nvdcve-2.0-2021.meta", f"lastModifiedDate:x\nsha256:{sha.upper()}\n")
+    put("nvdcve-2.0-recent.json", "{}")
+    return Y.stream_feeds(spark, path, RECORD)
 
 
 @query("SELECT 'CVE-' || c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal >= 0 THEN 'nvdcve-2.0-2021.json' ELSE 'nvdcve-2.0-2020.json.gz' END AS feed, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal >= 0 THEN 'from 2021' ELSE 'from 2020' END AS description, array_to_string(list_sort(list_distinct(['CWE-' || (c_custkey % 7 + 1), 'CWE-1'])), ',') AS labels FROM customer WHERE c_acctbal < 5000")

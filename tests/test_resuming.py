@@ -123,3 +123,28 @@ def test_bytes_depend_on_lines_alone(spark, tmp_path):
         ordered.write_lines(spark.createDataFrame([(1, "a\nb")], "k int, line string"), "line", ["k"], str(tmp_path / "bad"))
     ordered.write_lines(df.where("false"), "line", ["k"], str(tmp_path / "none"))
     assert not list((tmp_path / "none").glob("*"))
+
+
+def test_arrays_of_any_pieces(spark, tmp_path):
+    """Fields before, between and after the array, nested brackets and quotes in strings, numbers that a piece cuts, text of several bytes; in gzip and not."""
+    from loamline.sources import arrays
+
+    rows = [{"cve": {"id": f"é🙂\\\"]{i}", "n": [1.5e10, -2, {"a": []}]}} if i % 3 else i * 1234567 for i in range(40)] + ["x" * 3000, None, True, 12]
+    doc = {"timestamp": "t", "other": {"vulnerabilities": [1]}, "vulnerabilities": rows, "after": 12.5}
+    raw = json.dumps(doc, ensure_ascii=False, indent=1).encode()
+    (tmp_path / "a.json").write_bytes(raw)
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(raw))
+    sha = hashlib.sha256(raw).hexdigest()
+    for size in (1, 2, 3, 7, 100, 1 << 20):
+        for name in ("a.json", "b.json.gz"):
+            out = list(arrays.ArrayReader({"array": "vulnerabilities", "piecebytes": str(size)}).read(arrays.File(str(tmp_path / name), sha)))
+            assert [json.loads(v) for _, nth, v, _ in out if nth is not None] == rows and json.loads(out[-1][2]) == {k: v for k, v in doc.items() if k != "vulnerabilities"} and out[-1][3] == len(rows)
+    for bad in (raw[:-3], raw + b"x", raw.replace(b'"after": 12.5', b'"after" 1'), raw.replace(b"12\n ],", b"12 1\n ],")):
+        (tmp_path / "bad.json").write_bytes(bad)
+        with pytest.raises(ValueError):
+            list(arrays.ArrayReader({"array": "vulnerabilities"}).read(arrays.File(str(tmp_path / "bad.json"), "")))
+    files = [(str(tmp_path / "a.json"), sha), (str(tmp_path / "b.json.gz"), sha)]
+    got = arrays.read_arrays(spark, files, "vulnerabilities", 50)
+    assert got.where("nth IS NOT NULL").count() == 2 * len(rows) and {r.n for r in got.where("nth IS NULL").collect()} == {len(rows)}
+    with pytest.raises(Exception, match="checksum"):
+        arrays.read_arrays(spark, [(files[0][0], "0" * 64)], "vulnerabilities").count()
