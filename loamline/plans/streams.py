@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..sources import hashtree as H
 from ..sources import ordered
 from ..streaming import replace, resume
 from ..tables import load, scratch
@@ -63,3 +64,15 @@ def q_ordered_gzip(spark, d):
     same = a.join(b.select("file", F.col("sha256").alias("other")), "file", "full_outer").agg(F.coalesce(F.bool_and(F.coalesce(F.col("sha256") == F.col("other"), F.lit(False))), F.lit(True)).alias("equal_bytes"))
     back = spark.read.schema("doc_id long, text string").json(paths[0])
     return back.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).crossJoin(F.broadcast(same))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 89 = 1 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 89 = 1 OR (doc_id % 97 = 0 AND text IS NOT NULL) UNION ALL SELECT -1 - doc_id, 'added' FROM documents WHERE doc_id % 101 = 3")
+def q_changed_rows(spark, d):
+    """Two versions of documents, in the second of which some are longer, some gone and some new: which, from the differing leaves of their trees."""
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    later = docs.where("doc_id % 89 <> 1").withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    later = later.union(docs.where("doc_id % 101 = 3").select((-1 - F.col("doc_id")).alias("doc_id"), "text", "lang"))
+    a, b = (scratch(spark, "version") for _ in range(2))
+    H.freeze(docs, "doc_id", a, 3)
+    H.freeze(later, "doc_id", b, 3)
+    return H.changed_rows(spark, a, b, "doc_id", 3)
