@@ -236,11 +236,12 @@ def q_code_bodies(spark, d):
     return documents(spark, d).groupBy(T.body_hash(C.masked_text(text)).alias("h")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).select("first", "n")
 
 
-@query("WITH c AS (SELECT c_custkey AS k, c_custkey // 4 AS g FROM customer) SELECT x.g AS a, y.g AS b, 'exact' AS kind, 1.0::DOUBLE AS jaccard FROM (SELECT DISTINCT g FROM c) x JOIN (SELECT DISTINCT g FROM c) y ON x.g < y.g AND x.g % 40 = y.g % 40")
+@query("WITH c AS (SELECT c_custkey AS k, c_custkey // 4 AS g FROM customer) SELECT x.g AS a, y.g AS b, 'exact' AS kind, 1.0::DOUBLE AS jaccard FROM (SELECT DISTINCT g FROM c) x JOIN (SELECT DISTINCT g FROM c) y ON x.g < y.g AND x.g // 3 = y.g // 3")
 def q_code_links(spark, d):
-    """One link for each two groups of customers with near-duplicate sources, the strongest."""
+    """One link for each two groups of customers with near-duplicate sources, the strongest; three groups each share one."""
     g, k = F.floor(F.col("c_custkey") / 4), F.col("c_custkey")
-    text = F.concat(F.lit("// "), k.cast("string"), F.lit("\nint a"), (g % 40).cast("string"), F.lit(";\nint b"), (g % 40).cast("string"), F.lit(";\nint c"), (g % 40).cast("string"), F.lit(";\nint d;"))
+    of = F.floor(g / 3).cast("string")
+    text = F.concat(F.lit("// "), k.cast("string"), F.lit("\nint a"), of, F.lit(";\nint b"), of, F.lit(";\nint c"), of, F.lit(";\nint d;"))
     rows = load(spark, d, "customer").select(g.alias("g"), (k % 4).alias("side"), text.alias("t"))
     return N.entity_links(rows, "g", "side", "t").select("a", "b", "kind", "jaccard")
 

@@ -35,10 +35,10 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b
 links AS MATERIALIZED (SELECT a, b, shared, x.n + y.n - shared AS total FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared * 5 >= (x.n + y.n - shared) * 4)"""
 
 
-@query(f"WITH {SHINGLES} SELECT a, b, CASE WHEN array_to_string(x.ks, chr(10)) = array_to_string(y.ks, chr(10)) THEN 'exact' ELSE 'fuzzy' END AS kind, shared, total FROM links JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b")
+@query(f"WITH {SHINGLES}, r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(ks, chr(10))) AS rep FROM k) SELECT a, b, CASE WHEN x.rep = y.rep THEN 'exact' ELSE 'fuzzy' END AS kind, shared, total FROM links JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b WHERE a = x.rep AND y.rep IN (a, b)")
 def q_near_dup_links(spark, d):
-    """All pairs of documents with a Jaccard similarity of 4/5 or more on runs of three lines."""
-    return N.near_duplicate_links(documents(spark, d), "doc_id", "text", code=False)
+    """Documents with a Jaccard similarity of 4/5 or more on runs of three lines: pairs of different ones, and each copy with the first of its kind."""
+    return N.representative_links(documents(spark, d), "doc_id", "text", code=False)
 
 
 @query(f"WITH RECURSIVE {SHINGLES}, e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), c(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.id, e.b FROM c JOIN e ON c.r = e.a), m AS (SELECT id, min(r) AS cluster_id FROM c GROUP BY 1) SELECT id AS doc_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM m")

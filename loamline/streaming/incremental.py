@@ -18,25 +18,52 @@ def resumed(arrivals: DataFrame, key: str, time: str, late: str) -> DataFrame:
     return arrivals.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def merge_last_success(target: str, key: str, order: str, ok: Column):
-    """For foreachBatch: keeps a table with, of each id, the latest success, else the latest attempt. A version is written beside the
-    one before and named by the batch, so a batch that is run again writes the same."""
+def merge_last_success(target: str, key: str, order: str, ok: Column, parts: int = 256):
+    """For foreachBatch: keeps a table with, of each id, the latest success, else the latest attempt; current() reads it.
+
+    Ids are dealt by hash to `parts` folders. A batch reads and writes only the folders that its ids are in, each as a version named by the batch, so a
+    batch that is run again writes the same, and costs what it touches, not the table. Of a folder the newest version counts, and the one before is kept for such a rerun.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        before = f"{target}/v={batch_id - 1}"
-        rows = batch
-        if fs.exists(path(before)):
-            rows = spark.read.schema(batch.schema).parquet(before).unionByName(batch)
-        last_success(rows, key, order, ok).drop("succeeded").write.mode("overwrite").parquet(f"{target}/v={batch_id}")
-        if fs.exists(path(f"{target}/v={batch_id - 2}")):
-            fs.delete(path(f"{target}/v={batch_id - 2}"), True)
+        fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        rows = batch.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        touched = [r["_part"] for r in rows.select("_part").distinct().collect()]  # `parts` at most
+        before = {p: [v for v in versions(fs, path, f"{target}/part={p}") if v < batch_id] for p in touched}
+        old = [f"{target}/part={p}/v={vs[-1]}" for p, vs in before.items() if vs]
+        if old:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")))
+        staged = f"{target}/_staged"
+        fs.delete(path(staged), True)
+        last_success(rows, key, order, ok).drop("succeeded").write.partitionBy("_part").parquet(staged)
+        for p in touched:
+            place = path(f"{target}/part={p}/v={batch_id}")
+            fs.delete(place, True)
+            fs.mkdirs(place.getParent())
+            fs.rename(path(f"{staged}/_part={p}"), place)
+            for v in before[p][:-1]:
+                fs.delete(path(f"{target}/part={p}/v={v}"), True)
 
     return run
 
 
+def versions(fs, path, folder: str) -> list[int]:
+    """The batches that wrote a folder, ascending."""
+    there = path(folder)
+    return sorted(int(f.getPath().getName().removeprefix("v=")) for f in fs.listStatus(there)) if fs.exists(there) else []
+
+
+def current(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    """The table of merge_last_success(): the newest version of each folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path(target))] if fs.exists(path(target)) else []
+    newest = [f"{target}/{n}/v={v[-1]}" for n in names if n.startswith("part=") and (v := versions(fs, path, f"{target}/{n}"))]
+    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
+
+
 def step_windows(rows: DataFrame, step: Column, size: int, by: list[str], reward: str, parsed: str) -> DataFrame:
     """Tumbling windows over steps: count, mean and population variance of rewards, parse rate, all from sums."""
     return rows.groupBy(F.floor((step - 1) / size).cast("int").alias("window"), *by).agg(F.count("*").alias("n"), F.avg(reward).alias("mean"), F.var_pop(reward).alias("variance"), F.avg(F.col(parsed).cast("int")).alias("parse_rate"))

@@ -83,7 +83,24 @@ def test_resumed_stream_keeps_the_last_success(spark, tmp_path):
     run()
     (tmp_path / "in" / "2.json").write_text('{"id":"a","n":2,"ok":true}\n{"id":"b","n":2,"ok":false}\n')
     run()
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/v=1").select("id", "n", "ok").collect()) == [("a", 2, True), ("b", 1, True)]
+    got = lambda: sorted(tuple(r) for r in R.current(spark, str(tmp_path / "t"), schema).select("id", "n", "ok").collect())
+    assert got() == [("a", 2, True), ("b", 1, True)]
+
+
+def test_a_batch_rewrites_what_it_touches_and_may_run_again(spark, tmp_path):
+    schema, t = "id int, n int, ok boolean", str(tmp_path / "t")
+    put = R.merge_last_success(t, "id", "n", F.col("ok"), 16)
+    batches = [[(i, 0, i % 2 == 0) for i in range(200)], [(3, 1, True), (4, 1, False), (900, 1, False)], [(3, 2, False), (900, 2, True)]]
+    want = {}
+    for k, rows in enumerate(batches):
+        for _ in range(2):  # the second time as after a crash
+            put(spark.createDataFrame(rows, schema), k)
+        for i, n, ok in rows:
+            if ok or not want.get(i, (0, False))[1]:
+                want[i] = (n, ok)
+        assert {r.id: (r.n, r.ok) for r in R.current(spark, t, spark.createDataFrame([], schema).schema).collect()} == want
+    folders = {p.name: sorted(v.name for v in p.glob("v=*")) for p in (tmp_path / "t").glob("part=*")}
+    assert len(folders) == 16 and sum(v == ["v=0"] for v in folders.values()) >= 13 and all(len(v) <= 2 for v in folders.values())
 
 
 def test_windows_of_a_stream(spark, tmp_path):
