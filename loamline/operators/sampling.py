@@ -119,10 +119,10 @@ def stratified_fill(rows: DataFrame, key: str, strata: list[tuple[str, Column]],
     return both.orderBy("_fill", "rank", key).limit(total).drop("_fill", "_of")
 
 
-def item_mask(rows: DataFrame, key: str, num: int, den: int, *salt) -> DataFrame:
-    """Adds masked: the N * num / den lowest ranks. Refuses if that isn't whole."""
+def item_mask(rows: DataFrame, key: str, num: int, den: int, *salt, whole: bool = True) -> DataFrame:
+    """Adds masked: the N * num / den lowest ranks. Refuses if that isn't whole, or with whole=False rounds it down."""
     n = rows.count()
-    if n * num % den:
+    if whole and n * num % den:
         raise ValueError(f"{num}/{den} of {n} rows isn't a whole number")
     return numbered(rows, "_at", rank_hex(F.col(key), *salt), key).withColumn("masked", F.col("_at") < n * num // den).drop("_at")
 
