@@ -24,7 +24,6 @@ def small(table, where="true", **columns):
     return f"SELECT *{f' REPLACE ({put})' if put else ''} FROM '{SMALL}/{table}.parquet' WHERE {where}"
 
 
-@pytest.mark.parametrize("name", ["q_mask"])
-def test_masks_of_a_share_that_is_not_whole(spark, compare, tmp_path, name):
-    got = against_sql(spark, compare, tmp_path, name, documents=small("documents", "doc_id < 103"))
-    assert len(got) == 103
+@pytest.mark.parametrize(("name", "n"), [("q_mask", 103), ("q_mask_overlap", 3)])
+def test_masks_of_a_share_that_is_not_whole(spark, compare, tmp_path, name, n):
+    assert len(against_sql(spark, compare, tmp_path, name, documents=small("documents", "doc_id < 103"))) == n
