@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import verify as V
 from ..functions.rank import rank_hex, rank_mod
 from . import checks as C
+from .graph import kept
 from .sampling import weighted_draw
 
 LETTERS = "ABCD"
@@ -45,17 +46,18 @@ def judged_proposals(rows: DataFrame, key: str, gold: str, proposals: str, patte
     return each.withColumn("reason", F.coalesce("_why", F.when(again, "duplicate"))).select(key, "pos", "raw", "value", "reason")
 
 
-def relatives(golds: DataFrame, gold: str, above: DataFrame) -> DataFrame:
-    """(gold, item): each gold with itself, its ancestors and its descendants, which are no distractors for it."""
+def relatives(golds: DataFrame, gold: str, above: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gold, item): of each gold itself, its ancestors and its descendants, which are no distractors for it, those that could be drawn: the items of counts."""
     g = golds.select(gold).distinct()
     up = g.join(above.select(F.col("node").alias(gold), F.col("ancestor").alias("item")), gold)
     down = g.join(above.select(F.col("ancestor").alias(gold), F.col("node").alias("item")), gold)
-    return g.select(gold, F.col(gold).alias("item")).union(up.select(gold, "item")).union(down.select(gold, "item")).distinct()
+    every = g.select(gold, F.col(gold).alias("item")).union(up.select(gold, "item")).union(down.select(gold, "item")).distinct()
+    return kept(every.join(counts.select("item").distinct(), "item", "left_semi").select(gold, "item"))
 
 
 def drawn_distractors(rows: DataFrame, key: str, gold: str, counts: DataFrame, above: DataFrame, k: int, salt: str) -> DataFrame:
     """(key, drawn): k labels of counts (item, w) for each row, drawn by weight without replacement from those that aren't relatives of its gold."""
-    banned = rows.select(key, gold).join(relatives(rows, gold, above), gold).select(key, "item")
+    banned = rows.select(key, gold).join(relatives(rows, gold, above, counts), gold).select(key, "item")
     return weighted_draw(rows.select(key), key, counts, "item", "w", k, salt, banned)
 
 
@@ -72,7 +74,7 @@ def decided_distractors(rows: DataFrame, key: str, gold: str, attempts: list[tup
     line = F.array_sort(F.collect_list(F.struct("at", "value", F.col("x.source").alias("source"))))
     have = rows.select(key, gold).join(chosen.groupBy(key).agg(line.alias("line")), key, "left")
     have = have.withColumn("line", F.coalesce("line", F.array().cast(f"array<struct<at:int,value:{dict(once.dtypes)['value']},source:string>>"))).withColumn("n", F.size("line"))
-    banned = rows.select(key, gold).join(relatives(rows, gold, above), gold).select(key, "item").union(chosen.select(key, F.col("value").alias("item")))
+    banned = rows.select(key, gold).join(relatives(rows, gold, above, counts), gold).select(key, "item").union(chosen.select(key, F.col("value").alias("item")))
     out = weighted_draw(have, key, counts, "item", "w", k, salt, banned, F.col("n"))
     more = F.slice("drawn", F.lit(1), k - F.col("n"))
     return out.select(key, F.concat(F.transform("line", lambda x: x["value"]), more).alias("distractors"), F.concat(F.transform("line", lambda x: x["source"]), F.transform(more, lambda _: F.lit("draw"))).alias("sources"))

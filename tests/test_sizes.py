@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -27,3 +28,14 @@ def small(table, where="true", **columns):
 @pytest.mark.parametrize(("name", "n"), [("q_mask", 103), ("q_mask_overlap", 3)])
 def test_masks_of_a_share_that_is_not_whole(spark, compare, tmp_path, name, n):
     assert len(against_sql(spark, compare, tmp_path, name, documents=small("documents", "doc_id < 103"))) == n
+
+
+def test_draws_join_only_items_that_can_be_drawn(spark):
+    """Relatives that no draw could give don't meet the rows: 3,000 children of the one gold, of which the pool has one."""
+    from loamline.operators import bank as B
+
+    above = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("node"), F.lit("g").alias("ancestor"))
+    counts = spark.createDataFrame([("g", 3), ("s1", 1), ("x", 2), ("y", 2)], "item string, w int")
+    rows = spark.range(50).select("id", F.lit("g").alias("gold"))
+    assert sorted(r.item for r in B.relatives(rows, "gold", above, counts).collect()) == ["g", "s1"]
+    assert all(sorted(r.drawn) == ["x", "y"] for r in B.drawn_distractors(rows, "id", "gold", counts, above, 2, "s").collect())
