@@ -39,3 +39,44 @@ def test_draws_join_only_items_that_can_be_drawn(spark):
     rows = spark.range(50).select("id", F.lit("g").alias("gold"))
     assert sorted(r.item for r in B.relatives(rows, "gold", above, counts).collect()) == ["g", "s1"]
     assert all(sorted(r.drawn) == ["x", "y"] for r in B.drawn_distractors(rows, "id", "gold", counts, above, 2, "s").collect())
+
+
+def test_decisions_join_only_items_that_can_be_drawn(spark):
+    from loamline.operators import bank as B
+
+    above = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("node"), F.lit("g").alias("ancestor"))
+    counts = spark.createDataFrame([("g", 3), ("s1", 1), ("x", 2), ("y", 2), ("z", 1)], "item string, w int")
+    rows = spark.range(40).select("id", F.lit("g").alias("gold"))
+    first = spark.range(0, 40, 2).select("id", F.lit(0).alias("pos"), F.lit("x").alias("value"))
+    got = {r.id: r for r in B.decided_distractors(rows, "id", "gold", [("first", first)], counts, above, 3, "s").collect()}
+    assert len(got) == 40 and all(sorted(r.distractors) == ["x", "y", "z"] for r in got.values())
+    assert all(r.sources == (["first", "draw", "draw"] if r.id % 2 == 0 else ["draw"] * 3) for r in got.values())
+
+
+def test_pairs_of_long_keys(spark, compare, tmp_path):
+    against_sql(spark, compare, tmp_path, "q_pairs_scan", customer=small("customer", c_custkey="c_custkey + 1000000"))
+
+
+def test_near_misses_in_blocks(spark):
+    """More neighbours than a block holds: the rank's least is the same as over all pairs."""
+    from loamline.functions.rank import rank_hex
+    from loamline.operators import training as R
+
+    near = spark.range(1000).select(F.when(F.col("id") < 990, "a").otherwise("b").alias("node"), F.concat(F.lit("o"), "id").alias("other"))
+    rows = spark.range(30).select("id", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("gold"))
+    got = R.near_misses(rows, "id", "gold", near, "miss", block=64)
+    want = rows.join(near, F.col("gold") == F.col("node")).groupBy("id").agg(F.min(F.struct(rank_hex(F.col("id"), F.col("other"), "miss").alias("r"), "other"))["other"].alias("miss"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 20
+
+
+def test_neighbour_lists_are_made_once_a_label(spark):
+    from loamline.operators import jobs as W
+
+    edges = spark.range(200).select(F.concat(F.lit("S"), "id").alias("child"), F.concat(F.lit("N"), (F.col("id") % 2).cast("string")).alias("parent"))
+    golds = spark.range(5000).select("id", F.concat(F.lit("N"), (F.col("id") % 2).cast("string")).alias("gold"))
+    names = edges.select(F.col("child").alias("id"), F.lower("child").alias("name"))
+    got = W.neighbour_lists(golds, "id", "gold", edges, names, F.substring("id", 2, 9).cast("int"))
+    want = {g: "\n".join(f"- S{i}: s{i} (more specific)" for i in range(g, 200, 2)) for g in (0, 1)}
+    assert got.count() == 5000 and all(r.neighbours == want[r.id % 2] for r in got.collect())
+    lists = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line]
+    assert lists and all("Aggregate [gold" in line for line in lists)
