@@ -93,7 +93,7 @@ def q_worst_outcome(spark, d):
 def q_constant_baselines(spark, d):
     """What nation 3 earns as the answer for every customer, directed credit, and the most frequent nation."""
     golds = load(spark, d, "customer").select(nation().alias("gold"))
-    return E.constant_baselines(golds, "gold", F.lit("N3"), G.relations(edges(spark, d)), G.credit(F.col("relation"), G.DIRECTED))
+    return E.constant_baselines(golds, "gold", F.lit("N3"), G.relations(edges(spark, d), golds=golds.select("gold")), G.credit(F.col("relation"), G.DIRECTED))
 
 
 VOTES = {"flag": "l_returnflag", "status": "l_linestatus", "few": "CASE WHEN l_quantity < 25 THEN 'y' ELSE 'n' END"}
@@ -121,7 +121,7 @@ def q_component_agreement(spark, d):
 def q_decided_schedule(spark, d):
     """Whether the best constant earns more than a fifth, which decides the schedule of credit."""
     labels = load(spark, d, "customer").groupBy(nation().alias("gold")).agg(F.count("*").alias("n"))
-    best = A.best_constant(labels, G.relations(edges(spark, d)), G.credit(F.col("relation")), 1)
+    best = A.best_constant(labels, G.relations(edges(spark, d), golds=labels), G.credit(F.col("relation")), 1)
     return best.select("eighths", "total", A.decided_schedule(F.col("eighths"), F.col("total")).alias("decision"))
 
 
@@ -136,7 +136,9 @@ def answers(spark, d):
 
 
 def matrix(spark, d):
-    r = G.relations(edges(spark, d)).withColumn("units", G.credit(F.col("relation"), G.DIRECTED).cast("long"))
+    """Directed credit of answers that are given for golds that there are."""
+    rows = answers(spark, d)
+    r = G.relations(edges(spark, d), preds=rows.where("answer IS NOT NULL").select("answer").distinct(), golds=rows.select("gold").distinct()).withColumn("units", G.credit(F.col("relation"), G.DIRECTED).cast("long"))
     return r.select(F.col("pred").alias("answer"), "gold", "units")
 
 

@@ -80,3 +80,57 @@ def test_neighbour_lists_are_made_once_a_label(spark):
     assert got.count() == 5000 and all(r.neighbours == want[r.id % 2] for r in got.collect())
     lists = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line]
     assert lists and all("Aggregate [gold" in line for line in lists)
+
+
+def kin(edges):
+    """Relations and siblings of a small hierarchy by their definitions."""
+    ids, up = {x for e in edges for x in e}, {}
+    for n in ids:
+        seen, todo = set(), [p for c, p in edges if c == n]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [p for c, p in edges if c == x]
+        up[n] = seen
+    near = {(a, b) for c, p in edges for a, b in ((c, p), (p, c))}
+    share = {(a, b) for a, p in edges for b, q in edges if p == q and a != b}
+    out = {(n, n): "exact" for n in ids} | {(c, p): "child" for c, p in edges} | {(p, c): "parent" for c, p in edges}
+    for a, b in {(a, c) for a, x in near for y, c in near if x == y and a != c} - set(out):
+        out[a, b] = "ancestor_2" if a in up[b] else "descendant_2" if b in up[a] else "sibling" if (a, b) in share else "coparent"
+    return out, {(a, b) for a, b in share if a not in up[b] and b not in up[a]}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_relations_by_definition(spark, monkeypatch, seed):
+    import random
+
+    from loamline.operators import graph as G
+
+    monkeypatch.setattr(G, "CHILDREN", 2)
+    r = random.Random(seed)
+    pairs = {(f"n{b:02}", f"n{a:02}") for b in range(1, 22) for a in r.sample(range(b), min(b, r.choice([1, 1, 2, 3])))}
+    rel, sib = kin(pairs)
+    e = spark.createDataFrame(sorted(pairs), "child string, parent string")
+    above = G.closure(e)
+    got = [tuple(x) for x in G.relations(e, above).select("pred", "gold", "relation").collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in rel.items())
+    assert sorted(map(tuple, G.siblings(e, above).collect())) == sorted(sib)
+    some = lambda *x: spark.createDataFrame([(f"n{i:02}",) for i in x], "id string")
+    got = [tuple(x) for x in G.relations(e, above, some(1, 5, 9, 12, 20), some(0, 3, 5, 11)).collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in rel.items() if k[0] in ("n01", "n05", "n09", "n12", "n20") and k[1] in ("n00", "n03", "n05", "n11"))
+    far = {(x.node, x.other): x.distance for x in G.distances(e, 3, some(4, 7)).collect()}
+    assert far == {(x.node, x.other): x.distance for x in G.distances(e, 3).collect() if x.node in ("n04", "n07")}
+
+
+def test_code_links_span_classes_that_grow(spark, compare, tmp_path):
+    got = against_sql(spark, compare, tmp_path, "q_code_links", customer="SELECT range AS c_custkey FROM range(1000)")
+    assert len(got) == 250 - 40 and set(got.a) == set(range(40)) and set(got.b) == set(range(40, 250))
+
+
+def test_verdicts_of_targets_alone(spark):
+    from loamline.operators import bank as B
+
+    half = lambda n: f"named_struct('strict_ok', true, 'metric', named_struct('n', {n}, 'd', 2), 'dense', named_struct('n', 2, 'd', 2))"
+    rows = spark.range(4).selectExpr("cast(id AS string) AS item_id", f"IF(id = 3, {half(1)}, {half(2)}) AS v")
+    assert [tuple(r) for r in B.target_violations(rows).collect()] == [("own target scores 1", "3", "does not hold")]
