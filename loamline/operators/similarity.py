@@ -69,11 +69,13 @@ def representative_links(rows: DataFrame, key: str, text: str, num: int = 4, den
     return exact.union(both.select("a", "b", F.lit("fuzzy").alias("kind"), "shared", "total"))
 
 
-def entity_links(rows: DataFrame, entity: str, side: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:
+def entity_links(rows: DataFrame, entity: str, side: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True, copies: bool = True) -> DataFrame:
     """(a, b, kind, jaccard, side_a, side_b): one link for each two entities a < b any of whose texts (of several sides) are near-duplicates: the strongest by
-    (exact first, higher similarity, sides); jaccard is rounded to 4 places."""
+    (exact first, higher similarity, sides); jaccard is rounded to 4 places. With copies=False entities with equal bodies are linked with the first of them only, and similar bodies by their first entities, which
+    is as many links as texts, not their square."""
     keyed = rows.select(F.struct(F.col(entity).alias("e"), F.col(side).alias("s")).alias("_key"), F.col(text).alias("_text"))
-    found = near_duplicate_links(keyed, "_key", "_text", num, den, n, code).where("a.e <> b.e")
+    links = near_duplicate_links if copies else representative_links
+    found = links(keyed, "_key", "_text", num, den, n, code).where("a.e <> b.e")
     x, y = F.least(F.col("a"), F.col("b")), F.greatest(F.col("a"), F.col("b"))
     found = found.select(x["e"].alias("a"), y["e"].alias("b"), F.struct((F.col("kind") != "exact").alias("o"), (-F.col("shared") / F.col("total")).alias("j"), x["s"].alias("sa"), y["s"].alias("sb")).alias("k"))
     return found.groupBy("a", "b").agg(F.min("k").alias("k")).select("a", "b", F.when(F.col("k.o"), "fuzzy").otherwise("exact").alias("kind"), F.round(-F.col("k.j"), 4).alias("jaccard"), F.col("k.sa").alias("side_a"), F.col("k.sb").alias("side_b"))
