@@ -8,7 +8,7 @@ from ..functions import verify as V
 from ..operators import bank as B
 from ..operators import evaluation as E
 from ..operators import graph as G
-from ..tables import load
+from ..tables import load, spread
 from .hierarchies import EDGES, edges
 from .samples import mod_sql, rank_sql
 
@@ -37,7 +37,7 @@ def nation(i: int = 0):
 
 
 def facts(spark, d):
-    c = load(spark, d, "customer").select(F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("key"), nation().alias("gold"), F.array(*[nation(s) for s in STEPS]).alias("others"), "c_nationkey", "c_name")
+    c = spread(load(spark, d, "customer"), "c_custkey").select(F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("key"), nation().alias("gold"), F.array(*[nation(s) for s in STEPS]).alias("others"), "c_nationkey", "c_name")
     return B.layout(c, "key", "gold", "others", "letter", "slot")
 
 
@@ -201,7 +201,7 @@ def q_id_miss_reasons(spark, d):
 def q_nearest_option(spark, d):
     """Of three other nations the one nearest to the customer's own; the first of equally near ones."""
     rows = load(spark, d, "customer").select("c_custkey", nation().alias("gold"), F.posexplode(F.array(*[nation(s) for s in STEPS])).alias("pos", "option"))
-    return B.nearest_option(rows, "c_custkey", "option", "gold", "pos", G.distances(edges(spark, d), 3))
+    return B.nearest_option(rows, "c_custkey", "option", "gold", "pos", G.distances(edges(spark, d), 3, rows.select("gold")))
 
 
 def bank_items(spark, d):
