@@ -134,3 +134,54 @@ def test_verdicts_of_targets_alone(spark):
     half = lambda n: f"named_struct('strict_ok', true, 'metric', named_struct('n', {n}, 'd', 2), 'dense', named_struct('n', 2, 'd', 2))"
     rows = spark.range(4).selectExpr("cast(id AS string) AS item_id", f"IF(id = 3, {half(1)}, {half(2)}) AS v")
     assert [tuple(r) for r in B.target_violations(rows).collect()] == [("own target scores 1", "3", "does not hold")]
+
+
+def moved(spark, run):
+    """Rows that Spark's shuffles wrote during a run."""
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    of = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in _stages(spark)}
+    bus.waitUntilEmpty(60_000)
+    before = of()
+    run()
+    bus.waitUntilEmpty(60_000)
+    return sum(n for k, n in of().items() if k not in before)
+
+
+def _stages(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_distances_move_no_pairs(spark):
+    """A star of 1,500 has over two million pairs; what is moved grows with its nodes."""
+    from loamline.operators import graph as G
+
+    star = spark.range(1500).select(F.concat(F.lit("S"), "id").alias("child"), F.lit("N").alias("parent"))
+    got = []
+    rows = moved(spark, lambda: got.extend(G.distances(star, 3).groupBy("distance").agg(F.count("*").alias("n"), F.sum((F.col("node") == F.col("other")).cast("int")).alias("same")).collect()))
+    assert sorted(map(tuple, got)) == [(1, 3000, 0), (2, 1500 * 1499, 0)]
+    assert rows < 100_000
+
+
+@pytest.mark.parametrize(("seed", "cap"), [(1, 1), (2, 2), (3, 3), (4, 4)])
+def test_distances_by_definition(spark, monkeypatch, seed, cap):
+    """Nodes that have the same neighbours, loops, nulls and nodes of many neighbours, in blocks of two."""
+    import random
+
+    from loamline.operators import graph as G
+
+    monkeypatch.setattr(G, "BLOCK", 2)
+    monkeypatch.setattr(G, "LISTED", 3)
+    r = random.Random(seed)
+    pairs = {(f"n{b}", f"n{a}") for b in range(1, 8) for a in r.sample(range(b), 1)} | {(f"s{i}", f"n{r.randrange(4)}") for i in range(14)}
+    pairs |= {("t1", "u1"), ("t1", "u2"), ("t2", "u1"), ("t2", "u2"), ("l1", "l1"), ("l1", "l2"), ("l2", "l2"), ("n3", "n3"), (None, "n1"), ("s1", None)}
+    near = {(a, b) for c, p in pairs for a, b in ((c, p), (p, c))}
+    want, step = dict.fromkeys(near, 1), {k for k in near if None not in k}
+    for d in range(2, cap + 1):
+        step = {(a, c) for a, b in step for x, c in near if b == x and c is not None and a != c} - set(want)
+        want |= dict.fromkeys(step, d)
+    e = spark.createDataFrame(sorted(pairs, key=str), "child string, parent string")
+    key = lambda x: tuple(map(str, x))
+    assert sorted(map(tuple, G.distances(e, cap).collect()), key=key) == sorted(((*k, v) for k, v in want.items()), key=key)
+    some = spark.createDataFrame([("s1",), ("s5",), ("n0",), ("l1",), ("t2",), ("x",)], "id string")
+    assert sorted(map(tuple, G.distances(e, cap, some).collect()), key=key) == sorted(((*k, v) for k, v in want.items() if k[0] in ("s1", "s5", "n0", "l1", "t2")), key=key)
