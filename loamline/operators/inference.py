@@ -1,10 +1,11 @@
 """Resampling inference. Draws come from hashes, so that SQL gives the same; simulations of a small score matrix run on the driver, in numpy."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rank import rank_hex, rank_mod
+from ..functions.rank import drawn, rank_hex
 from .graph import kept
 from .sampling import numbered, ordered
 
@@ -149,14 +150,48 @@ def swap_p(ahead: int, behind: int, replicates: int = 10_000, seed: int = 1) ->
     return int((drawn >= ahead).sum()) + 1, replicates + 1
 
 
+#: Draws that are made at once, and rows whose values one group holds.
+DRAWS, VALUES = 1 << 16, 1 << 14
+
+
 def bootstrap_sums(rows: DataFrame, key: str, value: str, resamples: int, salt: str = "boot") -> DataFrame:
-    """(resample, total): sums over n draws with replacement; draw i of a resample is row rank(resample, i) mod n in the order of keys. value is whole. As SQL
-    can do it; paired_resamples() costs less."""
+    """(resample, total): sums over n draws with replacement; draw i of a resample is row rank(resample, i) mod n in the order of keys. value is whole; nulls are left out. As
+    SQL can do it; paired_resamples() costs less.
+
+    Some draws of a resample are made at once and go, two bytes each, to the blocks of rows that they hit; a block's draws of all resamples meet its values in one group, whose size
+    doesn't grow with the rows.
+    """
+    spark = rows.sparkSession
     line = kept(ordered(rows.select(key, F.col(value).cast("long").alias("v")), "i", key).select("i", "v"))
     n = line.count()
-    reps = rows.sparkSession.range(resamples).select(F.col("id").cast("int").alias("resample"))
-    draws = line.select("i").crossJoin(F.broadcast(reps)).select("resample", rank_mod(F.lit(max(n, 1)).cast("decimal(20,0)"), salt, F.col("resample"), F.col("i")).alias("i"))
-    return draws.groupBy("resample", "i").agg(F.count("*").alias("times")).join(line, "i").groupBy("resample").agg(F.sum(F.col("v") * F.col("times")).alias("total"))
+    chunks = -(-n // DRAWS)
+    tasks = max(1, min(resamples * chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def draw(batches):
+        for batch in batches:
+            for x in batch.column("id").to_pylist():
+                resample, first = x % resamples, x // resamples * DRAWS
+                hit = np.array([drawn(salt, resample, i, n) for i in range(first, min(n, first + DRAWS))], np.int64)
+                hit.sort()
+                blocks, starts = np.unique(hit // VALUES, return_index=True)
+                parts = [p.tobytes() for p in np.split((hit % VALUES).astype(np.uint16), starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([resample] * len(blocks), pa.int32()), pa.array(parts, pa.binary())], names=["block", "resample", "hit"])
+
+    def add(draws: pa.Table, values: pa.Table) -> pa.Table:
+        v, there = np.zeros(VALUES, np.int64), np.zeros(VALUES, bool)
+        at, known = values.column("i").to_numpy() % VALUES, values.column("v").is_valid().to_numpy()
+        v[at], there[at] = values.column("v").fill_null(0).to_numpy(), known
+        if int(np.abs(v.astype(np.float64)).max()) > 1 << 40:
+            v = v.astype(object)  # sums that 64 bits may not hold
+        sums = []
+        for hit in draws.column("hit").to_pylist():
+            k = np.frombuffer(hit, np.uint16)
+            sums.append(int(v[k].sum()) if there[k].any() else None)
+        return pa.table({"resample": draws.column("resample"), "total": pa.array(sums, pa.int64())})
+
+    draws = spark.range(0, resamples * chunks, 1, tasks).mapInArrow(draw, "block long, resample int, hit binary")
+    values = line.select(F.floor(F.col("i") / VALUES).cast("long").alias("block"), "i", "v")
+    return draws.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(add, "resample int, total long").groupBy("resample").agg(F.sum("total").alias("total"))
 
 
 def percentile_interval(sums: DataFrame, value: str, resamples: int, low: tuple[int, int] = (25, 1000), high: tuple[int, int] = (975, 1000)) -> DataFrame:

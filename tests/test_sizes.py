@@ -185,3 +185,31 @@ def test_distances_by_definition(spark, monkeypatch, seed, cap):
     assert sorted(map(tuple, G.distances(e, cap).collect()), key=key) == sorted(((*k, v) for k, v in want.items()), key=key)
     some = spark.createDataFrame([("s1",), ("s5",), ("n0",), ("l1",), ("t2",), ("x",)], "id string")
     assert sorted(map(tuple, G.distances(e, cap, some).collect()), key=key) == sorted(((*k, v) for k, v in want.items() if k[0] in ("s1", "s5", "n0", "l1", "t2")), key=key)
+
+
+@pytest.mark.parametrize("big", [1, 1 << 50])
+def test_bootstrap_sums_by_definition(spark, monkeypatch, big):
+    """Several chunks of draws and blocks of values, values that are null, and rows that are moved far less often than drawn."""
+    import hashlib
+
+    from loamline.operators import inference as I
+
+    monkeypatch.setattr(I, "DRAWS", 512)
+    monkeypatch.setattr(I, "VALUES", 256)
+    n, resamples = 1500, 40
+    v = [None if i % 7 == 3 else big * (i % 11 - 4) for i in range(n)]
+    rows = spark.createDataFrame([(n - 2 * i, x) for i, x in enumerate(reversed(v))], "k int, v long").repartition(3)
+    order = sorted((n - 2 * i, x) for i, x in enumerate(reversed(v)))
+    rank = lambda r, i: int(hashlib.sha256(f"boot\x1f{r}\x1f{i}".encode()).hexdigest()[:16], 16)
+    want = {r: sum(order[rank(r, i) % n][1] or 0 for i in range(n)) for r in range(resamples)}
+    got = []
+    rows = moved(spark, lambda rows=rows: got.extend(I.bootstrap_sums(rows, "k", "v", resamples).collect()))
+    assert {r.resample: r.total for r in got} == want and len(got) == resamples
+    assert rows < n * resamples / 4
+
+
+def test_bootstrap_sums_of_nothing(spark):
+    from loamline.operators import inference as I
+
+    assert I.bootstrap_sums(spark.createDataFrame([], "k int, v long"), "k", "v", 5).collect() == []
+    assert [tuple(r) for r in I.bootstrap_sums(spark.createDataFrame([(1, None), (2, None)], "k int, v long"), "k", "v", 2).orderBy("resample").collect()] == [(0, None), (1, None)]
