@@ -213,3 +213,18 @@ def test_bootstrap_sums_of_nothing(spark):
 
     assert I.bootstrap_sums(spark.createDataFrame([], "k int, v long"), "k", "v", 5).collect() == []
     assert [tuple(r) for r in I.bootstrap_sums(spark.createDataFrame([(1, None), (2, None)], "k int, v long"), "k", "v", 2).orderBy("resample").collect()] == [(0, None), (1, None)]
+
+
+def test_strong_components_broadcast_nothing(spark):
+    """No table goes through the driver, in any of the rounds."""
+    from loamline.operators import graph as G
+
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = lambda: {(x := found.apply(i)).executionId(): x.physicalPlanDescription() for found in [store.executionsList()] for i in range(found.size())}
+    last = max(plans(), default=-1)
+    edges = spark.range(60).select((F.col("id") % 40).alias("child"), ((F.col("id") * 7 + 3) % 40).alias("parent"))
+    assert G.strong_components(edges).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    new = [p for k, p in plans().items() if k > last]
+    assert any("SortMergeJoin" in p for p in new) and not any("BroadcastExchange" in p for p in new)
