@@ -96,9 +96,10 @@ class OrderedGzip(DataSource):
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds nth, from 0, in the order of the columns: a range sort, and of each of its partitions how many rows the ones before it have (a row for each partition)."""
+    """Adds nth, from 0, in the order of the columns, the last of which is text: a range sort, and of each of its partitions how many rows the ones before it have (a row for each
+    partition). Ranges are cut by the first characters of the text, as the driver gets a sample of what they are cut by."""
     spark, path = df.sparkSession, scratch(df.sparkSession, "sorted")
-    df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    df.repartitionByRange(*order[:-1], F.substring(order[-1], 1, 64)).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, `_id` long").parquet(path)
     rows = rows.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -228,3 +228,36 @@ def test_strong_components_broadcast_nothing(spark):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
     new = [p for k, p in plans().items() if k > last]
     assert any("SortMergeJoin" in p for p in new) and not any("BroadcastExchange" in p for p in new)
+
+
+def test_ordered_lines_are_written_from_many_partitions(spark, monkeypatch, tmp_path):
+    """Documents come to the writer as they are read or by as many tasks as a shuffle has, not by a fixed few."""
+    from loamline.plans import streams
+
+    seen, write = [], streams.ordered.write_lines
+    monkeypatch.setattr(streams.ordered, "write_lines", lambda df, *a: (seen.append(df.rdd.getNumPartitions()), write(df, *a)))
+    (tmp_path / "documents.parquet").mkdir()
+    for i in range(6):
+        spark.read.parquet(f"{SMALL}/documents.parquet").where(F.col("doc_id") % 6 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(streams, "load", lambda s, d, t: s.read.parquet(f"{d}/{t}.parquet").repartition(11))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        rows = streams.q_ordered_gzip(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert seen == [11, 13] and len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL").count() and all(r.equal_bytes for r in rows)
+
+
+def test_ordered_ties_and_long_common_beginnings(spark, tmp_path):
+    import gzip
+
+    from loamline.sources import ordered
+
+    lines = [f"{'x' * 70}{i % 50:03}é" for i in range(400)] + [f"y{i}" for i in range(100)]
+    df = spark.createDataFrame([(i % 2, x) for i, x in enumerate(lines)], "k int, line string")
+    for n, parts in enumerate((1, 9)):
+        ordered.write_lines(df.repartition(parts), "line", ["k"], str(tmp_path / str(n)), 60)
+    files = [sorted((tmp_path / str(n)).glob("*.gz")) for n in (0, 1)]
+    assert [f.read_bytes() for f in files[0]] == [f.read_bytes() for f in files[1]]
+    assert [x for f in files[0] for x in gzip.decompress(f.read_bytes()).decode().splitlines()] == [x for _, x in sorted((i % 2, x) for i, x in enumerate(lines))]
