@@ -136,6 +136,17 @@ def test_verdicts_of_targets_alone(spark):
     assert [tuple(r) for r in B.target_violations(rows).collect()] == [("own target scores 1", "3", "does not hold")]
 
 
+def test_equal_targets_are_judged_once(spark, monkeypatch):
+    """3,000 items with three targets, one of which has no gold id: a verdict that differs at each call is the same for equal ones."""
+    from loamline.operators import bank as B
+
+    monkeypatch.setattr(B.V, "verdict", lambda kind, reply, gold, credits: F.concat_ws(" ", F.expr("uuid()"), kind, reply, gold["cwe"], credits["x"].cast("string")))
+    rows = spark.range(3000).selectExpr("cast(id AS string) AS item_id", "'exact_id' AS type", "concat('N', id % 3) AS target", "named_struct('cwe', nullif(concat('N', id % 3), 'N2')) AS gold")
+    got = B.own_verdicts(rows, F.lower("target"), F.col("gold"), F.create_map(F.lit("x"), F.lit(8))).collect()
+    assert len(got) == len({r.item_id for r in got}) == 3000 and len({r.v for r in got}) == 3
+    assert all(r.v.split(" ")[1:] == [w for w in ("exact_id", f"n{k}", f"N{k}" if k < 2 else "", "8") if w] for r in got for k in [int(r.item_id) % 3])
+
+
 def moved(spark, run):
     """Rows that Spark's shuffles wrote during a run."""
     bus = spark.sparkContext._jsc.sc().listenerBus()
