@@ -226,6 +226,14 @@ def test_bootstrap_sums_of_nothing(spark):
     assert [tuple(r) for r in I.bootstrap_sums(spark.createDataFrame([(1, None), (2, None)], "k int, v long"), "k", "v", 2).orderBy("resample").collect()] == [(0, None), (1, None)]
 
 
+def test_strong_components_take_every_order(spark, compare, tmp_path):
+    """No order's number is divisible by 7; customer 6 has an order that leads back to it alone."""
+    orders = "SELECT range * 7 + 1 AS o_orderkey, range % 5 AS o_custkey FROM range(20) UNION ALL SELECT 7 * x + 2, 9 FROM (SELECT 1 AS x) UNION ALL SELECT 4, 6"
+    assert 4 * 7919 % 10 == 6
+    got = against_sql(spark, compare, tmp_path, "q_strong_components", orders=orders)
+    assert (6, 6) in set(zip(got.id, got.component)) and len(got) > 1
+
+
 def test_strong_components_broadcast_nothing(spark):
     """No table goes through the driver, in any of the rounds."""
     from loamline.operators import graph as G
