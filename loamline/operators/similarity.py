@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..functions import text as T
-from .graph import kept
+from ..tables import spread
+from .graph import kept, stored
 
 
 def as_code(rows: DataFrame, text: str, code: bool) -> DataFrame:
@@ -47,17 +48,41 @@ def near_duplicate_classes(rows: DataFrame, key: str, text: str, num: int = 4, d
     return members, both
 
 
+#: Members of a class that meet at once.
+BLOCK = 1024
+
+
+def paired(links: DataFrame, members: DataFrame) -> DataFrame:
+    """links (x, y, ...): classes that are linked, each two once, x = y for a class within itself. members (c, m). Adds to links u of x and v of y: all pairs of their members, each once,
+    for x = y without a member and itself.
+
+    There may be as many pairs as the square of a class. Members are dealt to blocks by hash, and two blocks meet in a task, where their pairs stand: none is moved.
+    """
+    n = members.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    dealt = links.join(n.toDF("x", "nx"), "x").join(n.toDF("y", "ny"), "y").withColumn("i", every("nx")).withColumn("j", every("ny")).where("x <> y OR i <= j").drop("nx", "ny")
+    at = members.join(n, "c").select("c", F.pmod(F.xxhash64("m"), "n").alias("r"), "m")
+    by = ["x", "y", "i", "j"]
+    left, right = dealt.join(at.toDF("x", "i", "u"), ["x", "i"]), dealt.select(*by).join(at.toDF("y", "j", "v"), ["y", "j"])
+    return spread(left, *by).join(spread(right, *by), by).where("x <> y OR i < j OR u < v").drop("i", "j")
+
+
+def class_links(members: DataFrame, both: DataFrame) -> DataFrame:
+    """(x, y, kind, shared, total) for paired(): the classes of members (rep, size, ...) that have several, each with itself, and the pairs of classes that both tells."""
+    size = F.col("size").cast("long")
+    own = members.groupBy("rep").agg(F.first("size").alias("size"), F.count("*").alias("n")).where("n > 1")
+    return own.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit("exact").alias("kind"), size.alias("shared"), size.alias("total")).union(both.select("a", "b", F.lit("fuzzy"), "shared", "total"))
+
+
 def near_duplicate_links(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:
     """(a, b, kind, shared, total): all pairs a < b of rows with shared / total >= num / den; kind is exact where bodies are equal, else fuzzy.
 
     The full listing grows with the square of a class; near_duplicate_classes() and spanning_links() say the same in as many rows as there are members.
     """
     members, both = near_duplicate_classes(rows, key, text, num, den, n, code)
-    member = members.select(key, "rep")
-    fuzzy = both.join(member.toDF("ka", "a"), "a").join(member.toDF("kb", "b"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.lit("fuzzy").alias("kind"), "shared", "total")
-    one = members.select("rep", F.col(key).alias("a"), F.col("size").cast("long").alias("shared"))
-    exact = one.join(member.toDF("b", "rep"), "rep").where("a < b").select("a", "b", F.lit("exact").alias("kind"), "shared", F.col("shared").alias("total"))
-    return exact.union(fuzzy)
+    members = stored(members.select(F.col("rep").alias("c"), F.col(key).alias("m"), "rep", "size"))
+    found = paired(class_links(members, both), members.select("c", "m"))
+    return found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "kind", "shared", "total")
 
 
 def representative_links(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:
@@ -69,16 +94,30 @@ def representative_links(rows: DataFrame, key: str, text: str, num: int = 4, den
     return exact.union(both.select("a", "b", F.lit("fuzzy").alias("kind"), "shared", "total"))
 
 
-def entity_links(rows: DataFrame, entity: str, side: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True, copies: bool = True) -> DataFrame:
+def entity_links(rows: DataFrame, entity: str, side: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:
     """(a, b, kind, jaccard, side_a, side_b): one link for each two entities a < b any of whose texts (of several sides) are near-duplicates: the strongest by
-    (exact first, higher similarity, sides); jaccard is rounded to 4 places. With copies=False entities with equal bodies are linked with the first of them only, and similar bodies by their first entities, which
-    is as many links as texts, not their square."""
+    (exact first, higher similarity, sides); jaccard is rounded to 4 places.
+
+    An entity's copies of a body are one, its least side. Two entities of one body each meet once, and their link stays where it is found; only links of entities with several
+    bodies are moved, for the strongest of them.
+    """
     keyed = rows.select(F.struct(F.col(entity).alias("e"), F.col(side).alias("s")).alias("_key"), F.col(text).alias("_text"))
-    links = near_duplicate_links if copies else representative_links
-    found = links(keyed, "_key", "_text", num, den, n, code).where("a.e <> b.e")
-    x, y = F.least(F.col("a"), F.col("b")), F.greatest(F.col("a"), F.col("b"))
-    found = found.select(x["e"].alias("a"), y["e"].alias("b"), F.struct((F.col("kind") != "exact").alias("o"), (-F.col("shared") / F.col("total")).alias("j"), x["s"].alias("sa"), y["s"].alias("sb")).alias("k"))
-    return found.groupBy("a", "b").agg(F.min("k").alias("k")).select("a", "b", F.when(F.col("k.o"), "fuzzy").otherwise("exact").alias("kind"), F.round(-F.col("k.j"), 4).alias("jaccard"), F.col("k.sa").alias("side_a"), F.col("k.sb").alias("side_b"))
+    members, both = near_duplicate_classes(keyed, "_key", "_text", num, den, n, code)
+    one = members.groupBy("rep", F.col("_key.e").alias("e")).agg(F.min("_key.s").alias("s"), F.first("size").alias("size"))
+    several = one.groupBy("e").agg((F.count("*") > 1).alias("several"))
+    one = stored(one.join(several, "e").select(F.col("rep").alias("c"), F.struct("e", "s", "several").alias("m"), "rep", "size"))
+    links = stored(class_links(one, both))
+    mixed = one.where("m.several").select("c").distinct()
+    some = links.join(mixed.toDF("x"), "x", "left_semi").select(*links.columns).union(links.join(mixed.toDF("y"), "y", "left_semi").select(*links.columns)).distinct()
+
+    def told(found):
+        found = found.where("u.e <> v.e")
+        a, b = F.least("u", "v"), F.greatest("u", "v")
+        return found.select(a["e"].alias("a"), b["e"].alias("b"), F.struct((F.col("kind") != "exact").alias("o"), (-F.col("shared") / F.col("total")).alias("j"), a["s"].alias("sa"), b["s"].alias("sb")).alias("k"))
+
+    plain = told(paired(links, one.where("NOT m.several").select("c", "m")))
+    found = plain.union(told(paired(some, one.select("c", "m")).where("u.several OR v.several")).groupBy("a", "b").agg(F.min("k").alias("k")))
+    return found.select("a", "b", F.when(F.col("k.o"), "fuzzy").otherwise("exact").alias("kind"), F.round(-F.col("k.j"), 4).alias("jaccard"), F.col("k.sa").alias("side_a"), F.col("k.sb").alias("side_b"))
 
 
 def spanning_links(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:

@@ -123,9 +123,31 @@ def test_relations_by_definition(spark, monkeypatch, seed):
     assert far == {(x.node, x.other): x.distance for x in G.distances(e, 3).collect() if x.node in ("n04", "n07")}
 
 
+def test_entity_links_are_the_strongest_of_all_pairs(spark, monkeypatch):
+    """Entities with one body and with several, in blocks of 2, against all pairs of their texts."""
+    import random
+
+    from loamline.operators import similarity as N
+
+    monkeypatch.setattr(N, "BLOCK", 2)
+    r = random.Random(5)
+    bodies = ["\n".join(f"x{i}" for i in range(30)), "\n".join(f"x{i}" for i in range(31)), "\n".join(f"x{i}" for i in range(33)), "\n".join(f"y{i}" for i in range(9)), "z"]
+    rows = [(e, s, r.choice(bodies if e % 3 else bodies[:1])) for e in range(24) for s in range(r.choice([1, 1, 3]))]
+    runs = lambda t: {tuple(t.split("\n")[i : i + 3]) for i in range(max(len(t.split("\n")) - 2, 1))}
+    want = {}
+    for a, sa, t in rows:
+        for b, sb, u in rows:
+            x, y = runs(t), runs(u)
+            if a < b and 5 * len(x & y) >= 4 * len(x | y):
+                k = (t != u, -len(x & y) / len(x | y), sa, sb)
+                want[a, b] = min(want.get((a, b), k), k)
+    got = N.entity_links(spark.createDataFrame(rows, "e int, s int, t string"), "e", "s", "t").collect()
+    assert sorted(map(tuple, got)) == sorted((*ab, "fuzzy" if o else "exact", round(-j, 4), sa, sb) for ab, (o, j, sa, sb) in want.items())
+
+
 def test_code_links_span_classes_that_grow(spark, compare, tmp_path):
     got = against_sql(spark, compare, tmp_path, "q_code_links", customer="SELECT range AS c_custkey FROM range(1000)")
-    assert len(got) == 250 - 40 and set(got.a) == set(range(40)) and set(got.b) == set(range(40, 250))
+    assert len(got) == sum(n * (n - 1) // 2 for n in [7] * 10 + [6] * 30) and set(got.a) == set(range(210)) and set(got.b) == set(range(40, 250))
 
 
 def test_verdicts_of_targets_alone(spark):
