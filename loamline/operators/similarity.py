@@ -85,15 +85,6 @@ def near_duplicate_links(rows: DataFrame, key: str, text: str, num: int = 4, den
     return found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "kind", "shared", "total")
 
 
-def representative_links(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:
-    """(a, b, kind, shared, total): what near_duplicate_links() says without its square: each copy b with the least row a of its body (exact), and the pairs a < b of such rows with
-    shared / total >= num / den (fuzzy)."""
-    members, both = near_duplicate_classes(rows, key, text, num, den, n, code)
-    size = F.col("size").cast("long")
-    exact = members.where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"), F.lit("exact").alias("kind"), size.alias("shared"), size.alias("total"))
-    return exact.union(both.select("a", "b", F.lit("fuzzy").alias("kind"), "shared", "total"))
-
-
 def entity_links(rows: DataFrame, entity: str, side: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:
     """(a, b, kind, jaccard, side_a, side_b): one link for each two entities a < b any of whose texts (of several sides) are near-duplicates: the strongest by
     (exact first, higher similarity, sides); jaccard is rounded to 4 places.

@@ -123,6 +123,17 @@ def test_relations_by_definition(spark, monkeypatch, seed):
     assert far == {(x.node, x.other): x.distance for x in G.distances(e, 3).collect() if x.node in ("n04", "n07")}
 
 
+def test_near_dup_links_are_all_pairs(spark, compare, monkeypatch, tmp_path):
+    """Two bodies of 7 and 6 copies, each like the other, and one document alone: every pair of different documents of the 13, in blocks smaller than a class."""
+    from loamline.operators import similarity as N
+
+    monkeypatch.setattr(N, "BLOCK", 2)
+    line = "array_to_string(list_transform(range(1, 31), lambda i: 'line ' || i), chr(10))"
+    docs = f"SELECT range AS doc_id, CASE WHEN range = 13 THEN 'alone' WHEN range % 2 = 0 THEN {line} ELSE {line} || chr(10) || 'tail' END AS text FROM range(14)"
+    got = against_sql(spark, compare, tmp_path, "q_near_dup_links", documents=docs)
+    assert len(got) == 13 * 12 // 2 and (got.kind == "exact").sum() == 7 * 6 // 2 + 6 * 5 // 2
+
+
 def test_entity_links_are_the_strongest_of_all_pairs(spark, monkeypatch):
     """Entities with one body and with several, in blocks of 2, against all pairs of their texts."""
     import random
