@@ -53,18 +53,18 @@ BLOCK = 1024
 
 
 def paired(links: DataFrame, members: DataFrame) -> DataFrame:
-    """links (x, y, ...): classes that are linked, each two once, x = y for a class within itself. members (c, m). Adds to links u of x and v of y: all pairs of their members, each once,
+    """links (x, y, ...): classes that are linked, each two once, x = y for a class within itself. members (c, m). Links have no columns i, j, u, v or across of their own. Adds u of x and v of y: all pairs of their members, each once,
     for x = y without a member and itself.
 
     There may be as many pairs as the square of a class. Members are dealt to blocks by hash, and two blocks meet in a task, where their pairs stand: none is moved.
     """
     n = members.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    dealt = links.join(n.toDF("x", "nx"), "x").join(n.toDF("y", "ny"), "y").withColumn("i", every("nx")).withColumn("j", every("ny")).where("x <> y OR i <= j").drop("nx", "ny")
+    dealt = links.join(n.toDF("x", "nx"), "x").join(n.toDF("y", "ny"), "y").withColumn("i", every("nx")).withColumn("j", every("ny")).withColumn("across", F.expr("x <> y OR i < j")).where("across OR i = j").drop("nx", "ny")
     at = members.join(n, "c").select("c", F.pmod(F.xxhash64("m"), "n").alias("r"), "m")
     by = ["x", "y", "i", "j"]
     left, right = dealt.join(at.toDF("x", "i", "u"), ["x", "i"]), dealt.select(*by).join(at.toDF("y", "j", "v"), ["y", "j"])
-    return spread(left, *by).join(spread(right, *by), by).where("x <> y OR i < j OR u < v").drop("i", "j")
+    return spread(left, *by).join(spread(right, *by), by).where("across OR u < v").drop("i", "j", "across")
 
 
 def class_links(members: DataFrame, both: DataFrame) -> DataFrame:
@@ -101,14 +101,15 @@ def entity_links(rows: DataFrame, entity: str, side: str, text: str, num: int =
     mixed = one.where("m.several").select("c").distinct()
     some = links.join(mixed.toDF("x"), "x", "left_semi").select(*links.columns).union(links.join(mixed.toDF("y"), "y", "left_semi").select(*links.columns)).distinct()
 
-    def told(found):
-        found = found.where("u.e <> v.e")
-        a, b = F.least("u", "v"), F.greatest("u", "v")
-        return found.select(a["e"].alias("a"), b["e"].alias("b"), F.struct((F.col("kind") != "exact").alias("o"), (-F.col("shared") / F.col("total")).alias("j"), a["s"].alias("sa"), b["s"].alias("sb")).alias("k"))
+    def told(found, *more):
+        pick = lambda x, y, f: F.when(F.col("u.e") < F.col("v.e"), F.col(f"{x}.{f}")).otherwise(F.col(f"{y}.{f}"))
+        return found.where("u.e <> v.e").select(pick("u", "v", "e").alias("a"), pick("v", "u", "e").alias("b"), "kind", *more, pick("u", "v", "s").alias("side_a"), pick("v", "u", "s").alias("side_b"))
 
-    plain = told(paired(links, one.where("NOT m.several").select("c", "m")))
-    found = plain.union(told(paired(some, one.select("c", "m")).where("u.several OR v.several")).groupBy("a", "b").agg(F.min("k").alias("k")))
-    return found.select("a", "b", F.when(F.col("k.o"), "fuzzy").otherwise("exact").alias("kind"), F.round(-F.col("k.j"), 4).alias("jaccard"), F.col("k.sa").alias("side_a"), F.col("k.sb").alias("side_b"))
+    near = lambda df: df.select("x", "y", "kind", F.round(F.col("shared") / F.col("total"), 4).alias("jaccard"), (-F.col("shared") / F.col("total")).alias("less"))
+    plain = told(paired(near(links), one.where("NOT m.several").select("c", "m")), "jaccard")
+    each = told(paired(near(some), one.select("c", "m")).where("u.several OR v.several"), "jaccard", "less")
+    best = each.groupBy("a", "b").agg(F.min(F.struct((F.col("kind") != "exact").alias("o"), "less", "side_a", "side_b", "kind", "jaccard")).alias("k"))
+    return plain.union(best.select("a", "b", "k.kind", "k.jaccard", "k.side_a", "k.side_b"))
 
 
 def spanning_links(rows: DataFrame, key: str, text: str, num: int = 4, den: int = 5, n: int = 3, code: bool = True) -> DataFrame:
